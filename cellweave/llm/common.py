@@ -76,18 +76,18 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     while True:
         # large star: each neighbour above the centre goes to the smallest of the neighbourhood
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("m"))
+        low = scratch.store(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("m")), f"{name}-low{k}")
         large = both.join(low, both.a == low.c).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         k += 1
         e1 = scratch.store(large, f"{name}{k}")
         # small star: each centre and its neighbours below go to the smallest of them
-        low = e1.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), "m")
+        low = scratch.store(e1.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), "m"), f"{name}-low{k}")
         down = e1.join(low, e1.a == low.c)
         small = down.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("c").alias("a"), F.col("m").alias("b"))).distinct()
         k += 1
         e2 = scratch.store(small, f"{name}{k}")
         state = e2.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        scratch.drop(f"{name}{k - 2}", f"{name}{k - 1}")
+        scratch.drop(*(f"{name}{x}" for x in (k - 2, k - 1, f"-low{k - 2}", f"-low{k - 1}")))
         e = e2
         if tuple(state) == last:
             return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -61,7 +61,7 @@ def fill_gaps(bins: list[list[list[int]]], capacity: int) -> list[list[list[int]
     gone: set[int] = set()
     for i in order:
         usable = sum(-g for g, j in gaps if j != i and j not in gone)
-        if spare < capacity or usable < fill[i]:
+        if spare < capacity or usable < sum(p[2] for p in bins[i]):  # it may have got pieces meanwhile
             break
         gone.add(i)
         spare -= capacity

@@ -24,6 +24,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenstore import token_spans
 
@@ -32,6 +38,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_minhash": op2_minhash,
     "op8_token_store": op8_token_store,
 }
 

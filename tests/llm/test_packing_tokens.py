@@ -45,7 +45,7 @@ def test_first_fit_decreasing_equals_a_plain_search(sizes):
     assert first_fit_decreasing(sizes, 50) == expected
 
 
-@given(st.lists(st.integers(1, 2047), min_size=1, max_size=60))
+@given(st.one_of(st.lists(st.integers(1, 2047), min_size=1, max_size=60), st.lists(st.integers(1000, 1400), min_size=20, max_size=60)))
 def test_filling_gaps_keeps_every_id_and_saves_bins(sizes):
     sizes = sorted(sizes, reverse=True)
     bins = defaultdict(list)
