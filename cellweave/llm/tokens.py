@@ -9,55 +9,97 @@ are kept; frequent words are thus encoded once for each worker.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 _ENCODERS: dict[tuple[str, bool], "PieceEncoder"] = {}
 
+#: A word of letters that no normal form changes, and ASCII marks after it: two tokens before merging, by the rules of either vocabulary.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: A blank after white space.
+WIDE = re.compile(r"\s ")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write each byte as a letter: itself if it is printable, else the next from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in printable)}
+
+
+LETTERS = _byte_letters()
+
 
 class PieceEncoder:
     """`batch(texts)` gives the ids of each text as a uint32 array, equal to the library's `encode(text, add_special_tokens=False).ids`."""
 
-    #: Characters of pieces kept before the memory is emptied.
-    KEEP_CHARS = 6_000_000
+    #: Pieces, and their characters, that are kept before the memory is emptied.
+    KEEP, KEEP_CHARS = 500_000, 12_000_000
 
     def __init__(self, path: str, blank_kept: bool):
-        """blank_kept: a piece takes the blank before it along (byte-level vocabularies), else blanks vanish."""
+        """blank_kept: a piece takes the blank before it along (byte-level vocabularies); else blanks and cases vanish."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.lead = Tokenizer.from_file(path), " " if blank_kept else ""
+        self.tokenizer, self.blank_kept = Tokenizer.from_file(path), blank_kept
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
         self.chars = 0
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, pieces: set[str]) -> None:
-        if self.chars > self.KEEP_CHARS:
-            self.known, self.chars = {}, 0
-        new = list(pieces - self.known.keys())
-        for k in range(0, len(new), 2000):
-            part = new[k : k + 2000]
-            for piece, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-                self.chars += len(piece) + 32
+        """The pieces' ids; a word of plain letters goes to the library's model without the steps before it."""
+        new = pieces - self.known.keys()
+        if len(self.known) + len(new) > self.KEEP or self.chars > self.KEEP_CHARS:
+            self.known, self.chars, new = {}, 0, pieces
+        tokenize, known, others = self.tokenizer.model.tokenize, self.known, []
+        lead, plain, letters = ("Ġ" if self.blank_kept else ""), PLAIN.fullmatch, LETTERS
+        self.chars += sum(map(len, new))
+        for piece in new:
+            if found := plain(piece):
+                word, marks = found.groups()
+                if not self.blank_kept:
+                    word = word.lower()
+                ids = [t.id for t in tokenize(lead + (word if word.isascii() else word.encode().decode("latin-1").translate(letters)))]
+                if marks:
+                    ids += [t.id for t in tokenize(marks)]
+                known[piece] = np.array(ids, "<u4").tobytes()
+            else:
+                others.append(piece)
+        blank = " " if self.blank_kept else ""
+        for k in range(0, len(others), 2000):
+            known.update(zip(others[k : k + 2000], self._whole([blank + x for x in others[k : k + 2000]])))
 
     def _pieces(self, text: str) -> list[str]:
-        if not self.lead:
+        """The pieces of a text, without the blanks before them."""
+        if not self.blank_kept:
             return text.replace("\n", " ").split(" ")
-        first, *rest = text.split(" ")
-        out = [first]
-        for x in rest:
-            last = out[-1]
-            if not last or last[-1].isspace():
-                out[-1] = last + " " + x
-            else:
-                out.append(" " + x)
-        return out
+        parts = text.split(" ")
+        if WIDE.search(text):
+            out = parts[:1]
+            for x in parts[1:]:
+                if not out[-1] or out[-1][-1].isspace():
+                    out[-1] += " " + x
+                else:
+                    out.append(x)
+            return out
+        return parts
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         pieces = [self._pieces(x) for x in texts]
+        heads = [b""] * len(texts)
+        if self.blank_kept:
+            first = {x[0] for x in pieces}
+            if len(self.heads) > 20_000:
+                self.heads = {}
+            new = [x for x in first if x not in self.heads]
+            self.heads.update(zip(new, self._whole(new)))
+            heads = [self.heads[x.pop(0)] for x in pieces]
         self._learn(set().union(*pieces))
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, x)), dtype="<u4") for x in pieces]
+        return [np.frombuffer(h + b"".join(map(get, x)), dtype="<u4") for h, x in zip(heads, pieces)]
 
 
 def encoder(path: str, blank_kept: bool) -> PieceEncoder:
