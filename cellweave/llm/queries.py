@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import counts, decontaminate, extract, media, neardup, packing, reputation, substrings, tokenstore, toxicity
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,28 +20,52 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack
+#: The rules that the page query is asked to apply.
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
-    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .neardup import near_duplicates
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_corpus(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), "byte_bpe_50k")
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages"))
 
-    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.encode_texts(table(spark, sf_dir, "documents")))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .tokenstore import token_spans
+    return tokenstore.token_spans(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reputation.judge(table(spark, sf_dir, "pages"), RULES)
+
 
-    return token_spans(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_spans(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_packing": op1_packing,
-    "op2_minhash": op2_minhash,
-    "op8_token_store": op8_token_store,
+    f.__name__: f for f in (op1_packing, op2_minhash, op3_token_counts, op4_html_text, op5_media, op6_decontamination, op7_toxicity, op8_token_store, op9_url_filter, op10_substrings)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_url_filter": reputation.judge_sql(RULES)}

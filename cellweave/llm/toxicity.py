@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning: confirmed toxic texts against unlabelled text.
 
 After Kiryo et al., "Positive-unlabeled learning with non-negative risk estimator"
-(2017). The classifier is linear over the distinct hashed words of a whole text.
+(2017). The classifier is linear over the distinct hashed words, and beginnings of
+words, of a whole text.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import pick, prepare
 
-#: Width of the hashed word space.
-BITS = 18
+#: Width of the hashed word space; letters of the beginnings of words, which stand for a word's compounds.
+BITS, BEGINNINGS = 20, (3, 4, 5)
 #: ASCII marks and digits part words.
 _MARKS = bytes(32 if chr(b) in "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~" else b for b in range(256))
 
@@ -27,29 +28,54 @@ def words_of(text: str | None) -> set[bytes]:
     return set((text or "").lower().encode().translate(_MARKS).split())
 
 
+def places_of(word: bytes) -> tuple[int, ...]:
+    """Where a word and its beginnings stand in the hashed space."""
+    letters = word.decode()
+    return tuple({crc32(x) & ((1 << BITS) - 1) for x in (word, *(b"^" + letters[:n].encode() for n in BEGINNINGS if len(letters) >= n))})
+
+
+class Places(dict):
+    """places_of, kept for frequent words; `of` gives the distinct places of a text."""
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = found = places_of(word)
+        return found
+
+    def of(self, text: str | None) -> np.ndarray:
+        found = set().union(*map(self.__getitem__, words_of(text)))
+        return np.sort(np.fromiter(found, np.int64, len(found)))
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    places = Places()
     for batch in batches:
-        found = [sorted({crc32(w) & ((1 << BITS) - 1) for w in words_of(x)}) for x in batch.column("text").to_pylist()]
+        found = [places.of(x) for x in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "words"])
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 2e-5, least_docs: int = 5) -> tuple[np.ndarray, float]:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 2e-4, least_docs: int = 3, least_z: float = 4.0) -> tuple[np.ndarray, float]:
     """Weights and offset that lower the non-negative risk: prior * R(p, +) + max(0, R(u, -) - prior * R(p, -)), logistic loss.
 
     When the second part, the risk of unlabelled texts taken as clean less that of
     positive ones, falls below zero, the step goes back up its gradient, as in the
-    paper. Words in fewer than `least_docs` texts have no weight.
+    paper. Weights go to words in `least_docs` texts or more that positive texts
+    hold more often than all do, by `least_z` standard deviations or more.
     """
     docs = positive + unlabelled
     ids, sizes = np.concatenate(docs) if docs else np.zeros(0, np.int64), np.array([len(d) for d in docs])
     width = 1 << BITS
-    common = np.bincount(ids, minlength=width) >= least_docs
+    n, m = len(positive), len(unlabelled)
+    held = np.bincount(ids, minlength=width)
+    share = np.minimum(held / max(1, n + m), 1 - 1e-9)
+    surplus = np.bincount(ids[: sizes[:n].sum()], minlength=width) - n * share
+    common = (held >= least_docs) & (surplus >= least_z * np.sqrt(n * share * (1 - share)))
     row = np.repeat(np.arange(len(docs)), sizes)[common[ids]]
     used = np.flatnonzero(common)
     place = np.zeros(width, np.int64)
     place[used] = np.arange(len(used))
     col = place[ids[common[ids]]]
-    n, m = len(positive), len(unlabelled)
     w, b = np.zeros(len(used)), -1.0
     m1, m2 = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     is_pos = np.arange(n + m) < n
@@ -71,16 +97,9 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
 def _score(weights: np.ndarray, offset: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, float] = {}
+        places = Places()
         for batch in batches:
-            scores = []
-            if len(known) > 500_000:
-                known.clear()
-            for text in batch.column("text").to_pylist():
-                found = words_of(text)
-                for w in found - known.keys():
-                    known[w] = float(weights[crc32(w) & ((1 << BITS) - 1)])
-                scores.append(offset + sum(map(known.__getitem__, found)))
+            scores = [offset + float(weights[places.of(x)].sum()) for x in batch.column("text").to_pylist()]
             x = 1 / (1 + np.exp(-np.clip(scores, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.float64())], names=["doc_id", "score"])
 
@@ -124,3 +143,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, positives: int = 5000, unlabell
     weights, offset = train([t for t, y in zip(texts, toxic) if y], [t for t, y in zip(texts, toxic) if not y], prior or counts["k"] / counts["n"])
     scored = rows.mapInArrow(_score(weights, offset), "doc_id bigint, score double")
     return scored.select("doc_id", fold(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """`docs` without the documents that `toxicity` predicts to be toxic; all columns stay. Rows without an id are kept."""
+    bad = toxicity(docs, labels, **options).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("cw_bad")).distinct()
+    at = docs.columns.index("doc_id")
+    plain = docs.toDF(*(f"cw_{i}" for i in range(len(docs.columns))))
+    left = plain.join(bad, F.col(f"cw_{at}").cast("bigint") == F.col("cw_bad"), "left_anti")
+    return left.select(*(F.col(f"cw_{i}").alias(n) for i, n in enumerate(docs.columns)))
