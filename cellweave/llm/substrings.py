@@ -20,8 +20,7 @@ _GEAR = np.random.default_rng(1077).integers(0, 2**WINDOW, 256, dtype=np.uint16)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-CHUNKS = "doc_id bigint, fp bigint, chunks array<struct<digest:bigint,start:int,size:int,words:int>>"
-SPANS = "doc_id bigint, fp bigint, start int, size int, words int, keeper bigint"
+CHUNKS = "doc_id bigint, fp int, chunks array<struct<digest:bigint,start:int,size:int,words:int>>"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -50,7 +49,8 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 
 def _fingerprint(raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw) - 2**63
+    """Of a text, to tell apart rows that share an id."""
+    return xxhash.xxh32_intdigest(raw) - 2**31
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +72,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends.append(ends[-1] + len(begin))
         flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0), pa.int32())
         items = pa.StructArray.from_arrays([pa.array(digests, pa.int64()), flat(starts), flat(sizes), flat(words)], names=["digest", "start", "size", "words"])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], names=["doc_id", "fp", "chunks"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], names=["doc_id", "fp", "chunks"])
 
 
 def repeated_spans(docs: DataFrame, least_words: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,15 +94,17 @@ def repeated_spans(docs: DataFrame, least_words: int = 16, id_col: str = "doc_id
     prepare(spark)
     scratch = Scratch(spark, "chunks")
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    chunks = rows.mapInArrow(_chunks, CHUNKS).select("doc_id", "fp", F.posexplode("chunks").alias("place", "c")).select("doc_id", "fp", "place", "c.*")
+    chunks = rows.mapInArrow(_chunks, CHUNKS).select("doc_id", "fp", F.explode("chunks").alias("c")).select("doc_id", "fp", "c.*")
     chunks = scratch.store(chunks, "chunks")
-    first = F.min(F.struct("doc_id", "fp", "place")).alias("first")
-    many = scratch.store(chunks.groupBy("digest").agg(first, F.count("*").alias("copies")).where("copies > 1").select("digest", "first"), "many")
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("fp") == F.col("first.fp")) & (F.col("place") == F.col("first.place"))
-    later = chunks.join(many, "digest").where(~same).select("doc_id", "fp", "place", "start", "size", "words", F.col("first.doc_id").alias("keeper")).distinct()
-    order = Window.partitionBy("doc_id", "fp").orderBy("place")
-    runs = later.withColumn("run", F.col("place") - F.row_number().over(order)).groupBy("doc_id", "fp", "run")
-    found = runs.agg(F.min("start").alias("start"), F.sum("size").cast("int").alias("size"), F.sum("words").cast("int").alias("words"), F.min_by("keeper", "place").alias("keeper"))
+    many = chunks.groupBy("digest").agg(F.min(F.struct("doc_id", "fp", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    many = scratch.store(many.select("digest", "first"), "many")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("fp") == F.col("first.fp")) & (F.col("start") == F.col("first.start"))
+    later = chunks.join(many, "digest").where(~same).select("doc_id", "fp", "start", "size", "words", F.col("first.doc_id").alias("keeper"))
+    order = Window.partitionBy("doc_id", "fp").orderBy("start")
+    placed = later.withColumn("before", F.lag("start").over(order)).withColumn("reached", F.lag(F.col("start") + F.col("size")).over(order))
+    placed = placed.where("before is null or before != start")  # rows that repeat are one document
+    runs = placed.withColumn("run", F.sum(F.when(F.col("reached") == F.col("start"), 0).otherwise(1)).over(order)).groupBy("doc_id", "fp", "run")
+    found = runs.agg(F.min("start").alias("start"), F.sum("size").cast("int").alias("size"), F.sum("words").cast("int").alias("words"), F.min_by("keeper", "start").alias("keeper"))
     found = scratch.store(found.where(F.col("words") >= least_words).drop("run"), "spans")
     scratch.drop("chunks", "many")
     return found
@@ -110,7 +112,7 @@ def repeated_spans(docs: DataFrame, least_words: int = 16, id_col: str = "doc_id
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fp = pa.array([_fingerprint((x or "").encode()) for x in batch.column("cw_text").to_pylist()], pa.int64())
+        fp = pa.array([_fingerprint((x or "").encode()) for x in batch.column("cw_text").to_pylist()], pa.int32())
         yield pa.RecordBatch.from_arrays([*batch.columns, fp], names=[*batch.schema.names, "cw_fp"])
 
 
@@ -120,13 +122,13 @@ def drop_repeats(docs: DataFrame, least_words: int = 16, id_col: str = "doc_id",
     All columns stay, in order. Texts without such spans, null and empty ones too,
     are left as they are. Texts are shuffled once, to meet their spans.
     """
-    from pyspark.sql.types import LongType, StructField, StructType
+    from pyspark.sql.types import IntegerType, StructField, StructType
 
     spans = repeated_spans(docs, least_words, id_col, text_col)
     names = docs.columns
     at, text_at = names.index(id_col), names.index(text_col)
     plain = docs.toDF(*(f"cw_{i}" for i in range(len(names)))).withColumnRenamed(f"cw_{text_at}", "cw_text")
-    marked = plain.mapInArrow(_mark, StructType([*plain.schema.fields, StructField("cw_fp", LongType())]))
+    marked = plain.mapInArrow(_mark, StructType([*plain.schema.fields, StructField("cw_fp", IntegerType())]))
     per_doc = spans.groupBy(F.col("doc_id").alias("cw_doc"), F.col("fp").alias("cw_key")).agg(F.array_sort(F.collect_list(F.struct("start", "size"))).alias("cw_spans"))
     both = marked.join(per_doc, F.col(f"cw_{at}").cast("bigint").eqNullSafe(F.col("cw_doc")) & (F.col("cw_fp") == F.col("cw_key")), "left")
     # cut where all spans of a text are known: pieces between the spans, on bytes
