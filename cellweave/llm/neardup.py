@@ -1,7 +1,10 @@
 """Near-duplicate documents by a chosen-path set similarity join, confirmed on whole shingle sets.
 
 After Christiani, Pagh and Sivertsen, "Scalable and robust set similarity join"
-(2018). Each document is embedded as SIZE minwise tokens. A node of a tree picks
+(2018). Each document is embedded as SIZE minwise tokens: small sets by SIZE hash
+functions, large ones by the least member in each of SIZE parts of one hash's range
+(Shrivastava 2017), those between by both, so that documents which may be linked
+always share a kind. A node of a tree picks
 coordinates by its own hash, 1.25 on average (one over the similarity); documents
 that agree there go on to the same child. Small nodes are compared exhaustively,
 large ones branch further. ROOTS coordinates at the root stand for eight
@@ -32,7 +35,10 @@ NODE, ALIKE = 64, 36
 #: Documents and shingles of a set of candidates that one task confirms; rounds of pivots for larger ones.
 SMALL_DOCS, SMALL_SHINGLES, ROUNDS = 256, 1 << 20, 6
 
-SIGNATURES = "doc_id bigint, n bigint, f1 bigint, f2 bigint, sig array<int>"
+#: Sets of up to LARGE members have the first kind of tokens; from `percent` of that on, the second.
+LARGE = 256
+
+SIGNATURES = "doc_id bigint, n bigint, f1 bigint, f2 bigint, sig0 array<int>, sig1 array<int>"
 
 _WORDS: dict[bytes, int] = {}
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -75,23 +81,40 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+#: For a part without members, the parts it asks in turn.
+_ASK = np.stack([np.random.default_rng(k).permutation(SIZE) for k in range(SIZE)])
+_BOUNDS = np.arange(SIZE, dtype=np.uint64) << np.uint64(64 - SIZE.bit_length() + 1)
+
+
+def parted_signature(hashes: np.ndarray) -> np.ndarray:
+    """The least member of each of SIZE equal parts of the range, of sorted hashes; a part without any takes the first that it asks."""
+    at = np.searchsorted(hashes, _BOUNDS)
+    end = np.append(at[1:], len(hashes))
+    least = _mix(hashes[np.minimum(at, len(hashes) - 1)])
+    full = end > at
+    if not full.all():
+        for k in np.flatnonzero(~full).tolist():
+            least[k] = least[next(j for j in _ASK[k].tolist() if full[j])]
+    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _signed(x) -> int:
     return int(np.uint64(x).view(np.int64))
 
 
-def _signatures(words: int):
+def _signatures(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, f1, f2, sigs = [], [], [], []
+            n, f1, f2, small, large = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, words)
                 n.append(len(s))
                 f1.append(_signed(s.sum(dtype=np.uint64)))
                 f2.append(_signed(np.bitwise_xor.reduce(s * _ODD)) if len(s) else 0)
-                sigs.append(signature(s))
-            flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int32))
-            sig = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SIZE), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), sig], names=["doc_id", "n", "f1", "f2", "sig"])
+                small.append(signature(s) if 0 < len(s) <= LARGE else None)
+                large.append(parted_signature(s) if 100 * len(s) >= percent * LARGE else None)
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(small, kind), pa.array(large, kind)], names=["doc_id", "n", "f1", "f2", "sig0", "sig1"])
 
     return run
 
@@ -144,13 +167,13 @@ def _compare_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Edges (a, b) between documents (id, sig) that the trees bring together."""
-    nodes = reps.select("id", F.explode(F.array(*(F.xxhash64(F.lit(c), F.col("sig")[c]) for c in range(ROOTS)))).alias("node"))
+    """Edges (a, b) between documents (id, kind, sig) that the trees bring together."""
+    nodes = reps.select("id", "kind", F.explode(F.array(*(F.xxhash64(F.lit(c), "kind", F.col("sig")[c]) for c in range(ROOTS)))).alias("node"))
     found = []
     for level in range(LEVELS):
         nodes = scratch.store(nodes, f"nodes{level}")
         counts = scratch.store(nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("least")).where("size > 1"), f"counts{level}")
-        small = nodes.join(counts.where(F.col("size") <= NODE).select("node"), "node").join(reps, "id").select("node", "id", "sig")
+        small = nodes.join(counts.where(F.col("size") <= NODE).select("node"), "node").join(reps, ["id", "kind"]).select("node", "id", "sig")
         found.append(scratch.store(small.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_node, "a bigint, b bigint"), f"found{level}"))
         large = nodes.join(counts.where(F.col("size") > NODE), "node")
         if level == LEVELS - 1:
@@ -160,7 +183,7 @@ def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
         else:
             pick_one = [F.pmod(F.xxhash64(F.lit(k), "node"), F.lit(SIZE)).cast("int") for k in (1, 2)]
             at = F.when(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(100)) < 25, F.array(*pick_one)).otherwise(F.array(pick_one[0]))
-            nodes = large.join(reps, "id").select("id", "node", "sig", F.explode(at).alias("at")).select("id", F.xxhash64("node", "at", F.get("sig", F.col("at"))).alias("node"))
+            nodes = large.join(reps, ["id", "kind"]).select("id", "kind", "node", "sig", F.explode(at).alias("at")).select("id", "kind", F.xxhash64("node", "at", F.get("sig", F.col("at"))).alias("node"))
     edges = found[0]
     for x in found[1:]:
         edges = edges.union(x)
@@ -294,9 +317,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     prepare(spark)
     scratch = Scratch(spark, "neardup")
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    marks = scratch.store(rows.mapInArrow(_signatures(words), SIGNATURES), "marks")
-    reps = scratch.store(marks.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "reps")
-    spread = components(candidates(reps.select("id", "sig"), scratch), scratch, "spread").withColumnRenamed("component", "cluster")
+    marks = scratch.store(rows.mapInArrow(_signatures(words, percent), SIGNATURES), "marks")
+    reps = scratch.store(marks.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("sig0").alias("sig0"), F.first("sig1").alias("sig1")), "reps")
+    signed = reps.select("id", F.posexplode(F.array("sig0", "sig1")).alias("kind", "sig")).where("sig is not null")
+    spread = components(candidates(signed, scratch), scratch, "spread").withColumnRenamed("component", "cluster")
     spread = scratch.store(spread, "clusters")
     sizes = spread.join(reps.select("id", "n"), "id").groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
     sizes = scratch.store(sizes, "sizes")

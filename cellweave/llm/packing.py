@@ -6,7 +6,6 @@ import heapq
 from collections.abc import Iterator
 from zlib import crc32
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +60,8 @@ def fill_gaps(bins: list[list[list[int]]], capacity: int) -> list[list[list[int]
     gone: set[int] = set()
     for i in order:
         usable = sum(-g for g, j in gaps if j != i and j not in gone)
-        if spare < capacity or usable < sum(p[2] for p in bins[i]):  # it may have got pieces meanwhile
+        # it may have got pieces meanwhile; the end of each piece can leave a gap under LEAST_CUT unused
+        if spare < capacity or usable < sum(p[2] + LEAST_CUT for p in bins[i]):
             break
         gone.add(i)
         spare -= capacity
@@ -85,12 +85,12 @@ def _tokenise(path: str, capacity: int, end_id: int):
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
             totals, crcs, tails = [], [], []
-            for ids in ids_of.batch(texts):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                whole = len(ids) // capacity * capacity
-                totals.append(len(ids))
-                crcs.append([crc32(ids[k : k + capacity].tobytes()) for k in range(0, whole, capacity)])
-                tails.append(ids[whole:].tobytes())
+            for ids in ids_of.raw(texts, end_id):
+                n = len(ids) // 4
+                whole = n // capacity * capacity
+                totals.append(n)
+                crcs.append([crc32(ids[4 * k : 4 * (k + capacity)]) for k in range(0, whole, capacity)])
+                tails.append(ids[4 * whole :])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("grp"), pa.array(totals, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary())],
                 names=["doc_id", "grp", "doc_tokens", "crcs", "tail"],

@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 _ENCODERS: dict[tuple[str, bool], "PieceEncoder"] = {}
 
-#: A word of letters that no normal form changes, and ASCII marks after it: two tokens before merging, by the rules of either vocabulary.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: A word of letters that no normal form changes, and ASCII marks after it, are two tokens before merging, by the rules of either vocabulary.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A blank after white space.
 WIDE = re.compile(r"\s ")
 
@@ -33,8 +35,8 @@ LETTERS = _byte_letters()
 class PieceEncoder:
     """`batch(texts)` gives the ids of each text as a uint32 array, equal to the library's `encode(text, add_special_tokens=False).ids`."""
 
-    #: Pieces, and their characters, that are kept before the memory is emptied.
-    KEEP, KEEP_CHARS = 500_000, 12_000_000
+    #: Pieces, and their characters, that are kept before those that weren't used lately are forgotten.
+    KEEP, KEEP_CHARS = 500_000, 10_000_000
 
     def __init__(self, path: str, blank_kept: bool):
         """blank_kept: a piece takes the blank before it along (byte-level vocabularies); else blanks and cases vanish."""
@@ -43,31 +45,47 @@ class PieceEncoder:
 
         self.tokenizer, self.blank_kept = Tokenizer.from_file(path), blank_kept
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.heads: dict[str, bytes] = {}
         self.chars = 0
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: set[str]) -> None:
-        """The pieces' ids; a word of plain letters goes to the library's model without the steps before it."""
+        """The pieces' ids. A word of plain letters goes to the library's model without the steps before it; so do its marks."""
         new = pieces - self.known.keys()
         if len(self.known) + len(new) > self.KEEP or self.chars > self.KEEP_CHARS:
-            self.known, self.chars, new = {}, 0, pieces
-        tokenize, known, others = self.tokenizer.model.tokenize, self.known, []
-        lead, plain, letters = ("Ġ" if self.blank_kept else ""), PLAIN.fullmatch, LETTERS
+            self.before, self.known, self.chars, new = self.known, {}, 0, pieces
+        known, before, of_marks, others = self.known, self.before, self.marks, []
+        for piece in new & before.keys():
+            known[piece] = before[piece]
+        new -= known.keys()
+        tokenize, plain, kept = self.tokenizer.model.tokenize, PLAIN.fullmatch, self.blank_kept
+        lead = "Ġ" if kept else ""
         self.chars += sum(map(len, new))
+        if len(of_marks) > 20_000:
+            self.marks = of_marks = {"": b""}
         for piece in new:
-            if found := plain(piece):
-                word, marks = found.groups()
-                if not self.blank_kept:
-                    word = word.lower()
-                ids = [t.id for t in tokenize(lead + (word if word.isascii() else word.encode().decode("latin-1").translate(letters)))]
-                if marks:
-                    ids += [t.id for t in tokenize(marks)]
-                known[piece] = np.array(ids, "<u4").tobytes()
+            word = piece if piece.isalpha() else piece.rstrip(MARKS)
+            if word.isascii() and word.isalpha():
+                letters = word if kept else word.lower()
+            elif plain(word):
+                letters = (word if kept else word.lower()).encode().decode("latin-1").translate(LETTERS)
             else:
                 others.append(piece)
+                continue
+            if word is piece:
+                known[piece] = array("I", [t.id for t in tokenize(lead + letters)]).tobytes()
+                continue
+            ids = known.get(word)
+            if ids is None:
+                known[word] = ids = array("I", [t.id for t in tokenize(lead + letters)]).tobytes()
+            marks = piece[len(word) :]
+            if marks not in of_marks:
+                of_marks[marks] = array("I", [t.id for t in tokenize(marks)]).tobytes()
+            known[piece] = ids + of_marks[marks]
         blank = " " if self.blank_kept else ""
         for k in range(0, len(others), 2000):
             known.update(zip(others[k : k + 2000], self._whole([blank + x for x in others[k : k + 2000]])))
@@ -88,6 +106,11 @@ class PieceEncoder:
         return parts
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(x, dtype="<u4") for x in self.raw(texts)]
+
+    def raw(self, texts: list[str], end_id: int | None = None) -> list[bytes]:
+        """The ids as bytes, little-endian and 32 bits wide; `end_id` after each text's."""
+        end = b"" if end_id is None else end_id.to_bytes(4, "little")
         pieces = [self._pieces(x) for x in texts]
         heads = [b""] * len(texts)
         if self.blank_kept:
@@ -99,7 +122,7 @@ class PieceEncoder:
             heads = [self.heads[x.pop(0)] for x in pieces]
         self._learn(set().union(*pieces))
         get = self.known.__getitem__
-        return [np.frombuffer(h + b"".join(map(get, x)), dtype="<u4") for h, x in zip(heads, pieces)]
+        return [b"".join([h, *map(get, x), end]) for h, x in zip(heads, pieces)]
 
 
 def encoder(path: str, blank_kept: bool) -> PieceEncoder:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import Scratch, pick, prepare
 from .tokens import encoder
@@ -17,7 +18,7 @@ from .tokens import encoder
 #: Ids in a block of a file, about.
 BLOCK_IDS = 1 << 17
 
-TOKENS = "doc_id bigint, ids binary"
+TOKENS = "doc_id bigint, ids binary, counts binary"
 BLOCKS = "shard int, block int, doc_ids array<bigint>, lengths array<bigint>, control binary, data binary"
 SPANS = "shard int, block int, place int, doc_id bigint, start_in_block bigint, n_tokens bigint, ids_crc32 bigint"
 
@@ -51,40 +52,34 @@ def decode_numbers(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
-def _tokenise(path: str, blank_kept: bool, end_id: int):
+def _tokenise(path: str, blank_kept: bool, end_id: int, width: int):
+    """The ids of each text, `width` bytes wide; a task's last row has instead how often it met each id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(path, blank_kept)
+        ids_of, total = encoder(path, blank_kept), np.zeros(0, np.int64)
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            found = [np.append(x, np.uint32(end_id)) for x in ids_of.batch(texts)]
-            packed = [encode_numbers(x) for x in found]
-            cells = [len(x).to_bytes(4, "little") + c + d for x, (c, d) in zip(found, packed)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cells, pa.binary())], names=["doc_id", "ids"])
+            found = ids_of.raw([x or "" for x in batch.column("text").to_pylist()], end_id)
+            flat = np.frombuffer(b"".join(found), "<u4")
+            n = np.bincount(flat, minlength=len(total))
+            n[: len(total)] += total
+            total = n
+            end = np.cumsum([len(x) // 4 for x in found]) * width
+            ids = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(np.append(0, end).astype("<i4")), pa.py_buffer(flat.astype(f"<u{width}"))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.nulls(len(found), pa.binary())], names=["doc_id", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["doc_id", "ids", "counts"])
 
     return run
 
 
-def _unpack(cell: bytes) -> np.ndarray:
-    n = int.from_bytes(cell[:4], "little")
-    cut = 4 + -(-n // 4)
-    return decode_numbers(cell[4:cut], cell[cut:], n)
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
     for batch in batches:
-        for cell in batch.column("ids").to_pylist():
-            n = np.bincount(_unpack(cell))
-            if len(n) > len(total):
-                n[: len(total)] += total
-                total = n
-            else:
-                total[: len(n)] += n
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
-
-
-def _blocks(ids_by_rank: np.ndarray):
+        for cell in batch.column("counts").to_pylist():
+            total = np.frombuffer(cell, np.int64)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
+
+
+def _blocks(ids_by_rank: np.ndarray, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.zeros(int(ids_by_rank.max(initial=0)) + 1, "<u4")
         rank[ids_by_rank] = np.arange(len(ids_by_rank))
@@ -101,7 +96,7 @@ def _blocks(ids_by_rank: np.ndarray):
 
         for batch in batches:
             for doc, cell in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                held.append(_unpack(cell))
+                held.append(np.frombuffer(cell, f"<u{width}"))
                 docs.append(doc)
                 size += len(held[-1])
                 if size >= BLOCK_IDS:
@@ -135,7 +130,7 @@ def _spans(ids_by_rank: np.ndarray):
 def write_tokens(docs: DataFrame, tokenizer_path: str, scratch: Scratch, end_id: int = 1, blank_kept: bool = False, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Write the ids of every document, and `end_id` after each, to the files `blocks` in ascending order of id_col.
 
-    A first pass tokenises to a scratch table and counts each id; the count is
+    A first pass tokenises to a scratch table and counts each id as it goes; the count is
     added up on the executors, and only the vocabulary's counts reach the driver
     (at most one for each id of the vocabulary). Ids are then replaced by their
     rank in falling frequency, so most take one byte. Rows are dealt out by range
@@ -148,14 +143,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, scratch: Scratch, end_id:
     spark = docs.sparkSession
     prepare(spark)
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    tokens = scratch.store(rows.mapInArrow(_tokenise(tokenizer_path, blank_kept, end_id), TOKENS), "tokens")
-    counts = tokens.select("ids").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    width = 2 if max(end_id, Tokenizer.from_file(tokenizer_path).get_vocab_size() - 1) < 1 << 16 else 4
+    tokens = scratch.store(rows.mapInArrow(_tokenise(tokenizer_path, blank_kept, end_id, width), TOKENS), "tokens")
+    counts = tokens.where("counts is not null").select("counts").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = sorted(counts.collect(), key=lambda r: (-r["n"], r["id"]))
     ids_by_rank = np.array([r["id"] for r in ranked], dtype="<u4")
     scratch.store(spark.createDataFrame([(k, r["id"], r["n"]) for k, r in enumerate(ranked)], "place int, id bigint, n bigint").coalesce(1), "ranks")
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
-    scratch.store(ordered.mapInArrow(_blocks(ids_by_rank), BLOCKS), "blocks")
+    ordered = tokens.where("counts is null").select("doc_id", "ids").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    scratch.store(ordered.mapInArrow(_blocks(ids_by_rank, width), BLOCKS), "blocks")
     scratch.drop("tokens")
     return ids_by_rank
 
