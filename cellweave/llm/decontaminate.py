@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -135,22 +136,18 @@ def _query(index: Index, least: float, question: float, answer: float, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell = max(8, index.words)
         starts, blocks, most = index.block_maxima()
+        term_of, absent = index.vocabulary.get, repeat(-1)
         n_blocks = int(blocks.max(initial=-1)) + 1
-        known: dict[bytes, int] = {}
         for batch in batches:
             rows: list[tuple] = []
             texts = [terms_of(x) for x in batch.column("text").to_pylist()]
-            if len(known) > 400_000:
-                known.clear()
-            for w in set().union(*texts) - known.keys():
-                known[w] = index.vocabulary.get(w, -1)
             for lo in range(0, len(texts), 64):
                 part = texts[lo : lo + 64]
                 cells = [-(-len(x) // cell) for x in part]
                 first = np.concatenate([[0], np.cumsum(cells)]).astype(np.int64)
                 if not n_blocks or not first[-1]:
                     continue
-                ids = [np.fromiter(map(known.__getitem__, x), np.int64, len(x)) for x in part]
+                ids = [np.fromiter(map(term_of, x, absent), np.int64, len(x)) for x in part]
                 where = np.concatenate([np.arange(len(x)) // cell + f for x, f in zip(ids, first)])
                 term = np.concatenate(ids)
                 where, term = where[term >= 0], term[term >= 0]

@@ -40,7 +40,16 @@ LARGE = 256
 
 SIGNATURES = "doc_id bigint, n bigint, f1 bigint, f2 bigint, sig0 array<int>, sig1 array<int>"
 
-_WORDS: dict[bytes, int] = {}
+
+class _Hashes(dict):
+    """The hash of each word, kept for the next time."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        return out
+
+
+_WORDS = _Hashes()
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20180)
 _MUL = _SEEDS.integers(1, 2**63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,12 +67,8 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     found = (text or "").encode().lower().split()
     if not found:
         return np.zeros(0, np.uint64)
-    new = set(found) - _WORDS.keys()
-    if len(_WORDS) + len(new) > 300_000:
+    if len(_WORDS) > 300_000:
         _WORDS.clear()
-        new = set(found)
-    for w in new:
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
     take = min(words, len(h))
     n = len(h) - take + 1

@@ -32,63 +32,74 @@ def _byte_letters() -> dict[int, int]:
 LETTERS = _byte_letters()
 
 
-class PieceEncoder:
-    """`batch(texts)` gives the ids of each text as a uint32 array, equal to the library's `encode(text, add_special_tokens=False).ids`."""
+class Pieces(dict):
+    """The ids of pieces, as bytes; a new piece is learnt when it is asked for. Those that weren't asked for lately are forgotten."""
 
-    #: Pieces, and their characters, that are kept before those that weren't used lately are forgotten.
+    #: Pieces, and their characters, after which older ones are put aside, and those put aside before are dropped.
     KEEP, KEEP_CHARS = 500_000, 10_000_000
 
+    def __init__(self, tokenizer, blank_kept: bool):
+        self.tokenizer, self.kept, self.lead = tokenizer, blank_kept, "Ġ" if blank_kept else ""
+        self.before: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.bare: dict[str, bytes] = {}
+        self.chars = 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        self[piece] = ids = self._ids(piece) if ids is None else ids
+        self.chars += len(piece)
+        return ids
+
+    def rotate(self) -> None:
+        if len(self) > self.KEEP or self.chars > self.KEEP_CHARS:
+            self.before, self.chars = dict(self), 0
+            self.clear()
+        for small in (self.marks, self.bare):
+            if len(small) > 50_000:
+                small.clear()
+
+    def _model(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _ids(self, piece: str) -> bytes:
+        """A word of plain letters goes to the library's model without the steps before it; so do the marks after it. All else takes those steps."""
+        word = piece if piece.isalpha() else piece.rstrip(MARKS)
+        if word.isascii() and word.isalpha():
+            letters = word if self.kept else word.lower()
+        elif PLAIN.fullmatch(word):
+            letters = (word if self.kept else word.lower()).encode().decode("latin-1").translate(LETTERS)
+        elif self.kept and "\n" in piece and len(lines := piece.split("\n")) == len(piece.split()) and all(lines):
+            # single line ends between words are tokens of their own
+            return self[lines[0]] + b"".join(self.without_blank("\n") + self.without_blank(x) for x in lines[1:])
+        else:
+            return self.whole(" " + piece if self.kept else piece)
+        if word is piece:
+            return self._model(self.lead + letters)
+        marks = piece[len(word) :]
+        if marks not in self.marks:
+            self.marks[marks] = self._model(marks) if marks else b""
+        return self[word] + self.marks[marks]
+
+    def without_blank(self, piece: str) -> bytes:
+        if piece not in self.bare:
+            self.bare[piece] = self._model(piece) if piece.isascii() and piece.isalpha() else self.whole(piece)
+        return self.bare[piece]
+
+
+class PieceEncoder:
+    """`batch(texts)` gives the ids of each text as a uint32 array, equal to the library's `encode(text, add_special_tokens=False).ids`."""
+
     def __init__(self, path: str, blank_kept: bool):
         """blank_kept: a piece takes the blank before it along (byte-level vocabularies); else blanks and cases vanish."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.blank_kept = Tokenizer.from_file(path), blank_kept
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
-        self.heads: dict[str, bytes] = {}
-        self.chars = 0
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """The pieces' ids. A word of plain letters goes to the library's model without the steps before it; so do its marks."""
-        new = pieces - self.known.keys()
-        if len(self.known) + len(new) > self.KEEP or self.chars > self.KEEP_CHARS:
-            self.before, self.known, self.chars, new = self.known, {}, 0, pieces
-        known, before, of_marks, others = self.known, self.before, self.marks, []
-        for piece in new & before.keys():
-            known[piece] = before[piece]
-        new -= known.keys()
-        tokenize, plain, kept = self.tokenizer.model.tokenize, PLAIN.fullmatch, self.blank_kept
-        lead = "Ġ" if kept else ""
-        self.chars += sum(map(len, new))
-        if len(of_marks) > 20_000:
-            self.marks = of_marks = {"": b""}
-        for piece in new:
-            word = piece if piece.isalpha() else piece.rstrip(MARKS)
-            if word.isascii() and word.isalpha():
-                letters = word if kept else word.lower()
-            elif plain(word):
-                letters = (word if kept else word.lower()).encode().decode("latin-1").translate(LETTERS)
-            else:
-                others.append(piece)
-                continue
-            if word is piece:
-                known[piece] = array("I", [t.id for t in tokenize(lead + letters)]).tobytes()
-                continue
-            ids = known.get(word)
-            if ids is None:
-                known[word] = ids = array("I", [t.id for t in tokenize(lead + letters)]).tobytes()
-            marks = piece[len(word) :]
-            if marks not in of_marks:
-                of_marks[marks] = array("I", [t.id for t in tokenize(marks)]).tobytes()
-            known[piece] = ids + of_marks[marks]
-        blank = " " if self.blank_kept else ""
-        for k in range(0, len(others), 2000):
-            known.update(zip(others[k : k + 2000], self._whole([blank + x for x in others[k : k + 2000]])))
+        self.known = Pieces(self.tokenizer, blank_kept)
 
     def _pieces(self, text: str) -> list[str]:
         """The pieces of a text, without the blanks before them."""
@@ -111,18 +122,14 @@ class PieceEncoder:
     def raw(self, texts: list[str], end_id: int | None = None) -> list[bytes]:
         """The ids as bytes, little-endian and 32 bits wide; `end_id` after each text's."""
         end = b"" if end_id is None else end_id.to_bytes(4, "little")
-        pieces = [self._pieces(x) for x in texts]
-        heads = [b""] * len(texts)
-        if self.blank_kept:
-            first = {x[0] for x in pieces}
-            if len(self.heads) > 20_000:
-                self.heads = {}
-            new = [x for x in first if x not in self.heads]
-            self.heads.update(zip(new, self._whole(new)))
-            heads = [self.heads[x.pop(0)] for x in pieces]
-        self._learn(set().union(*pieces))
-        get = self.known.__getitem__
-        return [b"".join([h, *map(get, x), end]) for h, x in zip(heads, pieces)]
+        self.known.rotate()
+        get, first = self.known.__getitem__, self.known.without_blank
+        out = []
+        for text in texts:
+            pieces = self._pieces(text)
+            head = first(pieces.pop(0)) if self.blank_kept else b""
+            out.append(b"".join([head, *map(get, pieces), end]))
+        return out
 
 
 def encoder(path: str, blank_kept: bool) -> PieceEncoder:
