@@ -1,0 +1 @@
+"""From a configuration to results."""

@@ -1,0 +1 @@
+"""Reading series, regions and grids."""
