@@ -38,7 +38,7 @@ SMALL_DOCS, SMALL_SHINGLES, ROUNDS = 256, 1 << 20, 6
 #: Sets of up to LARGE members have the first kind of tokens; from `percent` of that on, the second.
 LARGE = 256
 
-SIGNATURES = "doc_id bigint, n bigint, f1 bigint, f2 bigint, sig0 array<int>, sig1 array<int>"
+SIGNATURES = "doc_id bigint, n bigint, f1 bigint, f2 bigint, roots0 array<int>, roots1 array<int>, sig0 binary, sig1 binary"
 
 
 class _Hashes(dict):
@@ -86,6 +86,9 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+#: Coordinates of a document that agree with a pivot's where both may belong together (5 deviations under 0.6), and where all that may be linked to the document do so too.
+NEAR, CORE, PIVOTS = 24, 46, 3
+
 #: For a part without members, the parts it asks in turn.
 _ASK = np.stack([np.random.default_rng(k).permutation(SIZE) for k in range(SIZE)])
 _BOUNDS = np.arange(SIZE, dtype=np.uint64) << np.uint64(64 - SIZE.bit_length() + 1)
@@ -110,16 +113,17 @@ def _signed(x) -> int:
 def _signatures(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, f1, f2, small, large = [], [], [], [], []
+            n, f1, f2, kinds = [], [], [], ([], [])
             for text in batch.column("text").to_pylist():
                 s = shingles(text, words)
                 n.append(len(s))
                 f1.append(_signed(s.sum(dtype=np.uint64)))
                 f2.append(_signed(np.bitwise_xor.reduce(s * _ODD)) if len(s) else 0)
-                small.append(signature(s) if 0 < len(s) <= LARGE else None)
-                large.append(parted_signature(s) if 100 * len(s) >= percent * LARGE else None)
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(small, kind), pa.array(large, kind)], names=["doc_id", "n", "f1", "f2", "sig0", "sig1"])
+                kinds[0].append(signature(s) if 0 < len(s) <= LARGE else None)
+                kinds[1].append(parted_signature(s) if 100 * len(s) >= percent * LARGE and len(s) else None)
+            roots = [pa.array([None if x is None else x[:ROOTS] for x in k], pa.list_(pa.int32())) for k in kinds]
+            sigs = [pa.array([None if x is None else x.astype(np.uint8).tobytes() for x in k], pa.binary()) for k in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), *roots, *sigs], names=["doc_id", "n", "f1", "f2", "roots0", "roots1", "sig0", "sig1"])
 
     return run
 
@@ -151,12 +155,35 @@ def _find(parent: list[int], k: int) -> int:
     return k
 
 
+def _bytes(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIZE)
+
+
+def _against_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each document of a large node the first pivot that it is near to, and whether it is at a pivot's core."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig = _bytes(batch.column("sig"))
+        pivots = batch.column("pivots").combine_chunks() if hasattr(batch.column("pivots"), "combine_chunks") else batch.column("pivots")
+        counts = pivots.value_lengths().to_numpy()
+        flat = pivots.flatten()
+        ids, owner = flat.field("id").to_numpy(), np.repeat(np.arange(len(sig)), counts)
+        alike = (_bytes(flat.field("sig")) == sig[owner]).sum(axis=1)
+        near, core = np.full(len(sig), -1), np.zeros(len(sig), bool)
+        for k in np.flatnonzero(alike >= NEAR)[::-1].tolist():
+            near[owner[k]] = k
+        np.logical_or.at(core, owner, alike >= CORE)
+        pivot = pa.array([None if k < 0 else int(ids[k]) for k in near.tolist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "kind", "node", "sig")), pivot, pa.array(core)], names=["id", "kind", "node", "sig", "pivot", "core"])
+
+
 def _compare_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of the documents of each node that agree in ALIKE coordinates at least."""
     a, b = [], []
     for t in sorted_groups(batches, "node"):
         ids = t.column("id").to_pylist()
-        sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, SIZE)
+        sig = _bytes(t.column("sig"))
         parent = list(range(len(ids)))
         for i in range(1, len(ids)):
             for j in np.flatnonzero((sig[:i] == sig[i]).sum(axis=1) >= ALIKE):
@@ -172,8 +199,15 @@ def _compare_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Edges (a, b) between documents (id, kind, sig) that the trees bring together."""
-    nodes = reps.select("id", "kind", F.explode(F.array(*(F.xxhash64(F.lit(c), "kind", F.col("sig")[c]) for c in range(ROOTS)))).alias("node"))
+    """Edges (a, b) between documents (id, kind, roots, sig) that the trees bring together.
+
+    A family of copies is never split by branching. So the documents of a large
+    node are first held against a few of them, its pivots: each is joined to a
+    pivot that it is near to. Those at a pivot's core then leave the node, for what
+    may be linked to them is near to the pivot as well, and so is joined already.
+    """
+    nodes = reps.select("id", "kind", F.explode(F.array(*(F.xxhash64(F.lit(c), "kind", F.col("roots")[c]) for c in range(ROOTS)))).alias("node"))
+    reps = reps.select("id", "kind", "sig")
     found = []
     for level in range(LEVELS):
         nodes = scratch.store(nodes, f"nodes{level}")
@@ -186,9 +220,16 @@ def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
         elif counts.where(F.col("size") > NODE).isEmpty():
             break
         else:
+            whole = scratch.store(large.join(reps, ["id", "kind"]).select("id", "kind", "node", "sig"), f"large{level}")
+            chosen = whole.groupBy("node").agg(*(F.min_by(F.struct("id", "sig"), F.xxhash64(F.lit(j), "id")).alias(f"p{j}") for j in range(PIVOTS)))
+            chosen = chosen.select("node", F.array_distinct(F.array(*(f"p{j}" for j in range(PIVOTS)))).alias("pivots"))
+            held = whole.join(chosen, "node").mapInArrow(_against_pivots, "id bigint, kind int, node bigint, sig binary, pivot bigint, core boolean")
+            held = scratch.store(held, f"held{level}")
+            found.append(held.where("pivot is not null and pivot != id").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+            scratch.drop(f"large{level}", f"nodes{level}")
             pick_one = [F.pmod(F.xxhash64(F.lit(k), "node"), F.lit(SIZE)).cast("int") for k in (1, 2)]
             at = F.when(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(100)) < 25, F.array(*pick_one)).otherwise(F.array(pick_one[0]))
-            nodes = large.join(reps, ["id", "kind"]).select("id", "kind", "node", "sig", F.explode(at).alias("at")).select("id", "kind", F.xxhash64("node", "at", F.get("sig", F.col("at"))).alias("node"))
+            nodes = held.where("not core").select("id", "kind", "node", "sig", F.explode(at).alias("at")).select("id", "kind", F.xxhash64("node", "at", F.substring("sig", F.col("at") + 1, F.lit(1))).alias("node"))
     edges = found[0]
     for x in found[1:]:
         edges = edges.union(x)
@@ -323,8 +364,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     scratch = Scratch(spark, "neardup")
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     marks = scratch.store(rows.mapInArrow(_signatures(words, percent), SIGNATURES), "marks")
-    reps = scratch.store(marks.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("sig0").alias("sig0"), F.first("sig1").alias("sig1")), "reps")
-    signed = reps.select("id", F.posexplode(F.array("sig0", "sig1")).alias("kind", "sig")).where("sig is not null")
+    reps = scratch.store(marks.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("roots0", "roots1", "sig0", "sig1"))), "reps")
+    both = F.array(*(F.struct(F.col(f"roots{k}").alias("roots"), F.col(f"sig{k}").alias("sig")) for k in (0, 1)))
+    signed = reps.select("id", F.posexplode(both).alias("kind", "s")).where("s.sig is not null").select("id", "kind", "s.roots", "s.sig")
     spread = components(candidates(signed, scratch), scratch, "spread").withColumnRenamed("component", "cluster")
     spread = scratch.store(spread, "clusters")
     sizes = spread.join(reps.select("id", "n"), "id").groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))

@@ -55,35 +55,32 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "words"])
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 2e-4, least_docs: int = 3, least_z: float = 4.0) -> tuple[np.ndarray, float]:
-    """Weights and offset that lower the non-negative risk: prior * R(p, +) + max(0, R(u, -) - prior * R(p, -)), logistic loss.
+def train(ids: np.ndarray, sizes: np.ndarray, is_pos: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 2e-4, least_docs: int = 3, least_z: float = 4.0) -> tuple[np.ndarray, float]:
+    """Of texts whose words stand one after the other in `ids`, `sizes` of them each: weights and offset that lower the non-negative risk: prior * R(p, +) + max(0, R(u, -) - prior * R(p, -)), logistic loss.
 
     When the second part, the risk of unlabelled texts taken as clean less that of
     positive ones, falls below zero, the step goes back up its gradient, as in the
     paper. Weights go to words in `least_docs` texts or more that positive texts
     hold more often than all do, by `least_z` standard deviations or more.
     """
-    docs = positive + unlabelled
-    ids, sizes = np.concatenate(docs) if docs else np.zeros(0, np.int64), np.array([len(d) for d in docs])
-    width = 1 << BITS
-    n, m = len(positive), len(unlabelled)
+    width, n, m = 1 << BITS, int(is_pos.sum()), int((~is_pos).sum())
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     held = np.bincount(ids, minlength=width)
     share = np.minimum(held / max(1, n + m), 1 - 1e-9)
-    surplus = np.bincount(ids[: sizes[:n].sum()], minlength=width) - n * share
+    surplus = np.bincount(ids[is_pos[row]], minlength=width) - n * share
     common = (held >= least_docs) & (surplus >= least_z * np.sqrt(n * share * (1 - share)))
-    row = np.repeat(np.arange(len(docs)), sizes)[common[ids]]
+    row = row[common[ids]]
     used = np.flatnonzero(common)
     place = np.zeros(width, np.int64)
     place[used] = np.arange(len(used))
     col = place[ids[common[ids]]]
     w, b = np.zeros(len(used)), -1.0
     m1, m2 = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    is_pos = np.arange(n + m) < n
     for step in range(1, rounds + 1):
         score = np.bincount(row, w[col], minlength=n + m) + b
         up = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         down_risk = np.logaddexp(0, score)
-        clean = down_risk[n:].mean() - prior * down_risk[:n].mean()
+        clean = down_risk[~is_pos].mean() - prior * down_risk[is_pos].mean()
         push = np.where(is_pos, -prior / n * up, up / m)  # gradient of the second part
         push = np.where(is_pos, prior / n * (up - 1), 0) + push if clean >= 0 else -push
         g = np.append(np.bincount(col, push[row], minlength=len(used)) + decay * w, push.sum())
@@ -138,9 +135,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, positives: int = 5000, unlabell
     sample = rows.join(F.broadcast(chosen), "doc_id", "left").where(F.col("toxic").isNotNull() | taken)
     sample = sample.select("text", F.explode(F.array_compact(F.array("toxic", F.when(taken, 0)))).alias("toxic"))
     found = sample.mapInArrow(_features, "toxic int, words array<int>").toArrow()
-    toxic = found.column("toxic").to_numpy()
-    texts = [np.array(x.as_py(), np.int64) for x in found.column("words")]
-    weights, offset = train([t for t, y in zip(texts, toxic) if y], [t for t, y in zip(texts, toxic) if not y], prior or counts["k"] / counts["n"])
+    words = found.column("words").combine_chunks()
+    weights, offset = train(words.flatten().to_numpy(), words.value_lengths().to_numpy(), found.column("toxic").to_numpy() == 1, prior or counts["k"] / counts["n"])
+    del found, words
     scored = rows.mapInArrow(_score(weights, offset), "doc_id bigint, score double")
     return scored.select("doc_id", fold(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
