@@ -172,7 +172,7 @@ query("region_mask", f"with {GRID} select 'North' as region, cell_id from g wher
 query("regional_mean", f"with {GRID}, {LI} select 'North' as region, month(time)::bigint as month, round(avg(value), 6) as value from li join g on cell = cell_id where {IN_RING} group by all")(lambda t: compare.regional_mean(t.items().withColumnRenamed("cell", "cell_id").withColumn("month", F.month("time")), grid.membership(t.grid(), _ring(t)), ["month"]))
 query("region_crop", f"with {GRID}, {LI} select count(*) as n, round(sum(value), 6) as total from li join g on cell = cell_id where {IN_RING}")(lambda t: grid.mask(t.items().withColumnRenamed("cell", "cell_id"), grid.membership(t.grid(), _ring(t)), crop=True).agg(F.count("*").alias("n"), F.sum("value").alias("total")))
 query("nearest_cell", f"with {GRID}, p(point, a, b) as (values ('p', 12.3, 52.2), ('q', 15.5, 50.5), ('r', 0.0, 0.0)) select point, arg_min(cell_id, (sqrt((lon - a) * (lon - a) + (lat - b) * (lat - b)), y, x)) as cell_id, round(min(sqrt((lon - a) * (lon - a) + (lat - b) * (lat - b))), 6) as distance from g, p group by all")(lambda t: grid.nearest(t.spark.createDataFrame([("p", 12.3, 52.2), ("q", 15.5, 50.5), ("r", 0.0, 0.0)], "point string, lon double, lat double"), t.grid()))
-query("wrap_longitude", "select s_suppkey as cell_id, round(((s_suppkey * 37 + 180) % 360) - 180.0, 6) as lon from supplier")(lambda t: t.table("supplier").select(F.col("s_suppkey").alias("cell_id"), grid.wrap_longitude((F.col("s_suppkey") * 37).cast("double")).alias("lon")))
+query("wrap_longitude", "select s_suppkey as cell_id, round(((s_suppkey * 37 + 180) % 360)::double - 180, 6) as lon from supplier")(lambda t: t.table("supplier").select(F.col("s_suppkey").alias("cell_id"), grid.wrap_longitude((F.col("s_suppkey") * 37).cast("double")).alias("lon")))
 query("rotated_pole", None)(lambda t: (lambda c: t.grid().select("cell_id", c[0].alias("lon"), c[1].alias("lat")))(grid.rotate(F.col("lon"), F.col("lat"), -162.0, 39.25)))
 query("model_minus_reference", f"with {LI}, a as (select cell, month(time)::bigint as month, avg(value) as v from li where year(time) <= 1997 group by all), b as (select cell, month(time)::bigint as month, avg(value) as v from li where year(time) > 1997 group by all) select cell, month, round(a.v - b.v, 6) as value from a join b using (cell, month)")(lambda t: compare.difference(*(statistics.annual_cycle(t.items().where(c), BY) for c in ("year(time) <= 1997", "year(time) > 1997")), ["cell", "month"]))
 query("trend_line", f"with {LI}, y as (select cell, year(time) as year, avg(value) as value from li group by all) select cell, round(regr_slope(value, year - 1990), 5) as slope, round(regr_intercept(value, year - 1990), 5) as intercept from y group by all")(lambda t: rounded(compare.trend(series.resample(t.items(), BY, "YS").withColumn("year", F.year("time") - 1990), BY, "year"), 5))
