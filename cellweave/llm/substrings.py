@@ -1,4 +1,4 @@
-"""Substring deduplication by content-defined chunks: a gear hash cuts, digests are compared, later copies go."""
+"""Substring deduplication by content-defined places: a gear hash picks them, digests of the words from there on are compared, later copies go."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ _GEAR = np.random.default_rng(1077).integers(0, 2**WINDOW, 256, dtype=np.uint16)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-CHUNKS = "doc_id bigint, fp int, chunks array<struct<digest:bigint,start:int,size:int,words:int>>"
+WINDOWS = "doc_id bigint, fp int, windows array<struct<digest:bigint,start:int,size:int,word:int,words:int>>"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -53,60 +53,79 @@ def _fingerprint(raw: bytes) -> int:
     return xxhash.xxh32_intdigest(raw) - 2**31
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fps, ends, digests, starts, sizes, words = [], [0], [], [], [], []
-        for text in batch.column("text").to_pylist():
-            raw = (text or "").encode()
-            data = np.frombuffer(raw, np.uint8)
-            begin = cuts(data)
-            end = np.append(begin[1:], len(data))[: len(begin)]
-            fps.append(_fingerprint(raw))
-            # white space at the end of a chunk isn't part of its digest: the end of a text is a cut too
-            digests += [xxhash.xxh3_64_intdigest(raw[a:b].rstrip()) - 2**63 for a, b in zip(begin.tolist(), end.tolist())]
-            space = _SPACE[data]
-            first = np.append(np.zeros(1, np.int64), np.cumsum(~space & np.append(True, space[:-1])[: len(data)]))
-            starts.append(begin)
-            sizes.append(end - begin)
-            words.append(first[end] - first[begin])
-            ends.append(ends[-1] + len(begin))
-        flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0), pa.int32())
-        items = pa.StructArray.from_arrays([pa.array(digests, pa.int64()), flat(starts), flat(sizes), flat(words)], names=["digest", "start", "size", "words"])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], names=["doc_id", "fp", "chunks"])
+def windows(data: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """The windows of `least` words that begin at cuts, those that follow where cuts are further apart, and the text's last: where each begins and ends, its first word's number and its words.
+
+    A window reaches to the word after it; that from the first word begins at 0.
+    """
+    space = _SPACE[data]
+    begins = np.flatnonzero(~space & np.append(True, space[:-1])[: len(data)])
+    n = len(begins) - least + 1
+    if n < 1:
+        return (np.zeros(0, np.int64),) * 4
+    word = np.searchsorted(begins, cuts(data))
+    word = np.unique(np.append(word[word < n], n - 1))
+    word = np.concatenate([np.arange(x, y, least) for x, y in zip(word, np.append(word[1:], n))])
+    edge = np.append(begins, len(data))
+    return np.where(word > 0, begins[word], 0), edge[word + least], word, np.full(len(word), least)
+
+
+def _windows(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, ends, digests, starts, sizes, firsts, words = [], [0], [], [], [], [], []
+            for text in batch.column("text").to_pylist():
+                raw = (text or "").encode()
+                begin, end, first, count = windows(np.frombuffer(raw, np.uint8), least)
+                fps.append(_fingerprint(raw))
+                # white space around a window isn't part of its digest
+                digests += [xxhash.xxh3_64_intdigest(raw[a:b].strip()) - 2**63 for a, b in zip(begin.tolist(), end.tolist())]
+                starts.append(begin)
+                sizes.append(end - begin)
+                firsts.append(first)
+                words.append(count)
+                ends.append(ends[-1] + len(begin))
+            flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0), pa.int32())
+            items = pa.StructArray.from_arrays([pa.array(digests, pa.int64()), *map(flat, (starts, sizes, firsts, words))], names=["digest", "start", "size", "word", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], names=["doc_id", "fp", "windows"])
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, least_words: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Runs of chunks that stand elsewhere before: (doc_id, fp, start, size, words, keeper), places in UTF-8 bytes.
+    """Passages that stand elsewhere before: (doc_id, fp, start, size, words, keeper), places in UTF-8 bytes.
 
-    Every text is cut into chunks of about EVERY bytes, at whole words; equal chunks
-    have one digest. The first copy of a chunk, by document and place, is kept.
-    Later copies that follow each other make a run; runs of `least_words` words
-    count. A passage loses its two ends, about 12 words in all, to chunks that reach
-    beyond it; one of over 50 words keeps more than 16 but in one case of 200. keeper is the document
-    that holds the first copy of the run's first chunk.
+    From every cut of a text, at whole words, a window of `least_words` words is
+    taken; equal windows have one digest. The first copy of a window, by document
+    and place, is kept. Later copies, where they don't overlap the first, are
+    repeats, and those that touch make one span: so all words of a span stand in
+    `least_words` words that stood together in one earlier place. A passage loses
+    what lies before its first cut, and some words at its end. keeper is the
+    document that holds the first copy of the span's first window.
 
     A document is named by its id and fp, a digest of its text. Rows that repeat
-    both are one document, and stay alike. Null and empty texts have no chunks.
-    Null ids come before others. Other columns are ignored. Only digests and places
-    are shuffled; a digest's copies are reduced to a count and the first of them.
+    both are one document, and stay alike. Texts of fewer words, null and empty
+    ones too, have no windows. Null ids come before others. Other columns are
+    ignored. Only digests and places are shuffled; a digest's copies are reduced
+    to a count and the first of them.
     """
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "chunks")
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    chunks = rows.mapInArrow(_chunks, CHUNKS).select("doc_id", "fp", F.explode("chunks").alias("c")).select("doc_id", "fp", "c.*")
-    chunks = scratch.store(chunks, "chunks")
-    many = chunks.groupBy("digest").agg(F.min(F.struct("doc_id", "fp", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    taken = rows.mapInArrow(_windows(least_words), WINDOWS).select("doc_id", "fp", F.explode("windows").alias("c")).select("doc_id", "fp", "c.*")
+    taken = scratch.store(taken, "windows")
+    many = taken.groupBy("digest").agg(F.min(F.struct("doc_id", "fp", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     many = scratch.store(many.select("digest", "first"), "many")
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("fp") == F.col("first.fp")) & (F.col("start") == F.col("first.start"))
-    later = chunks.join(many, "digest").where(~same).select("doc_id", "fp", "start", "size", "words", F.col("first.doc_id").alias("keeper"))
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("fp") == F.col("first.fp")) & (F.col("start") < F.col("first.start") + F.col("size"))
+    later = taken.join(many, "digest").where(~own).select("doc_id", "fp", "start", "size", "word", "words", F.col("first.doc_id").alias("keeper"))
     order = Window.partitionBy("doc_id", "fp").orderBy("start")
-    placed = later.withColumn("before", F.lag("start").over(order)).withColumn("reached", F.lag(F.col("start") + F.col("size")).over(order))
-    placed = placed.where("before is null or before != start")  # rows that repeat are one document
-    runs = placed.withColumn("run", F.sum(F.when(F.col("reached") == F.col("start"), 0).otherwise(1)).over(order)).groupBy("doc_id", "fp", "run")
-    found = runs.agg(F.min("start").alias("start"), F.sum("size").cast("int").alias("size"), F.sum("words").cast("int").alias("words"), F.min_by("keeper", "start").alias("keeper"))
-    found = scratch.store(found.where(F.col("words") >= least_words).drop("run"), "spans")
-    scratch.drop("chunks", "many")
+    placed = later.withColumn("reached", F.max(F.col("start") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = placed.withColumn("run", F.sum(F.when(F.col("reached") >= F.col("start"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "fp", "run")
+    end, last = F.max(F.col("start") + F.col("size")), F.max(F.col("word") + F.col("words"))
+    found = runs.agg(F.min("start").alias("start"), (end - F.min("start")).cast("int").alias("size"), (last - F.min("word")).cast("int").alias("words"), F.min_by("keeper", "start").alias("keeper"))
+    found = scratch.store(found.drop("run"), "spans")
+    scratch.drop("windows", "many")
     return found
 
 

@@ -72,6 +72,17 @@ def test_a_text_that_is_all_repeated_goes(spark):
     assert out[1] == text and 2 not in out and len(out[3]) < 150
 
 
+def test_words_that_never_stood_together_stay(spark):
+    rng = random.Random(6)
+    phrases = [words(rng, 12) for _ in range(40)]
+    docs = {k: words(rng, 20) + " " + p + " " + words(rng, 20) for k, p in enumerate(phrases)} | {100: " ".join(phrases), 101: words(rng, 30) + " Und" * 12 + " " + words(rng, 30), 102: words(rng, 20) + " Und" * 300}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    rows = substrings.repeated_spans(df).collect()
+    assert {(r.doc_id, r.keeper) for r in rows} <= {(102, 102)}, "a document's own earlier place counts, its overlap with itself doesn't"
+    out = {r.doc_id: r.text for r in substrings.drop_repeats(df).collect()}
+    assert all(out[k] == t for k, t in docs.items() if k != 102) and 36 <= len(out[102].split()) < 100
+
+
 # decontamination
 
 
