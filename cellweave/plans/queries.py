@@ -201,7 +201,7 @@ def fields(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 query("sal_amplitude", SAL_FIELDS + ", p as (select time, avg(v) as m from a group by all), q as (select time, avg(v) as r from b group by all) select time, round((m - r) / ((m + r) / 2), 6) as a from p join q using (time)")(lambda t: objects.amplitude(*fields(t)))
 query("sal_structure_location", None)(lambda t: objects.sal(*fields(t), how="P", value=80))
-query("smooth_2d", None)(lambda t: objects.smooth(fields(t)[0], objects.kernel(3), ["time"], 11, 10))
+query("smooth_2d", None)(lambda t: objects.smooth(fields(t)[0], objects.kernel(3), ["time"], *t.grid().agg(F.max("y") + 1, F.max("x") + 1).first()))
 query("block_bootstrap", None)(lambda t: indices.block_bootstrap(t.days(), BY, 5, 4).groupBy("cell", "sample").agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
 
 # moist air and wind, over the items' numbers
