@@ -13,8 +13,10 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, pick, prepare
 
-#: Bytes that the rolling hash looks back on, its width in bits, and the mean bytes between cuts.
-WINDOW, EVERY = 16, 24
+#: Bytes that the rolling hash looks at, its width in bits, and the units (words) of which one at least is a cut.
+WINDOW, EVERY = 16, 12
+#: Bytes of a long word that count as a word of text, and the length from which a word is long; ASCII bytes count a quarter of it.
+LETTERS, LONG = 6, 64
 
 _GEAR = np.random.default_rng(1077).integers(0, 2**WINDOW, 256, dtype=np.uint16)
 _SPACE = np.zeros(256, bool)
@@ -33,19 +35,54 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def units(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where windows may begin, what of a window each place takes up (a word is LETTERS), its word's number, and whether it begins it.
+
+    These are the words; in long words, as in scripts without spaces, all characters.
+    """
+    space = _SPACE[data]
+    head = ~space & np.append(True, space[:-1])[: len(data)]
+    begins = np.flatnonzero(head)
+    cost = np.append(0, np.cumsum(np.where(space, 0, np.where(data < 128, 1, 4))))
+    long = np.flatnonzero(np.diff(cost[np.append(begins, len(data))]) > 4 * LONG)
+    if not len(long):
+        return begins, np.full(len(begins), LETTERS), np.arange(len(begins)), np.ones(len(begins), bool)
+    word = np.cumsum(head) - 1
+    within = np.zeros(len(begins), bool)
+    within[long] = True
+    at = np.flatnonzero(head | ~space & ((data & 0xC0) != 0x80) & within[word])
+    # a character of a long word takes up its bytes
+    bytes_ = np.where(data[at] < 0xC0, 1, np.where(data[at] < 0xE0, 2, np.where(data[at] < 0xF0, 3, 4)))
+    return at, np.where(within[word[at]], bytes_, LETTERS), word[at], head[at]
+
+
+def _least(keys: np.ndarray) -> np.ndarray:
+    """The first of the least keys in each stretch of EVERY: at least one in any stretch, decided by nothing outside of it."""
+    best = (keys.astype(np.int64) << 32) | np.arange(len(keys))
+    reach = 1
+    while reach < min(EVERY, len(best)):
+        step = min(reach, EVERY - reach, len(best) - 1)
+        best = np.minimum(best[:-step], best[step:])
+        reach += step
+    best = best & (2**32 - 1)
+    return best[np.append(True, best[1:] != best[:-1])[: len(best)]]
+
+
+def _cut_units(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return _least(gear(data)[np.minimum(at + WINDOW - 1, len(data) - 1)])
+
+
 def cuts(data: np.ndarray) -> np.ndarray:
-    """Where chunks begin, from 0: at the first word after a byte whose hash falls in the lowest part of EVERY.
+    """Where windows begin, from 0: at the least hash of the WINDOW bytes from a unit on, in any EVERY units that follow each other.
 
-    Only the WINDOW bytes before it and the way to the next word decide on a cut,
-    so an insertion moves those after it and changes none of them.
+    Only what stands in those decides on a cut, so an insertion moves the cuts
+    after it and changes none of them, and no stretch, however it repeats itself,
+    is without one.
     """
     if not len(data):
         return np.zeros(0, np.int64)
-    space = _SPACE[data]
-    begins = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    at = np.flatnonzero(gear(data) < 2**WINDOW // EVERY)
-    place = np.unique(np.searchsorted(begins, at, "right"))
-    return np.concatenate([[0], begins[place[place < len(begins)]]]).astype(np.int64)
+    at = units(data)[0]
+    return np.unique(np.append(0, at[_cut_units(data, at)]))
 
 
 def _fingerprint(raw: bytes) -> int:
@@ -54,20 +91,22 @@ def _fingerprint(raw: bytes) -> int:
 
 
 def windows(data: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """The windows of `least` words that begin at cuts, those that follow where cuts are further apart, and the text's last: where each begins and ends, its first word's number and its words.
+    """The windows of `least` words from cuts on, the text's first and its last: begin, end, the first word's number, words and unit.
 
-    A window reaches to the word after it; that from the first word begins at 0.
+    A window reaches to the unit after it; that from the first unit begins at 0.
     """
-    space = _SPACE[data]
-    begins = np.flatnonzero(~space & np.append(True, space[:-1])[: len(data)])
-    n = len(begins) - least + 1
-    if n < 1:
-        return (np.zeros(0, np.int64),) * 4
-    word = np.searchsorted(begins, cuts(data))
-    word = np.unique(np.append(word[word < n], n - 1))
-    word = np.concatenate([np.arange(x, y, least) for x, y in zip(word, np.append(word[1:], n))])
-    edge = np.append(begins, len(data))
-    return np.where(word > 0, begins[word], 0), edge[word + least], word, np.full(len(word), least)
+    at, weight, word, head = units(data)
+    reach = np.append(0, np.cumsum(weight))
+    n = int(np.searchsorted(reach, reach[-1] - LETTERS * least, "right"))  # units with so much after them
+    if not n:
+        return (np.zeros(0, np.int64),) * 5
+    k = _cut_units(data, at)
+    k = np.unique(np.concatenate([k[k < n], [0, n - 1]]))
+    if least < EVERY:  # windows have to touch
+        k = np.unique(np.concatenate([np.arange(x, y, least) for x, y in zip(k, np.append(k[1:], n))]))
+    to = np.searchsorted(reach, reach[k] + LETTERS * least)
+    last = np.append(word + ~head, word[-1] + 1)[to]
+    return np.where(k > 0, at[k], 0), np.append(at, len(data))[to], word[k], last - word[k], k
 
 
 def _windows(least: int):
@@ -76,10 +115,19 @@ def _windows(least: int):
             fps, ends, digests, starts, sizes, firsts, words = [], [0], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 raw = (text or "").encode()
-                begin, end, first, count = windows(np.frombuffer(raw, np.uint8), least)
+                begin, end, first, count, unit = windows(np.frombuffer(raw, np.uint8), least)
                 fps.append(_fingerprint(raw))
                 # white space around a window isn't part of its digest
-                digests += [xxhash.xxh3_64_intdigest(raw[a:b].strip()) - 2**63 for a, b in zip(begin.tolist(), end.tolist())]
+                found = [xxhash.xxh3_64_intdigest(raw[a:b].strip()) - 2**63 for a, b in zip(begin.tolist(), end.tolist())]
+                if len(unit) > 1 and (np.diff(unit) == 1).any():
+                    # where one word repeats, every place is a cut: of equal windows in a row, some that touch say the same
+                    same = np.append(False, (np.diff(unit) == 1) & (np.diff(np.array(found)) == 0))
+                    row = np.arange(len(unit))
+                    row -= np.maximum.accumulate(np.where(same, 0, row))
+                    keep = ~same | (row % max(1, least // 2) == 0) | ~np.append(same[1:], False)
+                    begin, end, first, count = begin[keep], end[keep], first[keep], count[keep]
+                    found = [x for x, y in zip(found, keep.tolist()) if y]
+                digests += found
                 starts.append(begin)
                 sizes.append(end - begin)
                 firsts.append(first)
@@ -99,9 +147,12 @@ def repeated_spans(docs: DataFrame, least_words: int = 16, id_col: str = "doc_id
     taken; equal windows have one digest. The first copy of a window, by document
     and place, is kept. Later copies, where they don't overlap the first, are
     repeats, and those that touch make one span: so all words of a span stand in
-    `least_words` words that stood together in one earlier place. A passage loses
-    what lies before its first cut, and some words at its end. keeper is the
-    document that holds the first copy of the span's first window.
+    `least_words` words that stood together in one earlier place. As any EVERY
+    words in a row have a cut, a passage of least_words + EVERY - 1 words is always
+    found, and loses at most EVERY - 1 words at each end. In words of over LONG
+    bytes (ASCII: four times that), as of scripts without spaces, windows begin
+    at characters and have LETTERS bytes for a word. keeper is the document that
+    holds the first copy of the span's first window.
 
     A document is named by its id and fp, a digest of its text. Rows that repeat
     both are one document, and stay alike. Texts of fewer words, null and empty

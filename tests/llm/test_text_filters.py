@@ -83,6 +83,26 @@ def test_words_that_never_stood_together_stay(spark):
     assert all(out[k] == t for k, t in docs.items() if k != 102) and 36 <= len(out[102].split()) < 100
 
 
+def test_passages_of_few_words_or_without_spaces_are_found(spark):
+    rng = random.Random(8)
+    docs, where = {}, {}
+    for k in range(300):
+        period = (1, 3, 5, 8)[k % 4] if k < 240 else 0
+        line = words(rng, period) + " " if period else ""
+        passage = " ".join((line * 60).split()[:60]) if period else "".join(chr(0x4E00 + rng.randrange(9000)) for _ in range(120))
+        gap = " " if period else ""
+        near = (lambda: words(rng, 40)) if period else (lambda: "".join(chr(0x4E00 + rng.randrange(9000)) for _ in range(90)))
+        for d in (k, 1000 + k):
+            docs[d] = near() + gap + passage + gap + near()
+        where[1000 + k] = passage
+    rows = substrings.repeated_spans(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).where("doc_id >= 1000 and keeper < 1000").collect()
+    assert {r.doc_id: r.keeper for r in rows} == {1000 + k: k for k in range(300)}
+    for r in rows:
+        piece = docs[r.doc_id].encode()[r.start : r.start + r.size].decode().strip()
+        assert piece in where[r.doc_id] and r.words == len(piece.split())
+        assert len(piece.split()) >= 16 if r.doc_id < 1240 else len(piece) >= 120 - 2 * (substrings.EVERY - 1)
+
+
 # decontamination
 
 
