@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,8 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|/|$)|display\s*:\s*none""", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 PARSED = "page_id bigint, url string, blocks array<string>, settled boolean"
-TEXTS = "page_id bigint, url string, text string"
+TEXTS = "uid string, text string"
+SUBSTRINGS = "host string, uid string, digest bigint, at int"
 
 
 def _marked(name: str, attributes: str) -> bool:
@@ -160,32 +162,63 @@ def repeated(tokens: np.ndarray, page: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(covered)[:n] > 0
 
 
-def unique_runs(pages: list[list[str]], least: int) -> list[str]:
-    """Each page's text without what it shares with others: the blocks' words that no repeated substring covers."""
+def _tokens(pages: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words that pages hold, "" first; the number of each token's word, 0 between blocks; and the token's page."""
     known: dict[str, int] = {"": 0}
     tokens, owner = [], []
     for k, blocks in enumerate(pages):
         for block in blocks:
             words = block.split(" ")
             tokens += [known.setdefault(w, len(known)) for w in words]
-            tokens.append(0)  # between blocks
+            tokens.append(0)
             owner += [k] * (len(words) + 1)
-    owner_ = np.array(owner, np.int64)
-    gone = repeated(np.array(tokens, np.int64), owner_, least)
-    words_ = list(known)
+    return list(known), np.array(tokens, np.int64), np.array(owner, np.int64)
+
+
+def unique_runs(pages: list[list[str]], least: int, marks: list[list[int] | None] | None = None) -> list[str]:
+    """Each page's text without what it shares with others: the blocks' words that no repeated substring covers.
+
+    marks: the tokens of each page at which substrings begin that are known to stand on other pages.
+    """
+    words, tokens, owner = _tokens(pages)
+    gone = repeated(tokens, owner, least)
+    if marks:
+        first = np.searchsorted(owner, np.arange(len(pages)))
+        for k, at in enumerate(marks):
+            for x in at or []:
+                gone[first[k] + x : first[k] + x + least] = True
     out: list[list[str]] = [[] for _ in pages]
-    for k in np.flatnonzero(~gone & (np.array(tokens, np.int64) > 0)).tolist():
-        out[owner[k]].append(words_[tokens[k]])
+    for k in np.flatnonzero(~gone & (tokens > 0)).tolist():
+        out[owner[k]].append(words[tokens[k]])
     return [" ".join(x) for x in out]
 
 
+def _substrings(least: int):
+    """A digest of each substring of `least` tokens and the token where it begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, blocks in enumerate(batch.column("blocks").to_pylist()):
+                words, tokens, _ = _tokens([blocks])
+                names = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)[tokens]
+                n = len(names) - least + 1
+                if n < 1:
+                    continue
+                table = np.lib.stride_tricks.sliding_window_view(names, least)
+                digests = pa.array([xxhash.xxh3_64_intdigest(np.ascontiguousarray(x)) - 2**63 for x in table], pa.int64())
+                one = [pa.array([v] * n, batch.schema.field(c).type) for c, v in (("host", batch.column("host")[k].as_py()), ("uid", batch.column("uid")[k].as_py()))]
+                yield pa.RecordBatch.from_arrays([*one, digests, pa.array(np.arange(n), pa.int32())], names=["host", "uid", "digest", "at"])
+
+    return run
+
+
 def _settle(least: int, most_pages: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, "grp"):
             for lo in range(0, len(t), most_pages):
                 part = t.slice(lo, most_pages)
-                texts = unique_runs(part.column("blocks").to_pylist(), least)
-                yield pa.RecordBatch.from_arrays([part.column("page_id").combine_chunks(), part.column("url").combine_chunks(), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+                texts = unique_runs(part.column("blocks").to_pylist(), least, part.column("marks").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("uid").combine_chunks(), pa.array(texts, pa.string())], names=["uid", "text"])
 
     return run
 
@@ -199,7 +232,9 @@ def main_text(pages: DataFrame, least: int = 12, group_pages: int = 256, id_col:
     pages without one, the pages of a host are laid end to end as words; what
     stands in substrings of `least` words (or ends of blocks) that distinct pages
     share is boilerplate, and the other words are the text. A host with more than
-    `group_pages` such pages is split at random into groups of about that size.
+    `group_pages` such pages is split at random into groups of about that size, to
+    bound the suffix arrays; what its pages share is found over all of the host,
+    by digests of its substrings, and goes to the groups.
 
     Null and empty pages have an empty text; pages with a null url form a host of
     their own. Null ids and repeated rows stay (repeated rows are distinct pages).
@@ -213,9 +248,13 @@ def main_text(pages: DataFrame, least: int = 12, group_pages: int = 256, id_col:
     done = parsed.where("settled").select("page_id", "url", F.coalesce(F.get("blocks", F.lit(0)), F.lit("")).alias("text"))
     open_ = parsed.where("not settled").withColumn("host", host_of(F.col("url")))
     if not open_.isEmpty():
+        open_ = scratch.store(open_.withColumn("uid", F.expr("uuid()")), "open")
         large = open_.groupBy("host").agg(F.ceil(F.count("*") / group_pages).alias("groups")).where("groups > 1")
-        salt = F.pmod(F.xxhash64("page_id", "url", "blocks"), F.coalesce("groups", F.lit(1)))
-        grouped = open_.join(large, "host", "left").select("page_id", "url", "blocks", F.xxhash64("host", salt).alias("grp"))
+        salt = F.pmod(F.xxhash64("uid"), F.coalesce("groups", F.lit(1)))
+        known = scratch.store(open_.join(large, "host").select("host", "uid", "blocks").mapInArrow(_substrings(least), SUBSTRINGS), "substrings")
+        shared = known.groupBy("host", "digest").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low != high").select("host", "digest")
+        marks = known.join(shared, ["host", "digest"]).groupBy("uid").agg(F.collect_list("at").alias("marks"))
+        grouped = open_.join(large, "host", "left").join(marks, "uid", "left").select("uid", "blocks", "marks", F.xxhash64("host", salt).alias("grp"))
         settled = grouped.repartition("grp").sortWithinPartitions("grp").mapInArrow(_settle(least, 2 * group_pages), TEXTS)
-        done = done.union(settled)
+        done = done.union(open_.join(settled, "uid").select("page_id", "url", "text"))
     return done.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -53,6 +53,15 @@ def test_pages_without_an_article_lose_what_their_host_repeats(spark):
     assert extract.main_text(pages.where("false")).collect() == []
 
 
+def test_what_a_few_pages_of_a_large_host_share_goes(spark):
+    menu = lambda k: " ".join(f"menu{k}word{j}" for j in range(14))
+    rows = [(k, f"http://large.example.com/{k}", f"<div>{menu(k % 150)}</div><p>{' '.join(f'own{k}x{j}' for j in range(15))}</p>") for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    expected = {k: " ".join(f"own{k}x{j}" for j in range(15)) for k in range(300)}
+    for most in (16, 256, 1000):
+        assert {r.page_id: r.text for r in extract.main_text(pages, group_pages=most).collect()} == expected
+
+
 URLS = ["http://www.Example.com/en/1", "https://a.example.com/en/", "http://example.com/fr/?x=http://net/es/", "http://x.net/es/1", "x.net/es/1", None, "", "http://b.net", "http://b.net/fr", "http://b.net/fr/#", "ftp://net/es/?q", "http://q.net/de/", "http://q.net/es/2", "http://q.net/es/3", "http://q.net/es/4", "a://b://c/d", "http://notnet/es/", "http://o.org/a", "http://s.q.co.uk/en/", "http://x.net?a/es/", "http://İ.NET/es/\n/x"]
 
 
