@@ -236,8 +236,12 @@ def main_text(pages: DataFrame, least: int = 12, group_pages: int = 256, id_col:
     bound the suffix arrays; what its pages share is found over all of the host,
     by digests of its substrings, and goes to the groups.
 
+    Pages of a host with the same blocks are one page to this, at however many
+    addresses, and have the same text. Pages that are only nearly the same are
+    distinct, so they lose what they share.
+
     Null and empty pages have an empty text; pages with a null url form a host of
-    their own. Null ids and repeated rows stay (repeated rows are distinct pages).
+    their own. Null ids and repeated rows stay.
     Other columns are ignored.
     """
     spark = pages.sparkSession
@@ -248,13 +252,15 @@ def main_text(pages: DataFrame, least: int = 12, group_pages: int = 256, id_col:
     done = parsed.where("settled").select("page_id", "url", F.coalesce(F.get("blocks", F.lit(0)), F.lit("")).alias("text"))
     open_ = parsed.where("not settled").withColumn("host", host_of(F.col("url")))
     if not open_.isEmpty():
-        open_ = scratch.store(open_.withColumn("uid", F.expr("uuid()")), "open")
-        large = open_.groupBy("host").agg(F.ceil(F.count("*") / group_pages).alias("groups")).where("groups > 1")
+        uid = F.sha2(F.concat(F.sha2("host", 256), F.array_join("blocks", "\n")), 256)  # of host and blocks; blocks have no line ends
+        open_ = scratch.store(open_.withColumn("uid", uid), "open")
+        own = scratch.store(open_.select("host", "uid", "blocks").dropDuplicates(["uid"]), "own")
+        large = own.groupBy("host").agg(F.ceil(F.count("*") / group_pages).alias("groups")).where("groups > 1")
         salt = F.pmod(F.xxhash64("uid"), F.coalesce("groups", F.lit(1)))
-        known = scratch.store(open_.join(large, "host").select("host", "uid", "blocks").mapInArrow(_substrings(least), SUBSTRINGS), "substrings")
+        known = scratch.store(own.join(large, "host").select("host", "uid", "blocks").mapInArrow(_substrings(least), SUBSTRINGS), "substrings")
         shared = known.groupBy("host", "digest").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low != high").select("host", "digest")
         marks = known.join(shared, ["host", "digest"]).groupBy("uid").agg(F.collect_list("at").alias("marks"))
-        grouped = open_.join(large, "host", "left").join(marks, "uid", "left").select("uid", "blocks", "marks", F.xxhash64("host", salt).alias("grp"))
+        grouped = own.join(large, "host", "left").join(marks, "uid", "left").select("uid", "blocks", "marks", F.xxhash64("host", salt).alias("grp"))
         settled = grouped.repartition("grp").sortWithinPartitions("grp").mapInArrow(_settle(least, 2 * group_pages), TEXTS)
         done = done.union(open_.join(settled, "uid").select("page_id", "url", "text"))
     return done.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -62,6 +62,15 @@ def test_what_a_few_pages_of_a_large_host_share_goes(spark):
         assert {r.page_id: r.text for r in extract.main_text(pages, group_pages=most).collect()} == expected
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    menu = "<div>" + " ".join(f"menu{j}" for j in range(14)) + "</div>"
+    rows = [(k, f"http://copies.example.com/{k}", f"{menu}<p>{' '.join(f'own{k % 20}x{j}' for j in range(30))}</p>") for k in range(60)]
+    pages = spark.createDataFrame(rows + [(None, rows[0][1], rows[0][2])], "page_id long, url string, html string")
+    for most in (8, 256):
+        found = [(r.page_id, r.text) for r in extract.main_text(pages, group_pages=most).collect()]
+        assert len(found) == 61 and all(t == " ".join(f"own{(k or 0) % 20}x{j}" for j in range(30)) for k, t in found)
+
+
 URLS = ["http://www.Example.com/en/1", "https://a.example.com/en/", "http://example.com/fr/?x=http://net/es/", "http://x.net/es/1", "x.net/es/1", None, "", "http://b.net", "http://b.net/fr", "http://b.net/fr/#", "ftp://net/es/?q", "http://q.net/de/", "http://q.net/es/2", "http://q.net/es/3", "http://q.net/es/4", "a://b://c/d", "http://notnet/es/", "http://o.org/a", "http://s.q.co.uk/en/", "http://x.net?a/es/", "http://İ.NET/es/\n/x"]
 
 
