@@ -9,13 +9,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch. Texts may be long, so batches are kept short.
-BATCH_ROWS = 512
+#: Rows and bytes in an Arrow batch. Texts may be long, so batches are kept short.
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
+#: The most bits of a bitmap of keys (it is broadcast: 8 MiB), and bits for each key.
+MOST_BITS, KEY_BITS = 1 << 26, 16
+#: Spark's own setting by which the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches, and let Python workers import this package wherever the driver was started."""
+    """Bound Arrow batches (settings of the session, which stay), and let Python workers import this package wherever the driver was started."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if top not in env.get("PYTHONPATH", "").split(":"):
@@ -23,9 +28,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the session names none."""
+    """The folder that the driver and all executors share; a temporary one only where the session names none and runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cellweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,13 +43,20 @@ class Scratch:
     """Tables written to the shared folder, so that a lost executor costs a reread and not a recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/cellweave/{name}-{uuid.uuid4().hex}"
+        self.spark, self.base, self.names = spark, f"{shared_dir(spark)}/cellweave/{name}-{uuid.uuid4().hex}", []
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Write a table and read it back. The shuffle files behind it are let go, for only the table is read from then on."""
+        was = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(CLEANUP, was)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -50,6 +65,11 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.names = [x for x in self.names if x != name]
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these."""
+        self.drop(*(set(self.names) - set(names)))
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -62,6 +82,24 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*(F.col(f"c{at[c]}").alias(new) for new, c in columns.items()))
 
 
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, count: int) -> DataFrame:
+    """The rows of `df` whose bigint `key` may be among the `count` values of the first column of `keys`: all that are, and few others.
+
+    A bitmap of hashed keys is broadcast, KEY_BITS bits for each key and MOST_BITS
+    at most. With more keys than that can tell apart, all rows come back: the join
+    that follows is the filter. Null keys go. Repeated rows stay.
+    """
+    if count * 4 > MOST_BITS:
+        return df.where(F.col(key).isNotNull())
+    bits = min(MOST_BITS, 1 << max(15, (KEY_BITS * count).bit_length()))
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    marks = keys.select(spot(F.col(keys.columns[0])).alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("cw_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("cw_bits"))
+    held = df.where(F.col(key).isNotNull()).withColumn("cw_spot", spot(F.col(key))).withColumn("cw_number", F.expr("bitmap_bucket_number(cw_spot)"))
+    byte = "cast(conv(hex(substring(cw_bits, cast(bitmap_bit_position(cw_spot) div 8 as int) + 1, 1)), 16, 10) as int)"
+    met = held.join(F.broadcast(marks), F.col("cw_number") == F.col("cw_bucket"))
+    return met.where(f"getbit({byte}, cast(bitmap_bit_position(cw_spot) % 8 as int)) = 1").select(*df.columns)
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """Connected components of `edges` (a, b: bigint): a row (id, component) for each id that has an edge.
 

@@ -26,12 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, pick, prepare
+from .common import Scratch, components, maybe_in, pick, prepare
 
 #: Minwise tokens of a document; coordinates taken at the root; levels below which large nodes are joined whole.
 SIZE, ROOTS, LEVELS = 64, 10, 5
 #: Documents in a node that are compared exhaustively; equal coordinates of SIZE that make a candidate (5 standard deviations under 0.8).
 NODE, ALIKE = 64, 36
+#: Documents of a large node that one task holds against its pivots.
+SPLIT = 4096
 #: Documents and shingles of a set of candidates that one task confirms; rounds of pivots for larger ones.
 SMALL_DOCS, SMALL_SHINGLES, ROUNDS = 256, 1 << 20, 6
 
@@ -206,41 +208,45 @@ def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
     pivot that it is near to. Those at a pivot's core then leave the node, for what
     may be linked to them is near to the pivot as well, and so is joined already.
     """
-    nodes = reps.select("id", "kind", F.explode(F.array(*(F.xxhash64(F.lit(c), "kind", F.col("roots")[c]) for c in range(ROOTS)))).alias("node"))
-    reps = reps.select("id", "kind", "sig")
+    nodes = reps.select("id", "kind", "sig", F.explode(F.array(*(F.xxhash64(F.lit(c), "kind", F.col("roots")[c]) for c in range(ROOTS)))).alias("node"))
     found = []
     for level in range(LEVELS):
-        nodes = scratch.store(nodes, f"nodes{level}")
+        # only the ids of nodes meet at first; signatures follow where a node has two documents at least
         counts = scratch.store(nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("least")).where("size > 1"), f"counts{level}")
-        small = nodes.join(counts.where(F.col("size") <= NODE).select("node"), "node").join(reps, ["id", "kind"]).select("node", "id", "sig")
+        several, big = counts.agg(F.count("*"), F.count_if(F.col("size") > NODE)).first()
+        # a plain join of two shuffles: the adaptive planner can split a node that holds a large share of all rows
+        met = scratch.store(maybe_in(nodes, "node", counts, several).join(counts.hint("merge"), "node"), f"met{level}")
+        scratch.drop(f"counts{level}", *([f"held{level - 1}-rest"] if level else []))
+        small = met.where(F.col("size") <= NODE).select("node", "id", "sig")
         found.append(scratch.store(small.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_node, "a bigint, b bigint"), f"found{level}"))
-        large = nodes.join(counts.where(F.col("size") > NODE), "node")
+        large = met.where(F.col("size") > NODE)
         if level == LEVELS - 1:
             found.append(scratch.store(large.where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b")), "found"))
-        elif counts.where(F.col("size") > NODE).isEmpty():
+        elif not big:
+            scratch.drop(f"met{level}")
             break
         else:
-            whole = scratch.store(large.join(reps, ["id", "kind"]).select("id", "kind", "node", "sig"), f"large{level}")
-            chosen = whole.groupBy("node").agg(*(F.min_by(F.struct("id", "sig"), F.xxhash64(F.lit(j), "id")).alias(f"p{j}") for j in range(PIVOTS)))
-            chosen = chosen.select("node", F.array_distinct(F.array(*(f"p{j}" for j in range(PIVOTS)))).alias("pivots"))
-            held = whole.join(chosen, "node").mapInArrow(_against_pivots, "id bigint, kind int, node bigint, sig binary, pivot bigint, core boolean")
-            held = scratch.store(held, f"held{level}")
-            found.append(held.where("pivot is not null and pivot != id").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-            scratch.drop(f"large{level}", f"nodes{level}")
+            chosen = large.groupBy("node", "size").agg(*(F.min_by(F.struct("id", "sig"), F.xxhash64(F.lit(j), "id")).alias(f"p{j}") for j in range(PIVOTS)))
+            # a part of a node for each SPLIT documents: its pivots go to all parts
+            parts = F.ceil(F.col("size") / SPLIT).cast("int")
+            chosen = chosen.select("node", F.array_distinct(F.array(*(f"p{j}" for j in range(PIVOTS)))).alias("pivots"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+            chosen = scratch.store(chosen, f"chosen{level}")
+            held = large.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).join(chosen.hint("merge"), ["node", "part"])
+            held = scratch.store(held.mapInArrow(_against_pivots, "id bigint, kind int, node bigint, sig binary, pivot bigint, core boolean"), f"held{level}")
+            found.append(scratch.store(held.where("pivot is not null and pivot != id").select(F.col("id").alias("a"), F.col("pivot").alias("b")), f"near{level}"))
+            rest = scratch.store(held.where("not core").select("id", "kind", "node", "sig"), f"held{level}-rest")
+            scratch.drop(f"met{level}", f"chosen{level}", f"held{level}")
             pick_one = [F.pmod(F.xxhash64(F.lit(k), "node"), F.lit(SIZE)).cast("int") for k in (1, 2)]
             at = F.when(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(100)) < 25, F.array(*pick_one)).otherwise(F.array(pick_one[0]))
-            nodes = held.where("not core").select("id", "kind", "node", "sig", F.explode(at).alias("at")).select("id", "kind", F.xxhash64("node", "at", F.substring("sig", F.col("at") + 1, F.lit(1))).alias("node"))
-    edges = found[0]
-    for x in found[1:]:
-        edges = edges.union(x)
-    return edges.distinct()
+            nodes = rest.select("id", "kind", "node", "sig", F.explode(at).alias("at")).select("id", "kind", "sig", F.xxhash64("node", "at", F.substring("sig", F.col("at") + 1, F.lit(1))).alias("node"))
+    return reduce(DataFrame.union, found).distinct()
 
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x, words) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "id", "n", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), batch.column("parts")], names=["cluster", "id", "n", "hashes", "parts"])
 
     return run
 
@@ -260,11 +266,14 @@ def _linked(inter: int, n: int, m: int, percent: int) -> bool:
     return 100 * inter >= percent * (n + m - inter)
 
 
-def _confirm_small(percent: int):
+def _confirm_small(percent: int, words: int = 0):
+    """Links of small sets of candidates, whose rows carry hashes or, if `words` is given, texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All pairs of a small set of candidates, but for those that are connected already."""
         for t in sorted_groups(batches, "cluster"):
-            ids, sets = t.column("id").to_pylist(), [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+            ids = t.column("id").to_pylist()
+            sets = [shingles(x, words) for x in t.column("text").to_pylist()] if words else [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
             order = sorted(range(len(ids)), key=lambda k: len(sets[k]))
             parent, a, b = list(range(len(ids))), [], []
             for p, i in enumerate(order):
@@ -281,6 +290,10 @@ def _confirm_small(percent: int):
     return run
 
 
+def _confirmed(small: DataFrame, percent: int, words: int = 0) -> DataFrame:
+    return small.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_confirm_small(percent, words), "a bigint, b bigint")
+
+
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (cluster, id, other, n, m, inter) of pairs that carry both sets."""
     for batch in batches:
@@ -309,42 +322,48 @@ def _confirm_by_prefix(sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_overlap, OVERLAPS)
 
 
-def _confirm_large(sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Edges of large sets of candidates (cluster, id, n, hashes), and what of them became small.
+def _confirm_large(sets: DataFrame, percent: int, scratch: Scratch) -> list[DataFrame]:
+    """Edges of large sets of candidates (cluster, id, n, hashes, parts).
 
     A round takes two pivots of each cluster and measures all its documents
     against them, which links the bulk of a family of copies. Jaccard distance is
     a metric: with the best pivot p, and u the least distance to p of those not
     linked to p, a document linked to p can only have a link to one of these if
     its own distance to p is at least u less the allowed distance. All others are
-    settled. What stays large after ROUNDS goes to an exact join on rarest shingles.
+    settled. What became small is compared in pairs; what stays large after ROUNDS
+    goes to an exact join on rarest shingles. A cluster's documents are dealt over
+    its parts, and its pivots go to all of them.
     """
     edges: list[DataFrame] = []
-    small: list[DataFrame] = []
     far = 1 - percent / 100
     link = F.expr(f"100 * inter >= {percent} * (n + m - inter)")
     for k in range(ROUNDS):
-        least = sets.groupBy("cluster").agg(*(F.min_by("id", F.xxhash64(F.lit(2 * k + j), "id")).alias(f"p{j}") for j in (0, 1)))
+        least = sets.groupBy("cluster", "parts").agg(*(F.min_by("id", F.xxhash64(F.lit(2 * k + j), "id")).alias(f"p{j}") for j in (0, 1)))
         chosen = least.select("cluster", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("id"))
-        pivots = scratch.store(sets.join(chosen, ["cluster", "id"]).select("cluster", F.col("id").alias("other"), F.col("n").alias("m"), F.col("hashes").alias("others")), f"pivots{k}")
-        near = scratch.store(sets.join(pivots, "cluster").mapInArrow(_overlap, OVERLAPS), f"near{k}").withColumn("link", link)
+        pivots = sets.join(chosen, ["cluster", "id"]).select("cluster", F.col("id").alias("other"), F.col("n").alias("m"), F.col("hashes").alias("others"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        pivots = scratch.store(pivots, f"pivots{k}")
+        dealt = sets.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+        near = scratch.store(dealt.join(pivots.hint("merge"), ["cluster", "part"]).mapInArrow(_overlap, OVERLAPS), f"near{k}").withColumn("link", link)
+        scratch.drop(f"pivots{k}")
         near = near.withColumn("d", F.expr("1 - inter / (n + m - inter)"))
-        edges.append(near.where("link and id != other").select(F.col("id").alias("a"), F.col("other").alias("b")))
+        edges.append(scratch.store(near.where("link and id != other").select(F.col("id").alias("a"), F.col("other").alias("b")), f"edges{k}"))
         best = near.groupBy("cluster", "other").agg(F.count_if("link").alias("links"), F.min(F.when(~F.col("link"), F.col("d"))).alias("u"))
         best = best.groupBy("cluster").agg(F.max_by(F.struct("other", "u"), F.struct("links", "other")).alias("best")).where("best.u is not null").select("cluster", "best.other", "best.u")
         best = scratch.store(best, f"best{k}")
-        left = near.join(best, ["cluster", "other"]).where(~F.col("link") | (F.col("d") >= F.col("u") - F.lit(far + 1e-9))).select("cluster", "id").distinct()
+        left = near.join(best, ["cluster", "other"]).where(~F.col("link") | (F.col("d") >= F.col("u") - F.lit(far + 1e-9))).select("cluster", "id", "n").distinct()
         left = scratch.store(left, f"left{k}")
-        sizes = scratch.store(sets.join(left, ["cluster", "id"]).groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("total")), f"sizes{k}")
+        sizes = left.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
         fits = (F.col("docs") <= SMALL_DOCS) & (F.col("total") <= SMALL_SHINGLES) | (F.col("docs") <= 2)
-        rest = sets.join(left, ["cluster", "id"])
-        small.append(rest.join(sizes.where(fits).select("cluster"), "cluster", "left_semi"))
-        if sizes.where(~fits).isEmpty():
+        left = scratch.store(left.join(sizes.select("cluster", fits.alias("fits")), "cluster").select("cluster", "id", "fits"), f"sized{k}")
+        rest = scratch.store(sets.join(left, ["cluster", "id"]), f"rest{k}")
+        scratch.drop(f"near{k}", f"best{k}", f"left{k}", f"sized{k}", f"rest{k - 1}" if k else "sets")
+        edges.append(scratch.store(_confirmed(rest.where("fits").select("cluster", "id", "hashes"), percent), f"late{k}"))
+        sets = rest.where("not fits").drop("fits")
+        if sets.isEmpty():
             break
-        sets = scratch.store(rest.join(sizes.where(~fits).select("cluster"), "cluster", "left_semi"), f"sets{k}")
     else:
         edges.append(_confirm_by_prefix(sets, percent).where(link).select(F.col("id").alias("a"), F.col("other").alias("b")))
-    return reduce(DataFrame.unionByName, edges), reduce(DataFrame.unionByName, small)
+    return edges
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,22 +387,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     both = F.array(*(F.struct(F.col(f"roots{k}").alias("roots"), F.col(f"sig{k}").alias("sig")) for k in (0, 1)))
     signed = reps.select("id", F.posexplode(both).alias("kind", "s")).where("s.sig is not null").select("id", "kind", "s.roots", "s.sig")
     spread = components(candidates(signed, scratch), scratch, "spread").withColumnRenamed("component", "cluster")
-    spread = scratch.store(spread, "clusters")
+    spread = scratch.store(spread, "spread")
+    scratch.keep("marks", "reps", "spread")
     sizes = spread.join(reps.select("id", "n"), "id").groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
-    sizes = scratch.store(sizes, "sizes")
-    texts = rows.join(spread.withColumn("doc_id", F.col("id")), "doc_id").select("cluster", "id", "text")
-    sets = scratch.store(texts.mapInArrow(_sets(words), "cluster bigint, id bigint, n bigint, hashes binary"), "sets")
     fits = (F.col("docs") <= SMALL_DOCS) & (F.col("total") <= SMALL_SHINGLES)
-    small, edges = sets.join(sizes.where(fits).select("cluster"), "cluster", "left_semi"), None
-    if not sizes.where(~fits).isEmpty():
-        edges, late = _confirm_large(scratch.store(sets.join(sizes.where(~fits).select("cluster"), "cluster", "left_semi"), "large"), percent, scratch)
-        small = small.unionByName(late)
-    sure = small.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_confirm_small(percent), "a bigint, b bigint")
+    clusters = scratch.store(spread.join(sizes.select("cluster", fits.alias("fits"), F.ceil(F.col("docs") / SPLIT).cast("int").alias("parts")), "cluster"), "clusters")
+    several, large = clusters.agg(F.count("*"), F.count_if(~F.col("fits"))).first()
+    # of the texts, only those of candidates are shuffled
+    wanted = clusters.withColumnRenamed("id", "doc_id")
+    texts = maybe_in(rows, "doc_id", wanted.select("doc_id"), several).join(wanted.hint("merge"), "doc_id").select("cluster", F.col("doc_id").alias("id"), "text", "fits", "parts")
+    texts = scratch.store(texts, "texts")
+    scratch.drop("spread", "clusters")
+    edges = [scratch.store(_confirmed(texts.where("fits").select("cluster", "id", "text"), percent, words), "sure")]
+    if large:
+        sets = scratch.store(texts.where("not fits").mapInArrow(_sets(words), "cluster bigint, id bigint, n bigint, hashes binary, parts int"), "sets")
+        edges += _confirm_large(sets, percent, scratch)
+    scratch.drop("texts")
     # a class whose smallest ids repeat in others is joined with them by its rows' ids
-    joined = components(sure if edges is None else edges.unionByName(sure), scratch, "links")
+    joined = components(reduce(DataFrame.unionByName, edges), scratch, "links")
     classes = reps.select("f1", "f2", "n", "id").join(joined, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
     classes = scratch.store(classes, "classes")
-    scratch.drop("sets", "large", "clusters", "reps")
+    scratch.keep("marks", "classes")
     known = marks.where("n > 0 and doc_id is not null").select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     bare = marks.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return known.union(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
