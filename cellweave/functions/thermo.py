@@ -69,19 +69,23 @@ def condensation_temperature(t: Column, td: Column) -> Column:
     return 56 + 1 / (1 / (td - 56) + F.log(t / td) / 800)
 
 
-def equivalent_potential(t: Column, td: Column, p: Column) -> Column:
-    """Bolton's equation 39, with the mixing ratio at saturation."""
-    w = saturation_mixing_ratio(td, p)
-    tl = condensation_temperature(t, td)
-    dry = t * F.pow(1000 / (p - saturation_pressure(td)), POISSON) * F.pow(t / tl, 0.28 * w)
-    return dry * F.exp((3036 / tl - 1.78) * w * (1 + 0.448 * w))
-
-
-def pseudo_equivalent_potential(t: Column, td: Column, p: Column) -> Column:
-    """Bolton's equation 43."""
-    w = saturation_mixing_ratio(td, p)
-    tl = condensation_temperature(t, td)
-    return t * F.pow(1000 / p, 0.2854 * (1 - 0.28 * w)) * F.exp((3.376 / tl - 0.00254) * 1000 * w * (1 + 0.81 * w))
+def _at_condensation(t: Column, p: Column, q: Column) -> Column:
+    return t * F.pow(1000 / p, 0.2854 * (1 - 0.28 * q))
+
+
+def equivalent_potential(t: Column, td: Column, p: Column, q: Column) -> Column:
+    """After Bolton (1980), with the mixing ratio of saturated air at the air's temperature; K. q: specific humidity."""
+    w, tl = saturation_mixing_ratio(t, p), condensation_temperature(t, td)
+    return _at_condensation(t, p, q) * F.pow(t / tl, 0.28 * w) * F.exp(w * (1 + 0.448 * w) * (3036 / tl - 1.78))
+
+
+def pseudo_equivalent_potential(t: Column, td: Column, p: Column, q: Column) -> Column:
+    """After Bolton (1980), with the specific humidity q in place of the mixing ratio; K."""
+    return _at_condensation(t, p, q) * F.exp(q * (1 + 0.81 * q) * (3376 / condensation_temperature(t, td) - 2.54))
+
+
+def virtual_potential(t: Column, q: Column, p: Column | float) -> Column:
+    return (1 + 0.61 * q) * t * F.pow(F.lit(1000.0) / p, 287 / CP)
 
 
 def wind_parts(speed: Column, direction: Column, degrees: bool = True) -> tuple[Column, Column]:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -73,8 +75,26 @@ def t_bound(alpha: float, df: float) -> float:
     return (lo + hi) / 2
 
 
-def t_test(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by..., t, df) of the difference of two means, each with its own error."""
+def t_test(a: DataFrame, b: DataFrame, by: Sequence[str], alpha: float | None = None) -> DataFrame:
+    """(by..., t, df) of the difference of two means, each with its own error; with `alpha` also bound, what t passes by chance on one side, and p, of both sides.
+
+    Null where a sample has fewer than two values. The distribution's tail is
+    worked out on the reduced rows, one for each series.
+    """
     half = lambda x, n: x.groupBy(*by).agg(F.avg("value").alias(f"m{n}"), (F.var_samp("value") / F.count("value")).alias(f"e{n}"), F.count("value").alias(f"n{n}"))
-    both = half(a, 1).join(half(b, 2), list(by)) if by else half(a, 1).crossJoin(half(b, 2))
-    return both.select(*by, ((F.col("m1") - F.col("m2")) / F.nullif(F.sqrt(F.col("e1") + F.col("e2")), F.lit(0.0))).alias("t"), (F.col("n1") + F.col("n2") - 2).alias("df"))
+    one, two = half(a, 1), half(b, 2)
+    if by:
+        two = two.toDF(*(f"_b{k}" for k in range(len(by))), "m2", "e2", "n2")
+        both = one.join(two, reduce(Column.__and__, (F.col(f"_b{k}").eqNullSafe(F.col(c)) for k, c in enumerate(by))))
+    else:
+        both = one.crossJoin(two)  # a row each
+    out = both.select(*by, ((F.col("m1") - F.col("m2")) / F.nullif(F.sqrt(F.col("e1") + F.col("e2")), F.lit(0.0))).alias("t"), (F.col("n1") + F.col("n2") - 2).alias("df"))
+    if alpha is None:
+        return out
+
+    @F.pandas_udf("bound double, p double")
+    def tail(t: pd.Series, df: pd.Series) -> pd.DataFrame:
+        bounds = {n: t_bound(alpha, n) if n > 0 else None for n in set(df)}
+        return pd.DataFrame({"bound": [bounds[n] for n in df], "p": [None if pd.isna(x) or n <= 0 else t_tail(x, n) for x, n in zip(t, df)]})
+
+    return out.withColumn("_r", tail("t", "df")).select(*by, "t", "df", "_r.bound", "_r.p")

@@ -40,8 +40,18 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
 
 
 def membership(grid: DataFrame, regions: DataFrame) -> DataFrame:
-    """(region, cell_id) of cell centres in each region. Regions are few and given by hand; each is compared to all cells."""
-    return grid.crossJoin(F.broadcast(regions)).where(inside(F.col("lon"), F.col("lat"), F.col("ring"))).select("region", "cell_id")
+    """(region, cell_id) of cell centres in each region (region, ring).
+
+    Cells and rings meet in tiles of one degree: a ring is in those of its bounding
+    box, a cell in one. So it is an equi-join, however many regions there are.
+    Cells without coordinates and empty rings are in no pair.
+    """
+    tiles = lambda lo, hi: F.sequence(F.floor(lo).cast("int"), F.floor(hi).cast("int"))
+    side = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    r = regions.where(F.size("ring") > 0)
+    r = r.select("region", "ring", F.explode(tiles(side(F.array_min, "x"), side(F.array_max, "x"))).alias("_tx"), tiles(side(F.array_min, "y"), side(F.array_max, "y")).alias("_ys")).withColumn("_ty", F.explode("_ys")).drop("_ys")
+    g = grid.select("cell_id", "lon", "lat", F.floor("lon").cast("int").alias("_tx"), F.floor("lat").cast("int").alias("_ty"))
+    return g.join(r, ["_tx", "_ty"]).where(inside(F.col("lon"), F.col("lat"), F.col("ring"))).select("region", "cell_id")
 
 
 def mask(df: DataFrame, cells: DataFrame, crop: bool = False, cell: str = "cell_id") -> DataFrame:
@@ -57,11 +67,22 @@ def topo_mask(df: DataFrame, grid: DataFrame, low: float, high: float) -> DataFr
     return df.join(grid.select("cell_id", "orog"), "cell_id", "left").withColumn("value", F.when(F.col("orog").between(low, high), F.col("value"))).drop("orog")
 
 
+#: Points that are held against a grid at once.
+POINTS = 1000
+
+
 def nearest(points: DataFrame, grid: DataFrame) -> DataFrame:
-    """The cell nearest to each point (point, lon, lat) in degrees; of equals, the one with the smallest y and x."""
-    p = points.select("point", F.col("lon").alias("_x"), F.col("lat").alias("_y"))
+    """The cell nearest to each point (point, lon, lat) in degrees; of equals, the one with the smallest y and x.
+
+    Points are a set of queries: they are broadcast in blocks of about POINTS.
+    """
+    blocks = max(1, -(-points.count() // POINTS))
     d = F.sqrt((F.col("lon") - F.col("_x")) * (F.col("lon") - F.col("_x")) + (F.col("lat") - F.col("_y")) * (F.col("lat") - F.col("_y")))
-    found = grid.crossJoin(F.broadcast(p)).groupBy("point").agg(F.min(F.struct(d.alias("distance"), "y", "x", "cell_id")).alias("m"))  # points are few
+    found = None
+    for k in range(blocks):
+        p = points.where(F.pmod(F.xxhash64("point"), F.lit(blocks)) == k).select("point", F.col("lon").alias("_x"), F.col("lat").alias("_y"))
+        one = grid.crossJoin(F.broadcast(p)).groupBy("point").agg(F.min(F.struct(d.alias("distance"), "y", "x", "cell_id")).alias("m"))
+        found = one if found is None else found.unionByName(one)
     return found.select("point", "m.cell_id", "m.distance")
 
 
@@ -80,6 +101,8 @@ def corners(grid: DataFrame) -> DataFrame:
 def conservative_weights(source: DataFrame, target: DataFrame) -> DataFrame:
     """(target_cell, source_cell, w) between rectilinear grids with bounds: the overlap on the sphere over the source cell's area.
 
+    Bounds beyond a pole end at it; a cell without an area has no weights.
+
     Overlaps of columns and of rows are found apart and then joined, so no pair of
     cells without an overlap arises.
     """
@@ -88,10 +111,12 @@ def conservative_weights(source: DataFrame, target: DataFrame) -> DataFrame:
         s = source.select(F.col(name).alias(f"s{name}"), F.col(f"{c}_lo").alias("sl"), F.col(f"{c}_hi").alias("sh")).distinct()
         t = target.select(F.col(name).alias(f"t{name}"), F.col(f"{c}_lo").alias("tl"), F.col(f"{c}_hi").alias("th")).distinct()
         over = s.join(t, (F.col("sl") < F.col("th")) & (F.col("tl") < F.col("sh")))
-        return over.select(f"s{name}", f"t{name}", (size(F.greatest("sl", "tl"), F.least("sh", "th")) / size(F.col("sl"), F.col("sh"))).alias(f"w{name}"))
+        share = size(F.greatest("sl", "tl"), F.least("sh", "th")) / F.nullif(size(F.col("sl"), F.col("sh")), F.lit(0.0))
+        return over.select(f"s{name}", f"t{name}", share.alias(f"w{name}")).where(f"w{name} > 0")
 
     columns = along("lon", "x", lambda a, b: b - a)
-    rows = along("lat", "y", lambda a, b: F.sin(F.radians(b)) - F.sin(F.radians(a)))
+    pole = lambda c: F.radians(F.greatest(F.lit(-90.0), F.least(F.lit(90.0), c)))
+    rows = along("lat", "y", lambda a, b: F.sin(pole(b)) - F.sin(pole(a)))
     s = source.select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("cell_id").alias("source_cell"))
     t = target.select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("cell_id").alias("target_cell"))
     return s.join(columns, "sx").join(rows, "sy").join(t, ["tx", "ty"]).select("target_cell", "source_cell", (F.col("wx") * F.col("wy")).alias("w"))
@@ -116,8 +141,166 @@ def bilinear_weights(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def regrid(df: DataFrame, weights: DataFrame, target: DataFrame, keys: Sequence[str] = ("time",)) -> DataFrame:
-    """Weighted means of source values on each target cell; missing if a source value is; cells without sources have a row with a null key."""
+    """Weighted means of source values on each target cell: (cell_id, keys..., value); missing if a source value is, or where no source is.
+
+    Each target cell has a row for each combination of keys that the series has.
+    Weights are a row for each pair of cells that overlap; whether they are
+    broadcast is left to Spark, which knows their size by then.
+    """
     joined = df.withColumnRenamed("cell_id", "source_cell").join(weights, "source_cell")
-    mean = F.when(F.count("value") == F.count("*"), F.sum(F.col("w") * F.col("value")) / F.sum("w"))
+    mean = F.when(F.count("value") == F.count("*"), F.sum(F.col("w") * F.col("value")) / F.nullif(F.sum("w"), F.lit(0.0)))
     found = joined.groupBy("target_cell", *keys).agg(mean.alias("value")).withColumnRenamed("target_cell", "cell_id")
-    return target.select("cell_id").join(found, "cell_id", "left")
+    bare = target.select("cell_id").join(weights.select(F.col("target_cell").alias("cell_id")), "cell_id", "left_anti")
+    return found.unionByName(bare.crossJoin(df.select(*keys).distinct()).select("cell_id", *keys, F.lit(None).cast("double").alias("value")))  # the rows of the result
+
+
+def choose_target(grids: dict[str, DataFrame], name: str, to: str | DataFrame | None) -> DataFrame | None:
+    """The grid that data set `name` goes to: None for its own, a grid table, or the grid of another data set; a data set stays on its own."""
+    if to is None or to == name if not isinstance(to, DataFrame) else False:
+        return None
+    if isinstance(to, DataFrame):
+        return to
+    if to not in grids:
+        raise ValueError(f"no grid called {to!r} among {sorted(grids)}")
+    return grids[to]
+
+
+# grids whose lines are bent: cells (cell_id, y, x, lon, lat), y and x from 0 without gaps
+
+
+def _shifted(grid: DataFrame, **by: tuple[int, int]) -> DataFrame:
+    """The grid with the coordinates of cells a step away: columns <name>_lon, <name>_lat, null outside."""
+    for name, (dy, dx) in by.items():
+        near = grid.select((F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("lon").alias(f"{name}_lon"), F.col("lat").alias(f"{name}_lat"))
+        grid = grid.join(near, ["y", "x"], "left")
+    return grid
+
+
+def _extent(grid: DataFrame) -> tuple[int, int]:
+    ny, nx = grid.agg(F.max("y") + 1, F.max("x") + 1).first()
+    if ny is None or ny < 3 or nx < 3:
+        raise ValueError("a bent grid has three rows and three columns at least")
+    return ny, nx
+
+
+def vertices(grid: DataFrame) -> DataFrame:
+    """The corners (y, x, lon, lat) of a bent grid's cells, from 0 to rows and columns: the mean of the four centres around, carried on in a straight line at the border.
+
+    Corner (y, x) is the lower left one of cell (y, x). First rows, then columns
+    are carried on, so the outermost four follow from both.
+    """
+    ny, nx = _extent(grid)
+    own = grid.select("y", "x", "lon", "lat")
+    near = own.select(F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy in (0, 1) for dx in (0, 1)))).alias("c"), "lon", "lat")
+    out = near.groupBy("c.y", "c.x").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.count("*").alias("n")).where("n = 4").select("y", "x", "lon", "lat")
+    for c, other, last in (("y", "x", ny), ("x", "y", nx)):
+        edge = lambda to, one, two: out.where(F.col(c).isin(one, two)).groupBy(other).agg(*(F.max(F.when(F.col(c) == one, 2 * F.col(v))) + F.max(F.when(F.col(c) == two, -F.col(v))) for v in ("lon", "lat"))).toDF(other, "lon", "lat").withColumn(c, F.lit(to).cast("int")).select("y", "x", "lon", "lat")  # noqa: B023, E731
+        out = out.unionByName(edge(0, 1, 2)).unionByName(edge(last, last - 1, last - 2))
+    return out
+
+
+def cell_rings(grid: DataFrame) -> DataFrame:
+    """(cell_id, y, x, lon, lat, ring): each cell of a bent grid with its four vertices, counterclockwise from the lower left."""
+    v = vertices(grid)
+    around = ((0, 0), (0, 1), (1, 1), (1, 0))
+    asked = grid.select("cell_id", "y", "x", "lon", "lat", F.posexplode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in around))).alias("_k", "d"))
+    met = asked.withColumn("_y", F.col("y") + F.col("d.dy")).withColumn("_x", F.col("x") + F.col("d.dx")).join(v.select(F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("lon").alias("_a"), F.col("lat").alias("_b")), ["_y", "_x"])
+    ring = F.transform(F.array_sort(F.collect_list(F.struct("_k", F.col("_a").alias("x"), F.col("_b").alias("y")))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return met.groupBy("cell_id", "y", "x", "lon", "lat").agg(ring.alias("ring"))
+
+
+def bent_corners(grid: DataFrame) -> DataFrame:
+    """Another estimate of the corners (y, x, lon, lat), from cells on the diagonal: half a step back from each centre, at the borders half a step on."""
+    ny, nx = _extent(grid)
+    at = grid.sparkSession.range((ny + 1) * (nx + 1)).select(F.floor(F.col("id") / (nx + 1)).cast("int").alias("y"), (F.col("id") % (nx + 1)).cast("int").alias("x"))
+    low, left = F.col("y") < ny - 1, F.col("x") < nx - 1
+    # the centre a corner starts from, and the one whose distance it halves
+    y0, x0 = F.when(low, F.col("y")).otherwise(F.col("y") - 1), F.when(left, F.col("x")).otherwise(F.col("x") - 1)
+    y1 = F.when(low, F.col("y") + 1).otherwise(F.col("y") - 2)
+    x1 = F.when(left, F.col("x") + 1).otherwise(F.col("x") - 2)
+    asked = at.select("y", "x", y0.alias("_y0"), x0.alias("_x0"), y1.alias("_y1"), x1.alias("_x1"))
+    for k in (0, 1):
+        asked = asked.join(grid.select(F.col("y").alias(f"_y{k}"), F.col("x").alias(f"_x{k}"), F.col("lon").alias(f"_lon{k}"), F.col("lat").alias(f"_lat{k}")), [f"_y{k}", f"_x{k}"])
+    return asked.select("y", "x", *((F.col(f"_{c}0") - (F.col(f"_{c}1") - F.col(f"_{c}0")) / 2).alias(c) for c in ("lon", "lat")))
+
+
+def ring_area(ring: Sequence[tuple[float, float]]) -> float:
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, [*ring[1:], ring[0]])) / 2
+
+
+def ring_overlap(a: Sequence[tuple[float, float]], b: Sequence[tuple[float, float]]) -> float:
+    """The area that two convex rings have in common, by cutting the first at each side of the second."""
+    if ring_area(b) < 0:
+        b = list(b)[::-1]
+    out = list(a)
+    for (x0, y0), (x1, y1) in zip(b, [*b[1:], b[0]]):
+        side = [(x1 - x0) * (y - y0) - (y1 - y0) * (x - x0) for x, y in out]
+        cut = []
+        for k, p in enumerate(out):
+            q, s, t = out[k - 1], side[k], side[k - 1]
+            if s * t < 0:
+                f = t / (t - s)
+                cut.append((q[0] + f * (p[0] - q[0]), q[1] + f * (p[1] - q[1])))
+            if s >= 0:
+                cut.append(p)
+        out = cut
+        if not out:
+            return 0.0
+    return abs(ring_area(out))
+
+
+def bent_weights(source: DataFrame, target: DataFrame, radius: float | None = None) -> DataFrame:
+    """(target_cell, source_cell, w) between grids of rings (`cell_rings`): the part of the source cell's area, in degrees, in the target cell.
+
+    Candidates are source centres nearer than `radius` in both coordinates (0.6
+    times the sum of the mean spacings unless given); they meet in tiles of that
+    size, so it is an equi-join. Pairs without an overlap have no row.
+    """
+    if radius is None:
+        radius = 0.6 * (spacing(source) + spacing(target))
+    tile = lambda c, d=0: (F.floor(F.col(c) / radius) + d).cast("bigint")
+    s = source.select(F.col("cell_id").alias("source_cell"), F.col("lon").alias("_a"), F.col("lat").alias("_b"), F.col("ring").alias("_s"), tile("lon").alias("_tx"), tile("lat").alias("_ty"))
+    t = target.select(F.col("cell_id").alias("target_cell"), "lon", "lat", F.col("ring").alias("_t"), F.explode(F.array(*(F.struct(tile("lon", dx).alias("_tx"), tile("lat", dy).alias("_ty")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))).alias("_c")).select("target_cell", "lon", "lat", "_t", "_c.*")
+    near = s.join(t, ["_tx", "_ty"]).where((F.abs(F.col("lon") - F.col("_a")) < radius) & (F.abs(F.col("lat") - F.col("_b")) < radius)).select("target_cell", "source_cell", "_s", "_t")
+
+    def run(batches):
+        for part in batches:
+            rings = [([(p["x"], p["y"]) for p in a], [(p["x"], p["y"]) for p in b]) for a, b in zip(part["_s"], part["_t"])]
+            w = [ring_overlap(a, b) / (abs(ring_area(a)) or float("nan")) for a, b in rings]
+            yield part[["target_cell", "source_cell"]].assign(w=w)
+
+    return near.mapInPandas(run, "target_cell bigint, source_cell bigint, w double").where("w > 0 and not isnan(w)")
+
+
+def spacing(grid: DataFrame) -> float:
+    """The mean step of a grid: that of longitudes along rows and of latitudes along columns."""
+    g = _shifted(grid.select("y", "x", "lon", "lat"), e=(0, 1), n=(1, 0))
+    a, b = g.agg(F.avg(F.col("e_lon") - F.col("lon")), F.avg(F.col("n_lat") - F.col("lat"))).first()
+    return (abs(a or 0) + abs(b or 0)) / 2
+
+
+def outline(grid: DataFrame, border: int = 0) -> dict:
+    """A grid's middle cell (lon_0, lat_0), first and last cell (corners) and the ring of its outer cells (domain), `border` cells further in."""
+    ny, nx = grid.agg(F.max("y") + 1, F.max("x") + 1).first()
+    k, y, x = border, F.col("y"), F.col("x")
+    edge = y.isin(k, ny - 1 - k) & x.between(k, nx - 1 - k) | x.isin(k, nx - 1 - k) & y.between(k, ny - 1 - k)
+    # as many rows as the outer ring has cells
+    cells = {(r.y, r.x): (r.lon, r.lat) for r in grid.where(edge | (y == ny // 2) & (x == nx // 2)).select("y", "x", "lon", "lat").collect()}
+    path = [(k, i) for i in range(k, nx - k)] + [(j, nx - 1 - k) for j in range(k + 1, ny - k)] + [(ny - 1 - k, i) for i in range(nx - 2 - k, k - 1, -1)] + [(j, k) for j in range(ny - 2 - k, k - 1, -1)]
+    middle, first, last = cells[ny // 2, nx // 2], cells[k, k], cells[ny - 1 - k, nx - 1 - k]
+    return {"lon_0": middle[0], "lat_0": middle[1], "corners": [first[1], first[0], last[1], last[0]], "domain": [cells[p] for p in path]}
+
+
+def domain_mask(df: DataFrame, grid: DataFrame, other: DataFrame, cell: str = "cell_id") -> DataFrame:
+    """Values of cells of `grid` that lie outside the outer ring of the grid `other` as missing."""
+    spark = df.sparkSession
+    ring = spark.createDataFrame([("domain", outline(other)["domain"])], "region string, ring array<struct<x:double,y:double>>")
+    return mask(df, membership(grid, ring), cell=cell).drop("region")
+
+
+def crop(grid: DataFrame, cells: DataFrame) -> tuple[DataFrame, tuple[int, int, int, int] | None]:
+    """The rectangle of a grid around `cells` and its first and last row and column; all of nothing where there are none."""
+    y0, y1, x0, x1 = grid.join(cells.select("cell_id").distinct(), "cell_id").agg(F.min("y"), F.max("y"), F.min("x"), F.max("x")).first()
+    if y0 is None:
+        return grid.where("false"), None
+    return grid.where(F.col("y").between(y0, y1) & F.col("x").between(x0, x1)), (y0, y1, x0, x1)

@@ -24,54 +24,198 @@ def label(on: np.ndarray) -> np.ndarray:
         out = best
 
 
-def _side(field: np.ndarray, how: str, value: float, least: int, most: int | None):
-    """Volume, centre and scatter of a field's objects; None without objects."""
-    bound = {"S": lambda: value, "F": lambda: value * np.nanmax(field), "P": lambda: np.nanpercentile(field, value)}[how]()
-    names = label(np.nan_to_num(field, nan=-np.inf) > bound)
+def bound_of(field: np.ndarray, how: str, value: float) -> float:
+    """What objects exceed: an absolute value (S), a fraction of the maximum (F) or a percentile (P)."""
+    if how not in ("S", "F", "P"):
+        raise ValueError(f"unknown kind of bound {how!r}")
+    return value if how == "S" else value * np.nanmax(field) if how == "F" else np.nanpercentile(field, value)
+
+
+def labelled(field: np.ndarray, how: str, value: float, least: int = 1, most: int | None = None) -> np.ndarray:
+    """The objects of a field, numbered from 1, of `least` to `most` cells."""
+    names = label(np.nan_to_num(field, nan=-np.inf) > bound_of(field, how, value))
     sizes = np.bincount(names.ravel())
     kept = [k for k in range(1, len(sizes)) if sizes[k] >= least and (most is None or sizes[k] <= most)]
-    if not kept:
-        return None
-    y, x = np.indices(field.shape)
-    whole = np.where(np.isin(names, kept), np.nan_to_num(field), 0)
-    total = whole.sum()
-    centre = np.array([(y * whole).sum(), (x * whole).sum()]) / total
-    volume = scatter = 0.0
-    for k in kept:
-        part = np.where(names == k, field, 0)
-        amount = part[names == k].sum()
-        own = np.array([(y * np.nan_to_num(part)).sum(), (x * np.nan_to_num(part)).sum()]) / amount
-        volume += amount * amount / field[names == k].max()
-        scatter += amount * np.hypot(*(own - centre))
-    return volume / total, centre, scatter / total, len(kept)
+    new = np.zeros(len(sizes), np.int64)
+    new[kept] = np.arange(1, len(kept) + 1)
+    return new[names]
+
+
+def properties(field: np.ndarray, names: np.ndarray, sea: np.ndarray | None = None) -> list[dict]:
+    """Each object's centre (of its cells), size, sums, axes (of the ellipse with its second moments), part of its bounding box, and kind: sea 0, land 1, coast 2."""
+    out = []
+    for k in range(1, int(names.max(initial=0)) + 1):
+        y, x = np.nonzero(names == k)
+        v = field[y, x]
+        spread = np.sort(np.linalg.eigvalsh(np.cov(np.stack([y, x]), bias=True))) if len(y) > 1 else np.zeros(2)
+        wet = float(sea[y, x].mean()) if sea is not None else None
+        out.append({
+            "label": k, "centre_y": float(y.mean()), "centre_x": float(x.mean()), "size": len(y), "total": float(v.sum()), "most": float(v.max()), "ratio": float(v.max() / v.mean()) if v.mean() else None,
+            "major_axis": float(4 * np.sqrt(max(spread[1], 0))), "minor_axis": float(4 * np.sqrt(max(spread[0], 0))), "extent": len(y) / float((np.ptp(y) + 1) * (np.ptp(x) + 1)),
+            "kind": None if wet is None else 0 if wet >= 0.9 else 1 if wet <= 0.1 else 2,
+        })
+    return out
+
+
+def _centre(field: np.ndarray, on: np.ndarray) -> float:
+    """How far from the first cell the centre of mass of some cells is."""
+    y, x = np.nonzero(on)
+    v = field[y, x]
+    return float(np.hypot((y * v).sum(), (x * v).sum()) / v.sum())
+
+
+def farthest(valid: np.ndarray) -> float:
+    """The longest distance on the first contour of the valid cells, in whole cells; the field's diagonal where all are valid.
+
+    A contour crosses each pair of neighbours of which one is valid, and is taken
+    at the first cell of the pair. Squares of four cells join crossings to contours.
+    """
+    cross = {(y, x, 0): (y, x) for y, x in np.argwhere(valid[:, 1:] != valid[:, :-1]).tolist()} | {(y, x, 1): (y, x) for y, x in np.argwhere(valid[1:] != valid[:-1]).tolist()}
+    joined: dict[tuple, list[tuple]] = {}
+    first = None
+    for y, x in sorted({(y - dy, x - dx) for y, x, way in cross for dy, dx in (((0, 0), (1, 0)) if way == 0 else ((0, 0), (0, 1)))}):
+        if not (0 <= y < valid.shape[0] - 1 and 0 <= x < valid.shape[1] - 1):
+            continue
+        top, bottom, left, right = (y, x, 0), (y + 1, x, 0), (y, x, 1), (y, x + 1, 1)
+        met = [e for e in (top, bottom, left, right) if e in cross]
+        pairs = [met] if len(met) == 2 else [(top, left), (bottom, right)] if valid[y, x] else [(top, right), (bottom, left)]
+        for a, b in pairs:
+            first = first or a
+            joined.setdefault(a, []).append(b)
+            joined.setdefault(b, []).append(a)
+    if first is None:
+        return float(np.hypot(*valid.shape))
+    seen, open_ = {first}, [first]
+    while open_:
+        for e in joined[open_.pop()]:
+            if e not in seen:
+                seen.add(e)
+                open_.append(e)
+    points = sorted({cross[e] for e in seen})
+
+    def half(points):
+        out = []
+        for p in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out
+
+    hull = np.array(half(points) + half(points[::-1]), float)
+    return float(np.hypot(*(hull[:, None] - hull[None]).transpose(2, 0, 1)).max())
+
+
+def _fields(part: pd.DataFrame, columns: Sequence[str]) -> list[np.ndarray]:
+    y, x = part.y - part.y.min(), part.x - part.x.min()
+    out = []
+    for c in columns:
+        f = np.full((int(y.max()) + 1, int(x.max()) + 1), np.nan)
+        f[y, x] = part[c].to_numpy(float)
+        out.append(f)
+    return out
+
+
+def _together(model: DataFrame, reference: DataFrame, sea: DataFrame | None) -> DataFrame:
+    both = model.select("time", "y", "x", F.col("value").alias("m")).join(reference.select("time", "y", "x", F.col("value").alias("r")), ["time", "y", "x"])
+    if sea is None:
+        return both.withColumn("sea", F.lit(None).cast("boolean"))
+    return both.join(sea.select("y", "x", "sea"), ["y", "x"], "left")
 
 
 def sal(model: DataFrame, reference: DataFrame, how: str = "F", value: float = 1 / 15, least: int = 1, most: int | None = None) -> DataFrame:
     """SAL of two series of fields (time, y, x, value), a row for each time where both have objects.
 
-    Objects exceed an absolute value (S), a fraction of the maximum (F) or a
-    percentile (P), and have `least` to `most` cells. Times are independent: a
-    task holds the two fields of one time.
+    S compares the objects' volumes over their maxima, A the means of the fields.
+    L1 takes the distances of both centres of mass from the first cell, over the
+    longest distance of the field (`farthest`, of the model's valid cells); L2
+    twice the difference of how far objects are from the centre, in such distances.
+    Null values are not valid and in no object. Times are independent: a task
+    holds the two fields of one time. Smooth the fields first (`smooth`) if wanted.
     """
-    both = model.select("time", "y", "x", F.col("value").alias("m")).join(reference.select("time", "y", "x", F.col("value").alias("r")), ["time", "y", "x"])
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        y, x = part.y - part.y.min(), part.x - part.x.min()
-        fields = []
-        for c in ("m", "r"):
-            f = np.full((int(y.max()) + 1, int(x.max()) + 1), np.nan)
-            f[y, x] = part[c].to_numpy(float)
-            fields.append(f)
-        sides = [_side(f, how, value, least, most) if np.isfinite(f).any() else None for f in fields]
-        if None in sides:
-            return pd.DataFrame(columns=["time", "s", "a", "l1", "l2", "l", "objects_model", "objects_reference"])
-        (vm, cm, rm, nm), (vr, cr, rr, nr) = sides
-        far = float(np.hypot(*fields[0].shape))
-        mean = [np.nanmean(f) for f in fields]
-        l1, l2 = abs(np.hypot(*cm) - np.hypot(*cr)) / far, 2 * abs(rm - rr) / far
-        return pd.DataFrame([(part.time.iloc[0], (vm - vr) / (0.5 * (vm + vr)), (mean[0] - mean[1]) / (0.5 * (mean[0] + mean[1])), l1, l2, l1 + l2, nm, nr)], columns=["time", "s", "a", "l1", "l2", "l", "objects_model", "objects_reference"])
-
-    return both.groupBy("time").applyInPandas(run, SAL)
+        fields = _fields(part, "mr")
+        names = [labelled(f, how, value, least, most) if np.isfinite(f).any() else np.zeros(f.shape, int) for f in fields]
+        columns = ["time", "s", "a", "l1", "l2", "l", "objects_model", "objects_reference"]
+        if not all(n.any() for n in names):
+            return pd.DataFrame(columns=columns)
+        sides = []
+        for f, n in zip(fields, names):
+            objects, centre = properties(f, n), _centre(f, n > 0)
+            total = np.array([o["total"] for o in objects])
+            volume = sum(o["total"] ** 2 / o["most"] for o in objects) / total.sum()
+            scatter = sum(o["total"] * abs(_centre(f, n == o["label"]) - centre) for o in objects) / total.sum()
+            sides.append((volume, centre, scatter, len(objects), float(np.nanmean(f))))
+        (vm, cm, rm, nm, am), (vr, cr, rr, nr, ar) = sides
+        far = farthest(np.isfinite(fields[0]))
+        l1, l2 = abs(cm - cr) / far, 2 * abs(rm - rr) / far
+        return pd.DataFrame([(part.time.iloc[0], (vm - vr) / (0.5 * (vm + vr)), (am - ar) / (0.5 * (am + ar)), l1, l2, l1 + l2, nm, nr)], columns=columns)
+
+    return _together(model, reference, None).groupBy("time").applyInPandas(run, SAL)
+
+
+OBJECTS = "time timestamp_ntz, side string, label int, centre_y double, centre_x double, size bigint, total double, most double, ratio double, major_axis double, minor_axis double, extent double, kind int"
+
+
+def sal_objects(model: DataFrame, reference: DataFrame, how: str = "F", value: float = 1 / 15, least: int = 1, most: int | None = None, sea: DataFrame | None = None) -> DataFrame:
+    """The objects that `sal` compares: a row for each time, side (model, reference) and object. sea: (y, x, sea) tells what kind they are."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        known = part.sea.notna().all()
+        m, r, water = _fields(part.assign(sea=part.sea.astype(float) if known else 0.0), ("m", "r", "sea"))
+        rows = []
+        if np.isfinite(m).any() and np.isfinite(r).any():
+            names = [labelled(f, how, value, least, most) for f in (m, r)]
+            if all(n.any() for n in names):
+                rows = [{"time": part.time.iloc[0], "side": side} | o for side, f, n in zip(("model", "reference"), (m, r), names) for o in properties(f, n, water if known else None)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in OBJECTS.split(", ")])
+
+    return _together(model, reference, sea).groupBy("time").applyInPandas(run, OBJECTS)
+
+
+def convolved(field: np.ndarray, weights: np.ndarray, fill: float = 0.0, wrap: bool = False, interpolate: bool = False, ignore_edges: bool = False, least_weight: float = 0.0) -> np.ndarray:
+    """A field convolved with centred weights by Fourier transforms, of the field's size.
+
+    Beyond the borders stands `fill`, or the field again (wrap). Missing values are
+    0, or (interpolate) left out and made up for by the weights of the others;
+    ignore_edges does so for what is beyond the borders. Places with less than
+    `least_weight` of all weight are missing; those without any are 0.
+    """
+    weights = np.nan_to_num(weights.astype(float))
+    missing = ~np.isfinite(field)
+    h, w = weights.shape[0] // 2, weights.shape[1] // 2
+    shape = field.shape if wrap else tuple(a + b - 1 for a, b in zip(field.shape, weights.shape))
+    if wrap and any(b > a for a, b in zip(field.shape, weights.shape)):
+        raise ValueError("weights that wrap are no larger than the field")
+    kernel = np.fft.rfft2(weights, shape)
+
+    def apply(x: np.ndarray, beyond: float) -> np.ndarray:
+        out = np.fft.irfft2(np.fft.rfft2(x - (0 if wrap else beyond), shape) * kernel, shape)
+        if wrap:
+            return np.roll(out, (-h, -w), (0, 1))
+        return out[h : h + x.shape[0], w : w + x.shape[1]] + beyond * weights.sum()
+
+    out = apply(np.where(missing, 0.0, field), fill)
+    if interpolate or ignore_edges:
+        share = np.maximum(apply(1.0 - missing * interpolate, 0.0 if ignore_edges else 1.0) / weights.sum(), 0)
+        share[share < 1e-12] = 0
+        with np.errstate(all="ignore"):
+            out = out / share
+        out[share < least_weight] = np.nan
+        if least_weight == 0:
+            out[share == 0] = 0
+    return out
+
+
+def smooth_fft(df: DataFrame, weights: np.ndarray, **options) -> DataFrame:
+    """`convolved` of the field of each time (time, y, x, value): for weights of many cells. A task holds one time's field; cells without a row are missing."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        found = convolved(_fields(part, ("value",))[0], weights, **options)
+        return part[["time", "y", "x"]].assign(value=found[part.y - part.y.min(), part.x - part.x.min()])
+
+    v = F.col("value")
+    return df.select("time", F.col("y").cast("int"), F.col("x").cast("int"), F.col("value").cast("double")).groupBy("time").applyInPandas(run, "time timestamp_ntz, y int, x int, value double").withColumn("value", F.when(~F.isnan(v), v))
 
 
 def amplitude(model: DataFrame, reference: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +29,10 @@ def annual_cycle(df: DataFrame, by: Sequence[str], how: str = "mean", least: flo
 
 
 def seasonal_cycle(df: DataFrame, by: Sequence[str], how: str = "mean", least: float | None = None) -> DataFrame:
-    """All four seasons for each series, pooled over the years; without rows the value is null."""
-    found = _cycle(df, by, season(F.col("time")), "season", how, least)
-    every = df.select(*by).distinct().withColumn("season", F.explode(F.array(*map(F.lit, SEASONS))))
-    return every.join(found, [*by, "season"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    """All four seasons for each series, pooled over the years; without rows the value is null. One pass, one shuffle; null keys are keys."""
+    v, of = threshold(F.col("value"), least), season(F.col("time"))
+    parts = [F.struct(F.lit(s).alias("season"), F.when(F.count_if(of == s) > 0, method(how)(F.when(of == s, v))).cast("double").alias("value"), F.count(F.when(of == s, v)).alias("n")) for s in SEASONS]
+    return df.groupBy(*by).agg(F.array(*parts).alias("_s")).select(*by, F.explode("_s").alias("_s")).select(*by, "_s.*")
 
 
 def diurnal_cycle(df: DataFrame, by: Sequence[str], how: str = "mean", least: float | None = None) -> DataFrame:
@@ -46,19 +47,41 @@ def diurnal_frequency(df: DataFrame, by: Sequence[str], least: float) -> DataFra
 
 
 def harmonic(cycle: DataFrame, by: Sequence[str], k: int = 1, hours: int = 24) -> DataFrame:
-    """Least squares m + c cos(2 pi k t / 24 - p) through (hour, value), t counting the hours present; null where one of `hours` is missing.
+    """Least squares m + c cos(2 pi k t / 24 - p) through (hour, value), t counting the hours present: (by..., amplitude, phase, level).
 
-    The three normal equations are solved in closed form from nine sums; c is not negative.
+    Null where one of `hours` is missing. The three normal equations are solved in
+    closed form from nine sums; c is not negative.
     """
-    w = Window.partitionBy(*by).orderBy("hour")
-    t = F.row_number().over(w) - 1
-    a = cycle.withColumn("_a", 2 * math.pi * k / 24 * t).select(*by, F.cos("_a").alias("x"), F.sin("_a").alias("y"), F.col("value").alias("v"))
-    sums = {"n": "count(v)", "sx": "sum(x)", "sy": "sum(y)", "sv": "sum(v)", "xx": "sum(x*x)", "yy": "sum(y*y)", "xy": "sum(x*y)", "xv": "sum(x*v)", "yv": "sum(y*v)"}
-    s = a.groupBy(*by).agg(*(F.expr(e).alias(n) for n, e in sums.items())).where(f"n = {hours}")
-    s = s.selectExpr(*by, "sv/n mv", "sx/n mx", "sy/n my", "xx - sx*sx/n cxx", "yy - sy*sy/n cyy", "xy - sx*sy/n cxy", "xv - sx*sv/n cxv", "yv - sy*sv/n cyv")
-    s = s.selectExpr(*by, "mv", "mx", "my", "(cxv*cyy - cyv*cxy)/nullif(cxx*cyy - cxy*cxy, 0) p", "(cyv*cxx - cxv*cxy)/nullif(cxx*cyy - cxy*cxy, 0) q")
-    fit = s.selectExpr(*by, "sqrt(p*p + q*q) amplitude", "atan2(q, p) phase", "mv - p*mx - q*my level")
-    return cycle.select(*by).distinct().join(fit, list(by), "left")
+    fits = _fits(cycle, by, (k,), hours)
+    return fits.select(*by, *(F.col(f"f{k}.{c}").alias(c) for c in ("amplitude", "phase", "level")))
+
+
+def _fits(cycle: DataFrame, by: Sequence[str], kinds: Sequence[int], hours: int) -> DataFrame:
+    """A column f<k> (amplitude, phase, level) for each harmonic k."""
+    t = F.row_number().over(Window.partitionBy(*by).orderBy("hour")) - 1  # 24 rows a series
+    a = cycle.select(*by, F.col("value").alias("v"), t.alias("_t"))
+    sums, fits = [F.expr("count(v)").alias("n"), F.expr("sum(v)").alias("sv")], []
+    for k in kinds:
+        x, y, v = F.cos(2 * math.pi * k / 24 * F.col("_t")), F.sin(2 * math.pi * k / 24 * F.col("_t")), F.col("v")
+        terms = {"sx": x, "sy": y, "xx": x * x, "yy": y * y, "xy": x * y, "xv": x * v, "yv": y * v}
+        sums += [F.sum(F.when(v.isNotNull(), e)).alias(f"{name}{k}") for name, e in terms.items()]
+        c = {n: f"({n[1:]}{k} - s{n[1]}{k} * s{n[2]}{'' if n[2] == 'v' else k} / n)" for n in ("cxx", "cyy", "cxy", "cxv", "cyv")}
+        det = f"nullif({c['cxx']} * {c['cyy']} - {c['cxy']} * {c['cxy']}, 0)"
+        p, q = f"(({c['cxv']} * {c['cyy']} - {c['cyv']} * {c['cxy']}) / {det})", f"(({c['cyv']} * {c['cxx']} - {c['cxv']} * {c['cxy']}) / {det})"
+        whole = lambda e: F.expr(f"case when n = {hours} then {e} end")
+        fits.append(F.struct(whole(f"sqrt({p} * {p} + {q} * {q})").alias("amplitude"), whole(f"atan2({q}, {p})").alias("phase"), whole(f"sv / n - {p} * sx{k} / n - {q} * sy{k} / n").alias("level")).alias(f"f{k}"))
+    return a.groupBy(*by).agg(*sums).select(*by, *fits)
+
+
+def harmonic_cycle(cycle: DataFrame, by: Sequence[str], hours: int = 24, points: int = 200) -> DataFrame:
+    """The first two harmonics of (hour, value), each fitted alone: (by..., c1, p1, c2, p2, curve).
+
+    curve: `points` values from hour 0 to 23, of the second fit's level and both waves.
+    """
+    f = _fits(cycle, by, (1, 2), hours).select(*by, F.col("f1.amplitude").alias("c1"), F.col("f1.phase").alias("p1"), F.col("f2.amplitude").alias("c2"), F.col("f2.phase").alias("p2"), F.col("f2.level").alias("_m"))
+    at = F.sequence(F.lit(0), F.lit(points - 1))
+    wave = lambda i: F.col("_m") + F.col("c1") * F.cos(2 * math.pi / 24 * 23 / (points - 1) * i - F.col("p1")) + F.col("c2") * F.cos(4 * math.pi / 24 * 23 / (points - 1) * i - F.col("p2"))
+    return f.select(*by, "c1", "p1", "c2", "p2", F.when(F.col("c2").isNotNull(), F.transform(at, wave)).alias("curve"))
 
 
 def percentiles(df: DataFrame, by: Sequence[str], q: Sequence[float], least: float | None = None) -> DataFrame:
@@ -81,29 +104,52 @@ def digitise(v: Column, edges: Sequence[float], closed: bool) -> Column:
     return F.when(inside, split(0, n)).otherwise(out)
 
 
-def _counts(df: DataFrame, by: Sequence[str], edges: Sequence[float], v: Column, closed: bool, *more: Column) -> DataFrame:
-    """count and total of every bin of every series, empty ones too; n: the series' values that `v` has."""
-    rows = df.select(*by, v.alias("_v"))
-    binned = rows.withColumn("bin", digitise(F.col("_v"), edges, closed))
-    found = binned.where("bin is not null").groupBy(*by, "bin").agg(F.count("*").alias("n_bin"), F.sum("_v").alias("total"))
-    every = rows.groupBy(*by).agg(F.count("_v").alias("n")).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(len(edges) - 2))))
+def binned(rows: DataFrame, by: Sequence[str], bins: int, *more: Column) -> DataFrame:
+    """count and total of every bin of every series, empty ones too, of rows (by..., bin, _v): columns bin, n_bin, total.
+
+    n: the series' values; n_in, total_in: of those in bins. `more`: further
+    aggregates of a series' rows of (bin, n_bin, total, most). Rows are counted once;
+    what follows works on a row for each bin that has members. Null keys are keys.
+    """
+    counts = rows.groupBy(*by, "bin").agg(F.count("*").alias("n_rows"), F.count("_v").alias("n_bin"), F.sum("_v").cast("double").alias("total"), F.max("_v").alias("most"))
+    inside = F.col("bin").isNotNull()
+    entry = F.struct("bin", F.struct("n_bin", "total").alias("v"))
+    one = counts.groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.when(inside, entry))).alias("_m"), F.sum("n_bin").alias("n"), F.coalesce(F.sum(F.when(inside, F.col("n_bin"))), F.lit(0)).alias("n_in"),
+        F.coalesce(F.sum(F.when(inside, F.col("total"))), F.lit(0.0)).alias("total_in"), *more,
+    )
+    every = one.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumn("_e", F.try_element_at("_m", F.col("bin")))
+    return every.withColumn("n_bin", F.coalesce("_e.n_bin", F.lit(0))).withColumn("total", F.coalesce("_e.total", F.lit(0.0))).drop("_m", "_e")
+
+
+def _counts(df: DataFrame, by: Sequence[str], edges: Sequence[float], v: Column, closed: bool) -> DataFrame:
+    rows = df.select(*by, v.alias("_v")).withColumn("bin", digitise(F.col("_v"), edges, closed))
     lo, hi = (F.element_at(F.array(*(F.lit(float(x)) for x in side)), F.col("bin") + 1) for side in (edges[:-1], edges[1:]))
-    return every.join(found, [*by, "bin"], "left").na.fill(0, ["n_bin"]).na.fill(0.0, ["total"]).withColumn("lo", lo).withColumn("hi", hi)
+    return binned(rows, by, len(edges) - 1).withColumn("lo", lo).withColumn("hi", hi)
+
 
+def histogram(df: DataFrame, by: Sequence[str], edges: Sequence[float], least: float | None = None) -> DataFrame:
+    """How many values each bin holds, the last one closed: (by..., bin, lo, hi, value)."""
+    return _counts(df, by, edges, threshold(F.col("value"), least), True).select(*by, "bin", "lo", "hi", F.col("n_bin").cast("double").alias("value"))
 
-def _of_series(by: Sequence[str]):
-    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # a row for each bin: few
 
+def pdf(df: DataFrame, by: Sequence[str], edges: Sequence[float], least: float | None = None, normalised: bool = False, dry_under: float | None = None) -> DataFrame:
+    """Density of each bin (the last one closed); normalised: its share of the sum of values (open).
 
-def pdf(df: DataFrame, by: Sequence[str], edges: Sequence[float], least: float | None = None, normalised: bool = False) -> DataFrame:
-    """Density of each bin (the last one closed); normalised: its share of the sum of values (open)."""
-    c = _counts(df, by, edges, threshold(F.col("value"), least), not normalised)
-    w = _of_series(by)
-    if normalised:
-        out = F.expr("total") / F.nullif(F.sum("total").over(w), F.lit(0.0))
-    else:
-        out = F.col("n_bin") / (F.nullif(F.sum("n_bin").over(w), F.lit(0)) * (F.col("hi") - F.col("lo")))
-    return c.select(*by, "bin", "lo", "hi", out.alias("value"))
+    dry_under: a column dry with the number of the series' values under this,
+    whatever `least` is. Null where the bins hold nothing; null values count nowhere.
+    """
+    v = threshold(F.col("value"), least)
+    c = _counts(df, by, edges, v, not normalised)
+    out = F.col("total") / F.nullif("total_in", F.lit(0.0)) if normalised else F.col("n_bin") / (F.nullif("n_in", F.lit(0)) * (F.col("hi") - F.col("lo")))
+    found = c.select(*by, "bin", "lo", "hi", out.alias("value"))
+    if dry_under is None:
+        return found
+    dry = dry_count(df, by, dry_under)
+    if not by:
+        return found.crossJoin(F.broadcast(dry.withColumnRenamed("n", "dry")))  # one row
+    named = dry.select(*(F.col(c).alias(f"_b{k}") for k, c in enumerate(by)), F.col("n").alias("dry"))
+    return found.join(named, reduce(Column.__and__, (F.col(f"_b{k}").eqNullSafe(F.col(c)) for k, c in enumerate(by)))).drop(*(f"_b{k}" for k in range(len(by))))
 
 
 def dry_count(df: DataFrame, by: Sequence[str], under: float) -> DataFrame:
@@ -129,15 +175,22 @@ def exponential_edges(n: int) -> list[float]:
 def asop(df: DataFrame, by: Sequence[str], edges: Sequence[float], least: float | None = None) -> DataFrame:
     """What each bin adds to the mean, and its share of all bins' sum."""
     c = _counts(df, by, edges, threshold(F.col("value"), least), False)
-    contrib = c.withColumn("contrib", F.col("total") / F.nullif(F.col("n"), F.lit(0)))
-    return contrib.select(*by, "bin", "lo", "hi", "contrib", (F.col("contrib") / F.nullif(F.sum("contrib").over(_of_series(by)), F.lit(0.0))).alias("share"))
+    return c.select(*by, "bin", "lo", "hi", (F.col("total") / F.nullif("n", F.lit(0))).alias("contrib"), (F.col("total") / F.nullif("total_in", F.lit(0.0))).alias("share"))
+
+
+def with_percentiles(df: DataFrame, by: Sequence[str], q: Sequence[float], least: float | None = None, name: str = "_q") -> DataFrame:
+    """Every row with an array of its series' percentiles; the whole table's (one row, broadcast) where there are no keys."""
+    v, at = threshold(F.col("value"), least), F.array(*(F.lit(x / 100) for x in q))
+    if by:
+        return df.withColumn(name, F.percentile(v, at).over(Window.partitionBy(*by)))
+    return df.crossJoin(F.broadcast(df.agg(F.percentile(v, at).alias(name))))
 
 
 def survival_fraction(df: DataFrame, by: Sequence[str], q: Sequence[float]) -> DataFrame:
-    """The share of the sum that values at or over each percentile hold."""
-    p = percentiles(df, by, q).withColumnRenamed("value", "_q")
-    joined = df.join(p, list(by)) if by else df.crossJoin(F.broadcast(p))
-    return joined.groupBy(*by, "pctl").agg((F.sum(F.when(F.col("value") >= F.col("_q"), F.col("value"))) / F.nullif(F.sum("value"), F.lit(0.0))).alias("value"))
+    """The share of the sum that values at or over each percentile hold: a row for each percentile. Null values count nowhere."""
+    v = F.col("value")
+    parts = [F.struct(F.lit(float(x)).alias("pctl"), (F.sum(F.when(v >= F.col("_q")[k], v)) / F.nullif(F.sum(v), F.lit(0.0))).alias("value")) for k, x in enumerate(q)]
+    return with_percentiles(df, by, q).groupBy(*by).agg(F.array(*parts).alias("_p")).select(*by, F.explode("_p").alias("_p")).select(*by, "_p.*")
 
 
 #: Statistics of a user: name to a function of a pandas frame of one series.
@@ -149,6 +202,8 @@ def register(name: str, f: Callable) -> None:
 
 
 def generic(df: DataFrame, by: Sequence[str], name: str, schema: str) -> DataFrame:
-    """A registered function of each series, as pandas, in time order."""
+    """A registered function of each series, as pandas, in time order. A series is one task's; so there are keys, and no function of the whole table."""
+    if not by:
+        raise ValueError("a function of one's own takes one series at a time: name its keys")
     f = OWN[name]
     return df.groupBy(*by).applyInPandas(lambda part: f(part.sort_values("time")), schema)

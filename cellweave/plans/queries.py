@@ -22,7 +22,7 @@ EV = "ev as (select user_id as cell, ts as time, value from events)"
 LI = "li as (select l_suppkey as cell, l_shipdate as time, l_quantity as value from lineitem)"
 OR = "o as (select o_custkey as cell, o_orderdate as time, o_totalprice as value from orders)"
 DAY = LI + ", d as (select cell, date_trunc('day', time)::timestamp as time, sum(value) as value from li group by all)"
-GRID = "g as (select s_suppkey as cell_id, (s_suppkey // 10)::int as y, (s_suppkey % 10)::int as x, 10.0 + s_suppkey % 10 as lon, 50.0 + s_suppkey // 10 as lat from supplier)"
+GRID = "g as (select s_suppkey as cell_id, (s_suppkey // 10)::int as y, (s_suppkey % 10)::int as x, 10.0 + s_suppkey % 10 as lon, 50.0 + (s_suppkey // 10) / 4 as lat from supplier)"
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -60,7 +60,7 @@ class Tables:
 
     def grid(self) -> DataFrame:
         c = F.col("s_suppkey")
-        return self.table("supplier").select(c.alias("cell_id"), F.floor(c / 10).cast("int").alias("y"), (c % 10).cast("int").alias("x"), (10.0 + c % 10).alias("lon"), (50.0 + F.floor(c / 10)).alias("lat"))
+        return self.table("supplier").select(c.alias("cell_id"), F.floor(c / 10).cast("int").alias("y"), (c % 10).cast("int").alias("x"), (10.0 + c % 10).alias("lon"), (50.0 + F.floor(c / 10) / 4).alias("lat"))
 
 
 # cycles and moments
@@ -80,8 +80,8 @@ for _name, _how, _freq, _unit in (("moments_daily_mean", "mean", "D", "day"), ("
     query(_name, f"with {LI} select cell, date_trunc('{_unit}', time)::timestamp as time, round({SQL_METHOD[_how].format('value')}, 6) as value from li group by all")(lambda t, how=_how, freq=_freq: statistics.moments(t.items(), BY, how, freq))
 query("moments_all_median", f"with {LI} select cell, round(quantile_cont(value, 0.5), 6) as value from li group by all")(lambda t: statistics.moments(t.items(), BY, "median"))
 query("moments_pooled_mean", f"with {LI} select round(avg(value), 6) as value from li")(lambda t: statistics.moments(t.items(), []))
-query("resample_6h_sum", f"with {EV} select cell, time_bucket(interval 6 hour, time, timestamp '1970-01-01') as time, round(sum(value), 6) as value from ev group by all")(lambda t: series.resample(t.events(), BY, "6H", "sum"))
-query("resample_3h_midpoint_label", f"with {EV} select cell, time_bucket(interval 3 hour, time, timestamp '1970-01-01') + interval 90 minute as time, round(avg(value), 6) as value from ev group by all")(lambda t: series.resample(t.events(), BY, "3H", "mean", middle=True))
+query("resample_6h_sum", f"with {EV} select cell, time_bucket(interval 6 hour, time, timestamp '1970-01-01') as time, round(sum(value), 6) as value from ev group by all")(lambda t: series.resample(t.events(), BY, "6H", "sum", label="start"))
+query("resample_3h_midpoint_label", f"with {EV} select cell, time_bucket(interval 3 hour, time, timestamp '1970-01-01') + interval 90 minute as time, round(avg(value), 6) as value from ev group by all")(lambda t: series.resample(t.events(), BY, "3H", "mean"))
 query("resample_qs_dec", f"with {LI} select cell, (date_trunc('quarter', time + interval 1 month) - interval 1 month)::timestamp as time, round(avg(value), 6) as value from li group by all")(lambda t: series.resample(t.items(), BY, "QS-DEC"))
 query("select_months", f"with {LI} select cell, count(*) as n, round(sum(value), 6) as total from li where year(time) between 1996 and 1998 and month(time) in (6, 7, 8) group by all")(lambda t: series.select_years(t.items(), 1996, 1998, [6, 7, 8]).groupBy("cell").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
 query("select_interval", f"with {LI} select cell, count(*) as n from li where time >= '1996-03-01' and time < '1997-03-01' group by all")(lambda t: series.select_interval(t.items(), "1996-03", "1997-02").groupBy("cell").agg(F.count("*").alias("n")))
@@ -117,7 +117,7 @@ def halves(t: Tables, edges):
 _E = statistics.klingaman_edges(40)
 query("asop_fc_index", f"with {LI}, a as (select * from li where month(time) <= 6), b as (select * from li where month(time) > 6), x as (with {bins_sql(_E, False, 'a')} select cell, bin, total / nullif(sum(total) over (partition by cell), 0) as share from c), y as (with {bins_sql(_E, False, 'b')} select cell, bin, total / nullif(sum(total) over (partition by cell), 0) as share from c) select cell, round(sum(abs(x.share - y.share)), 6) as value from x join y using (cell, bin) group by all")(lambda t: compare.share_index(*halves(t, _E), BY))
 query("perkins_skill_score", f"with {LI}, a as (select * from li where month(time) <= 6), b as (select * from li where month(time) > 6), x as (with {bins_sql(EDGES, True, 'a')} select cell, bin, n_bin / (nullif(sum(n_bin) over (partition by cell), 0) * (hi - lo)) as p from c), y as (with {bins_sql(EDGES, True, 'b')} select cell, bin, n_bin / (nullif(sum(n_bin) over (partition by cell), 0) * (hi - lo)) as p from c) select cell, round(sum(least(x.p, y.p)), 6) as value from x join y using (cell, bin) group by all")(lambda t: indices.skill(*(statistics.pdf(t.items().where(c), BY, EDGES) for c in ("month(time) <= 6", "month(time) > 6")), BY))
-query("survival_fraction", f"with {LI}, q as (select cell, p::double as pctl, quantile_cont(value, [0.5, 0.9, 0.99])[i] as q from li, (values (1, 50), (2, 90), (3, 99)) v(i, p) group by cell, i, p) select cell, pctl, round(sum(value) filter (value >= q - 1e-9) / sum(value), 6) as value from li join q using (cell) group by all")(lambda t: statistics.survival_fraction(t.items(), BY, [50, 90, 99]))
+query("survival_fraction", f"with {LI}, q as (select cell, p::double as pctl, quantile_cont(value, [0.5, 0.9, 0.99])[i] as q from li, (values (1, 50), (2, 90), (3, 99)) v(i, p) group by cell, i, p) select cell, pctl, round(sum(value) filter (value >= q) / sum(value), 6) as value from li join q using (cell) group by all")(lambda t: statistics.survival_fraction(t.items(), BY, [50, 90, 99]))
 query("ranked_cumsum", f"with {EV} select cell, row_number() over w as place, round(value, 6) as value, round(sum(value) over (w rows unbounded preceding) / sum(value) over (partition by cell), 6) as share from ev window w as (partition by cell order by value desc, time)")(lambda t: indices.ranked_share(t.events(), BY, ["time"]))
 query("prob_of_exceedance", f"with {EV} select cell, row_number() over w as place, round(value, 6) as value, round(1 - (row_number() over w - 1) / nullif(count(*) over (partition by cell) - 1, 0), 6) as chance from ev window w as (partition by cell order by value, time)")(lambda t: indices.exceedance(t.events(), BY, ["time"]))
 
@@ -125,7 +125,7 @@ query("prob_of_exceedance", f"with {EV} select cell, row_number() over w as plac
 query("rxx_count", f"with {LI} select cell, count(*) filter (value > 40) as value from li group by all")(lambda t: indices.days_over(t.items(), BY, 40.0))
 query("rxx_normalized", f"with {LI} select cell, round(count(*) filter (value > 40) / count(value), 6) as value from li group by all")(lambda t: indices.days_over(t.items(), BY, 40.0, True))
 query("rrtx", f"with {LI} select cell, round(coalesce(sum(value) filter (value >= 30), 0), 6) as value from li group by all")(lambda t: indices.total_from(t.items(), BY, 30.0))
-query("rrpx", f"with {LI}, q as (select cell, quantile_cont(value, 0.95) filter (value >= 1) as q from li group by all) select cell, round(sum(value) filter (value >= q - 1e-9), 6) as value from li join q using (cell) group by all")(lambda t: indices.total_from_percentile(t.items(), BY, 95, 1.0))
+query("rrpx", f"with {LI}, q as (select cell, quantile_cont(value, 0.95) filter (value >= 1) as q from li group by all) select cell, round(sum(value) filter (value >= q), 6) as value from li join q using (cell) group by all")(lambda t: indices.total_from_percentile(t.items(), BY, 95, 1.0))
 query("sdii", f"with {LI} select cell, round(avg(value) filter (value >= 10), 6) as value from li group by all")(lambda t: indices.intensity(t.items(), BY, 10.0))
 query("ehi", f"with {DAY}, m as (select cell, avg(value) over w as m, count(value) over w as n from d window w as (partition by cell order by time rows 2 preceding)) select cell, count(*) filter (n = 3 and m > 40) as value from m group by all")(lambda t: indices.heat_index(t.days(), BY, 40.0))
 query("running_mean", f"with {DAY} select cell, time, round(value, 6) as value, round(sum(value) over (partition by cell order by time rows between 2 preceding and 2 following) / 5, 6) as mean from d")(lambda t: indices.running_mean(t.days(), BY, 5))
@@ -156,7 +156,16 @@ query("ffill_align", f"with {DAY}, m as (select cell, date_trunc('month', time):
 query("derived_variable", f"with {LI}, a as (select cell, date_trunc('month', time)::timestamp as time, max(value) as a from li group by all), b as (select cell, date_trunc('month', time)::timestamp as time, min(value) as b from li group by all) select cell, time, round(sqrt(a * a + b * b), 6) as value from a join b using (cell, time)")(lambda t: series.derive("sqrt(hi * hi + lo * lo)", BY, hi=series.resample(t.items(), BY, "MS", "max"), lo=series.resample(t.items(), BY, "MS", "min")))
 query("condition_static", f"with {DAY}, k as (select cell, date_trunc('month', time)::timestamp as m, avg(value) as a from d group by all) select cell, time, round(case when a > 28 then value end, 6) as value from d join k using (cell) where k.m = date_trunc('month', time)")(lambda t: series.condition(t.days(), series.resample(t.days(), BY, "MS"), BY, ">", 28.0, freq="MS"))
 query("condition_percentile", f"with {DAY}, q as (select cell, quantile_cont(value, 0.75) as q from d group by all) select cell, time, round(case when value > q then value end, 6) as value from d join q using (cell)")(lambda t: series.condition(t.days(), t.days(), BY, ">", percentile=75))
-query("harmonic_fit", None)(lambda t: statistics.harmonic(statistics.diurnal_cycle(t.events().withColumn("g", F.col("cell") % 3), ["g"]), ["g"]))
+def harmonic_sql(k: int) -> str:
+    """p, q and level of one harmonic of the cycle c (g, t, v), 24 hours each."""
+    x, y = f"cos(2 * pi() * {k} / 24 * t)", f"sin(2 * pi() * {k} / 24 * t)"
+    cov = lambda a, b: f"(sum({a} * {b}) - sum({a}) * sum({b}) / count(v))"
+    det = f"({cov(x, x)} * {cov(y, y)} - {cov(x, y)} * {cov(x, y)})"
+    return f"({cov(x, 'v')} * {cov(y, y)} - {cov(y, 'v')} * {cov(x, y)}) / {det} as p{k}, ({cov(y, 'v')} * {cov(x, x)} - {cov(x, 'v')} * {cov(x, y)}) / {det} as q{k}, avg({x}) as x{k}, avg({y}) as y{k}"
+
+
+CYCLE = f"{EV}, c0 as (select cell % 3 as g, hour(time) as h, avg(value) as v from ev group by all), c as (select g, v, row_number() over (partition by g order by h) - 1 as t from c0)"
+query("harmonic_fit", f"with {CYCLE}, f as (select g, count(v) as n, avg(v) as m, {harmonic_sql(1)} from c group by g) select g, round(case when n = 24 then sqrt(p1 * p1 + q1 * q1) end, 6) as amplitude, round(case when n = 24 then atan2(q1, p1) end, 6) as phase, round(case when n = 24 then m - p1 * x1 - q1 * y1 end, 6) as level from f")(lambda t: statistics.harmonic(statistics.diurnal_cycle(t.events().withColumn("g", F.col("cell") % 3), ["g"]), ["g"]))
 
 # space and comparison
 RING = [(10.5, 49.5), (16.2, 49.5), (18.4, 54.3), (13.1, 57.2), (12.2, 53.4)]
@@ -173,7 +182,9 @@ query("regional_mean", f"with {GRID}, {LI} select 'North' as region, month(time)
 query("region_crop", f"with {GRID}, {LI} select count(*) as n, round(sum(value), 6) as total from li join g on cell = cell_id where {IN_RING}")(lambda t: grid.mask(t.items().withColumnRenamed("cell", "cell_id"), grid.membership(t.grid(), _ring(t)), crop=True).agg(F.count("*").alias("n"), F.sum("value").alias("total")))
 query("nearest_cell", f"with {GRID}, p(point, a, b) as (values ('p', 12.3, 52.2), ('q', 15.5, 50.5), ('r', 0.0, 0.0)) select point, arg_min(cell_id, (sqrt((lon - a) * (lon - a) + (lat - b) * (lat - b)), y, x)) as cell_id, round(min(sqrt((lon - a) * (lon - a) + (lat - b) * (lat - b))), 6) as distance from g, p group by all")(lambda t: grid.nearest(t.spark.createDataFrame([("p", 12.3, 52.2), ("q", 15.5, 50.5), ("r", 0.0, 0.0)], "point string, lon double, lat double"), t.grid()))
 query("wrap_longitude", "select s_suppkey as cell_id, round(((s_suppkey * 37 + 180) % 360)::double - 180, 6) as lon from supplier")(lambda t: t.table("supplier").select(F.col("s_suppkey").alias("cell_id"), grid.wrap_longitude((F.col("s_suppkey") * 37).cast("double")).alias("lon")))
-query("rotated_pole", None)(lambda t: (lambda c: t.grid().select("cell_id", c[0].alias("lon"), c[1].alias("lat")))(grid.rotate(F.col("lon"), F.col("lat"), -162.0, 39.25)))
+TILT = "radians(90 - 39.25)"
+XYZ = "v as (select cell_id, cos(radians(lon)) * cos(radians(lat)) as a, sin(radians(lon)) * cos(radians(lat)) as b, sin(radians(lat)) as c from g)"
+query("rotated_pole", f"with {GRID}, {XYZ}, r as (select cell_id, degrees(atan2(b, cos({TILT}) * a - sin({TILT}) * c)) + 180 - 162 as lon, degrees(asin(greatest(-1, least(1, sin({TILT}) * a + cos({TILT}) * c)))) as lat from v) select cell_id, round(lon + 180 - 360 * floor((lon + 180) / 360) - 180, 6) as lon, round(lat, 6) as lat from r")(lambda t: (lambda c: t.grid().select("cell_id", c[0].alias("lon"), c[1].alias("lat")))(grid.rotate(F.col("lon"), F.col("lat"), -162.0, 39.25)))
 query("model_minus_reference", f"with {LI}, a as (select cell, month(time)::bigint as month, avg(value) as v from li where year(time) <= 1997 group by all), b as (select cell, month(time)::bigint as month, avg(value) as v from li where year(time) > 1997 group by all) select cell, month, round(a.v - b.v, 6) as value from a join b using (cell, month)")(lambda t: compare.difference(*(statistics.annual_cycle(t.items().where(c), BY) for c in ("year(time) <= 1997", "year(time) > 1997")), ["cell", "month"]))
 query("trend_line", f"with {LI}, y as (select cell, year(time) as year, avg(value) as value from li group by all) select cell, round(regr_slope(value, year - 1990), 5) as slope, round(regr_intercept(value, year - 1990), 5) as intercept from y group by all")(lambda t: rounded(compare.trend(series.resample(t.items(), BY, "YS").withColumn("year", F.year("time") - 1990), BY, "year"), 5))
 query("ttest", f"with {LI}, a as (select cell, avg(value) as m, var_samp(value) / count(value) as e, count(value) as n from li where month(time) <= 6 group by all), b as (select cell, avg(value) as m, var_samp(value) / count(value) as e, count(value) as n from li where month(time) > 6 group by all) select cell, round((a.m - b.m) / sqrt(a.e + b.e), 6) as t, a.n + b.n - 2 as df from a join b using (cell)")(lambda t: compare.t_test(t.items().where("month(time) <= 6"), t.items().where("month(time) > 6"), BY))
@@ -181,16 +192,18 @@ query("ttest", f"with {LI}, a as (select cell, avg(value) as m, var_samp(value)
 
 def coarse(t: Tables) -> DataFrame:
     """Cells of two by two of the grid's."""
-    return t.grid().select(F.floor(F.col("x") / 2).cast("int").alias("x"), F.floor(F.col("y") / 2).cast("int").alias("y")).distinct().withColumn("cell_id", (F.col("y") * 100 + F.col("x")).cast("bigint")).withColumn("lon", 10.5 + 2 * F.col("x")).withColumn("lat", 50.5 + 2 * F.col("y"))
+    return t.grid().select(F.floor(F.col("x") / 2).cast("int").alias("x"), F.floor(F.col("y") / 2).cast("int").alias("y")).distinct().withColumn("cell_id", (F.col("y") * 100 + F.col("x")).cast("bigint")).withColumn("lon", 10.5 + 2 * F.col("x")).withColumn("lat", 50.125 + F.col("y") / 2)
 
 
 def bounds(g: DataFrame, half: float) -> DataFrame:
-    return g.select("*", (F.col("lon") - half).alias("lon_lo"), (F.col("lon") + half).alias("lon_hi"), (F.col("lat") - half).alias("lat_lo"), (F.col("lat") + half).alias("lat_hi"))
+    """Cells as wide as their step, a quarter as high."""
+    return g.select("*", (F.col("lon") - half).alias("lon_lo"), (F.col("lon") + half).alias("lon_hi"), (F.col("lat") - half / 4).alias("lat_lo"), (F.col("lat") + half / 4).alias("lat_hi"))
 
 
-query("regrid_conservative", f"with {GRID}, {LI}, m as (select cell as cell_id, month(time)::bigint as month, avg(value) as value from li group by all), w as (select cell_id, (y // 2) * 100 + x // 2 as target, (sin(radians(lat + 0.5)) - sin(radians(lat - 0.5))) as w from g) select target::bigint as cell_id, month, round(sum(value) / count(*), 6) as value from m join w using (cell_id) group by all")(lambda t: grid.regrid(statistics.annual_cycle(t.items().withColumnRenamed("cell", "cell_id"), ["cell_id"]).select("cell_id", "month", "value"), grid.conservative_weights(bounds(t.grid(), 0.5), bounds(coarse(t), 1.0)), coarse(t), ["month"]).where("month is not null"))
-query("regrid_bilinear", None)(lambda t: grid.regrid(statistics.annual_cycle(t.items().withColumnRenamed("cell", "cell_id"), ["cell_id"]).select("cell_id", "month", "value"), grid.bilinear_weights(t.grid(), coarse(t)), coarse(t), ["month"]))
-query("grid_corners", None)(lambda t: grid.corners(t.grid()))
+query("regrid_conservative", f"with {GRID}, {LI}, m as (select cell as cell_id, month(time)::bigint as month, avg(value) as value from li group by all), w as (select cell_id, (y // 2) * 100 + x // 2 as target from g) select target::bigint as cell_id, month, round(sum(value) / count(*), 6) as value from m join w using (cell_id) group by all")(lambda t: grid.regrid(statistics.annual_cycle(t.items().withColumnRenamed("cell", "cell_id"), ["cell_id"]).select("cell_id", "month", "value"), grid.conservative_weights(bounds(t.grid(), 0.5), bounds(coarse(t), 1.0)), coarse(t), ["month"]).where("month is not null"))
+FULL = "q as (select (y // 2) * 100 + x // 2 as target, count(*) as n from g group by all)"
+query("regrid_bilinear", f"with {GRID}, {LI}, {FULL}, m as (select cell as cell_id, month(time)::bigint as month, avg(value) as value from li group by all), r as (select target, month, avg(value) as value from m join g using (cell_id) join q on target = (y // 2) * 100 + x // 2 where n = 4 group by all) select target::bigint as cell_id, month, round(value, 6) as value from r union all select target::bigint, month, null from q, (select distinct month from m) where n < 4")(lambda t: grid.regrid(statistics.annual_cycle(t.items().withColumnRenamed("cell", "cell_id"), ["cell_id"]).select("cell_id", "month", "value"), grid.bilinear_weights(t.grid(), coarse(t)), coarse(t), ["month"]))
+query("grid_corners", f"with {GRID}, k as (select count(distinct y) > 1 as several from g) select cell_id, y::bigint as y, x::bigint as x, lon::double as lon, lat::double as lat, lon::double - 0.5 as lon_lo, lon::double + 0.5 as lon_hi, case when several then lat - 0.125 end as lat_lo, case when several then lat + 0.125 end as lat_hi from g, k")(lambda t: grid.corners(t.grid()))
 SAL_FIELDS = f"with {GRID}, {LI}, a as (select cell, date_trunc('month', time)::timestamp as time, sum(value) as v from li where day(time) <= 15 group by all), b as (select cell, date_trunc('month', time)::timestamp as time, sum(value) as v from li where day(time) > 15 group by all)"
 
 
@@ -201,7 +214,8 @@ def fields(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 query("sal_amplitude", SAL_FIELDS + ", p as (select time, avg(v) as m from a group by all), q as (select time, avg(v) as r from b group by all) select time, round((m - r) / ((m + r) / 2), 6) as a from p join q using (time)")(lambda t: objects.amplitude(*fields(t)))
 query("sal_structure_location", None)(lambda t: objects.sal(*fields(t), how="P", value=80))
-query("smooth_2d", None)(lambda t: objects.smooth(fields(t)[0], objects.kernel(3), ["time"], *t.grid().agg(F.max("y") + 1, F.max("x") + 1).first()))
+SIDE = "case when {0} + {1} < 0 then -({0} + {1}) - 1 when {0} + {1} >= {2} then 2 * {2} - 1 - ({0} + {1}) else {0} + {1} end"
+query("smooth_2d", SAL_FIELDS + f", f as (select time, y, x, v from a join g on cell = cell_id), n as (select max(y) + 1 as h, max(x) + 1 as w from g), k(d) as (values (-1), (0), (1)), asked as (select f.time, f.y, f.x, {SIDE.format('f.y', 'dy.d', 'h')} as y2, {SIDE.format('f.x', 'dx.d', 'w')} as x2 from f, n, k dy, k dx) select asked.time as time, asked.y::bigint as y, asked.x::bigint as x, round(sum(f.v) / 9, 6) as value from asked join f on f.time = asked.time and f.y = y2 and f.x = x2 group by all")(lambda t: objects.smooth(fields(t)[0], objects.kernel(3), ["time"], *t.grid().agg(F.max("y") + 1, F.max("x") + 1).first()))
 query("block_bootstrap", None)(lambda t: indices.block_bootstrap(t.days(), BY, 5, 4).groupBy("cell", "sample").agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
 
 # moist air and wind, over the items' numbers

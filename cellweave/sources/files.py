@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from cellweave.operators.grid import rotate
+from cellweave.operators.series import clean, deaccumulate
+from cellweave.operators.series import keep_last as last_rows
 
 #: Names that coordinates go by, first choice first (fixed values).
 X_NAMES, Y_NAMES = ("lon", "rlon", "longitude", "x", "X", "i"), ("lat", "rlat", "latitude", "y", "Y", "j")
@@ -20,27 +26,135 @@ def coordinate(columns: Sequence[str], names: Sequence[str]) -> str:
     raise ValueError(f"none of {names} among {list(columns)}")
 
 
-def in_months(paths: Sequence[str], first: int, last: int, months: Sequence[int]) -> list[str]:
-    """Paths whose last two dates (YYYYMM...) hold one of the months of the years first to last."""
-    wanted = [f"{y:04d}{m:02d}" for y in range(first, last + 1) for m in months]
-    out = []
-    for path in sorted(paths):
-        dates = re.findall(r"(\d{6})\d*", path.rsplit("/", 1)[-1])
-        if len(dates) < 2:
-            raise ValueError(f"no two dates in {path}")
-        if any(dates[-2] <= m <= dates[-1] for m in wanted):
-            out.append(path)
+def find(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in any store that Spark reads, sorted."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    out = sorted(s.getPath().toString() for s in found or [])
+    if not out:
+        raise FileNotFoundError(f"no file matches {pattern}")
+    return out
+
+
+def dates_of(path: str) -> tuple[str, str]:
+    """First and last month (YYYYMM) of a file, from the last two dates in its name; of one date, both."""
+    dates = re.findall(r"(?<!\d)(\d{6})\d*", path.rstrip("/").rsplit("/", 1)[-1])
+    if not dates:
+        raise ValueError(f"no dates in {path}")
+    return dates[-2] if len(dates) > 1 else dates[-1], dates[-1]
+
+
+def in_any_month(paths: Sequence[str], months: Sequence[str]) -> list[str]:
+    """Paths whose dates hold one of the months (YYYYMM). Names of different lengths bring a warning, for they may be of different kinds."""
+    out = [p for p in sorted(paths) if any(dates_of(p)[0] <= m <= dates_of(p)[1] for m in months)]
     if not out:
         raise FileNotFoundError("no file holds the months asked for")
+    if len({len(p) for p in out}) > 1:
+        warnings.warn("file names differ in length: all are read", stacklevel=2)
+    return out
+
+
+def in_months(paths: Sequence[str], first: int, last: int, months: Sequence[int]) -> list[str]:
+    """Paths whose dates hold one of the months of the years first to last."""
+    return in_any_month(paths, [f"{y:04d}{m:02d}" for y in range(first, last + 1) for m in months])
+
+
+def observation_files(spark: SparkSession, entry: dict, first: str, last: str) -> list[str]:
+    """Files of a catalogue's entry ({path, file pattern}) from the one that holds the month `first` to the one that holds `last` (YYYYMM).
+
+    The pattern has YYYYMM where a file's first and last month stand, or once.
+    """
+    pattern = entry["file pattern"]
+    start, end = pattern.find("YYYYMM"), pattern.rfind("YYYYMM")
+    if start < 0:
+        raise ValueError(f"no YYYYMM in {pattern}")
+    suffix = pattern.rsplit(".", 1)[-1]
+    paths = find(spark, f"{entry['path']}/{pattern[:start]}*.{suffix}")
+    names = [p.rsplit("/", 1)[-1] for p in paths]
+    spans = [(n[start : start + 6], n[end : end + 6]) for n in names]
+    places = []
+    for month in (first, last):
+        at = [k for k, (a, b) in enumerate(spans) if a <= month <= b]
+        if not at:
+            raise FileNotFoundError(f"no file of {entry['path']} holds {month}")
+        places.append(at[0])
+    return paths[places[0] : places[1] + 1]
+
+
+#: Cells of a row that a cell's number has room for.
+ROW_CELLS = 1_000_000
+
+
+def cells_of(df: DataFrame) -> DataFrame:
+    """A table of grid values with cell_id, y, x, lon and lat, of coordinates by any of their usual names.
+
+    Without y and x, a rectilinear grid's rows and columns are numbered in
+    ascending order of latitude and longitude. Longitudes over 180 are wrapped.
+    """
+    names = df.columns
+    x, y = coordinate([c for c in names if c not in ("x", "y")] or names, X_NAMES), coordinate([c for c in names if c not in ("x", "y")] or names, Y_NAMES)
+    out = df.withColumnsRenamed({x: "lon", y: "lat"}).withColumn("lon", F.when(F.col(x) > 180, F.pmod(F.col(x) + 180.0, F.lit(360.0)) - 180.0).otherwise(F.col(x)).cast("double"))
+    if not {"y", "x"} <= set(names):
+        for c, name in (("lat", "y"), ("lon", "x")):
+            line = out.select(c).distinct().withColumn(name, (F.row_number().over(Window.orderBy(c)) - 1).cast("int"))  # a row for each line of the grid
+            out = out.join(F.broadcast(line), c)
+    if "cell_id" not in names:
+        out = out.withColumn("cell_id", F.col("y").cast("bigint") * ROW_CELLS + F.col("x"))
     return out
 
 
+def read_grid(spark: SparkSession, path: str) -> DataFrame:
+    """The cells (cell_id, y, x, lon, lat) of a Parquet file that has at least longitudes and latitudes."""
+    return cells_of(spark.read.parquet(path)).select("cell_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "lon", "lat").distinct()
+
+
+def read_bounds(spark: SparkSession, path: str, variable: str) -> DataFrame:
+    """A bound for each cell (cell_id, value) of a file without times."""
+    df = spark.read.parquet(path)
+    if "time" in df.columns:
+        raise ValueError("bounds from a file have no times")
+    return cells_of(df).select("cell_id", clean(F.col(variable)).alias("value"))
+
+
+def open_series(spark: SparkSession, paths: Sequence[str], variable: str, accumulated: bool = False, keep_last: bool = True, rotated: tuple[float, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The series (cell_id, time, value) and the grid (cell_id, y, x, lon, lat) of Parquet files.
+
+    A time that several files hold is that of the last of them by name.
+    accumulated: counters, which start anew in each file, as steps. rotated: the
+    pole (lon, lat) of the grid's coordinates. Days with fractions become times.
+    """
+    df = spark.read.option("mergeSchema", "true").parquet(*paths).withColumn("_file", F.col("_metadata.file_path"))
+    time = F.col("time") if dict(df.dtypes)["time"] not in ("double", "float", "int", "bigint") else fractional_day(F.col("time"))
+    df = cells_of(df).withColumn("time", time.cast("timestamp_ntz")).withColumn("value", clean(F.col(variable)))
+    g = df.select("cell_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "lon", "lat").distinct()
+    if rotated:
+        lon, lat = rotate(F.col("lon"), F.col("lat"), *rotated)
+        g = g.select("cell_id", "y", "x", lon.alias("lon"), lat.alias("lat"))
+    rows = df.select("cell_id", "time", "value", "_file")
+    if accumulated:
+        rows = deaccumulate(rows, ["cell_id"], file="_file", keep_file=True)
+    if keep_last and len(paths) > 1:
+        rows = last_rows(rows, ["cell_id"], ["_file"])
+    return rows.select("cell_id", "time", "value"), g
+
+
 def read_series(spark: SparkSession, paths: Sequence[str], dataset: str, variable: str, by: Sequence[str], time: str, value: str, scale: float = 1.0, offset: float = 0.0) -> DataFrame:
     """(dataset, variable, by..., time, value) of Parquet files, NaN as null."""
-    df = spark.read.parquet(*paths)
-    v = F.col(value).cast("double")
-    v = F.when(~F.isnan(v), v) * scale + offset
-    return df.select(F.lit(dataset).alias("dataset"), F.lit(variable).alias("variable"), *by, F.col(time).cast("timestamp_ntz").alias("time"), v.alias("value"))
+    v = clean(F.col(value)) * scale + offset
+    return spark.read.parquet(*paths).select(F.lit(dataset).alias("dataset"), F.lit(variable).alias("variable"), *by, F.col(time).cast("timestamp_ntz").alias("time"), v.alias("value"))
+
+
+def grid_text(rings: DataFrame, columns: int, rows: int) -> str:
+    """The text that describes a bent grid (of `grid.cell_rings`): centres and corners, six numbers a line. As long as the grid, which one machine writes."""
+    cells = rings.orderBy("y", "x").select("lon", "lat", "ring").collect()
+
+    def lines(values: Sequence[float]) -> str:
+        return "\n".join(" ".join(map(str, values[k : k + 6])) for k in range(0, len(values), 6))
+
+    parts = ["#\n# gridID 0\n#\ngridtype  = curvilinear", f"gridsize  = {columns * rows}", "xname     = lon", "xlongname = longitude", "xunits    = degrees_east", "yname     = lat", "ylongname = latitude", "yunits    = degrees_north", f"xsize     = {columns}", f"ysize     = {rows}"]
+    for c, name in (("lon", "x"), ("lat", "y")):
+        parts += [f"{name}vals     =\n{lines([r[c] for r in cells])}", f"{name}bounds     =\n{lines([p[name] for r in cells for p in r['ring']])}"]
+    return "\n".join(parts)
 
 
 def read_region(text: str, name: str) -> tuple[str, list[tuple[float, float]]]:
