@@ -165,18 +165,18 @@ def repeated_spans(docs: DataFrame, least_words: int = 16, id_col: str = "doc_id
     scratch = Scratch(spark, "chunks")
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     taken = rows.mapInArrow(_windows(least_words), WINDOWS).select("doc_id", "fp", F.explode("windows").alias("c")).select("doc_id", "fp", "c.*")
-    taken = scratch.store(taken, "windows")
+    # windows are cheaper to cut twice than to store: each pass shuffles, and its files are gone before the next
     many = taken.groupBy("digest").agg(F.min(F.struct("doc_id", "fp", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     many = scratch.store(many.select("digest", "first"), "many")
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("fp") == F.col("first.fp")) & (F.col("start") < F.col("first.start") + F.col("size"))
-    later = taken.join(many, "digest").where(~own).select("doc_id", "fp", "start", "size", "word", "words", F.col("first.doc_id").alias("keeper"))
+    later = taken.join(many.hint("merge"), "digest").where(~own).select("doc_id", "fp", "start", "size", "word", "words", F.col("first.doc_id").alias("keeper"))
     order = Window.partitionBy("doc_id", "fp").orderBy("start")
     placed = later.withColumn("reached", F.max(F.col("start") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     runs = placed.withColumn("run", F.sum(F.when(F.col("reached") >= F.col("start"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "fp", "run")
     end, last = F.max(F.col("start") + F.col("size")), F.max(F.col("word") + F.col("words"))
     found = runs.agg(F.min("start").alias("start"), (end - F.min("start")).cast("int").alias("size"), (last - F.min("word")).cast("int").alias("words"), F.min_by("keeper", "start").alias("keeper"))
     found = scratch.store(found.drop("run"), "spans")
-    scratch.drop("windows", "many")
+    scratch.drop("many")
     return found
 
 
