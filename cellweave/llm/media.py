@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, prepare
-from .webp import MOST_SIDE, OPAQUE, decode, encode
+from .common import Scratch, pick, prepare
+from .webp import MOST_SIDE, OPAQUE, decode, encode, encode_grey
 
 #: Samples in a row of the image; what fills the last row.
 ROW, FILL = 576, 255
-#: Least samples of one value in a row that become a back-reference.
-RUN = 24
+#: Least samples of one value in a row that become a back-reference; the share of samples equal to those above from which they are predicted.
+RUN, ALIKE = 24, 0.3
 
 MEDIA = "doc_id bigint, n_bytes bigint, media binary"
 FEATURES = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
@@ -42,17 +42,27 @@ def _runs(flat: np.ndarray) -> list[tuple[int, int, int]]:
 def to_media(payload: np.ndarray) -> bytes:
     """The samples as grey pixels in rows of ROW; over MOST_SIDE rows, several files follow each other.
 
-    Images of up to 16 values get a palette, which bundles pixels; others lose
-    red and blue to the subtraction of green.
+    Images of up to 16 values get a palette, which bundles pixels. In others red
+    and blue lose green, which leaves nothing of them. Where rows repeat, pixels
+    are predicted from those above. All but these use the colour cache for
+    repeated values, if there are few.
     """
     files = []
     for k in range(0, len(payload), ROW * MOST_SIDE):
         grey = payload[k : k + ROW * MOST_SIDE].reshape(-1, ROW)
-        image = grey.astype(np.uint32) * np.uint32(0x010101) | np.uint32(OPAQUE)
-        if np.count_nonzero(np.bincount(grey.ravel(), minlength=256)) <= 16:
+        few = np.count_nonzero(np.bincount(grey.ravel(), minlength=256)) <= 16
+        above = len(grey) > 1 and not few and np.count_nonzero(grey[1:] == grey[:-1]) > ALIKE * grey.size
+        if few or above:
+            image = grey.astype(np.uint32) * np.uint32(0x010101) | np.uint32(OPAQUE)
+        if few:
             files.append(encode(image, palette=True))
+        elif above:
+            tiles = np.full((-(-len(grey) // 512), -(-ROW // 512)), 2)
+            rest = grey - np.concatenate([np.zeros((1, ROW), np.uint8), grey[:-1]])
+            rest[0] = np.diff(grey[0], prepend=np.uint8(0))
+            files.append(encode(image, green=True, modes=tiles, bits=9, references=_runs(rest.ravel())))
         else:
-            files.append(encode(image, green=True, references=_runs(grey.ravel())))
+            files.append(encode_grey(grey, _runs(grey.ravel())))
     return b"".join(files)
 
 
@@ -106,6 +116,12 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_encode, MEDIA)
 
 
+def stored_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The media of `encode_texts` written to the shared folder, read back and described: FEATURES."""
+    scratch = Scratch(docs.sparkSession, "media")
+    return media_features(scratch.store(encode_texts(docs, id_col, text_col), "media"))
+
+
 def media_features(media: DataFrame) -> DataFrame:
     """Decode each stored file (doc_id, n_bytes, media) and describe its samples: FEATURES. A broken file is an error."""
     return pick(media, doc_id="doc_id", n_bytes="n_bytes", media="media").where("media is not null").mapInArrow(_features, FEATURES)

@@ -41,7 +41,7 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.encode_texts(table(spark, sf_dir, "documents")))
+    return media.stored_features(table(spark, sf_dir, "documents"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,34 +83,39 @@ class Code:
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
         if len(used) == 1:
-            self.bits, self.table = 0, np.array([int(used[0]) << 4])
+            self.bits, self.table = 0, np.array([int(used[0]) << 4], np.int32)
         else:
             if sum(2.0 ** -int(n) for n in lengths[used]) != 1:
                 raise ValueError("incomplete prefix code")
             self.bits = int(lengths.max())
             order = used[np.argsort(lengths[used], kind="stable")]
             straight = np.repeat(order << 4 | lengths[order], 1 << (self.bits - lengths[order]))
-            self.table = straight[_mirror(self.bits)]
+            self.table = straight[_mirror(self.bits)].astype(np.int32)
         self.mask = (1 << self.bits) - 1
         self.entries = self.table.tolist()
 
-    def pairs(self) -> list[int]:
-        """For each window, up to two literals: second << 20 | first << 12 | count << 8 | bits, or -1 where a symbol over 255 comes first."""
-        one, n1 = self.table >> 4, self.table & 15
-        window = np.arange(len(self.table))
-        next_ = self.table[window >> n1]
-        two, n2 = next_ >> 4, next_ & 15
-        both = (n1 + n2 <= self.bits) & (two < 256)
-        out = np.where(both, two << 20 | one << 12 | 2 << 8 | (n1 + n2), one << 12 | 1 << 8 | n1)
-        return np.where(one < 256, out, -1).tolist()
+
+@lru_cache(256)
+def _code(lengths: bytes) -> Code:
+    return Code(np.frombuffer(lengths, np.uint8).astype(np.int64))
+
+
+#: Descriptions of codes read before, by alphabet and first 64 bits: (bits, number of bits, code).
+_SEEN: dict[tuple[int, int], tuple[int, int, Code]] = {}
 
 
 class Reader:
     def __init__(self, raw: bytes):
-        b = np.frombuffer(raw + bytes(8), np.uint8).astype(np.uint32)
-        self.words = (b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)).tolist()
+        self.raw = raw + bytes(8)
+        b = np.frombuffer(self.raw, np.uint8).astype(np.uint32)
+        self.stream = b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)
+        self.words = memoryview(self.stream)  # 32 bits from each byte on
         self.pos, self.end = 0, 8 * len(raw)
 
+    def ahead(self, pos: int, n: int) -> int:
+        """n bits from a place on, however many."""
+        return int.from_bytes(self.raw[pos >> 3 : (pos + n + 7) >> 3], "little") >> (pos & 7) & (1 << n) - 1
+
     def bits(self, n: int) -> int:
         out = self.words[self.pos >> 3] >> (self.pos & 7) & (1 << n) - 1
         self.pos += n
@@ -124,17 +129,32 @@ class Reader:
         return e >> 4
 
     def code(self, size: int) -> Code:
+        """The code that is described next. Files of one writer share descriptions, so long ones are remembered."""
+        start, key = self.pos, (size, self.ahead(self.pos, 64))
+        if key in _SEEN:
+            bits, n, found = _SEEN[key]
+            if start + n <= self.end and self.ahead(start, n) == bits:
+                self.pos += n
+                return found
+        found = _code(self.lengths(size).astype(np.uint8).tobytes())
+        if self.pos - start > 64:
+            if len(_SEEN) > 1000:
+                _SEEN.clear()
+            _SEEN[key] = self.ahead(start, self.pos - start), self.pos - start, found
+        return found
+
+    def lengths(self, size: int) -> np.ndarray:
         lengths = np.zeros(size, np.int64)
         if self.bits(1):
             two = self.bits(1)
             lengths[self.bits(8 if self.bits(1) else 1)] = 1
             if two:
                 lengths[self.bits(8)] = 1
-            return Code(lengths)
+            return lengths
         own = np.zeros(19, np.int64)
         for k in LENGTH_ORDER[: 4 + self.bits(4)]:
             own[k] = self.bits(3)
-        read, at, last = Code(own), 0, 8
+        read, at, last = _code(own.astype(np.uint8).tobytes()), 0, 8
         left = 2 + self.bits(2 + 2 * self.bits(3)) if self.bits(1) else size
         while at < size and left:
             left -= 1
@@ -147,7 +167,7 @@ class Reader:
                 n = 3 + self.bits(2) if s == 16 else 3 + self.bits(3) if s == 17 else 11 + self.bits(7)
                 lengths[at : at + n] = last if s == 16 else 0
                 at += n
-        return Code(lengths)
+        return lengths
 
     def number(self, code: int) -> int:
         """The length or distance of a prefix symbol and the bits after it."""
@@ -174,57 +194,102 @@ def _read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
         groups = 1 + max(map(max, group_of))
     sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
     sets = [[r.code(n) for n in sizes] for _ in range(groups)]
-    if groups == 1 and not cache_bits and not any(c.bits for c in sets[0][1:4]):
-        return _read_samples(r, sets[0], width, height)
+    if groups == 1 and sets[0][0].bits and not any(c.bits for c in sets[0][1:4]):
+        start, found = r.pos, _read_samples(r, sets[0], cache_bits, width, height)
+        if found is not None:
+            return found
+        r.pos = start
     return _read_pixels(r, sets, group_of, tile, cache_bits, width, height)
 
 
-def _read_samples(r: Reader, set_: list[Code], width: int, height: int) -> np.ndarray:
-    """Pixels that differ in green only: literals are looked up two at a time."""
+class _Chain:
+    """The symbols that follow each other in a stream, found for many at once.
+
+    At every bit of a piece of the stream the symbol that would begin there is
+    looked up, and so where the next one would begin; doubled three times, eight
+    symbols are one step.
+    """
+
+    PIECE = 1 << 20
+
+    def __init__(self, r: Reader, code: Code):
+        self.r, self.code = r, code
+        self.low = self.high = 0
+
+    def _look(self, pos: int) -> None:
+        self.low = pos & ~7
+        words = self.r.stream[pos >> 3 : (pos + self.PIECE) >> 3]
+        self.high = self.low + 8 * len(words) - (64 if (pos + self.PIECE) >> 3 < len(self.r.stream) else 0)
+        self.entries = self.code.table[((words[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(self.code.mask)).ravel()]
+        here = np.arange(len(self.entries), dtype=np.int32)
+        after = here + (self.entries & 15).astype(np.int32)
+        stop = (after >= len(here)) | (self.entries >= 256 << 4) & (self.entries < 256 + LENGTH_CODES << 4)
+        self.next = np.where(stop, here, after)
+        two = self.next[self.next]
+        four = two[two]
+        self.eighth = memoryview(four[four])
+
+    def run(self, pos: int, most: int) -> tuple[np.ndarray, int]:
+        """Up to `most` symbols from pos on, up to a reference or the end of the piece, and where the one after them begins."""
+        if not self.low <= pos < self.high:
+            self._look(pos)
+        at, eighth, begins = pos - self.low, self.eighth, []
+        for _ in range(most // 8 + 1):
+            begins.append(at)
+            then = eighth[at]
+            if then == at:
+                break
+            at = then
+        rows = [np.array(begins, np.int32)]
+        for _ in range(7):
+            rows.append(self.next[rows[-1]])
+        places = np.stack(rows, 1).ravel()
+        stays = np.flatnonzero(self.next[places] == places)
+        count = min(most, int(stays[0]) if len(stays) else len(places))
+        symbols = self.entries[places[:count]] >> 4
+        if count == len(places):
+            return symbols, self.low + int(self.next[places[-1]])
+        return symbols, self.low + int(places[count])
+
+
+def _read_samples(r: Reader, set_: list[Code], cache_bits: int, width: int, height: int) -> np.ndarray | None:
+    """Pixels that differ in green only, many at once; None where a place of the colour cache changes its colour while it is in use."""
     green, distance = set_[0], set_[4]
-    total, n = width * height, 0
+    fixed = [c.entries[0] >> 4 for c in set_[1:4]]
+    base = fixed[0] << 16 | fixed[1] | fixed[2] << 24
+    total, n, pos = width * height, 0, r.pos
     out = np.zeros(total, np.uint8)
-    if not green.bits and green.entries[0] >> 4 < 256:
-        out[:] = green.entries[0] >> 4
-        n = total
-    table, words, mask, pos = green.pairs(), r.words, green.mask, r.pos
-    held: list[int] = []
-    over = 0
-
-    def flush(n: int) -> int:
-        nonlocal over
-        if held:
-            e = np.array(held, np.int64)
-            two = e >> 8 & 15 == 2
-            where = np.cumsum(np.where(two, 2, 1))
-            flat = np.zeros(int(where[-1]), np.uint8)
-            flat[where - np.where(two, 2, 1)] = e >> 12 & 255
-            flat[where[two] - 1] = e[two] >> 20
-            take = min(len(flat), total - n)
-            over = len(flat) - take
-            out[n : n + take] = flat[:take]
-            held.clear()
-            n += take
-        return n
-
-    counted, last = n, 0
-    while counted < total:
-        push, ended = held.append, False
-        for _ in range((total - counted + 1) // 2):  # so many lookups are needed at least
-            e = table[words[pos >> 3] >> (pos & 7) & mask]
-            if e < 0:
-                ended = True
-                break
-            push(e)
-            pos += e & 255
-        if held:
-            last = held[-1]
-        n = flush(n)
-        counted = n
-        if not ended or n >= total:
+    chain = _Chain(r, green)
+    if cache_bits:
+        slot = ((np.arange(256, dtype=np.uint64) << np.uint64(8) | np.uint64(base)) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)
+        slot = slot.astype(np.int64)
+        colour, since, mixed, asked = np.zeros(1 << cache_bits, np.int64), np.full(1 << cache_bits, total), np.zeros(1 << cache_bits, bool), np.zeros(1 << cache_bits, bool)
+    while n < total:
+        symbols, pos = chain.run(pos, total - n)
+        if pos > r.end + 16:
+            raise ValueError("the file ends early")
+        if len(symbols):
+            if cache_bits:
+                first = np.flatnonzero(symbols < 256)
+                value = symbols[first]
+                own = slot[value]
+                known = since[own] < total
+                mixed[own[known & (colour[own] != value)]] = True
+                colour[own[::-1]], since[own[~known][::-1]] = value[::-1], n + first[~known][::-1]
+                mixed[own[colour[own] != value]] = True
+                cached = np.flatnonzero(symbols >= 256)
+                place = symbols[cached] - (256 + LENGTH_CODES)
+                asked[place] = True
+                if (since[place] > n + cached).any() or (mixed & asked).any():
+                    return None
+                symbols[cached] = colour[place]
+            out[n : n + len(symbols)] = symbols
+            n += len(symbols)
             continue
         r.pos = pos
         s = r.symbol(green)
+        if not 256 <= s < 256 + LENGTH_CODES:
+            raise ValueError("the file ends early")
         length = r.number(s - 256)
         back = _far(r.number(r.symbol(distance)), width)
         if back > n or n + length > total:
@@ -234,16 +299,12 @@ def _read_samples(r: Reader, set_: list[Code], width: int, height: int) -> np.nd
         for k in range(0, length if back > 1 else 0, back):
             step = min(back, length - k)
             out[n + k : n + k + step] = out[n - back : n - back + step]
-        n = counted = n + length
-        pos, over = r.pos, 0
-    if over:  # the second of the last two isn't part of the image
-        begin = pos - (last & 255)
-        pos = begin + (green.entries[words[begin >> 3] >> (begin & 7) & mask] & 15)
+        n += length
+        pos = r.pos
     r.pos = pos
     if pos > r.end:
         raise ValueError("the file ends early")
-    fixed = [c.entries[0] >> 4 for c in set_[1:4]]
-    return (out.astype(np.uint32) << np.uint32(8) | np.uint32(fixed[0] << 16 | fixed[1] | fixed[2] << 24)).reshape(height, width)
+    return (out.astype(np.uint32) << np.uint32(8) | np.uint32(base)).reshape(height, width)
 
 
 def _read_pixels(r: Reader, sets: list[list[Code]], group_of, tile: int, cache_bits: int, width: int, height: int) -> np.ndarray:
@@ -635,6 +696,106 @@ def _write_image(w: Writer, parts: np.ndarray, main: bool, references: list[tupl
     w.many(values.ravel(), lengths.ravel())
 
 
+#: How often characters stand in prose, by rank: a code that fits most texts, for files too short to describe their own well.
+_COMMON = ((" ", 1500), ("e", 1100), ("tna", 700), ("iorhs", 450), ("dul\u00c3", 220), ("cbgfmpwy.,", 90), ("vkqxzj\n\u00a9", 30), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-'\"!?:;()/", 8))
+CACHE_BITS, MOST_CACHED = 10, 128
+#: What the common code may take up, as a multiple of an own code's bits: reading and writing it is faster.
+SPARE = 1.2
+
+
+def _slots(bits: int) -> np.ndarray:
+    """The place in the colour cache of each grey value, after green is subtracted."""
+    colour = np.arange(256, dtype=np.uint64) << np.uint64(8) | np.uint64(OPAQUE)
+    return ((colour * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.int64)
+
+
+@lru_cache(2)
+def _common_code(cache_bits: int) -> tuple[np.ndarray, np.ndarray, list, list]:
+    """Lengths and codes of the common code, and its description's values and sizes."""
+    weights = np.ones(256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), np.int64)
+    weights[256 + LENGTH_CODES :] = 0
+    of = 256 + LENGTH_CODES + _slots(cache_bits) if cache_bits else np.arange(256)
+    weights[of] = 1
+    weights[of[128:192]] = 5  # what follows the first byte of a character
+    for characters, weight in _COMMON:
+        for c in characters.encode("latin-1"):
+            weights[of[c]] = max(weights[of[c]], weight)
+    if cache_bits:
+        weights[:256] = 1
+    lengths = code_lengths(weights, 13)
+    w = Writer()
+    values = w.code(lengths)
+    return lengths, values, w.values, w.sizes
+
+
+def encode_grey(grey: np.ndarray, references: list[tuple[int, int, int]] = ()) -> bytes:
+    """A file of a grey image (height, width) of bytes: green is subtracted from red and blue, which leaves one symbol for a pixel.
+
+    Images of up to MOST_CACHED values take repeated ones from the colour cache,
+    where no two of them share a place. references: as in _write_image.
+    """
+    height, width = grey.shape
+    flat = grey.ravel()
+    counts = np.bincount(flat, minlength=256)
+    used = np.flatnonzero(counts)
+    w = Writer()
+    cache_bits = CACHE_BITS if len(used) <= MOST_CACHED else 0
+    head = ((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3), (1, 1), (SUBTRACT_GREEN, 2), (0, 1), (cache_bits > 0, 1), (cache_bits, 4 if cache_bits else 0), (0, 1))
+    w.many(*np.array(head, np.int64).T)
+    at = np.arange(len(flat))
+    far = np.zeros(0, np.int64)
+    if references:
+        place, length, distance = np.array(references, np.int64).T
+        covered = np.zeros(len(flat) + 1, np.int64)
+        np.add.at(covered, place + 1, 1)
+        np.subtract.at(covered, place + length, 1)
+        at = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+        refs = np.searchsorted(at, place)
+        size, size_bits, size_n = _prefix(length)
+        near = _near_codes(width)
+        far, far_bits, far_n = _prefix(np.array([near.get(d, d + len(NEAR)) for d in distance.tolist()]))
+    symbols = flat[at].astype(np.int64)
+    if cache_bits:
+        slot = _slots(cache_bits)
+        alone = np.bincount(slot[used], minlength=1 << cache_bits)[slot] == 1
+        first = np.full(256, len(at))
+        first[symbols[::-1]] = np.arange(len(at))[::-1]
+        if references:  # what a reference covers does not come first
+            first[symbols[refs]] = np.maximum(first[symbols[refs]], 0)
+        cached = alone[symbols] & (np.arange(len(at)) > first[symbols])
+        symbols = np.where(cached, 256 + LENGTH_CODES + slot[symbols], symbols)
+    if references:
+        symbols[refs] = 256 + size
+    n = np.bincount(symbols, minlength=256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0))
+    lengths, codes_, values, sizes = _common_code(cache_bits)
+    p = n[n > 0]
+    least = float(-(p * np.log2(p / len(symbols))).sum()) + 5 * len(p) + 100
+    if int(n @ lengths) < SPARE * least:
+        w.values += values
+        w.sizes += sizes
+    else:
+        lengths = code_lengths(n, 13)
+        codes_ = w.code(lengths)
+    for k in (0, 0, 255):
+        w.many(np.array([1, 0, k > 1, k], np.int64), np.array([1, 1, 1, 8 if k > 1 else 1], np.int64))
+    far_lengths = code_lengths(np.bincount(far, minlength=DISTANCE_CODES), 13)
+    far_codes = w.code(far_lengths)
+    start = 0
+    for j in range(len(far)):
+        k = int(refs[j])
+        w.many(codes_[symbols[start : k + 1]], lengths[symbols[start : k + 1]])
+        w.many(np.array([size_bits[j], far_codes[far[j]], far_bits[j]]), np.array([size_n[j], far_lengths[far[j]], far_n[j]]))
+        start = k + 1
+    w.many(codes_[symbols[start:]], lengths[symbols[start:]])
+    return _file(w)
+
+
+def _file(w: Writer) -> bytes:
+    body = w.bytes()
+    pad = bytes(len(body) & 1)
+    return b"RIFF" + (12 + len(body) + len(pad)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body + pad
+
+
 def encode(image: np.ndarray, palette: bool = False, green: bool = False, modes: np.ndarray | None = None, factors: np.ndarray | None = None, bits: int = 2, **entropy) -> bytes:
     """A file of (height, width) pixels. modes and factors: predictor modes, and cross-colour samples, of tiles of 2 ** bits pixels."""
     height, width = image.shape
@@ -667,6 +828,4 @@ def encode(image: np.ndarray, palette: bool = False, green: bool = False, modes:
         parts = cross_forward(parts, factors, bits)
     w.put(0, 1)
     _write_image(w, parts, True, **entropy)
-    body = w.bytes()
-    pad = bytes(len(body) & 1)
-    return b"RIFF" + (12 + len(body) + len(pad)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body + pad
+    return _file(w)

@@ -100,3 +100,64 @@ def test_features_of_texts(spark):
         assert (r.media_bytes, r.media_sha256) == (len(file), sha256(file).hexdigest())
     assert rows[4].feature == rows[5].feature
     assert media.media_features(media.encode_texts(docs.where("false"))).collect() == []
+
+
+def test_a_file_of_another_encoder():
+    """The published one-pixel file by which browsers are asked whether they read lossless images: transparent."""
+    import base64
+
+    image, used = webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert image.tolist() == [[0]] and used == 34
+
+
+def plain(file, monkeypatch):
+    """The pixels by the reader that takes one symbol at a time."""
+    with monkeypatch.context() as m:
+        m.setattr(webp, "_read_samples", lambda *args: None)
+        return webp.decode(file)[0]
+
+
+@pytest.mark.parametrize("kind", ["prose", "many values", "runs", "rows repeat", "long", "colliding cache places"])
+def test_fast_reader_equals_the_plain_one(kind, monkeypatch):
+    rng = np.random.default_rng(5)
+    prose = " ".join("".join(chr(97 + k) for k in rng.integers(0, 26, rng.integers(1, 9))) for _ in range(900)).encode()
+    raw = {
+        "prose": prose, "many values": rng.integers(0, 256, 5000).astype(np.uint8).tobytes(), "runs": b"".join(bytes([k % 40]) * (k % 90) for k in range(300)),
+        "rows repeat": prose[:576] * 9 + prose[:300], "long": prose * 60, "colliding cache places": bytes(rng.integers(0, 128, 9000).astype(np.uint8)),
+    }[kind]
+    if kind == "long":
+        monkeypatch.setattr(webp._Chain, "PIECE", 1 << 12)
+    file = media.to_media(media.pad(raw))
+    image, used = webp.decode(file)
+    assert used == len(file) and (image == plain(file, monkeypatch)).all()
+    assert media.from_media(file).tobytes() == media.pad(raw).tobytes()
+
+
+def test_cache_places_that_change_colour_are_read_in_order():
+    """Two greys share a place of a cache of one bit, so the general encoder's files need the plain reader."""
+    grey = np.tile(np.array([[7, 7, 9, 9, 11, 7, 7, 13, 9, 9]], np.uint8), (3, 7))
+    image = grey.astype(np.uint32) << np.uint32(8) | np.uint32(webp.OPAQUE)
+    back(image, cache_bits=1)
+    back(image, cache_bits=1, references=[(20, 11, 10)])
+
+
+def test_queries_use_cache_predictor_palette_and_references():
+    """What the files of texts are made of, by the first bits after their size: transforms, then the cache."""
+    prose = ("The quick brown fox jumps over the lazy dog, again and again. " * 40).encode()
+
+    def kinds(raw):
+        r = webp.Reader(media.to_media(media.pad(raw))[20:])
+        r.bits(40)
+        return r.bits(1) and r.bits(2), r
+
+    kind, r = kinds(prose)
+    assert kind == webp.SUBTRACT_GREEN and r.bits(1) == 0 and r.bits(1) == 1 and r.bits(4) == webp.CACHE_BITS
+    assert kinds(b"ab" * 700)[0] == webp.PALETTE
+    lines = np.random.default_rng(1).integers(32, 120, 576).astype(np.uint8).tobytes()
+    assert kinds(lines * 5)[0] in (webp.SUBTRACT_GREEN, webp.PREDICTOR)
+    assert len(media.to_media(media.pad(lines * 50))) < 3 * 576
+
+
+def test_stored_features_equal_those_in_flight(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([None, "", "one two", "lines\n" * 500])], "doc_id long, text string")
+    assert sorted(map(tuple, media.stored_features(docs).collect())) == sorted(map(tuple, media.media_features(media.encode_texts(docs)).collect()))
