@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -54,6 +56,9 @@ class Index:
     postings: list[tuple[list[int], list[float]]]
     grams: list[tuple[set, set]]
     words: int
+    #: Of each term the largest impact of each of its blocks, and of all.
+    maxima: list[dict[int, float]]
+    most: list[float]
 
     @classmethod
     def of(cls, items: list[tuple[int, str, str]], n: int) -> "Index":
@@ -71,15 +76,18 @@ class Index:
             for t, w in weight.items():
                 postings[vocabulary[t]][0].append(k)
                 postings[vocabulary[t]][1].append(float(w / whole))
-        return cls([i for i, _, _ in kept], vocabulary, postings, [(_grams(q, n), _grams(a, n)) for _, q, a in kept], max(sizes, default=1))
+        maxima: list[dict[int, float]] = []
+        for found, impacts in postings:
+            top: dict[int, float] = {}
+            for i, w in zip(found, impacts):
+                top[i // BLOCK] = max(w, top.get(i // BLOCK, 0.0))
+            maxima.append(top)
+        return cls([i for i, _, _ in kept], vocabulary, postings, [(_grams(q, n), _grams(a, n)) for _, q, a in kept], max(sizes, default=1), maxima, [max(x) for _, x in postings])
 
     def block_maxima(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each term its blocks and their largest impacts, as starts, blocks and impacts."""
         starts, blocks, most = [0], [], []
-        for items, impacts in self.postings:
-            top: dict[int, float] = {}
-            for i, w in zip(items, impacts):
-                top[i // BLOCK] = max(w, top.get(i // BLOCK, 0.0))
+        for top in self.maxima:
             blocks += top.keys()
             most += top.values()
             starts.append(len(blocks))
@@ -96,7 +104,7 @@ class Index:
         lists = []
         for t in terms:
             items, impacts = self.postings[t]
-            lists.append([items[0], 0, max(impacts), items, impacts])
+            lists.append([items[0], 0, self.most[t], items, impacts, self.maxima[t]])
         found = []
         while lists:
             lists.sort(key=lambda x: x[0])
@@ -111,7 +119,7 @@ class Index:
             while p + 1 < len(lists) and lists[p + 1][0] == pivot:
                 p += 1
             block = pivot // BLOCK
-            bound = sum(max((w for i, w in zip(x[3][x[1] :], x[4][x[1] :]) if i // BLOCK == block), default=0.0) for x in lists[: p + 1])
+            bound = sum(x[5].get(block, 0.0) for x in lists[: p + 1])
             if bound >= least and lists[0][0] == pivot:
                 score = sum(x[4][x[1]] for x in lists[: p + 1])
                 if score >= least:
@@ -125,13 +133,34 @@ class Index:
                     to = min(to, lists[p + 1][0])
                 to = max(to, pivot + 1)
             for x in lists[: p + 1]:
-                while x[1] < len(x[3]) and x[3][x[1]] < to:
-                    x[1] += 1
+                x[1] = bisect_left(x[3], to, x[1])
                 x[0] = x[3][x[1]] if x[1] < len(x[3]) else -1
             lists = [x for x in lists if x[0] >= 0]
         return found
 
 
+#: Numbers in a table of bounds: cells by blocks.
+BOUNDS = 1 << 20
+
+
+def _promising(where: np.ndarray, term: np.ndarray, cells: int, starts: np.ndarray, blocks: np.ndarray, most: np.ndarray, n_blocks: int, least: float) -> Iterator[int]:
+    """Cells that begin a passage (two cells in a row) in which some block's maxima add up to `least`: (where, term) are the cells' terms, by cell.
+
+    The bounds of a stretch of cells stand in a table of BOUNDS numbers at most,
+    or of two cells. The last cell of a text borrows the next text's, which only
+    loosens its bound.
+    """
+    step = max(1, BOUNDS // n_blocks - 1)
+    for low in range(0, cells, step):
+        here = slice(*np.searchsorted(where, [low, low + step + 1]))
+        t, c = term[here], where[here] - low
+        size = starts[t + 1] - starts[t]
+        at = np.repeat(starts[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        bound = np.bincount(np.repeat(c, size) * n_blocks + blocks[at], most[at], minlength=(step + 1) * n_blocks).reshape(-1, n_blocks)
+        found = np.flatnonzero((bound[:-1] + bound[1:]).max(axis=1) >= least - 1e-9) + low
+        yield from found[found < cells].tolist()
+
+
 def _query(index: Index, least: float, question: float, answer: float, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell = max(8, index.words)
@@ -154,14 +183,9 @@ def _query(index: Index, least: float, question: float, answer: float, n: int):
                 key = np.unique(where * len(index.postings) + term)
                 where, term = key // len(index.postings), key % len(index.postings)
                 # the blocks' bounds of every cell, of all terms at once
-                size = starts[term + 1] - starts[term]
-                at = np.repeat(starts[term] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                bound = np.bincount(np.repeat(where, size) * n_blocks + blocks[at], most[at], minlength=int(first[-1]) * n_blocks).reshape(-1, n_blocks)
-                pair = bound.copy()
-                pair[:-1] += bound[1:]  # a passage is two cells in a row; the last cell of a text borrows the next text's, which only loosens it
                 own = np.repeat(np.arange(len(part)), cells)
                 best: dict[tuple[int, int], tuple] = {}
-                for c in np.flatnonzero(pair.max(axis=1) >= least - 1e-9).tolist():
+                for c in _promising(where, term, int(first[-1]), starts, blocks, most, n_blocks, least):
                     d = int(own[c])
                     at0 = (c - int(first[d])) * cell
                     terms = set(ids[d][at0 : at0 + 2 * cell].tolist())
@@ -192,22 +216,26 @@ def _overlaps(grams: tuple[set, set], words: list[bytes]) -> tuple[float, float]
     return out[0], out[1]
 
 
-def read_items(benchmark: DataFrame) -> list[tuple[int, str, str]]:
-    """(id, question, answer) of the test items, after their size is checked; the columns question and answer, where there are any, else `halves` of text."""
+def _item_rows(benchmark: DataFrame) -> tuple[DataFrame, bool]:
     both = {"question", "answer"} <= set(benchmark.columns)
-    rows = pick(benchmark, item_id="item_id", q="question" if both else "text", a="answer" if both else "text").where("item_id is not null and (q is not null or a is not null)")
+    return pick(benchmark, item_id="item_id", q="question" if both else "text", a="answer" if both else "text").where("item_id is not null and (q is not null or a is not null)"), both
+
+
+def read_items(benchmark: DataFrame) -> Iterator[list[tuple[int, str, str]]]:
+    """(id, question, answer) of the test items, in parts of about MOST_BYTES at most; the columns question and answer, where there are any, else `halves` of text."""
+    rows, both = _item_rows(benchmark)
     size = rows.agg(F.sum(F.coalesce(F.octet_length("q"), F.lit(0)) + F.coalesce(F.octet_length("a"), F.lit(0)))).first()[0] or 0
-    if size > MOST_BYTES:
-        raise ValueError(f"{size} bytes of test items; at most {MOST_BYTES} go to every executor. Index them in parts")
-    found = sorted({(int(r["item_id"]), r["q"] or "", r["a"] or "") for r in rows.collect()})
-    return found if both else [(i, *halves(q)) for i, q, _ in found]
+    parts = -(-size // MOST_BYTES) or 1
+    for k in range(parts):
+        found = sorted({(int(r["item_id"]), r["q"] or "", r["a"] or "") for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()})
+        yield found if both else [(i, *halves(q)) for i, q, _ in found]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, question: float = 0.8, answer: float = 0.8, words: int = 5) -> DataFrame:
     """Documents that hold test items: (doc_id, item_id, score, question, answer), a row for each pair.
 
-    The index of the test items goes to every executor, after a check of its size;
-    the corpus is read once and not shuffled. Every text is cut into passages of
+    An index of the test items goes to every executor, of MOST_BYTES of them at a
+    time; the corpus is read once for each and not shuffled. Every text is cut into passages of
     twice the longest item's words, half overlapping, so an item stands whole in
     one of them. Block maxima, summed over a passage's terms for many passages at
     once, bound the scores; block-max WAND then retrieves every item that scores
@@ -220,8 +248,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, ques
     """
     prepare(docs.sparkSession)
     rows = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    index = Index.of(read_items(benchmark), words)
-    return rows.mapInArrow(_query(index, least, question, answer, words), HITS)
+    found = [rows.mapInArrow(_query(Index.of(items, words), least, question, answer, words), HITS) for items in read_items(benchmark)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, pick, prepare
 from .neardup import sorted_groups
@@ -21,29 +22,102 @@ LEFT_OUT = frozenset("aside button datalist dialog footer form head header ifram
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Words of class, id or role that mark what isn't the article.
+#: Words of class, id or role that mark what isn't the article: alone, or at the end of a compound (site-footer), or before words of PLACES (ad-slot).
 MARKS = frozenset("ad ads adsense advert advertisement adverts advertising alert alertdialog banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notices paywall popup promo related replies respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
-#: Elements that hold whole pages keep their content whatever their class says.
-WHOLE = frozenset("html body main".split())
+PLACES = frozenset("area bar block bottom box button buttons column consent container content form group inline inner item items left links list panel right section signup slot top unit wrap wrapper".split())
+#: Compounds that begin so tell of a state, not of what the element is.
+STATES = frozenset("has hide is no not show with without".split())
+#: Elements that hold whole pages or articles keep their content whatever their class says.
+WHOLE = frozenset("html body main article".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<(?:[!?]|/(?![a-zA-Z]))[^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|/|$)|display\s*:\s*none""", re.I)
-_PARTS = re.compile(r"[^a-z0-9]+")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)?""")
+_PARTS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
 PARSED = "page_id bigint, url string, blocks array<string>, settled boolean"
 TEXTS = "uid string, text string"
 SUBSTRINGS = "host string, uid string, digest bigint, at int"
 
 
-def _marked(name: str, attributes: str) -> bool:
+def _names_itself(word: str) -> bool:
+    parts = [p.lower() for p in _PARTS.split(word) if p]
+    if not parts or parts[0] in STATES:
+        return False
+    return parts[-1] in MARKS or parts[0] in MARKS and all(p in PLACES or p in MARKS for p in parts[1:])
+
+
+def _marked(name: str, attributes: dict[str, str]) -> bool:
     if name in WHOLE or not attributes:
         return False
-    if "hidden" in attributes and _HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", '""', attributes)) or "none" in attributes and _HIDDEN.search(attributes):
+    if "hidden" in attributes or "none" in attributes.get("style", "") and re.search(r"display\s*:\s*none", attributes["style"], re.I):
         return True
-    if "class" not in attributes and "id" not in attributes and "role" not in attributes and attributes.islower():
-        return False
-    return any(not MARKS.isdisjoint(_PARTS.split((a or b or c).lower())) for a, b, c in _NAMES.findall(attributes))
+    return any(_names_itself(w) for a in ("class", "id", "role") for w in attributes.get(a, "").split())
+
+
+def _tag(page: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """The attributes of a tag whose name ends at `at`, whether it closes itself, and where it ends.
+
+    Only quotes at the start of a value are quotes; one that is never closed is
+    none. Each place of the page is looked at a few times, however broken it is.
+    """
+    out: dict[str, str] = {}
+    size = len(page)
+    while at < size:
+        m = _ATTRIBUTE.match(page, at)
+        if not m:
+            break
+        value = m[2] or ""
+        out.setdefault(m[1].lower(), value[1:-1] if value[:1] in "\"'" and value else value)
+        at = m.end()
+        if at < size and page[at] in "\"'":  # a quote that nothing closes
+            at += 1
+    end = page.find(">", at)
+    return out, end > 0 and page[end - 1] == "/", size if end < 0 else end + 1
+
+
+def tokens_of(page: str) -> Iterator[tuple[int, str, dict[str, str] | str]]:
+    """Pieces of a page: (0, "", text), (1, name, attributes) of a start tag, (-1, name, "") of an end tag; (2, name, attributes) closes itself. Comments are left out."""
+    at, size = 0, len(page)
+    while at < size:
+        begin = page.find("<", at)
+        if begin < 0 or begin == size - 1:
+            break
+        if begin > at:
+            yield 0, "", page[at:begin]
+        at = begin
+        next_ = page[begin + 1]
+        if next_ in "!?" or next_ == "/" and not _NAME.match(page, begin + 2):
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                at = end + 3 if end >= 0 else size
+            elif page.startswith("<![CDATA[", begin):
+                end = page.find("]]>", begin)
+                yield 0, "", html.escape(page[begin + 9 : end if end >= 0 else size])
+                at = end + 3 if end >= 0 else size
+            else:
+                end = page.find(">", begin)
+                at = end + 1 if end >= 0 else size
+            continue
+        m = _NAME.match(page, begin + 1 + (next_ == "/"))
+        if not m:
+            yield 0, "", "<"
+            at = begin + 1
+            continue
+        name = m[0].lower()
+        attributes, closed, at = _tag(page, m.end())
+        if next_ == "/":
+            yield -1, name, ""
+            continue
+        yield 2 if closed else 1, name, attributes
+        if name in RAW and not closed:
+            end = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
+            if end is None:
+                return
+            if end.start() > at:
+                yield 0, "", page[at : end.start()]
+            at = end.start()
+    if at < size:
+        yield 0, "", page[at:]
 
 
 def blocks_of(page: str) -> tuple[list[str], bool]:
@@ -54,31 +128,12 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
     article (else a main element) all other text counts; without either, all of
     the page's other text comes back unsettled.
     """
-    tokens: list[tuple[int, str, str]] = []  # kind (0 text, 1 start, -1 end), name, text or attributes
-    at, size = 0, len(page)
-    while at < size:
-        m = _MARKUP.search(page, at)
-        if not m:
-            tokens.append((0, "", page[at:]))
-            break
-        if m.start() > at:
-            tokens.append((0, "", page[at : m.start()]))
-        at, name = m.end(), (m[2] or "").lower()
-        if not name:
-            if m[0] == "<![CDATA[":
-                end = page.find("]]>", at)
-                tokens.append((0, "", html.escape(page[at : end if end >= 0 else size])))
-                at = end + 3 if end >= 0 else size
-            continue
-        tokens.append((-1 if m[1] else 1, name, m[3] or ""))
-        if not m[1] and name in RAW and not m[3].endswith("/"):
-            end = re.compile(f"</{name}", re.I).search(page, at)
-            at = end.start() if end else size
+    tokens = list(tokens_of(page))
     # the end of each element of a kind that matters, by counting tags of its own name
     ends: dict[int, int] = {}
     open_: dict[str, list[int]] = {}
     for k, (kind, name, rest) in enumerate(tokens):
-        if kind == 1 and name not in VOID and not rest.endswith("/"):
+        if kind == 1 and name not in VOID:
             open_.setdefault(name, []).append(k)
         elif kind == -1 and open_.get(name):
             ends[open_[name].pop()] = k
@@ -104,13 +159,13 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
         else:
             if name not in INLINE:
                 cut()
-            if kind == 1 and name not in VOID:
+            if kind > 0 and name not in VOID:
                 if name in RAW or name in LEFT_OUT or _marked(name, rest):
                     if k in ends:
                         k = ends[k]
-                    elif name in RAW:
+                    elif name in RAW and kind == 1:
                         break
-                elif name in depth:
+                elif name in depth and kind == 1:
                     depth[name] += 1
             elif kind == -1 and name in depth:
                 depth[name] = max(0, depth[name] - 1)
@@ -125,7 +180,7 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [blocks_of(x or "") for x in batch.column("html").to_pylist()]
-        texts = [[" ".join(b)] if settled else b for b, settled in found]
+        texts = [b for b, _ in found]
         settled = [s or not b for b, s in found]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.list_(pa.string())), pa.array(settled, pa.bool_())], names=["page_id", "url", "blocks", "settled"])
 
@@ -133,21 +188,14 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(tokens: np.ndarray, page: np.ndarray, least: int) -> np.ndarray:
     """Which tokens stand in a substring of `least` tokens that two pages at least share.
 
-    Suffixes are ranked by prefix doubling, as for a suffix array, up to `least`
-    tokens: all that share a rank then stand together in the array.
+    All suffixes that share their first `least` tokens stand together in the array;
+    a token is in a repeat of `least` tokens or more exactly if it is in one of `least`.
     """
     n = len(tokens)
     covered = np.zeros(n + 1, np.int64)
     if n < least:
         return covered[:n] > 0
-    rank, length = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
-    while length < least:
-        step = min(length, least - length)
-        after = np.full(n, -1, np.int64)
-        after[: n - step] = rank[step:]
-        after[np.arange(n) > n - step - length] = -1
-        rank = np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
-        length += step
+    rank = suffix_ranks(tokens, least)
     whole = np.zeros(n, bool)
     whole[: n - least + 1] = page[: n - least + 1] == page[least - 1 :]
     at = np.flatnonzero(whole)
@@ -175,6 +223,63 @@ def _tokens(pages: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return list(known), np.array(tokens, np.int64), np.array(owner, np.int64)
 
 
+def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
+    """The rank of each suffix among all, by its first `depth` tokens: the suffix array sorted to that depth, by prefix doubling. What ends before is less."""
+    n = len(tokens)
+    rank, length = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
+    while length < depth:
+        step = min(length, depth - length)
+        after = np.full(n, -1, np.int64)
+        after[: n - step] = rank[step:]
+        after[np.arange(n) > n - step - length] = -1
+        rank = np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
+        length += step
+    return rank
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _window_digests(words: list[str], tokens: np.ndarray, least: int) -> np.ndarray:
+    """A digest of the `least` tokens from each place on."""
+    names = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)[tokens]
+    n = max(0, len(names) - least + 1)
+    out = np.full(n, least, np.uint64)
+    for k in range(least):
+        out = (out ^ names[k : k + n]) * _ODD
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def common_substrings(pages: list[list[str]], least: int, share: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of distinct pages, the digests of substrings of `least` tokens that stand on `share` of them and on two at least, on how many, and how many pages there are."""
+    pages = [list(p) for p in dict.fromkeys(map(tuple, pages))]
+    words, tokens, owner = _tokens(pages)
+    if len(tokens) < least or len(pages) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), len(pages)
+    rank = suffix_ranks(tokens, least)
+    whole = np.flatnonzero(owner[: len(tokens) - least + 1] == owner[least - 1 :])
+    array = whole[np.lexsort((owner[whole], rank[whole]))]  # suffixes in order, those alike by page
+    new = np.append(True, np.diff(rank[array]) != 0)
+    on = np.add.reduceat((new | np.append(True, np.diff(owner[array]) != 0)).astype(np.int64), np.flatnonzero(new)) if len(array) else np.zeros(0, np.int64)
+    often = on >= max(2, share * len(pages))
+    return _window_digests(words, tokens, least)[array[new][often]], on[often], len(pages)
+
+
+def without(blocks: list[str], digests: frozenset[int], least: int) -> str:
+    """A page's text without the words that substrings with these digests cover."""
+    if not digests or not blocks:
+        return " ".join(blocks)
+    words, tokens, _ = _tokens([blocks])
+    at = np.flatnonzero(np.isin(_window_digests(words, tokens, least), np.fromiter(digests, np.int64, len(digests))))
+    if not len(at):
+        return " ".join(blocks)
+    gone = np.zeros(len(tokens) + 1, np.int64)
+    np.add.at(gone, at, 1)
+    np.subtract.at(gone, at + least, 1)
+    return " ".join(words[t] for t in tokens[(np.cumsum(gone[:-1]) == 0) & (tokens > 0)])
+
+
 def unique_runs(pages: list[list[str]], least: int, marks: list[list[int] | None] | None = None) -> list[str]:
     """Each page's text without what it shares with others: the blocks' words that no repeated substring covers.
 
@@ -223,34 +328,94 @@ def _settle(least: int, most_pages: int):
     return run
 
 
+def _common(least: int):
+    """Rows (host, digest, pages) of a group of a host's pages: substrings on FEW of them, and (digest null) how many pages there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_groups(batches, "grp"):
+            hosts = t.column("host").to_pylist()
+            lengths = np.cumsum(t.column("size").to_numpy())
+            for host in dict.fromkeys(hosts):  # two hosts may share a group's hash
+                rows = [k for k, h in enumerate(hosts) if h == host]
+                for part in np.split(rows, np.flatnonzero(np.diff(lengths[rows] // GROUP_CHARACTERS)) + 1):
+                    digests, on, n = common_substrings(t.column("blocks").take(pa.array(part)).to_pylist(), least, FEW)
+                    names = ["host", "digest", "pages"]
+                    yield pa.RecordBatch.from_arrays([pa.array([host] * (len(digests) + 1), pa.string()), pa.array([None, *digests.tolist()], pa.int64()), pa.array([n, *on.tolist()], pa.int64())], names=names)
+
+    return run
+
+
+def _applied(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple = (None, frozenset())
+        for batch in batches:
+            texts = []
+            for host, blocks, digests in zip(*(batch.column(c).to_pylist() for c in ("host", "blocks", "digests"))):
+                if digests and known[0] != host:
+                    known = (host, frozenset(digests))
+                texts.append(without(blocks, known[1] if digests else frozenset(), least))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return run
+
+
+#: The share of a host's pages, and the least number, on which a substring within articles is boilerplate; the share of a group from which it is counted.
+SHARE, PAGES, FEW = 0.5, 8, 0.25
+#: Characters of a host's pages that one suffix array holds, about.
+GROUP_CHARACTERS = 1 << 25
+
+
+def host_boilerplate(articles: DataFrame, least: int, group_pages: int) -> DataFrame:
+    """(host, digests) of what most of a host's distinct articles hold, of rows (host, blocks).
+
+    Each host's pages are dealt at random into groups of about `group_pages`, and
+    each group has its suffix array. What stands on SHARE of all of a host's pages
+    stands on FEW of each group's but for a chance of about one in a billion, so
+    the groups' counts add up to the host's. Equal pages are one page, always in
+    one group. Hosts of fewer than PAGES pages can't have any and stay out.
+    """
+    sizes = articles.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES).select("host", F.ceil(F.col("n") / group_pages).alias("groups"))
+    met = articles.join(sizes, "host").select("host", "blocks", F.aggregate("blocks", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x) + 1).alias("size"), F.xxhash64("host", F.pmod(F.xxhash64("blocks"), "groups")).alias("grp"))
+    counted = met.repartition("grp").sortWithinPartitions("grp", "host").mapInArrow(_common(least), "host string, digest bigint, pages bigint")
+    summed = counted.groupBy("host", "digest").agg(F.sum("pages").alias("pages"))
+    of = Window.partitionBy("host")
+    many = summed.withColumn("all", F.max(F.when(F.col("digest").isNull(), F.col("pages"))).over(of)).where(F.col("digest").isNotNull() & (F.col("pages") >= PAGES) & (F.col("pages") >= SHARE * F.col("all")))
+    return many.groupBy("host").agg(F.collect_list("digest").alias("digests"))
+
+
 def main_text(pages: DataFrame, least: int = 12, group_pages: int = 256, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of every page: (page_id, url, text, n_chars).
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts and
-    comments that name themselves are left out. Where an article or main element
-    says what the text is, all of it is kept, also what other pages repeat. On
-    pages without one, the pages of a host are laid end to end as words; what
-    stands in substrings of `least` words (or ends of blocks) that distinct pages
-    share is boilerplate, and the other words are the text. A host with more than
-    `group_pages` such pages is split at random into groups of about that size, to
-    bound the suffix arrays; what its pages share is found over all of the host,
-    by digests of its substrings, and goes to the groups.
+    comments that name themselves are left out first; what is left of an article
+    (else main) element is the page's words, else all that is left of the page.
+    The words of a host's pages are then laid end to end and a suffix array finds
+    substrings of `least` words (or ends of blocks) on distinct pages; what it
+    covers goes, and the other words are the text.
+
+    Within articles a substring counts as boilerplate if it stands on half of a
+    host's pages and on eight at least (`host_boilerplate`), for articles may share
+    passages, all of which is kept otherwise. On pages without an article, what two
+    pages share is boilerplate. A host with more than `group_pages` pages has an
+    array for each group of about so many; what its pages share is found over all
+    of the host.
 
     Pages of a host with the same blocks are one page to this, at however many
-    addresses, and have the same text. Pages that are only nearly the same are
-    distinct, so they lose what they share.
+    addresses, and have the same text. Pages without an article that are nearly the
+    same are distinct, so they lose what they share.
 
     Null and empty pages have an empty text; pages with a null url form a host of
-    their own. Null ids and repeated rows stay.
-    Other columns are ignored.
+    their own, of which nothing is boilerplate within articles. Null ids and
+    repeated rows stay. Other columns are ignored.
     """
     spark = pages.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "extract")
     rows = pick(pages, page_id=id_col, url=url_col, html=html_col).select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
-    parsed = scratch.store(rows.mapInArrow(_parse, PARSED), "parsed")
-    done = parsed.where("settled").select("page_id", "url", F.coalesce(F.get("blocks", F.lit(0)), F.lit("")).alias("text"))
-    open_ = parsed.where("not settled").withColumn("host", host_of(F.col("url")))
+    parsed = rows.mapInArrow(_parse, PARSED).withColumn("host", host_of(F.col("url")))  # cheaper to do again than to store
+    found = scratch.store(host_boilerplate(parsed.where("settled and size(blocks) > 0 and host is not null").select("host", "blocks"), least, group_pages), "boilerplate")
+    done = parsed.where("settled").join(found, "host", "left").select("page_id", "url", "host", "blocks", "digests").mapInArrow(_applied(least), "page_id bigint, url string, text string")
+    open_ = scratch.store(parsed.where("not settled"), "unsettled")
     if not open_.isEmpty():
         uid = F.sha2(F.concat(F.sha2("host", 256), F.array_join("blocks", "\n")), 256)  # of host and blocks; blocks have no line ends
         open_ = scratch.store(open_.withColumn("uid", uid), "open")

@@ -89,7 +89,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 #: Coordinates of a document that agree with a pivot's where both may belong together (5 deviations under 0.6), and where all that may be linked to the document do so too.
-NEAR, CORE, PIVOTS = 24, 46, 3
+NEAR, CORE, PIVOTS = 24, 46, 6
 
 #: For a part without members, the parts it asks in turn.
 _ASK = np.stack([np.random.default_rng(k).permutation(SIZE) for k in range(SIZE)])
@@ -216,7 +216,7 @@ def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
         several, big = counts.agg(F.count("*"), F.count_if(F.col("size") > NODE)).first()
         # a plain join of two shuffles: the adaptive planner can split a node that holds a large share of all rows
         met = scratch.store(maybe_in(nodes, "node", counts, several).join(counts.hint("merge"), "node"), f"met{level}")
-        scratch.drop(f"counts{level}", *([f"held{level - 1}-rest"] if level else []))
+        scratch.drop(f"counts{level}", *([f"nodes{level}"] if level else []))
         small = met.where(F.col("size") <= NODE).select("node", "id", "sig")
         found.append(scratch.store(small.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_node, "a bigint, b bigint"), f"found{level}"))
         large = met.where(F.col("size") > NODE)
@@ -234,11 +234,11 @@ def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
             held = large.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).join(chosen.hint("merge"), ["node", "part"])
             held = scratch.store(held.mapInArrow(_against_pivots, "id bigint, kind int, node bigint, sig binary, pivot bigint, core boolean"), f"held{level}")
             found.append(scratch.store(held.where("pivot is not null and pivot != id").select(F.col("id").alias("a"), F.col("pivot").alias("b")), f"near{level}"))
-            rest = scratch.store(held.where("not core").select("id", "kind", "node", "sig"), f"held{level}-rest")
-            scratch.drop(f"met{level}", f"chosen{level}", f"held{level}")
             pick_one = [F.pmod(F.xxhash64(F.lit(k), "node"), F.lit(SIZE)).cast("int") for k in (1, 2)]
             at = F.when(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(100)) < 25, F.array(*pick_one)).otherwise(F.array(pick_one[0]))
-            nodes = rest.select("id", "kind", "node", "sig", F.explode(at).alias("at")).select("id", "kind", "sig", F.xxhash64("node", "at", F.substring("sig", F.col("at") + 1, F.lit(1))).alias("node"))
+            rest = held.where("not core").select("id", "kind", "node", "sig", F.explode(at).alias("at")).select("id", "kind", "sig", F.xxhash64("node", "at", F.substring("sig", F.col("at") + 1, F.lit(1))).alias("node"))
+            nodes = scratch.store(rest, f"nodes{level + 1}")
+            scratch.drop(f"met{level}", f"chosen{level}", f"held{level}")
     return reduce(DataFrame.union, found).distinct()
 
 

@@ -55,6 +55,20 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "words"])
 
 
+def nn_risk(score: np.ndarray, is_pos: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The risk of positive texts taken as toxic, that of clean ones, which may be below zero, and the step's gradient by score.
+
+    The gradient is that of the sum; below zero, that of the second part, turned round.
+    """
+    n, m = int(is_pos.sum()), int((~is_pos).sum())
+    up = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+    down_risk = np.logaddexp(0, score)
+    toxic, clean = prior * (down_risk - score)[is_pos].mean(), down_risk[~is_pos].mean() - prior * down_risk[is_pos].mean()
+    push = np.where(is_pos, -prior / n * up, up / m)
+    push = np.where(is_pos, prior / n * (up - 1), 0) + push if clean >= 0 else -push
+    return float(toxic), float(clean), push
+
+
 def train(ids: np.ndarray, sizes: np.ndarray, is_pos: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 2e-4, least_docs: int = 3, least_z: float = 4.0) -> tuple[np.ndarray, float]:
     """Of texts whose words stand one after the other in `ids`, `sizes` of them each: weights and offset that lower the non-negative risk: prior * R(p, +) + max(0, R(u, -) - prior * R(p, -)), logistic loss.
 
@@ -77,12 +91,7 @@ def train(ids: np.ndarray, sizes: np.ndarray, is_pos: np.ndarray, prior: float,
     w, b = np.zeros(len(used)), -1.0
     m1, m2 = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, rounds + 1):
-        score = np.bincount(row, w[col], minlength=n + m) + b
-        up = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        down_risk = np.logaddexp(0, score)
-        clean = down_risk[~is_pos].mean() - prior * down_risk[is_pos].mean()
-        push = np.where(is_pos, -prior / n * up, up / m)  # gradient of the second part
-        push = np.where(is_pos, prior / n * (up - 1), 0) + push if clean >= 0 else -push
+        _, _, push = nn_risk(np.bincount(row, w[col], minlength=n + m) + b, is_pos, prior)
         g = np.append(np.bincount(col, push[row], minlength=len(used)) + decay * w, push.sum())
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-9)
@@ -113,8 +122,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, positives: int = 5000, unlabell
 
     The classifier is fitted on the driver from at most `positives` texts labelled
     toxic and about `unlabelled` texts taken without labels, both chosen by hash of
-    their id; these two bounds hold at any corpus size. Only rows outside the
-    held-out fold give labels. `prior`, the share of toxic texts, is by default
+    their id; these two bounds hold at any corpus size. No row of the
+    held-out fold is among them. `prior`, the share of toxic texts, is by default
     that among their labels. Scoring reads each text once and shuffles nothing.
 
     Null and empty texts have no words and get the score of the offset. Null ids
@@ -131,7 +140,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, positives: int = 5000, unlabell
     if not counts["k"] or not total:
         return rows.select("doc_id", fold(F.col("doc_id")).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     chosen = known.where("toxic = 1").orderBy(F.xxhash64(F.lit("toxic"), "doc_id")).limit(positives).select("doc_id", "toxic")
-    taken = F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id"), F.lit(total)) < unlabelled
+    taken = ~fold(F.col("doc_id")) & (F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id"), F.lit(total)) < unlabelled * 5 // 4)
     sample = rows.join(F.broadcast(chosen), "doc_id", "left").where(F.col("toxic").isNotNull() | taken)
     sample = sample.select("text", F.explode(F.array_compact(F.array("toxic", F.when(taken, 0)))).alias("toxic"))
     found = sample.mapInArrow(_features, "toxic int, words array<int>").toArrow()

@@ -220,3 +220,39 @@ def test_toxicity_of_odd_rows(spark):
     assert {None, 400, 401} <= kept and 402 not in kept and sum(k % 3 == 0 for k in kept if k) < 10 < sum(k % 3 != 0 for k in kept if k)
     assert {r.score for r in toxicity.toxicity(docs, labels.where("false")).collect()} == {0.0}
     assert toxicity.toxicity(docs.where("false"), labels).collect() == []
+
+
+def test_risk_and_gradient_equal_brute_force():
+    """The non-negative risk by its definition, and its gradient by small steps, on both sides of zero."""
+    rng = np.random.default_rng(2)
+    is_pos = np.arange(12) < 4
+    loss = lambda z, y: np.log1p(np.exp(-z * y))
+    seen = set()
+    for prior in (0.05, 0.3, 0.9):
+        score = rng.normal(size=12) * 2
+        toxic, clean, push = toxicity.nn_risk(score, is_pos, prior)
+        of = lambda s: (prior * loss(s[is_pos], 1).mean(), loss(s[~is_pos], -1).mean() - prior * loss(s[is_pos], -1).mean())  # noqa: B023, E731
+        assert np.allclose([toxic, clean], of(score))
+        seen.add(clean >= 0)
+        for k in range(12):
+            step = np.eye(12)[k] * 1e-6
+            up, down = of(score + step), of(score - step)
+            slope = ((sum(up) - sum(down)) if clean >= 0 else -(up[1] - down[1])) / 2e-6
+            assert abs(push[k] - slope) < 1e-6
+    assert seen == {True, False}
+
+
+def test_items_in_parts_and_bounds_in_stretches(spark, monkeypatch):
+    """The same documents are found with an index for each few items, and with a table of bounds for each few cells."""
+    rng = np.random.default_rng(4)
+    words = lambda n: " ".join(f"q{k}" for k in rng.integers(0, 3000, n))
+    items = [(k, f"{words(14)}. {words(9)}.") for k in range(60)]
+    docs = [(k, f"{words(200)} {items[k % 60][1]} {words(90)}" if k % 3 == 0 else words(150)) for k in range(90)]
+    bench, rows = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    found = lambda: sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(rows, bench).collect())
+    expected = found()
+    assert {d for d, _ in expected} == {k for k in range(90) if k % 3 == 0} and set(expected) >= {(k, k % 60) for k in range(0, 90, 3)}
+    monkeypatch.setattr(decontaminate, "BOUNDS", 40)
+    assert found() == expected
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 2000)
+    assert found() == expected
