@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellweave.operators.grid import rotate
+from cellweave.operators.grid import rotate, wrap_longitude
 from cellweave.operators.series import clean, deaccumulate
 from cellweave.operators.series import keep_last as last_rows
 
@@ -93,7 +93,7 @@ def cells_of(df: DataFrame) -> DataFrame:
     """
     names = df.columns
     x, y = coordinate([c for c in names if c not in ("x", "y")] or names, X_NAMES), coordinate([c for c in names if c not in ("x", "y")] or names, Y_NAMES)
-    out = df.withColumnsRenamed({x: "lon", y: "lat"}).withColumn("lon", F.when(F.col(x) > 180, F.pmod(F.col(x) + 180.0, F.lit(360.0)) - 180.0).otherwise(F.col(x)).cast("double"))
+    out = df.withColumnsRenamed({x: "lon", y: "lat"}).withColumn("lon", F.when(F.col("lon") > 180, wrap_longitude(F.col("lon"))).otherwise(F.col("lon")).cast("double"))
     if not {"y", "x"} <= set(names):
         for c, name in (("lat", "y"), ("lon", "x")):
             line = out.select(c).distinct().withColumn(name, (F.row_number().over(Window.orderBy(c)) - 1).cast("int"))  # a row for each line of the grid
