@@ -1,4 +1,9 @@
-"""Comparing results: differences, regional means, trends, scores."""
+"""Comparing results: differences, regional means, trends, scores.
+
+Only keys that both sides have are compared, and null keys meet nothing but in
+`t_test`. A null on either side gives null, or is skipped where values are summed
+or averaged. Keys are unique in results; repeated ones are compared each with each.
+"""
 
 from __future__ import annotations
 

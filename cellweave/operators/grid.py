@@ -1,4 +1,9 @@
-"""Cells in space: coordinates, regions, nearest cells, regridding. Grids are small tables; values stay in long series."""
+"""Cells in space: coordinates, regions, nearest cells, regridding. Values stay in long series.
+
+Null coordinates give null coordinates, and such cells are in no region, nearest to
+nothing and without weights. Repeated cells count each. Empty grids give empty
+tables. Lines of a grid are numbered, and grids outlined, on a row for each line.
+"""
 
 from __future__ import annotations
 
@@ -39,18 +44,23 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
     return count % 2 == 1
 
 
+#: Degrees in a tile where cells and regions meet.
+TILE = 10
+
+
 def membership(grid: DataFrame, regions: DataFrame) -> DataFrame:
     """(region, cell_id) of cell centres in each region (region, ring).
 
-    Cells and rings meet in tiles of one degree: a ring is in those of its bounding
+    Cells and rings meet in tiles of TILE degrees: a ring is in those of its bounding
     box, a cell in one. So it is an equi-join, however many regions there are.
     Cells without coordinates and empty rings are in no pair.
     """
-    tiles = lambda lo, hi: F.sequence(F.floor(lo).cast("int"), F.floor(hi).cast("int"))
+    tile = lambda c: F.floor(c / TILE).cast("int")
+    tiles = lambda lo, hi: F.sequence(tile(lo), tile(hi))
     side = lambda f, c: f(F.transform("ring", lambda p: p[c]))
     r = regions.where(F.size("ring") > 0)
     r = r.select("region", "ring", F.explode(tiles(side(F.array_min, "x"), side(F.array_max, "x"))).alias("_tx"), tiles(side(F.array_min, "y"), side(F.array_max, "y")).alias("_ys")).withColumn("_ty", F.explode("_ys")).drop("_ys")
-    g = grid.select("cell_id", "lon", "lat", F.floor("lon").cast("int").alias("_tx"), F.floor("lat").cast("int").alias("_ty"))
+    g = grid.select("cell_id", "lon", "lat", tile(F.col("lon")).alias("_tx"), tile(F.col("lat")).alias("_ty"))
     return g.join(r, ["_tx", "_ty"]).where(inside(F.col("lon"), F.col("lat"), F.col("ring"))).select("region", "cell_id")
 
 

@@ -1,4 +1,9 @@
-"""Indices of series, running means and filters, and measures of distributions."""
+"""Indices of series, running means and filters, and measures of distributions.
+
+As in `statistics`: null values are skipped (in running sums and filters they are
+0), null keys are keys, repeated rows count each. Ranks of equal values follow
+`tie`. Every window is one series'.
+"""
 
 from __future__ import annotations
 

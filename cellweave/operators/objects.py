@@ -1,4 +1,9 @@
-"""Object-based comparison of fields (structure, amplitude, location), a step of time in each group; 2-D smoothing."""
+"""Object-based comparison of fields (structure, amplitude, location), a step of time in each group; 2-D smoothing.
+
+A field is the rows (y, x, value) of one time and fits a task. Null values and cells
+without a row are not valid. Of repeated cells the last one read counts, so keep
+them unique. Rows with a null y or x are errors.
+"""
 
 from __future__ import annotations
 

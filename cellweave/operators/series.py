@@ -1,4 +1,12 @@
-"""Series: reading in, selecting, resampling, aligning."""
+"""Series: reading in, selecting, resampling, aligning.
+
+Null is the only missing value; NaN becomes null on the way in. Selections drop
+rows whose time is null. Null keys are keys of their own, also in joins, but for
+`derive` and `forward_fill`, where series without a key meet nothing. Rows that
+repeat a key and time are all used, or the last by `order` in `keep_last`; ties in
+an order that the caller leaves open are taken as they come. Columns beside those
+named are dropped or left alone. Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,10 @@
-"""Statistics along the time of each series: moments, cycles, percentiles, distributions."""
+"""Statistics along the time of each series: moments, cycles, percentiles, distributions.
+
+Keys are named in `by`; none pools the whole table. Null values are skipped, and
+what has no value at all is null, but for sums and counts, which are 0. Null keys
+are keys. Repeated rows count each. Empty tables give empty tables, or with no
+keys a row as of no values. Names of the results replace columns of the same name.
+"""
 
 from __future__ import annotations
 

@@ -207,3 +207,31 @@ def test_every_statistic_runs_pooled_and_not(spark):
     with pytest.raises(ValueError):
         config.calculate(df, ["cell"], {"unknown": {}})
     df.unpersist()
+
+
+def test_levels_kernels_and_own_functions(spark):
+    from cellweave.operators import objects
+
+    df = table(spark, [(1, at(k), float(k)) for k in range(101)] + [(1, at(200), None)])
+    assert np.allclose(compare.levels(df, 5), np.linspace(2, 98, 5))
+    skewed = table(spark, [(1, at(k), float(k)) for k in range(100)] + [(1, at(200), 1e6)])
+    assert np.allclose(compare.levels(skewed, 3)[-1], np.percentile([*range(100), 1e6], 99))
+    with pytest.raises(ValueError):
+        compare.levels(df.where("false"))
+    assert objects.kernel(3).sum() == pytest.approx(1) and objects.kernel(3, how="sum").sum() == 9
+    assert objects.kernel(5, "disk", "sum").tolist() == [[0, 0, 1, 0, 0], [0, 1, 1, 1, 0], [1, 1, 1, 1, 1], [0, 1, 1, 1, 0], [0, 0, 1, 0, 0]] and objects.kernel(5, "disk").max() == 1 / 25
+    statistics.register("steps", lambda part: part.assign(value=part.value.diff())[["cell", "time", "value"]].dropna())
+    found = statistics.generic(table(spark, [(1, at(2), 5.0), (1, at(0), 1.0), (1, at(1), 2.0), (2, at(0), 1.0)]), ["cell"], "steps", "cell long, time timestamp_ntz, value double")
+    assert got(found, "cell", "value") == [(1, 1.0), (1, 3.0)]
+    with pytest.raises(ValueError):
+        statistics.generic(df, [], "steps", "value double")
+
+
+def test_plans_stay_on_the_jvm_and_read_once(spark):
+    """No Python in aggregates, one scan for distributions and runs, and date ranges at the Parquet scan."""
+    items = series.series(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumnRenamed("l_suppkey", "cell"), ["cell"], "l_shipdate", "l_quantity")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (statistics.pdf(items, ["cell"], [0.0, 10.0, 60.0]), statistics.seasonal_cycle(items, ["cell"]), runs.dry_spells(items, ["cell"], 5.0, [1, 2, 9]), statistics.survival_fraction(items, ["cell"], [50, 90]), indices.filtered(items, ["cell"], [1.0, 2.0, 1.0])):
+        text = plan(df)
+        assert text.count("FileScan parquet") == 1 and "Python" not in text and "Arrow" not in text
+    assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in plan(series.select_interval(items, "1996-01", "1996-03"))
