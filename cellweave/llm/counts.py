@@ -22,7 +22,9 @@ class Rollup:
     commit(batch, changes) writes what the batch adds to each total. It counts
     once its folder holds Spark's mark of success; a batch that is committed
     already is left alone, and one that broke off is written anew. So a batch can
-    be sent any number of times. totals() adds up the committed batches.
+    be sent any number of times. totals() adds up the committed batches. A batch
+    has one writer at a time: two that commit the same name at once would write
+    the same folder, so whoever sends batches takes turns on a name.
     """
 
     def __init__(self, spark: SparkSession, base: str):
@@ -86,10 +88,12 @@ def count_documents(docs: DataFrame, tokenizer_path: str, version: str, blank_ke
 
 
 def inserts(counted: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """CHANGES that add each row with the count in column `tokens`; a row without a count changes nothing when committed."""
     return counted.select("doc_id", "source", "lang", "version", F.lit(1).alias("sign"), F.col(tokens).alias("tokens"))
 
 
 def deletes(counted: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """CHANGES that take each row out again."""
     return inserts(counted, tokens).withColumn("sign", F.lit(-1))
 
 

@@ -136,9 +136,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     and `end_id`. Each full run of `capacity` ids becomes a sequence of its own
     where the text is tokenised; only the rest, under `capacity` ids, is
     shuffled. Rests go to random groups of about `group_docs` documents, by a hash
-    of the row; each group is packed by itself with first-fit decreasing, and the
-    emptiest bins are then cut into the gaps of the others. So a task holds
-    `group_docs` rests of under 4 * `capacity` bytes, whatever the corpus.
+    of the row and the input partition it stands in; each group is packed by itself
+    with first-fit decreasing, and the emptiest bins are then cut into the gaps of
+    the others. So a task holds about `group_docs` rests of under 4 * `capacity`
+    bytes, or those of the rows that are alike within one partition.
 
     Null and empty texts have one id, the end id. Null ids are kept as null.
     Repeated rows are documents of their own. No documents, no rows. Other
@@ -147,5 +148,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     prepare(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     groups = max(1, -(-rows.count() // group_docs))
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64(F.lit("pack"), "doc_id", F.crc32("text")), F.lit(groups)))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64(F.lit("pack"), "doc_id", F.crc32("text"), F.spark_partition_id()), F.lit(groups)))
     return rows.mapInArrow(_tokenise(tokenizer_path, capacity, end_id), TOKENISED).groupBy("grp").applyInArrow(_pack_group(capacity), PIECES)

@@ -24,6 +24,10 @@ def vocabulary(name: str) -> str:
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+#: Words that must have stood together before: passages of 43 words and more are always found, and short lines that many documents share stay.
+LEAST_WORDS = 32
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -61,7 +65,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeated_spans(table(spark, sf_dir, "documents"))
+    return substrings.repeated_spans(table(spark, sf_dir, "documents"), LEAST_WORDS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

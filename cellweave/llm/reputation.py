@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import Scratch, pick
 
 #: Suffixes of two labels under which names are registered (fixed values; a parameter of `reputations`).
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
@@ -64,6 +64,8 @@ def reputations(outcomes: DataFrame, two_labels: tuple[str, ...] = TWO_LABEL_SUF
     task. Null hosts or outcomes say nothing.
     """
     counts = pick(outcomes, host="host", bad="bad").where("host is not null and bad is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.count_if("bad").cast("double").alias("k"))
+    # a row for each host, which every level reads several times
+    counts = Scratch(outcomes.sparkSession, "reputation").store(counts, "hosts")
     hosts = counts.withColumn("suffix", suffix_of(F.col("host"), two_labels)).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))

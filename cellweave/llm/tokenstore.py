@@ -134,11 +134,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, scratch: Scratch, end_id:
     added up on the executors, and only the vocabulary's counts reach the driver
     (at most one for each id of the vocabulary). Ids are then replaced by their
     rank in falling frequency, so most take one byte. Rows are dealt out by range
-    of the id column; a task writes its rows as blocks of BLOCK_IDS ids. Returns
+    of the id column and, for rows of one id, of a digest of their ids; a task writes its rows as blocks of BLOCK_IDS ids. Returns
     the id of each rank, which is also written, as `ranks`.
 
-    Null and empty texts have the end id only; null ids come first; repeated rows
-    stay, in no set order among themselves. Other columns are ignored.
+    Null and empty texts have the end id only; null ids come first; rows of one id
+    stay, in the order of that digest and then of their ids. Other columns are ignored.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -150,7 +150,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, scratch: Scratch, end_id:
     ids_by_rank = np.array([r["id"] for r in ranked], dtype="<u4")
     scratch.store(spark.createDataFrame([(k, r["id"], r["n"]) for k, r in enumerate(ranked)], "place int, id bigint, n bigint").coalesce(1), "ranks")
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = tokens.where("counts is null").select("doc_id", "ids").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    tied = tokens.where("counts is null").select("doc_id", F.crc32("ids").alias("tie"), "ids")
+    ordered = tied.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids").select("doc_id", "ids")
     scratch.store(ordered.mapInArrow(_blocks(ids_by_rank, width), BLOCKS), "blocks")
     scratch.drop("tokens")
     return ids_by_rank

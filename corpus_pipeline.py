@@ -1,6 +1,14 @@
 """A training corpus from raw documents: five stages, each over all that the one before it kept.
 
 No stage can be written in SQL whole; tests/llm/test_pipeline.py holds them against brute force.
+
+In all stages a null text is an empty one, and an empty text is clean: it goes on
+to the end, where it is a document of one id. Rows without an id can't be named
+by another stage's finding, so filters by id keep them; the classifier judges them
+by their text. Rows that repeat an id are judged together, and stay or go together,
+but in the substring stage, which tells them apart by their text. An empty table
+gives an empty table. Columns beside doc_id and text are carried along, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -9,11 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import decontaminate, neardup, packing, substrings, toxicity
-from cellweave.llm.queries import table, vocabulary
+from cellweave.llm.queries import LEAST_WORDS, table, vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the classifier rejects."""
+    """Without the documents that the classifier rejects; without toxic labels none."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -25,7 +33,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without passages that stand in an earlier document; n_chars follows the text."""
-    return substrings.drop_repeats(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    left = substrings.drop_repeats(docs, LEAST_WORDS)
+    return left.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else left
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each but the last is written to the shared folder and read again."""
+    """All stages over the documents; each but the last is written to the shared folder and read again, and deleted once the next is written."""
     from cellweave.llm.common import Scratch
 
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = scratch.store(stage(spark, docs, sf_dir), name)
+        scratch.keep(name)
     return STAGES[-1][1](spark, docs, sf_dir)

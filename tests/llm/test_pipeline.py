@@ -70,3 +70,27 @@ def test_run_equals_its_stages(spark, stages):
 
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{n}" for n in range(1, 11)] and ORACLE_SQL.keys() <= QUERIES.keys()
+
+
+def test_stages_with_gaps_repeats_clashing_names_and_nothing(spark, tmp_path):
+    """Null ids and texts, repeated rows and columns named like the operators' own go through all stages; an empty table stays empty."""
+    path = f"file://{tmp_path}"
+    line = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, None, 5), (2, "", 5), (None, "no id " + line, 5), (3, "own words " + line, 5), (3, "own words " + line, 5), (4, "own words " + line, 5), (5, "other start " + line + " " + " ".join(f"own{k}" for k in range(70)), 5), (6, "一" * 3000, 5)]
+    schema = "doc_id long, text string, n_chars long, n long, grp string, component_id long, cw_0 string, score double"
+    docs = spark.createDataFrame([(*r, 1, "g", 2, "c", 0.5) for r in rows], schema)
+    spark.createDataFrame([(3, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "What is asked here today. This is the one answer.")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    for start in (docs, docs.where("false")):
+        scratch, df = Scratch(spark, "test"), start
+        for name, f in pipeline.STAGES[:-1]:
+            df = scratch.store(f(spark, df, path), name)
+            assert df.columns == docs.columns, name
+        pieces = pipeline.STAGES[-1][1](spark, df, path).collect()
+        kept = [(r.doc_id, r.text) for r in df.collect()]
+        if not start.isEmpty():
+            assert {1, 2, 3, 5, 6} <= {k for k, _ in kept} and 4 not in {k for k, _ in kept} and sum(k is None for k, _ in kept) <= 1
+            assert sum(k == 3 for k, _ in kept) == 2, "repeated rows stay or go together"
+            assert {p.doc_id for p in pieces} == {k for k, _ in kept}
+        else:
+            assert not kept and not pieces
