@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,7 +105,10 @@ def tokens_of(page: str) -> Iterator[tuple[int, str, dict[str, str] | str]]:
             at = begin + 1
             continue
         name = m[0].lower()
-        attributes, closed, at = _tag(page, m.end())
+        if page.startswith(">", m.end()):
+            attributes, closed, at = {}, False, m.end() + 1
+        else:
+            attributes, closed, at = _tag(page, m.end())
         if next_ == "/":
             yield -1, name, ""
             continue
@@ -144,7 +148,8 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
     def cut() -> None:
         for where, parts in held.items():
             if parts:
-                block = " ".join(html.unescape("".join(parts)).split())
+                block = "".join(parts)
+                block = " ".join((html.unescape(block) if "&" in block else block).split())
                 if block:
                     inside[where].append(block)
                 parts.clear()
@@ -328,23 +333,36 @@ def _settle(least: int, most_pages: int):
     return run
 
 
+#: What a group of a host's pages says: substrings that stand on FEW of them, (digest null) how many there are, and the pages without an article themselves.
+SAID = "host string, digest bigint, pages bigint, open boolean, page_id bigint, url string, blocks array<string>"
+
+
 def _common(least: int):
-    """Rows (host, digest, pages) of a group of a host's pages: substrings on FEW of them, and (digest null) how many pages there are."""
+    def said(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in SAID_ARROW], schema=SAID_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, "grp"):
-            hosts = t.column("host").to_pylist()
+            open_ = t.filter(pc.invert(t.column("settled"))).combine_chunks()
+            if len(open_):
+                yield said(len(open_), open=pa.array([True] * len(open_)), **{c: open_.column(c).combine_chunks() for c in ("host", "page_id", "url", "blocks")})
+            t = t.filter(pc.and_(t.column("settled"), pc.not_equal(t.column("host"), "")))
+            hosts, groups = t.column("host").to_pylist(), t.column("groups").to_pylist()
             lengths = np.cumsum(t.column("size").to_numpy())
             for host in dict.fromkeys(hosts):  # two hosts may share a group's hash
                 rows = [k for k, h in enumerate(hosts) if h == host]
+                if groups[rows[0]] == 1 and len(rows) < PAGES:
+                    continue
                 for part in np.split(rows, np.flatnonzero(np.diff(lengths[rows] // GROUP_CHARACTERS)) + 1):
                     digests, on, n = common_substrings(t.column("blocks").take(pa.array(part)).to_pylist(), least, FEW)
-                    names = ["host", "digest", "pages"]
-                    yield pa.RecordBatch.from_arrays([pa.array([host] * (len(digests) + 1), pa.string()), pa.array([None, *digests.tolist()], pa.int64()), pa.array([n, *on.tolist()], pa.int64())], names=names)
+                    yield said(len(on) + 1, host=pa.array([host] * (len(on) + 1)), digest=pa.array([None, *digests.tolist()], pa.int64()), pages=pa.array([n, *on.tolist()], pa.int64()))
 
     return run
 
 
+SAID_ARROW = pa.schema([("host", pa.string()), ("digest", pa.int64()), ("pages", pa.int64()), ("open", pa.bool_()), ("page_id", pa.int64()), ("url", pa.string()), ("blocks", pa.list_(pa.string()))])
+
+
 def _applied(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple = (None, frozenset())
@@ -365,22 +383,30 @@ SHARE, PAGES, FEW = 0.5, 8, 0.25
 GROUP_CHARACTERS = 1 << 25
 
 
-def host_boilerplate(articles: DataFrame, least: int, group_pages: int) -> DataFrame:
-    """(host, digests) of what most of a host's distinct articles hold, of rows (host, blocks).
+#: Hosts of several groups whose number of groups is broadcast.
+MOST_HOSTS = 100_000
+
+
+def look_at_hosts(parsed: DataFrame, pages: DataFrame, scratch: Scratch, least: int, group_pages: int) -> tuple[DataFrame, DataFrame]:
+    """(host, digests) of what most of a host's distinct articles hold, and the pages without an article, of rows (page_id, url, blocks, settled, host).
 
     Each host's pages are dealt at random into groups of about `group_pages`, and
     each group has its suffix array. What stands on SHARE of all of a host's pages
     stands on FEW of each group's but for a chance of about one in a billion, so
     the groups' counts add up to the host's. Equal pages are one page, always in
-    one group. Hosts of fewer than PAGES pages can't have any and stay out.
+    one group. The texts are shuffled once, to their groups. `pages` has a row
+    (host) for each page, which is cheaper to count; only hosts of more than one
+    group are joined, by broadcast where they are MOST_HOSTS at most.
     """
-    sizes = articles.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES).select("host", F.ceil(F.col("n") / group_pages).alias("groups"))
-    met = articles.join(sizes, "host").select("host", "blocks", F.aggregate("blocks", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x) + 1).alias("size"), F.xxhash64("host", F.pmod(F.xxhash64("blocks"), "groups")).alias("grp"))
-    counted = met.repartition("grp").sortWithinPartitions("grp", "host").mapInArrow(_common(least), "host string, digest bigint, pages bigint")
-    summed = counted.groupBy("host", "digest").agg(F.sum("pages").alias("pages"))
+    large = scratch.store(pages.groupBy("host").agg(F.ceil(F.count("*") / group_pages).cast("int").alias("groups")).where("groups > 1"), "large")
+    met = parsed.join(F.broadcast(large) if large.count() <= MOST_HOSTS else large, "host", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    size = F.aggregate("blocks", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x) + 1)
+    dealt = met.where("not settled or size(blocks) > 0").select("page_id", "url", "host", "blocks", "settled", "groups", size.alias("size"), F.xxhash64("host", F.pmod(F.xxhash64("blocks"), "groups")).alias("grp"))
+    said = scratch.store(dealt.repartition("grp").sortWithinPartitions("grp", "host").mapInArrow(_common(least), SAID), "said")
+    summed = said.where("open is null").groupBy("host", "digest").agg(F.sum("pages").alias("pages"))
     of = Window.partitionBy("host")
     many = summed.withColumn("all", F.max(F.when(F.col("digest").isNull(), F.col("pages"))).over(of)).where(F.col("digest").isNotNull() & (F.col("pages") >= PAGES) & (F.col("pages") >= SHARE * F.col("all")))
-    return many.groupBy("host").agg(F.collect_list("digest").alias("digests"))
+    return many.groupBy("host").agg(F.collect_list("digest").alias("digests")), said.where("open").select("page_id", "url", "blocks", "host")
 
 
 def main_text(pages: DataFrame, least: int = 12, group_pages: int = 256, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -394,7 +420,7 @@ def main_text(pages: DataFrame, least: int = 12, group_pages: int = 256, id_col:
     covers goes, and the other words are the text.
 
     Within articles a substring counts as boilerplate if it stands on half of a
-    host's pages and on eight at least (`host_boilerplate`), for articles may share
+    host's pages and on eight at least (`look_at_hosts`), for articles may share
     passages, all of which is kept otherwise. On pages without an article, what two
     pages share is boilerplate. A host with more than `group_pages` pages has an
     array for each group of about so many; what its pages share is found over all
@@ -404,8 +430,8 @@ def main_text(pages: DataFrame, least: int = 12, group_pages: int = 256, id_col:
     addresses, and have the same text. Pages without an article that are nearly the
     same are distinct, so they lose what they share.
 
-    Null and empty pages have an empty text; pages with a null url form a host of
-    their own, of which nothing is boilerplate within articles. Null ids and
+    Null and empty pages have an empty text; pages without a host form one of their
+    own, of which nothing is boilerplate within articles. Null ids and
     repeated rows stay. Other columns are ignored.
     """
     spark = pages.sparkSession
@@ -413,9 +439,9 @@ def main_text(pages: DataFrame, least: int = 12, group_pages: int = 256, id_col:
     scratch = Scratch(spark, "extract")
     rows = pick(pages, page_id=id_col, url=url_col, html=html_col).select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
     parsed = rows.mapInArrow(_parse, PARSED).withColumn("host", host_of(F.col("url")))  # cheaper to do again than to store
-    found = scratch.store(host_boilerplate(parsed.where("settled and size(blocks) > 0 and host is not null").select("host", "blocks"), least, group_pages), "boilerplate")
+    found, open_ = look_at_hosts(parsed, rows.select(host_of(F.col("url")).alias("host")), scratch, least, group_pages)
+    found = scratch.store(found, "boilerplate")
     done = parsed.where("settled").join(found, "host", "left").select("page_id", "url", "host", "blocks", "digests").mapInArrow(_applied(least), "page_id bigint, url string, text string")
-    open_ = scratch.store(parsed.where("not settled"), "unsettled")
     if not open_.isEmpty():
         uid = F.sha2(F.concat(F.sha2("host", 256), F.array_join("blocks", "\n")), 256)  # of host and blocks; blocks have no line ends
         open_ = scratch.store(open_.withColumn("uid", uid), "open")

@@ -5,10 +5,10 @@ After Christiani, Pagh and Sivertsen, "Scalable and robust set similarity join"
 functions, large ones by the least member in each of SIZE parts of one hash's range
 (Shrivastava 2017), those between by both, so that documents which may be linked
 always share a kind. A node of a tree picks
-coordinates by its own hash, 1.25 on average (one over the similarity); documents
+coordinates by its own hash, one over the similarity on average; documents
 that agree there go on to the same child. Small nodes are compared exhaustively,
-large ones branch further. ROOTS coordinates at the root stand for eight
-independent trees.
+large ones branch further. Coordinates at the root stand for TREES independent
+trees.
 
 The trees only say which documents may belong together: a spanning forest of
 candidates. All links are then confirmed on full sets, within each connected set
@@ -17,7 +17,9 @@ of candidates, in a way that loses no link whatever the set's size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -28,14 +30,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, maybe_in, pick, prepare
 
-#: Minwise tokens of a document; coordinates taken at the root; levels below which large nodes are joined whole.
-SIZE, ROOTS, LEVELS = 64, 10, 5
-#: Documents in a node that are compared exhaustively; equal coordinates of SIZE that make a candidate (5 standard deviations under 0.8).
-NODE, ALIKE = 64, 36
+#: Minwise tokens of a document; trees; levels below which large nodes are joined whole.
+SIZE, TREES, LEVELS = 64, 8, 4
+#: Documents in a node that are compared exhaustively.
+NODE = 64
 #: Documents of a large node that one task holds against its pivots.
 SPLIT = 4096
 #: Documents and shingles of a set of candidates that one task confirms; rounds of pivots for larger ones.
-SMALL_DOCS, SMALL_SHINGLES, ROUNDS = 256, 1 << 20, 6
+SMALL_DOCS, SMALL_SHINGLES, ROUNDS = 256, 1 << 20, 3
 
 #: Sets of up to LARGE members have the first kind of tokens; from `percent` of that on, the second.
 LARGE = 256
@@ -88,8 +90,30 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-#: Coordinates of a document that agree with a pivot's where both may belong together (5 deviations under 0.6), and where all that may be linked to the document do so too.
-NEAR, CORE, PIVOTS = 24, 46, 6
+#: Pivots of a large node.
+PIVOTS = 6
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What follows from the similarity that is looked for."""
+
+    #: Coordinates taken at the root, for TREES trees; how many more than one a node takes, in percent.
+    roots: int
+    more: int
+    #: Equal coordinates of SIZE that make a candidate, 5 deviations under the similarity; that let a document belong to a pivot whose other partners' partners it may be; that take it out of the node.
+    alike: int
+    near: int
+    core: int
+
+    @classmethod
+    def of(cls, percent: int) -> "Limits":
+        if not 0 < percent <= 100:
+            raise ValueError("a similarity is over 0 and at most 100 percent")
+        p = percent / 100
+        q = max(2 * p - 1, 0.0)  # two links away at least
+        under = lambda x, deviations: int(SIZE * x - deviations * (SIZE * x * (1 - x)) ** 0.5)
+        return cls(min(SIZE, math.ceil(TREES / p)), min(100, round(100 / p) - 100), min(SIZE, max(1, under(p, 5) + 1)), max(1, under(q, 3.67)), max(1, under(p, 1.6)))
 
 #: For a part without members, the parts it asks in turn.
 _ASK = np.stack([np.random.default_rng(k).permutation(SIZE) for k in range(SIZE)])
@@ -113,6 +137,8 @@ def _signed(x) -> int:
 
 
 def _signatures(words: int, percent: int):
+    count = Limits.of(percent).roots
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, f1, f2, kinds = [], [], [], ([], [])
@@ -123,7 +149,7 @@ def _signatures(words: int, percent: int):
                 f2.append(_signed(np.bitwise_xor.reduce(s * _ODD)) if len(s) else 0)
                 kinds[0].append(signature(s) if 0 < len(s) <= LARGE else None)
                 kinds[1].append(parted_signature(s) if 100 * len(s) >= percent * LARGE and len(s) else None)
-            roots = [pa.array([None if x is None else x[:ROOTS] for x in k], pa.list_(pa.int32())) for k in kinds]
+            roots = [pa.array([None if x is None else x[:count] for x in k], pa.list_(pa.int32())) for k in kinds]
             sigs = [pa.array([None if x is None else x.astype(np.uint8).tobytes() for x in k], pa.binary()) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), *roots, *sigs], names=["doc_id", "n", "f1", "f2", "roots0", "roots1", "sig0", "sig1"])
 
@@ -161,46 +187,54 @@ def _bytes(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIZE)
 
 
-def _against_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _against_pivots(limits: Limits):
     """For each document of a large node the first pivot that it is near to, and whether it is at a pivot's core."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig = _bytes(batch.column("sig"))
-        pivots = batch.column("pivots").combine_chunks() if hasattr(batch.column("pivots"), "combine_chunks") else batch.column("pivots")
-        counts = pivots.value_lengths().to_numpy()
-        flat = pivots.flatten()
-        ids, owner = flat.field("id").to_numpy(), np.repeat(np.arange(len(sig)), counts)
-        alike = (_bytes(flat.field("sig")) == sig[owner]).sum(axis=1)
-        near, core = np.full(len(sig), -1), np.zeros(len(sig), bool)
-        for k in np.flatnonzero(alike >= NEAR)[::-1].tolist():
-            near[owner[k]] = k
-        np.logical_or.at(core, owner, alike >= CORE)
-        pivot = pa.array([None if k < 0 else int(ids[k]) for k in near.tolist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "kind", "node", "sig")), pivot, pa.array(core)], names=["id", "kind", "node", "sig", "pivot", "core"])
-
-
-def _compare_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the documents of each node that agree in ALIKE coordinates at least."""
-    a, b = [], []
-    for t in sorted_groups(batches, "node"):
-        ids = t.column("id").to_pylist()
-        sig = _bytes(t.column("sig"))
-        parent = list(range(len(ids)))
-        for i in range(1, len(ids)):
-            for j in np.flatnonzero((sig[:i] == sig[i]).sum(axis=1) >= ALIKE):
-                x, y = _find(parent, i), _find(parent, int(j))
-                if x != y:
-                    parent[x] = y
-                    a.append(ids[i])
-                    b.append(ids[j])
-        if len(a) > 5000:
-            yield _edges(a, b)
-            a, b = [], []
-    yield _edges(a, b)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = _bytes(batch.column("sig"))
+            pivots = batch.column("pivots").combine_chunks() if hasattr(batch.column("pivots"), "combine_chunks") else batch.column("pivots")
+            counts = pivots.value_lengths().to_numpy()
+            flat = pivots.flatten()
+            ids, owner = flat.field("id").to_numpy(), np.repeat(np.arange(len(sig)), counts)
+            alike = (_bytes(flat.field("sig")) == sig[owner]).sum(axis=1)
+            near, core = np.full(len(sig), -1), np.zeros(len(sig), bool)
+            for k in np.flatnonzero(alike >= limits.near)[::-1].tolist():
+                near[owner[k]] = k
+            np.logical_or.at(core, owner, alike >= limits.core)
+            pivot = pa.array([None if k < 0 else int(ids[k]) for k in near.tolist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "kind", "node", "sig")), pivot, pa.array(core)], names=["id", "kind", "node", "sig", "pivot", "core"])
+
+    return run
+
+
+def _compare_node(limits: Limits):
+    """A spanning forest of the documents of each node that agree in limits.alike coordinates at least."""
 
-def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for t in sorted_groups(batches, "node"):
+            ids = t.column("id").to_pylist()
+            sig = _bytes(t.column("sig"))
+            parent = list(range(len(ids)))
+            for i in range(1, len(ids)):
+                for j in np.flatnonzero((sig[:i] == sig[i]).sum(axis=1) >= limits.alike):
+                    x, y = _find(parent, i), _find(parent, int(j))
+                    if x != y:
+                        parent[x] = y
+                        a.append(ids[i])
+                        b.append(ids[j])
+            if len(a) > 5000:
+                yield _edges(a, b)
+                a, b = [], []
+        yield _edges(a, b)
+
+    return run
+
+
+def candidates(reps: DataFrame, scratch: Scratch, limits: Limits) -> DataFrame:
     """Edges (a, b) between documents (id, kind, roots, sig) that the trees bring together.
 
     A family of copies is never split by branching. So the documents of a large
@@ -208,7 +242,7 @@ def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
     pivot that it is near to. Those at a pivot's core then leave the node, for what
     may be linked to them is near to the pivot as well, and so is joined already.
     """
-    nodes = reps.select("id", "kind", "sig", F.explode(F.array(*(F.xxhash64(F.lit(c), "kind", F.col("roots")[c]) for c in range(ROOTS)))).alias("node"))
+    nodes = reps.select("id", "kind", "sig", F.explode(F.array(*(F.xxhash64(F.lit(c), "kind", F.col("roots")[c]) for c in range(limits.roots)))).alias("node"))
     found = []
     for level in range(LEVELS):
         # only the ids of nodes meet at first; signatures follow where a node has two documents at least
@@ -218,7 +252,7 @@ def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
         met = scratch.store(maybe_in(nodes, "node", counts, several).join(counts.hint("merge"), "node"), f"met{level}")
         scratch.drop(f"counts{level}", *([f"nodes{level}"] if level else []))
         small = met.where(F.col("size") <= NODE).select("node", "id", "sig")
-        found.append(scratch.store(small.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_node, "a bigint, b bigint"), f"found{level}"))
+        found.append(scratch.store(small.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_node(limits), "a bigint, b bigint"), f"found{level}"))
         large = met.where(F.col("size") > NODE)
         if level == LEVELS - 1:
             found.append(scratch.store(large.where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b")), "found"))
@@ -232,10 +266,10 @@ def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
             chosen = chosen.select("node", F.array_distinct(F.array(*(f"p{j}" for j in range(PIVOTS)))).alias("pivots"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
             chosen = scratch.store(chosen, f"chosen{level}")
             held = large.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).join(chosen.hint("merge"), ["node", "part"])
-            held = scratch.store(held.mapInArrow(_against_pivots, "id bigint, kind int, node bigint, sig binary, pivot bigint, core boolean"), f"held{level}")
+            held = scratch.store(held.mapInArrow(_against_pivots(limits), "id bigint, kind int, node bigint, sig binary, pivot bigint, core boolean"), f"held{level}")
             found.append(scratch.store(held.where("pivot is not null and pivot != id").select(F.col("id").alias("a"), F.col("pivot").alias("b")), f"near{level}"))
             pick_one = [F.pmod(F.xxhash64(F.lit(k), "node"), F.lit(SIZE)).cast("int") for k in (1, 2)]
-            at = F.when(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(100)) < 25, F.array(*pick_one)).otherwise(F.array(pick_one[0]))
+            at = F.when(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(100)) < limits.more, F.array(*pick_one)).otherwise(F.array(pick_one[0]))
             rest = held.where("not core").select("id", "kind", "node", "sig", F.explode(at).alias("at")).select("id", "kind", "sig", F.xxhash64("node", "at", F.substring("sig", F.col("at") + 1, F.lit(1))).alias("node"))
             nodes = scratch.store(rest, f"nodes{level + 1}")
             scratch.drop(f"met{level}", f"chosen{level}", f"held{level}")
@@ -306,19 +340,29 @@ OVERLAPS = "cluster bigint, id bigint, other bigint, n bigint, m bigint, inter b
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for cluster, id_, n, raw in zip(*(batch.column(c).to_pylist() for c in ("cluster", "id", "n", "hashes"))):
-            yield pa.RecordBatch.from_arrays([pa.array([cluster] * n, pa.int64()), pa.array([id_] * n, pa.int64()), pa.array([n] * n, pa.int64()), pa.array(np.frombuffer(raw, np.int64))], names=["cluster", "id", "n", "token"])
-
-
-def _confirm_by_prefix(sets: DataFrame, percent: int) -> DataFrame:
-    """Overlaps of all pairs of a cluster that can reach `percent`: they share one of their rarest shingles, n - ceil(percent * n / 100) + 1 of them."""
-    tokens = sets.mapInArrow(_tokens, "cluster bigint, id bigint, n bigint, token bigint")
-    df = tokens.groupBy("cluster", "token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = tokens.join(df, ["cluster", "token"], "left").selectExpr("cluster", "id", "n", "token", "df", "row_number() over (partition by cluster, id order by coalesce(df, 1), token) as place")
-    prefix = ranked.where(F.expr(f"df is not null and place <= n - ceil({percent} * n / 100) + 1"))
-    other = prefix.select("cluster", "token", F.col("id").alias("other"), F.col("n").alias("m"))
-    pairs = prefix.join(other, ["cluster", "token"]).where(f"id < other and 100 * least(n, m) >= {percent} * greatest(n, m)").select("cluster", "id", "other").distinct()
-    both = pairs.join(sets, ["cluster", "id"]).join(sets.select("cluster", F.col("id").alias("other"), F.col("n").alias("m"), F.col("hashes").alias("others")), ["cluster", "other"])
+        for cluster, id_, n, comp, raw in zip(*(batch.column(c).to_pylist() for c in ("cluster", "id", "n", "comp", "hashes"))):
+            yield pa.RecordBatch.from_arrays([pa.array([x] * n, pa.int64()) for x in (cluster, id_, n, comp)] + [pa.array(np.frombuffer(raw, np.int64))], names=["cluster", "id", "n", "comp", "token"])
+
+
+def _confirm_by_prefix(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Overlaps of all pairs of a cluster that can reach `percent` and are not connected yet (of different comp).
+
+    Such a pair shares one of the rarest shingles of each, n - ceil(percent * n /
+    100) + 1 of them. Of a shingle's documents one comp holds the most; of a pair
+    one at least isn't of that comp, so only these look for partners, and what is
+    connected already is never paired.
+    """
+    tokens = sets.mapInArrow(_tokens, "cluster bigint, id bigint, n bigint, comp bigint, token bigint")
+    df = scratch.store(tokens.groupBy("cluster", "token").agg(F.count("*").alias("df"), (F.min("comp") != F.max("comp")).alias("several")).where("df > 1"), "df")
+    ranked = tokens.join(df, ["cluster", "token"], "left").selectExpr("cluster", "id", "n", "comp", "token", "several", "row_number() over (partition by cluster, id order by coalesce(df, 1), token) as place")
+    prefix = scratch.store(ranked.where(F.expr(f"several and place <= n - ceil({percent} * n / 100) + 1")).select("cluster", "id", "n", "comp", "token"), "prefix")
+    most = prefix.groupBy("cluster", "token", "comp").agg(F.count("*").alias("k")).groupBy("cluster", "token").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"))
+    few = prefix.join(most, ["cluster", "token"]).where("comp != most")
+    other = prefix.select("cluster", "token", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("its"))
+    pairs = few.join(other, ["cluster", "token"]).where(f"comp != its and 100 * least(n, m) >= {percent} * greatest(n, m)").selectExpr("cluster", "least(id, other) as id", "greatest(id, other) as other").distinct()
+    pairs = scratch.store(pairs, "pairs")
+    scratch.drop("df", "prefix")
+    both = pairs.join(sets.select("cluster", "id", "n", "hashes"), ["cluster", "id"]).join(sets.select("cluster", F.col("id").alias("other"), F.col("n").alias("m"), F.col("hashes").alias("others")), ["cluster", "other"])
     return both.mapInArrow(_overlap, OVERLAPS)
 
 
@@ -330,15 +374,18 @@ def _confirm_large(sets: DataFrame, percent: int, scratch: Scratch) -> list[Data
     a metric: with the best pivot p, and u the least distance to p of those not
     linked to p, a document linked to p can only have a link to one of these if
     its own distance to p is at least u less the allowed distance. All others are
-    settled. What became small is compared in pairs; what stays large after ROUNDS
-    goes to an exact join on rarest shingles. A cluster's documents are dealt over
+    settled. The next round's first pivot is the document most alike to the last
+    best one: of a family of copies, one near its middle. What became small is
+    compared in pairs; what stays large after ROUNDS goes to an exact join on rarest
+    shingles, of documents that are not connected by then. A cluster's documents are dealt over
     its parts, and its pivots go to all of them.
     """
     edges: list[DataFrame] = []
     far = 1 - percent / 100
     link = F.expr(f"100 * inter >= {percent} * (n + m - inter)")
     for k in range(ROUNDS):
-        least = sets.groupBy("cluster", "parts").agg(*(F.min_by("id", F.xxhash64(F.lit(2 * k + j), "id")).alias(f"p{j}") for j in (0, 1)))
+        near_best = F.max_by("id", F.struct("alike", F.xxhash64(F.lit(k), "id"))) if k else F.min_by("id", F.xxhash64(F.lit(-1), "id"))
+        least = sets.groupBy("cluster", "parts").agg(near_best.alias("p0"), F.min_by("id", F.xxhash64(F.lit(k), "id")).alias("p1"))
         chosen = least.select("cluster", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("id"))
         pivots = sets.join(chosen, ["cluster", "id"]).select("cluster", F.col("id").alias("other"), F.col("n").alias("m"), F.col("hashes").alias("others"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         pivots = scratch.store(pivots, f"pivots{k}")
@@ -350,19 +397,23 @@ def _confirm_large(sets: DataFrame, percent: int, scratch: Scratch) -> list[Data
         best = near.groupBy("cluster", "other").agg(F.count_if("link").alias("links"), F.min(F.when(~F.col("link"), F.col("d"))).alias("u"))
         best = best.groupBy("cluster").agg(F.max_by(F.struct("other", "u"), F.struct("links", "other")).alias("best")).where("best.u is not null").select("cluster", "best.other", "best.u")
         best = scratch.store(best, f"best{k}")
-        left = near.join(best, ["cluster", "other"]).where(~F.col("link") | (F.col("d") >= F.col("u") - F.lit(far + 1e-9))).select("cluster", "id", "n").distinct()
+        left = near.join(best, ["cluster", "other"]).where(~F.col("link") | (F.col("d") >= F.col("u") - F.lit(far + 1e-9)))
+        left = left.groupBy("cluster", "id", "n").agg(F.max(F.when(F.col("id") != F.col("other"), 1 - F.col("d")).otherwise(0.0)).alias("alike"))
         left = scratch.store(left, f"left{k}")
         sizes = left.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
         fits = (F.col("docs") <= SMALL_DOCS) & (F.col("total") <= SMALL_SHINGLES) | (F.col("docs") <= 2)
-        left = scratch.store(left.join(sizes.select("cluster", fits.alias("fits")), "cluster").select("cluster", "id", "fits"), f"sized{k}")
-        rest = scratch.store(sets.join(left, ["cluster", "id"]), f"rest{k}")
+        left = scratch.store(left.join(sizes.select("cluster", fits.alias("fits")), "cluster").select("cluster", "id", "alike", "fits"), f"sized{k}")
+        rest = scratch.store(sets.drop("alike").join(left, ["cluster", "id"]), f"rest{k}")
         scratch.drop(f"near{k}", f"best{k}", f"left{k}", f"sized{k}", f"rest{k - 1}" if k else "sets")
         edges.append(scratch.store(_confirmed(rest.where("fits").select("cluster", "id", "hashes"), percent), f"late{k}"))
         sets = rest.where("not fits").drop("fits")
         if sets.isEmpty():
             break
     else:
-        edges.append(_confirm_by_prefix(sets, percent).where(link).select(F.col("id").alias("a"), F.col("other").alias("b")))
+        known = components(reduce(DataFrame.unionByName, edges), scratch, "known").withColumnRenamed("component", "comp")
+        apart = scratch.store(sets.join(known, "id", "left").select("cluster", "id", "n", "hashes", F.coalesce("comp", "id").alias("comp")), "apart")
+        found = _confirm_by_prefix(apart, percent, scratch).where(link).select(F.col("id").alias("a"), F.col("other").alias("b"))
+        edges.append(scratch.store(found, "last"))
     return edges
 
 
@@ -386,7 +437,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     reps = scratch.store(marks.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("roots0", "roots1", "sig0", "sig1"))), "reps")
     both = F.array(*(F.struct(F.col(f"roots{k}").alias("roots"), F.col(f"sig{k}").alias("sig")) for k in (0, 1)))
     signed = reps.select("id", F.posexplode(both).alias("kind", "s")).where("s.sig is not null").select("id", "kind", "s.roots", "s.sig")
-    spread = components(candidates(signed, scratch), scratch, "spread").withColumnRenamed("component", "cluster")
+    spread = components(candidates(signed, scratch, Limits.of(percent)), scratch, "spread").withColumnRenamed("component", "cluster")
     spread = scratch.store(spread, "spread")
     scratch.keep("marks", "reps", "spread")
     sizes = spread.join(reps.select("id", "n"), "id").groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
