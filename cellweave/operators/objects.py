@@ -133,7 +133,8 @@ def sal(model: DataFrame, reference: DataFrame, how: str = "F", value: float = 1
     S compares the objects' volumes over their maxima, A the means of the fields.
     L1 takes the distances of both centres of mass from the first cell, over the
     longest distance of the field (`farthest`, of the model's valid cells); L2
-    twice the difference of how far objects are from the centre, in such distances.
+    twice the difference of how far objects are from the centre, in such distances;
+    both are null where that distance is 0.
     Null values are not valid and in no object. Times are independent: a task
     holds the two fields of one time. Smooth the fields first (`smooth`) if wanted.
     """
@@ -152,7 +153,7 @@ def sal(model: DataFrame, reference: DataFrame, how: str = "F", value: float = 1
             scatter = sum(o["total"] * abs(_centre(f, n == o["label"]) - centre) for o in objects) / total.sum()
             sides.append((volume, centre, scatter, len(objects), float(np.nanmean(f))))
         (vm, cm, rm, nm, am), (vr, cr, rr, nr, ar) = sides
-        far = farthest(np.isfinite(fields[0]))
+        far = farthest(np.isfinite(fields[0])) or np.nan  # a contour of one cell has no length: no location
         l1, l2 = abs(cm - cr) / far, 2 * abs(rm - rr) / far
         return pd.DataFrame([(part.time.iloc[0], (vm - vr) / (0.5 * (vm + vr)), (am - ar) / (0.5 * (am + ar)), l1, l2, l1 + l2, nm, nr)], columns=columns)
 
