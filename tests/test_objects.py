@@ -91,6 +91,14 @@ def test_size_limits_and_object_properties(spark):
     assert {(r.side, r.size, r.kind) for r in only} == {("model", 2, None), ("reference", 2, None)}
 
 
+def test_a_contour_of_one_cell_gives_no_location(spark):
+    m = np.random.default_rng(1).random((1, 6, 7))
+    m[0, 0, 0] = np.nan
+    assert objects.farthest(np.isfinite(m[0])) == 0
+    found = objects.sal(table(spark, m), table(spark, np.abs(m - 0.1)), "F", 0.5).collect()
+    assert len(found) == 1 and found[0].l1 is None and found[0].l is None and found[0].s is not None
+
+
 def test_longest_distance_of_valid_cells():
     valid = np.ones((6, 7), bool)
     assert objects.farthest(valid) == pytest.approx(np.hypot(6, 7)), "all valid: the diagonal"
