@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counts, decontaminate, extract, media, neardup, packing, reputation, substrings, tokenstore, toxicity
+from . import align, cluster, counts, decontaminate, extract, media, neardup, neighbours, packing, reputation, substrings, tokenstore, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,8 +68,24 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_spans(table(spark, sf_dir, "documents"), LEAST_WORDS)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.centroid_clusters(table(spark, sf_dir, "embeddings"), k=40, rounds=5, size=64, scale=256, salt="2:")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_minhash, op3_token_counts, op4_html_text, op5_media, op6_decontamination, op7_toxicity, op8_token_store, op9_url_filter, op10_substrings)
+    f.__name__: f for f in (op1_packing, op2_minhash, op3_token_counts, op4_html_text, op5_media, op6_decontamination, op7_toxicity, op8_token_store, op9_url_filter, op10_substrings, op11_token_alignment, op12_near_vectors, op13_centroid_clusters)
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_url_filter": reputation.judge_sql(RULES)}
+ORACLE_SQL: dict[str, str] = {
+    "op9_url_filter": reputation.judge_sql(RULES),
+    "op12_near_vectors": neighbours.near_vectors_sql(0.93),
+    "op13_centroid_clusters": cluster.clusters_sql(k=40, rounds=5, size=64, scale=256, salt="2:"),
+}
