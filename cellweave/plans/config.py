@@ -248,7 +248,7 @@ def open_dataset(spark: SparkSession, config: dict, dataset: str, variable: str,
         c, names = models[dataset], (v.get("var names") or {})
         own = names.get("all") or names.get(dataset) or {"prfx": variable, "vname": variable}
         months, _ = _period(c)
-        paths = files.in_any_month(files.find(spark, f"{c['fpath']}/{v['freq']}/{own['prfx']}/{own['prfx']}_*.parquet"), months)
+        paths = files.in_any_month(files.find(spark, f"{c['fpath']}/{v['freq']}/{own['prfx']}/{own['prfx']}_*.{{parquet,nc}}"), months)
         df, g = files.open_series(spark, paths, own["vname"], accumulated=bool(v.get("accumulated")), rotated=c.get("pole") if c.get("grid type") == "rot" else None)
         scale, offset = _nth(v.get("scale factor"), dataset, models), _nth(v.get("offset factor"), dataset, models)
     else:

@@ -14,6 +14,8 @@ from cellweave.operators.grid import rotate, wrap_longitude
 from cellweave.operators.series import clean, deaccumulate
 from cellweave.operators.series import keep_last as last_rows
 
+from . import netcdf
+
 #: Names that coordinates go by, first choice first (fixed values).
 X_NAMES, Y_NAMES = ("lon", "rlon", "longitude", "x", "X", "i"), ("lat", "rlat", "latitude", "y", "Y", "j")
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -85,31 +87,73 @@ def observation_files(spark: SparkSession, entry: dict, first: str, last: str) -
 ROW_CELLS = 1_000_000
 
 
-def cells_of(df: DataFrame) -> DataFrame:
+def cells_of(df: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """A table of grid values with cell_id, y, x, lon and lat, of coordinates by any of their usual names.
 
-    Without y and x, a rectilinear grid's rows and columns are numbered in
-    ascending order of latitude and longitude. Longitudes over 180 are wrapped.
+    Without y and x, the rows and columns of a rectilinear grid are numbered in
+    ascending order of the latitudes and longitudes of `first` (a part of the table
+    that has the whole grid), or of the table itself; coordinates that aren't among
+    them are an error, and so is a grid whose lines aren't those of latitude and
+    longitude. Longitudes over 180 are wrapped.
     """
     names = df.columns
-    x, y = coordinate([c for c in names if c not in ("x", "y")] or names, X_NAMES), coordinate([c for c in names if c not in ("x", "y")] or names, Y_NAMES)
-    out = df.withColumnsRenamed({x: "lon", y: "lat"}).withColumn("lon", F.when(F.col("lon") > 180, wrap_longitude(F.col("lon"))).otherwise(F.col("lon")).cast("double"))
+    out, known = _located(df), _located(first if first is not None else df)
     if not {"y", "x"} <= set(names):
+        cells = known.select("lat", "lon").distinct()
+        n, lats, lons = cells.agg(F.count("*"), F.count_distinct("lat"), F.count_distinct("lon")).first()
+        if n > 3 and min(lats, lons) > n / 2:
+            raise ValueError("nearly each cell has a latitude and a longitude of its own: give the grid's y and x")
         for c, name in (("lat", "y"), ("lon", "x")):
-            line = out.select(c).distinct().withColumn(name, (F.row_number().over(Window.orderBy(c)) - 1).cast("int"))  # a row for each line of the grid
-            out = out.join(F.broadcast(line), c)
+            line = cells.select(c).distinct().withColumn(name, (F.row_number().over(Window.orderBy(c)) - 1).cast("int"))  # a row for each line of the grid
+            line = line.select(F.col(c).alias("_c"), name)
+            none = F.when(F.col(c).isNotNull(), F.raise_error(F.lit(f"a {c} that the first file's grid doesn't have")).cast("int"))
+            out = out.join(line, F.col(c) == F.col("_c"), "left").withColumn(name, F.coalesce(name, none)).drop("_c")
     if "cell_id" not in names:
         out = out.withColumn("cell_id", F.col("y").cast("bigint") * ROW_CELLS + F.col("x"))
     return out
 
 
+def _located(df: DataFrame) -> DataFrame:
+    names = [c for c in df.columns if c not in ("x", "y")] or df.columns
+    out = df.withColumnsRenamed({coordinate(names, X_NAMES): "lon", coordinate(names, Y_NAMES): "lat"})
+    return out.withColumn("lon", F.when(F.col("lon") > 180, wrap_longitude(F.col("lon"))).otherwise(F.col("lon")).cast("double"))
+
+
+def is_netcdf(path: str) -> bool:
+    return path.rstrip("/").endswith((".nc", ".nc3", ".cdf"))
+
+
+def _netcdf_grid(spark: SparkSession, path: str, variable: str = "") -> DataFrame:
+    """The cells (cell_id, y, x, lon, lat) of a NetCDF file; where it has only rotated coordinates and names their pole, the true ones."""
+    cell = F.col("y").cast("bigint") * ROW_CELLS + F.col("x")
+    g = netcdf.grid(spark, path, variable).select(cell.alias("cell_id"), "y", "x", F.when(F.col("lon") > 180, wrap_longitude(F.col("lon"))).otherwise(F.col("lon")).alias("lon"), "lat")
+    return turned(g, netcdf.pole(path))
+
+
+def turned(g: DataFrame, pole: tuple[float, float] | None) -> DataFrame:
+    """A grid of rotated coordinates in true ones."""
+    if not pole:
+        return g
+    lon, lat = rotate(F.col("lon"), F.col("lat"), *pole)
+    return g.select("cell_id", "y", "x", lon.alias("lon"), lat.alias("lat"))
+
+
+def _cells(df: DataFrame) -> DataFrame:
+    return df.select("cell_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "lon", "lat").distinct()
+
+
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
-    """The cells (cell_id, y, x, lon, lat) of a Parquet file that has at least longitudes and latitudes."""
-    return cells_of(spark.read.parquet(path)).select("cell_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "lon", "lat").distinct()
+    """The cells (cell_id, y, x, lon, lat) of a Parquet or NetCDF file that has at least longitudes and latitudes."""
+    return _netcdf_grid(spark, path) if is_netcdf(path) else _cells(cells_of(spark.read.parquet(path)))
 
 
 def read_bounds(spark: SparkSession, path: str, variable: str) -> DataFrame:
     """A bound for each cell (cell_id, value) of a file without times."""
+    if is_netcdf(path):
+        df = netcdf.series(spark, [path], variable)
+        if df.where("time is not null").limit(1).count():
+            raise ValueError("bounds from a file have no times")
+        return df.select((F.col("y").cast("bigint") * ROW_CELLS + F.col("x")).alias("cell_id"), "value")
     df = spark.read.parquet(path)
     if "time" in df.columns:
         raise ValueError("bounds from a file have no times")
@@ -117,20 +161,27 @@ def read_bounds(spark: SparkSession, path: str, variable: str) -> DataFrame:
 
 
 def open_series(spark: SparkSession, paths: Sequence[str], variable: str, accumulated: bool = False, keep_last: bool = True, rotated: tuple[float, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The series (cell_id, time, value) and the grid (cell_id, y, x, lon, lat) of Parquet files.
+    """The series (cell_id, time, value) and the grid (cell_id, y, x, lon, lat) of Parquet or NetCDF files; the grid is that of the first file.
 
     A time that several files hold is that of the last of them by name.
     accumulated: counters, which start anew in each file, as steps. rotated: the
     pole (lon, lat) of the grid's coordinates. Days with fractions become times.
+    Null values, times and coordinates stay null. Files without rows give an empty
+    table. Columns beside those read are ignored.
     """
-    df = spark.read.option("mergeSchema", "true").parquet(*paths).withColumn("_file", F.col("_metadata.file_path"))
-    time = F.col("time") if dict(df.dtypes)["time"] not in ("double", "float", "int", "bigint") else fractional_day(F.col("time"))
-    df = cells_of(df).withColumn("time", time.cast("timestamp_ntz")).withColumn("value", clean(F.col(variable)))
-    g = df.select("cell_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "lon", "lat").distinct()
-    if rotated:
-        lon, lat = rotate(F.col("lon"), F.col("lat"), *rotated)
-        g = g.select("cell_id", "y", "x", lon.alias("lon"), lat.alias("lat"))
-    rows = df.select("cell_id", "time", "value", "_file")
+    if len({is_netcdf(p) for p in paths}) > 1:
+        raise ValueError("Parquet and NetCDF files of one series can't be mixed")
+    if is_netcdf(paths[0]):
+        cell = F.col("y").cast("bigint") * ROW_CELLS + F.col("x")
+        rows = netcdf.series(spark, paths, variable).select(cell.alias("cell_id"), "time", "value", F.col("file").alias("_file"))
+        g = _netcdf_grid(spark, paths[0], variable)
+        g = g if netcdf.pole(paths[0]) else turned(g, rotated)
+    else:
+        df, first = spark.read.option("mergeSchema", "true").parquet(*paths).withColumn("_file", F.col("_metadata.file_path")), spark.read.parquet(paths[0])
+        time = F.col("time") if dict(df.dtypes)["time"] not in ("double", "float", "int", "bigint") else fractional_day(F.col("time"))
+        df = cells_of(df, first).withColumn("time", time.cast("timestamp_ntz")).withColumn("value", clean(F.col(variable)))
+        g = turned(_cells(cells_of(first)), rotated)
+        rows = df.select("cell_id", "time", "value", "_file")
     if accumulated:
         rows = deaccumulate(rows, ["cell_id"], file="_file", keep_file=True)
     if keep_last and len(paths) > 1:
