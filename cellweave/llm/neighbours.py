@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, pick, prepare
 
 #: Nodes of a shard, about; it is split beyond twice as many. Pivots a shard is split by at once, at most.
-SHARD, PIVOTS = 1024, 256
+SHARD, PIVOTS = 256, 256
 #: Candidates of a node: nearest and random ones; what distances may be longer by to be pruned.
 NEAREST, RANDOM, ALPHA = 40, 16, 1.2
 #: Queries searched together, pairs whose cosines are computed at once, and queries of a task.
@@ -421,7 +421,7 @@ def links(found: DataFrame, scratch: Scratch, threshold: float, overlap: int, de
     graph = scratch.store(dealt.drop("home").join(united, ["id", "sig"]), "graph")
     scratch.drop("shards", "built")
     rounds = [scratch.store(graph.groupBy("shard").applyInArrow(lambda t: _searched(t, None, threshold, beam), FOUND), "search0")]
-    visited = graph.select("id", "sig", F.explode(F.array_distinct("shards")).alias("shard")).distinct()
+    visited = graph.select("id", "sig", "shard").distinct()
     while True:
         sent = rounds[-1].where("kind = 2").groupBy("id", "sig", "shard").agg(F.slice(F.array_distinct(F.flatten(F.collect_list("entries"))), 1, 64).alias("entries"))
         todo = scratch.store(sent.join(visited, ["id", "sig", "shard"], "left_anti"), f"todo{len(rounds)}")
