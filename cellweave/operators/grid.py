@@ -108,8 +108,8 @@ def corners(grid: DataFrame) -> DataFrame:
     return grid
 
 
-def conservative_weights(source: DataFrame, target: DataFrame) -> DataFrame:
-    """(target_cell, source_cell, w) between rectilinear grids with bounds: the overlap on the sphere over the source cell's area.
+def conservative_weights(source: DataFrame, target: DataFrame, of: str = "source") -> DataFrame:
+    """(target_cell, source_cell, w) between rectilinear grids with bounds: the overlap on the sphere over the area of the source's cell, or (of="target") the target's, by which totals are kept.
 
     Bounds beyond a pole end at it; a cell without an area has no weights.
 
@@ -121,7 +121,8 @@ def conservative_weights(source: DataFrame, target: DataFrame) -> DataFrame:
         s = source.select(F.col(name).alias(f"s{name}"), F.col(f"{c}_lo").alias("sl"), F.col(f"{c}_hi").alias("sh")).distinct()
         t = target.select(F.col(name).alias(f"t{name}"), F.col(f"{c}_lo").alias("tl"), F.col(f"{c}_hi").alias("th")).distinct()
         over = s.join(t, (F.col("sl") < F.col("th")) & (F.col("tl") < F.col("sh")))
-        share = size(F.greatest("sl", "tl"), F.least("sh", "th")) / F.nullif(size(F.col("sl"), F.col("sh")), F.lit(0.0))
+        whole = size(F.col("sl"), F.col("sh")) if of == "source" else size(F.col("tl"), F.col("th"))
+        share = size(F.greatest("sl", "tl"), F.least("sh", "th")) / F.nullif(whole, F.lit(0.0))
         return over.select(f"s{name}", f"t{name}", share.alias(f"w{name}")).where(f"w{name} > 0")
 
     columns = along("lon", "x", lambda a, b: b - a)
@@ -193,18 +194,18 @@ def _extent(grid: DataFrame) -> tuple[int, int]:
     return ny, nx
 
 
-def vertices(grid: DataFrame) -> DataFrame:
-    """The corners (y, x, lon, lat) of a bent grid's cells, from 0 to rows and columns: the mean of the four centres around, carried on in a straight line at the border.
+def vertices(grid: DataFrame, columns: Sequence[str] = ("lon", "lat")) -> DataFrame:
+    """The corners (y, x, lon, lat, or other `columns`) of a bent grid's cells, from 0 to rows and columns: the mean of the four centres around, carried on in a straight line at the border.
 
     Corner (y, x) is the lower left one of cell (y, x). First rows, then columns
     are carried on, so the outermost four follow from both.
     """
     ny, nx = _extent(grid)
-    own = grid.select("y", "x", "lon", "lat")
-    near = own.select(F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy in (0, 1) for dx in (0, 1)))).alias("c"), "lon", "lat")
-    out = near.groupBy("c.y", "c.x").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.count("*").alias("n")).where("n = 4").select("y", "x", "lon", "lat")
+    own = grid.select("y", "x", *columns)
+    near = own.select(F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy in (0, 1) for dx in (0, 1)))).alias("c"), *columns)
+    out = near.groupBy("c.y", "c.x").agg(*(F.avg(v).alias(v) for v in columns), F.count("*").alias("n")).where("n = 4").select("y", "x", *columns)
     for c, other, last in (("y", "x", ny), ("x", "y", nx)):
-        edge = lambda to, one, two: out.where(F.col(c).isin(one, two)).groupBy(other).agg(*(F.max(F.when(F.col(c) == one, 2 * F.col(v))) + F.max(F.when(F.col(c) == two, -F.col(v))) for v in ("lon", "lat"))).toDF(other, "lon", "lat").withColumn(c, F.lit(to).cast("int")).select("y", "x", "lon", "lat")  # noqa: B023, E731
+        edge = lambda to, one, two: out.where(F.col(c).isin(one, two)).groupBy(other).agg(*(F.max(F.when(F.col(c) == one, 2 * F.col(v))) + F.max(F.when(F.col(c) == two, -F.col(v))) for v in columns)).toDF(other, *columns).withColumn(c, F.lit(to).cast("int")).select("y", "x", *columns)  # noqa: B023, E731
         out = out.unionByName(edge(0, 1, 2)).unionByName(edge(last, last - 1, last - 2))
     return out
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import large
 from .statistics import histogram, pdf, percentiles, with_percentiles
 
 
@@ -107,18 +108,27 @@ def filtered(df: DataFrame, by: Sequence[str], weights: Sequence[float], order:
 
 
 def ranked_share(df: DataFrame, by: Sequence[str], tie: Sequence[str]) -> DataFrame:
-    """Values from the largest down, with the share of the sum that those so far hold."""
-    w = Window.partitionBy(*by).orderBy(F.desc("value"), *tie)
-    rows = df.where("value is not null").withColumn("place", F.row_number().over(w))
+    """Values from the largest down, with the share of the sum that those so far hold. Without keys the whole table is ranked, in ranges of values."""
+    given = df.where("value is not null")
+    order = [F.desc("value"), *(F.col(c) for c in tie)]
+    if not by:
+        found = large.running(given, by, order, {"_sum": F.col("value")})
+        return found.select("place", "value", (F.col("_sum") / F.nullif(F.col("_sum_all"), F.lit(0.0))).alias("share"))
+    w = Window.partitionBy(*by).orderBy(*order)
+    rows = given.withColumn("place", F.row_number().over(w))
     so_far = F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.nullif(F.sum("value").over(Window.partitionBy(*by)), F.lit(0.0))
     return rows.select(*by, "place", "value", so_far.alias("share"))
 
 
 def exceedance(df: DataFrame, by: Sequence[str], tie: Sequence[str]) -> DataFrame:
-    """Values from the smallest up, with the chance to exceed them: 1 down to 0 in even steps."""
-    w = Window.partitionBy(*by).orderBy("value", *tie)
-    rows = df.where("value is not null").withColumn("place", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    return rows.select(*by, "place", "value", F.when(F.col("_n") > 1, 1 - (F.col("place") - 1) / (F.col("_n") - 1)).otherwise(1.0).alias("chance"))
+    """Values from the smallest up, with the chance to exceed them: 1 down to 0 in even steps. Without keys the whole table is ranked, in ranges of values."""
+    given = df.where("value is not null")
+    if by:
+        w = Window.partitionBy(*by).orderBy("value", *tie)
+        rows = given.withColumn("place", F.row_number().over(w)).withColumn("size", F.count("*").over(Window.partitionBy(*by)))
+    else:
+        rows = large.running(given, by, [F.col("value"), *(F.col(c) for c in tie)])
+    return rows.select(*by, "place", "value", F.when(F.col("size") > 1, 1 - (F.col("place") - 1) / (F.col("size") - 1)).otherwise(1.0).alias("chance"))
 
 
 #: Percentiles of an exceedance curve: every one to 99, then finer ones (fixed values).

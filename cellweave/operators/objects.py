@@ -1,6 +1,6 @@
 """Object-based comparison of fields (structure, amplitude, location), a step of time in each group; 2-D smoothing.
 
-A field is the rows (y, x, value) of one time and fits a task. Null values and cells
+A field is the rows (y, x, value) of one time and fits a task (`labels_of_fields` takes larger ones). Null values and cells
 without a row are not valid. Of repeated cells the last one read counts, so keep
 them unique. Rows with a null y or x are errors.
 """
@@ -11,22 +11,109 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from . import large
 
 SAL = "time timestamp_ntz, s double, a double, l1 double, l2 double, l double, objects_model int, objects_reference int"
 
 
-def label(on: np.ndarray) -> np.ndarray:
-    """Connected parts of a field, diagonal neighbours too, numbered from 1."""
-    out = np.where(on, np.arange(1, on.size + 1).reshape(on.shape), 0)
+def row_runs(on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first column, column after the last) of each stretch of true cells in a row, row by row."""
+    edge = np.diff(np.pad(on.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1]
+
+
+def touching(row: np.ndarray, first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs in neighbouring rows that touch, at corners too. Runs are sorted by row and column."""
+    wide = int(after.max(initial=0)) + 2
+    low = np.searchsorted(row * wide + after, (row + 1) * wide + first, "left")
+    high = np.searchsorted(row * wide + first, (row + 1) * wide + after, "right")
+    n = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(row)), n)
+    return a, np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that each of n reaches over links a-b: links join the ends' roots, then ways to the roots are cut short."""
+    root = np.arange(n)
     while True:
-        p = np.pad(out, 1)
-        best = np.max([p[1 + dy : 1 + dy + on.shape[0], 1 + dx : 1 + dx + on.shape[1]] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
-        best = np.where(on, best, 0)
-        if (best == out).all():
-            return np.unique(out, return_inverse=True)[1].reshape(on.shape) + (0 if (out == 0).any() else 1)
-        out = best
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        low = np.minimum(x, y)
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        while (root != (up := root[root])).any():
+            root = up
+
+
+def label(on: np.ndarray) -> np.ndarray:
+    """Connected parts of a field, diagonal neighbours too, numbered from 1 in the order of their last cells."""
+    row, first, after = row_runs(on)
+    root = roots(len(row), *touching(row, first, after))
+    last = np.zeros(len(row), np.int64)
+    np.maximum.at(last, root, row * on.shape[1] + after)
+    own = np.flatnonzero(root == np.arange(len(row)))
+    number = np.zeros(len(row), np.int64)
+    number[own[np.argsort(last[own])]] = np.arange(1, len(own) + 1)
+    step = np.zeros((on.shape[0], on.shape[1] + 1), np.int64)
+    np.add.at(step, (row, first), number[root])
+    np.add.at(step, (row, after), -number[root])
+    return np.cumsum(step, 1)[:, :-1]
+
+
+RUNS = "time timestamp_ntz, strip bigint, y bigint, first bigint, after bigint, part bigint"
+
+
+def strip_runs(df: DataFrame, height: int) -> DataFrame:
+    """The runs (time, strip, y, first, after, part) of true cells (time, y, x, on) of fields cut into strips of `height` rows; part: the smallest run of the strip that is connected, by its number."""
+
+    def run(part: pa.Table) -> pa.Table:
+        y, x = (part.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
+        key = np.unique(y * (int(x.max()) + 3) + x) if len(x) else np.zeros(0, np.int64)
+        y, x = np.divmod(key, int(x.max()) + 3)
+        new = np.r_[True, key[1:] != key[:-1] + 1]
+        row, first, after = y[new], x[new], x[np.r_[np.flatnonzero(new)[1:] - 1, len(x) - 1]] + 1
+        own = roots(len(row), *touching(row - row[0], first, after))
+        n = len(row)
+        return pa.table([pa.array([part.column("time")[0].as_py()] * n, pa.timestamp("us")), pa.array([part.column("strip")[0].as_py()] * n, pa.int64()), *(pa.array(c, pa.int64()) for c in (row, first, after, own))], names=["time", "strip", "y", "first", "after", "part"])
+
+    cells = df.where("on and y is not null and x is not null").select("time", F.floor(F.col("y") / height).cast("bigint").alias("strip"), F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"))
+    return cells.groupBy("time", "strip").applyInArrow(run, RUNS)
+
+
+def labels_of_fields(df: DataFrame, height: int = 256) -> DataFrame:
+    """(time, y, first, after, label): the runs of connected true cells of fields of any size, cells (time, y, x, on), numbered at each time in the order of their first cells.
+
+    Strips of rows are labelled alone; runs on both sides of a seam that touch join
+    their parts, whose components are found by joins. Null or false cells are none,
+    repeated ones count once; a null time is a field of its own; y and x are not negative.
+    """
+    runs = large.store(strip_runs(df, height), "runs")
+    # names of parts, kept in a table so that they stay
+    parts = large.store(runs.groupBy("time", "strip", "part").agg(F.min(F.struct("y", "first")).alias("begin")).withColumn("node", F.monotonically_increasing_id()), "parts")
+    named = runs.join(parts.withColumnsRenamed({"time": "t", "strip": "s", "part": "p"}), F.col("time").eqNullSafe(F.col("t")) & (F.col("strip") == F.col("s")) & (F.col("part") == F.col("p"))).select("time", "strip", "y", "first", "after", "node")
+
+    def seam(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("y", "ascending"), ("first", "ascending")])
+        y, first, after, node = (part.column(c).to_numpy() for c in ("y", "first", "after", "node"))
+        a, b = touching(y - y[0], first, after)
+        return pa.table([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    last, top = named.where((F.col("y") + 1) % height == 0), named.where(F.col("y") % height == 0)
+    ends = last.select("time", F.col("y").alias("seam"), "y", "first", "after", "node").union(top.select("time", (F.col("y") - 1).alias("seam"), "y", "first", "after", "node"))
+    edges = ends.groupBy("time", "seam").applyInArrow(seam, "a bigint, b bigint")
+    found = large.components(edges)
+    whole = parts.join(found.withColumnsRenamed({"id": "i"}), F.col("node") == F.col("i"), "left").select("node", "time", "begin", F.coalesce("component", "node").alias("component"))
+    first = whole.groupBy("time", "component").agg(F.min("begin").alias("begin"))
+    numbers = first.withColumn("label", F.row_number().over(Window.partitionBy("time").orderBy("begin")))  # a row for each object of a field
+    label_of = whole.select("node", "component").join(numbers.select("component", "label"), "component").select("node", "label")
+    return named.join(label_of, "node").select("time", "y", "first", "after", "label")
 
 
 def bound_of(field: np.ndarray, how: str, value: float) -> float:

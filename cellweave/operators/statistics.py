@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import large
 from .series import SEASONS, method, resample, season, threshold
 
 
@@ -91,8 +92,11 @@ def harmonic_cycle(cycle: DataFrame, by: Sequence[str], hours: int = 24, points:
 
 
 def percentiles(df: DataFrame, by: Sequence[str], q: Sequence[float], least: float | None = None) -> DataFrame:
-    """Exact, with linear interpolation: a row for each percentile."""
-    found = df.groupBy(*by).agg(F.percentile(threshold(F.col("value"), least), F.array(*(F.lit(x / 100) for x in q))).alias("_p"))
+    """Exact, with linear interpolation: a row for each percentile. Without keys all values are one group, which no task holds."""
+    if not by:
+        found = large.quantiles(df.select(threshold(F.col("value"), least).alias("value")), by, [x / 100 for x in q], name="_p")
+    else:
+        found = df.groupBy(*by).agg(F.percentile(threshold(F.col("value"), least), F.array(*(F.lit(x / 100) for x in q))).alias("_p"))
     return found.select(*by, F.posexplode_outer("_p").alias("_i", "value")).select(*by, F.element_at(F.array(*(F.lit(float(x)) for x in q)), F.col("_i") + 1).alias("pctl"), "value")
 
 
@@ -189,7 +193,7 @@ def with_percentiles(df: DataFrame, by: Sequence[str], q: Sequence[float], least
     v, at = threshold(F.col("value"), least), F.array(*(F.lit(x / 100) for x in q))
     if by:
         return df.withColumn(name, F.percentile(v, at).over(Window.partitionBy(*by)))
-    return df.crossJoin(F.broadcast(df.agg(F.percentile(v, at).alias(name))))
+    return df.crossJoin(F.broadcast(large.quantiles(df.select(v.alias("value")), [], [x / 100 for x in q], name=name)))  # one row
 
 
 def survival_fraction(df: DataFrame, by: Sequence[str], q: Sequence[float]) -> DataFrame:

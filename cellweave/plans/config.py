@@ -11,9 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.operators import curved
 from cellweave.operators import grid as grids
 from cellweave.operators import indices, runs, series, statistics
 from cellweave.sources import files
+from cellweave.sources.scratch import store
 
 
 def read_config(text: str) -> dict[str, dict]:
@@ -329,14 +331,8 @@ def analyse(spark: SparkSession, config: dict | str, opener: Callable = open_dat
 
 
 def regridded(df: DataFrame, source: DataFrame, target: DataFrame, method: str) -> DataFrame:
-    """Values of every time on another grid: bilinear or conservative; grids with rings of their cells conservatively by those."""
-    if method == "bilinear":
-        weights = grids.bilinear_weights(source, target)
-    elif method == "conservative":
-        bent = "ring" in source.columns and "ring" in target.columns
-        weights = grids.bent_weights(source, target) if bent else grids.conservative_weights(grids.corners(source), grids.corners(target))
-    else:
-        raise ValueError(f"unknown regrid method {method!r}")
+    """Values of every time on another grid: bilinear or conservative, whatever the grids' lines are. Weights are written once."""
+    weights = store(curved.weights(source, target, method), "weights")
     return grids.regrid(df, weights, target, ["time"]).select("cell_id", "time", "value")
 
 

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from cellweave.plans import more  # noqa: F401  registers its queries
+from cellweave.plans import fields, more  # noqa: F401  register their queries
 from cellweave.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
