@@ -24,8 +24,8 @@ def vocabulary(name: str) -> str:
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
-#: Words that must have stood together before: passages of 43 words and more are always found, and short lines that many documents share stay.
-LEAST_WORDS = 32
+#: Words that must have stood together before: passages of 39 words and more are always found.
+LEAST_WORDS = 16
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

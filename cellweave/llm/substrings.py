@@ -1,4 +1,4 @@
-"""Substring deduplication by content-defined places: a gear hash picks them, digests of the words from there on are compared, later copies go."""
+"""Substring deduplication by content-defined chunks: a gear hash cuts texts into them, digests of chunks that follow each other are compared, later copies go."""
 
 from __future__ import annotations
 
@@ -90,23 +90,30 @@ def _fingerprint(raw: bytes) -> int:
     return xxhash.xxh32_intdigest(raw) - 2**31
 
 
-def windows(data: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """The windows of `least` words from cuts on, the text's first and its last: begin, end, the first word's number, words and unit.
+def chunk_runs(data: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Where a text's chunks begin (and its end), and of each run of chunks to compare its first chunk, the one after its last, its first word's number, its words and its first unit.
 
-    A window reaches to the unit after it; that from the first unit begins at 0.
+    Chunks lie between cuts; the first begins at 0. A run is one chunk and those
+    after it, or those before it, up to `least` words: so runs cover all from the
+    first to the last of any cuts that are so far apart.
     """
     at, weight, word, head = units(data)
     reach = np.append(0, np.cumsum(weight))
-    n = int(np.searchsorted(reach, reach[-1] - LETTERS * least, "right"))  # units with so much after them
-    if not n:
-        return (np.zeros(0, np.int64),) * 5
     k = _cut_units(data, at)
-    k = np.unique(np.concatenate([k[k < n], [0, n - 1]]))
-    if least < EVERY:  # windows have to touch
-        k = np.unique(np.concatenate([np.arange(x, y, least) for x, y in zip(k, np.append(k[1:], n))]))
-    to = np.searchsorted(reach, reach[k] + LETTERS * least)
-    last = np.append(word + ~head, word[-1] + 1)[to]
-    return np.where(k > 0, at[k], 0), np.append(at, len(data))[to], word[k], last - word[k], k
+    k = np.append(k if len(k) and k[0] == 0 else np.append(0, k), len(at)) if len(at) else np.zeros(1, np.int64)
+    begin = np.append(at, len(data))[k]
+    begin[0] = 0
+    # words are counted where a part of them is in a run
+    first_word, last_word = np.append(word, 0)[k], np.append(word + ~head, word[-1] + 1 if len(word) else 0)[k]
+    far = reach[k]
+    n = len(k)
+    onward = np.searchsorted(far, far + LETTERS * least)
+    back = np.searchsorted(far, far - LETTERS * least, "right") - 1
+    first = np.concatenate([np.flatnonzero(onward < n), back[back >= 0]])
+    after = np.concatenate([onward[onward < n], np.flatnonzero(back >= 0)])
+    pair = np.unique(first * (n + 1) + after)
+    i, j = pair // (n + 1), pair % (n + 1)
+    return begin, i, j, first_word[i], last_word[j] - first_word[i], k[i]
 
 
 def _windows(least: int):
@@ -115,10 +122,12 @@ def _windows(least: int):
             fps, ends, digests, starts, sizes, firsts, words = [], [0], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 raw = (text or "").encode()
-                begin, end, first, count, unit = windows(np.frombuffer(raw, np.uint8), least)
+                places, i, j, first, count, unit = chunk_runs(np.frombuffer(raw, np.uint8), least)
                 fps.append(_fingerprint(raw))
-                # white space around a window isn't part of its digest
-                found = [xxhash.xxh3_64_intdigest(raw[a:b].strip()) - 2**63 for a, b in zip(begin.tolist(), end.tolist())]
+                # white space around a chunk isn't part of its digest; a run's is that of its chunks' digests
+                chunks = np.array([xxhash.xxh3_64_intdigest(raw[a:b].strip()) for a, b in zip(places.tolist(), places[1:].tolist())], np.uint64).tobytes() if len(i) else b""
+                found = [xxhash.xxh3_64_intdigest(chunks[8 * a : 8 * b]) - 2**63 for a, b in zip(i.tolist(), j.tolist())]
+                begin, end = places[i], places[j]
                 if len(unit) > 1 and (np.diff(unit) == 1).any():
                     # where one word repeats, every place is a cut: of equal windows in a row, some that touch say the same
                     same = np.append(False, (np.diff(unit) == 1) & (np.diff(np.array(found)) == 0))
@@ -143,20 +152,22 @@ def _windows(least: int):
 def repeated_spans(docs: DataFrame, least_words: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages that stand elsewhere before: (doc_id, fp, start, size, words, keeper), places in UTF-8 bytes.
 
-    From every cut of a text, at whole words, a window of `least_words` words is
-    taken; equal windows have one digest. The first copy of a window, by document
-    and place, is kept. Later copies, where they don't overlap the first, are
-    repeats, and those that touch make one span: so all words of a span stand in
-    `least_words` words that stood together in one earlier place. As any EVERY
-    words in a row have a cut, a passage of least_words + EVERY - 1 words is always
-    found, and loses at most EVERY - 1 words at each end. In words of over LONG
-    bytes (ASCII: four times that), as of scripts without spaces, windows begin
+    A text is cut into chunks, at whole words, where the gear hash says. From
+    every chunk on, and back from every chunk, as many are taken as have
+    `least_words` words; equal runs of chunks have one digest. The first copy of
+    a run, by document and place, is kept. Later copies, where they don't overlap
+    the first, are repeats, and those that touch make one span: so all words of a
+    span stand in `least_words` words that stood together in one earlier place. As
+    any EVERY words in a row have a cut, and only words up to EVERY - 1 away decide
+    on one, a passage of least_words + 2 * EVERY - 1 words is always found, and
+    loses at most EVERY - 1 words at its start and EVERY at its end. In words of over LONG
+    bytes (ASCII: four times that), as of scripts without spaces, chunks begin
     at characters and have LETTERS bytes for a word. keeper is the document that
-    holds the first copy of the span's first window.
+    holds the first copy of the span's first run.
 
     A document is named by its id and fp, a digest of its text. Rows that repeat
     both are one document, and stay alike. Texts of fewer words, null and empty
-    ones too, have no windows. Null ids come before others. Other columns are
+    ones too, have no runs. Null ids come before others. Other columns are
     ignored. Only digests and places are shuffled; a digest's copies are reduced
     to a count and the first of them.
     """
@@ -165,7 +176,7 @@ def repeated_spans(docs: DataFrame, least_words: int = 16, id_col: str = "doc_id
     scratch = Scratch(spark, "chunks")
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     taken = rows.mapInArrow(_windows(least_words), WINDOWS).select("doc_id", "fp", F.explode("windows").alias("c")).select("doc_id", "fp", "c.*")
-    # windows are cheaper to cut twice than to store: each pass shuffles, and its files are gone before the next
+    # runs are cheaper to cut twice than to store: each pass shuffles, and its files are gone before the next
     many = taken.groupBy("digest").agg(F.min(F.struct("doc_id", "fp", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     many = scratch.store(many.select("digest", "first"), "many")
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("fp") == F.col("first.fp")) & (F.col("start") < F.col("first.start") + F.col("size"))

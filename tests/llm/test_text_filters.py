@@ -103,6 +103,60 @@ def test_passages_of_few_words_or_without_spaces_are_found(spark):
         assert len(piece.split()) >= 16 if r.doc_id < 1240 else len(piece) >= 120 - 2 * (substrings.EVERY - 1)
 
 
+def test_planted_passages_at_the_query_s_own_words(spark):
+    """Every passage of 16 words and a chunk at either end is found, whatever stands around it; its span is all of it but parts of those chunks."""
+    from cellweave.llm.queries import LEAST_WORDS
+
+    rng = random.Random(9)
+    docs, where = {}, {}
+    for k in range(400):
+        n = LEAST_WORDS + 2 * substrings.EVERY - 1 + k % 4
+        passage = words(rng, n)
+        for d in (k, 1000 + k):
+            docs[d] = " ".join(x for x in (words(rng, rng.randrange(40)), passage, words(rng, rng.randrange(40))) if x)
+        where[1000 + k] = passage
+    rows = substrings.repeated_spans(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), LEAST_WORDS).collect()
+    assert {r.doc_id: r.keeper for r in rows} == {1000 + k: k for k in range(400)}
+    for r in rows:
+        piece = docs[r.doc_id].encode()[r.start : r.start + r.size].decode().strip()
+        assert piece in where[r.doc_id] and r.words == len(piece.split()) >= len(where[r.doc_id].split()) - 2 * substrings.EVERY + 1
+
+
+def test_spans_of_a_given_table_equal_brute_force(spark):
+    """All words of spans stood in 16 words in an earlier place, and no passage of 39 that did is left without a span."""
+    from cellweave.llm.queries import LEAST_WORDS
+
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = {r.doc_id: (r.text or "").encode() for r in df.collect()}
+    spans = {}
+    for r in substrings.repeated_spans(df, LEAST_WORDS).collect():
+        spans.setdefault(r.doc_id, []).append(r)
+    long, seen = LEAST_WORDS + 2 * substrings.EVERY - 1, {}
+    for d, raw in sorted(docs.items()):
+        w = raw.split()
+        for n in (LEAST_WORDS, long):
+            for k in range(len(w) - n + 1):
+                seen.setdefault((n, hash(tuple(w[k : k + n]))), (d, k))
+    found = missed = 0
+    for d, raw in docs.items():
+        w, bare = raw.split(), np.ones(0, bool)
+        before = lambda n, k: seen[n, hash(tuple(w[k : k + n]))] < (d, k)  # noqa: B023, E731
+        inside = np.zeros(len(w), bool)
+        for r in spans.get(d, []):
+            first = len(raw[: r.start].split())
+            inside[first : first + r.words] = True
+            assert raw[r.start : r.start + r.size].split() == w[first : first + r.words]
+        again = np.zeros(len(w), bool)
+        for k in range(len(w) - LEAST_WORDS + 1):
+            again[k : k + LEAST_WORDS] |= before(LEAST_WORDS, k)
+        assert not (inside & ~again).any(), d
+        for k in range(len(w) - long + 1):
+            if before(long, k) and (seen[long, hash(tuple(w[k : k + long]))][0] != d):
+                found += 1
+                missed += not inside[k : k + long].any()
+    assert found > 1000 and not missed
+
+
 # decontamination
 
 
