@@ -271,7 +271,10 @@ def _step_name(step: Sequence | None, freq) -> str:
 
 
 def analyse(spark: SparkSession, config: dict | str, opener: Callable = open_dataset, rings: dict[str, list] | None = None, catalogue: dict | None = None) -> list[Result]:
-    """All results of a configuration, lazily.
+    """All results of a configuration.
+
+    Series that several statistics use, and results that several regions do, are
+    written once to the shared folder; else nothing is computed before it is read.
 
     For each variable and data set: files, selection, scaling, the common grid,
     derived variables; then for each statistic: resampling, condition, region and
@@ -296,13 +299,17 @@ def analyse(spark: SparkSession, config: dict | str, opener: Callable = open_dat
             tables.setdefault(variable, {})[d] = (df, g)
     for name, m in (settings.get("variable modification") or {}).items():
         inputs = m["input"]
-        sets = list(config["MODELS"]) if m.get("models") == "all" else list(m.get("models") or [])
-        sets += [m["obs"]] if isinstance(m.get("obs"), str) else list(m.get("obs") or [])
-        for d in sets:
+        models = _names(m.get("models"), list(config["MODELS"]))
+        observed = [d for d in tables[next(iter(inputs.values()))] if d not in config["MODELS"] and all(d in tables[var] for var in inputs.values())]
+        for d in models + _names(m.get("obs"), observed):
             frames = {k: tables[var][d][0] for k, var in inputs.items()}
-            for k, var in inputs.items():
-                step = (m.get("resample resolution") or {}).get(var)
-                frames[k] = series.resampled(frames[k], CELL, step) if step else frames[k]
+            if d in models:
+                for k, var in inputs.items():
+                    step = (m.get("resample resolution") or {}).get(var)
+                    frames[k] = series.resampled(frames[k], CELL, step) if step else frames[k]
+                first, *others = frames
+                for k in others[:1]:  # a coarser second input holds until its next time
+                    frames[k] = series.forward_fill(frames[first], frames[k], CELL).select(*CELL, "time", F.col("other").alias("value"))
             tables.setdefault(name, {})[d] = (series.derive(m["expression"], CELL, **frames), tables[next(iter(inputs.values()))][d][1])
         settings["variables"].setdefault(name, settings["variables"][next(iter(inputs.values()))])
         if m.get("replace"):
@@ -310,6 +317,12 @@ def analyse(spark: SparkSession, config: dict | str, opener: Callable = open_dat
                 tables.pop(var, None)
     wanted = settings.get("regions") or []
     areas = files.regions(spark, {r: (rings or {})[r] for r in wanted}) if wanted else None
+    uses = {v: sum(not o["vars"] or v in o["vars"] for o in asked.values()) for v in tables}
+    for variable, found in tables.items():
+        if uses[variable] > 1:
+            # written once, so that files are read and values regridded once, however many statistics there are
+            found.update({d: (store(df, "series"), g) for d, (df, g) in found.items()})
+    members = {}
     out = []
     for statistic, o in asked.items():
         for variable in [v for v in tables if not o["vars"] or v in o["vars"]]:
@@ -317,19 +330,42 @@ def analyse(spark: SparkSession, config: dict | str, opener: Callable = open_dat
                 step = of_variable(o["resample resolution"], variable)
                 rows = series.resampled(df, CELL, step) if step else df
                 rows = conditioned(rows, o, variable, lambda var, d=dataset: tables[var][d][0], spark)
-                of = lambda part: STATISTICS[statistic](part, CELL, [] if o["pool data"] else CELL, o, variable)  # noqa: B023, E731
                 c = config["MODELS"].get(dataset, config.get("OBS"))
-                call = lambda region, frame: out.append(Result(dataset, variable, statistic, region, frame, files.result_name(dataset, statistic if statistic != "diurnal cycle" else f"{statistic}_{o['dcycle stat']}", variable, _step_name(step, settings["variables"][variable].get("freq", "")), c.get("grid name", "native"), _period(c)[1], of_variable(o["thr"], variable), o.get("stat method"), region)))  # noqa: B023, E731
-                whole = of(rows) if not wanted or settings.get("full domain") else None
+
+                def call(region: str | None, frame: DataFrame) -> None:
+                    shown = statistic if statistic != "diurnal cycle" else f"{statistic}_{o['dcycle stat']}"  # noqa: B023
+                    freq = settings["variables"][variable].get("freq", "")  # noqa: B023
+                    name = files.result_name(dataset, shown, variable, _step_name(step, freq), c.get("grid name", "native"), _period(c)[1], of_variable(o["thr"], variable), o.get("stat method"), region)  # noqa: B023
+                    out.append(Result(dataset, variable, statistic, region, frame, name))  # noqa: B023
+
+                # regions are a key, so all of them are one plan; it is written once where several results read it
+                of = lambda part, key: STATISTICS[statistic](part, [*key, *CELL], key if o["pool data"] else [*key, *CELL], o, variable)  # noqa: B023, E731
+                once = (lambda df: store(df, "result")) if len(wanted) > 1 else (lambda df: df)
+                whole = of(rows, []) if not wanted or settings.get("full domain") else None
                 if whole is not None:
+                    whole = once(whole)
                     call(None, whole)
-                cells = grids.membership(g, areas) if wanted else None
-                for region in wanted:
-                    here = cells.where(F.col("region") == region).select("cell_id")
-                    call(region, whole.join(here, "cell_id") if whole is not None and not o["pool data"] else of(rows.join(here, "cell_id")))
+                if wanted:
+                    if (variable, dataset) not in members:
+                        members[variable, dataset] = once(grids.membership(g, areas))
+                    cells = members[variable, dataset]
+                    here = lambda df, region: df.where(F.col("region") == region).drop("region")
+                    if whole is not None and not o["pool data"]:
+                        each = whole.join(cells, "cell_id")
+                    elif statistic == "generic":  # a function of one's own returns the columns it was given a schema for, which know no regions
+                        each = None
+                    else:
+                        each = once(of(rows.join(cells, "cell_id"), ["region"]))
+                    for region in wanted:
+                        call(region, of(here(rows.join(cells, "cell_id"), region), []) if each is None else here(each, region))
     return out
 
 
+def _names(asked, every: Sequence[str]) -> list[str]:
+    """A list of names, one name, all of them or (None) none."""
+    return list(every) if asked == "all" else [asked] if isinstance(asked, str) else list(asked or [])
+
+
 def regridded(df: DataFrame, source: DataFrame, target: DataFrame, method: str) -> DataFrame:
     """Values of every time on another grid: bilinear or conservative, whatever the grids' lines are. Weights are written once."""
     weights = store(curved.weights(source, target, method), "weights")
