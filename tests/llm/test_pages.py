@@ -162,3 +162,18 @@ def test_small_hosts_are_shrunk_to_their_domain(spark):
     found = {r.host: r for r in reputation.reputations(spark.createDataFrame(rows, "host string, bad boolean")).collect()}
     assert len(found) == 102 and found["new.bad.org"].bad_rate > 0.5 > found["new.good.org"].bad_rate
     assert all(r.bad_bound < r.bad_rate for r in found.values())
+
+
+def test_hosts_without_outcomes_are_judged_by_what_stands_above_them(spark):
+    rows = [(f"h{k}.bad.org", True) for k in range(50)] + [(f"h{k}.good.org", False) for k in range(50)] + [(f"h{k}.d{k}.evil", True) for k in range(60)] + [("fair.bad.org", False)] * 400
+    outcomes = spark.createDataFrame(rows, "host string, bad boolean")
+    urls = {1: "never.bad.org", 2: "never.good.org", 3: "h1.bad.org", 4: "fair.bad.org", 5: "a.new.evil", 6: "a.new.org", 7: "a.new.xyz", 8: "H1.GOOD.org"}
+    pages = spark.createDataFrame([(k, f"http://{u}/x") for k, u in urls.items()] + [(9, None), (10, "never.bad.org/x")], "page_id long, url string")
+    many = reputation.judge(pages, [], outcomes.where("host != 'fair.bad.org'"))
+    assert {r.page_id for r in many.where("verdict = 'block'").collect()} == {1, 3, 4, 5}
+    assert {r.page_id for r in reputation.judge(pages, [], outcomes).where("verdict = 'block'").collect()} & {2, 4, 6, 7, 8, 9, 10} == set()
+    found = reputation.levels(outcomes.where("host != 'fair.bad.org'"))
+    part = lambda r: r.a / (r.a + r.b)
+    org, evil = (50 + 1000 * 110.5 / 161) / 1100, (60 + 1000 * 110.5 / 161) / 1060  # two suffixes speak for no spread: 1000 prior observations
+    assert {r.suffix: round(part(r), 9) for r in found["suffix"].collect()} == {"org": round(org, 9), "evil": round(evil, 9)}
+    assert {r.domain: part(r) > 0.5 for r in found["domain"].where("suffix = 'org'").collect()} == {"bad.org": True, "good.org": False}
