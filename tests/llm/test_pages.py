@@ -174,6 +174,6 @@ def test_hosts_without_outcomes_are_judged_by_what_stands_above_them(spark):
     assert {r.page_id for r in reputation.judge(pages, [], outcomes).where("verdict = 'block'").collect()} & {2, 4, 6, 7, 8, 9, 10} == set()
     found = reputation.levels(outcomes.where("host != 'fair.bad.org'"))
     part = lambda r: r.a / (r.a + r.b)
-    org, evil = (50 + 1000 * 110.5 / 161) / 1100, (60 + 1000 * 110.5 / 161) / 1060  # two suffixes speak for no spread: 1000 prior observations
-    assert {r.suffix: round(part(r), 9) for r in found["suffix"].collect()} == {"org": round(org, 9), "evil": round(evil, 9)}
+    # of all 110 of 160 are bad, m = 0.6863; by moments the suffixes' spread speaks for 3.338 prior observations
+    assert {r.suffix: round(part(r), 4) for r in found["suffix"].collect()} == {"org": round((50 + 3.338 * 0.6863) / 103.338, 4), "evil": round((60 + 3.338 * 0.6863) / 63.338, 4)}
     assert {r.domain: part(r) > 0.5 for r in found["domain"].where("suffix = 'org'").collect()} == {"bad.org": True, "good.org": False}
