@@ -133,11 +133,19 @@ def labelled(field: np.ndarray, how: str, value: float, least: int = 1, most: in
     return new[names]
 
 
+def members(names: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The cells (y, x) of each object from 1 on, by one pass over the field."""
+    y, x = np.nonzero(names)
+    of = names[y, x]
+    order = np.argsort(of, kind="stable")
+    ends = np.cumsum(np.bincount(of, minlength=int(names.max(initial=0)) + 1)[1:])
+    return list(zip(np.split(y[order], ends[:-1]), np.split(x[order], ends[:-1]))) if len(of) else []
+
+
 def properties(field: np.ndarray, names: np.ndarray, sea: np.ndarray | None = None) -> list[dict]:
     """Each object's centre (of its cells), size, sums, axes (of the ellipse with its second moments), part of its bounding box, and kind: sea 0, land 1, coast 2."""
     out = []
-    for k in range(1, int(names.max(initial=0)) + 1):
-        y, x = np.nonzero(names == k)
+    for k, (y, x) in enumerate(members(names), 1):
         v = field[y, x]
         spread = np.sort(np.linalg.eigvalsh(np.cov(np.stack([y, x]), bias=True))) if len(y) > 1 else np.zeros(2)
         wet = float(sea[y, x].mean()) if sea is not None else None
@@ -149,9 +157,8 @@ def properties(field: np.ndarray, names: np.ndarray, sea: np.ndarray | None = No
     return out
 
 
-def _centre(field: np.ndarray, on: np.ndarray) -> float:
+def _centre(field: np.ndarray, y: np.ndarray, x: np.ndarray) -> float:
     """How far from the first cell the centre of mass of some cells is."""
-    y, x = np.nonzero(on)
     v = field[y, x]
     return float(np.hypot((y * v).sum(), (x * v).sum()) / v.sum())
 
@@ -234,10 +241,10 @@ def sal(model: DataFrame, reference: DataFrame, how: str = "F", value: float = 1
             return pd.DataFrame(columns=columns)
         sides = []
         for f, n in zip(fields, names):
-            objects, centre = properties(f, n), _centre(f, n > 0)
+            objects, centre = properties(f, n), _centre(f, *np.nonzero(n))
             total = np.array([o["total"] for o in objects])
             volume = sum(o["total"] ** 2 / o["most"] for o in objects) / total.sum()
-            scatter = sum(o["total"] * abs(_centre(f, n == o["label"]) - centre) for o in objects) / total.sum()
+            scatter = sum(o["total"] * abs(_centre(f, *cells) - centre) for o, cells in zip(objects, members(n))) / total.sum()
             sides.append((volume, centre, scatter, len(objects), float(np.nanmean(f))))
         (vm, cm, rm, nm, am), (vr, cr, rr, nr, ar) = sides
         far = farthest(np.isfinite(fields[0])) or np.nan  # a contour of one cell has no length: no location
@@ -247,6 +254,28 @@ def sal(model: DataFrame, reference: DataFrame, how: str = "F", value: float = 1
     return _together(model, reference, None).groupBy("time").applyInPandas(run, SAL)
 
 
+#: Sides by number, as files of numbers have them.
+SIDES = ("model", "reference")
+
+
+def sal_files(model: DataFrame, reference: DataFrame, path: str, weights: np.ndarray | None = None, sea: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """`sal` and `sal_objects` of two series of fields, smoothed first where `weights` are given, written as NetCDF to <path>/sal and <path>/objects; both tables as read back.
+
+    Objects have their side as a number, 0 for the model and 1 for the reference.
+    What stood there is replaced; without any row nothing is written, and the
+    tables are empty.
+    """
+    from cellweave.sources import netcdf
+
+    if weights is not None:
+        model, reference = (smooth_fft(df, weights) for df in (model, reference))
+    about = {"comment": "kind of objects: ocean 0, land 1, coast 2; side: model 0, reference 1"}
+    whole = sal(model, reference, **options)
+    side = F.array_position(F.array(*(F.lit(x) for x in SIDES)), F.col("side")) - 1
+    objects = sal_objects(model, reference, sea=sea, **options).withColumn("side", side)
+    return tuple(netcdf.replaced_rows(df, f"{path}/{name}", about) for df, name in ((whole, "sal"), (objects, "objects")))
+
+
 OBJECTS = "time timestamp_ntz, side string, label int, centre_y double, centre_x double, size bigint, total double, most double, ratio double, major_axis double, minor_axis double, extent double, kind int"
 
 

@@ -129,7 +129,8 @@ def resample(df: DataFrame, by: Sequence[str], freq: str, how: str = "mean", lab
     out = df.groupBy(*by, start.alias("time")).agg(method(how)(F.col("value")).cast("double").alias("value"))
     if drop_missing and how not in COUNTING:
         seen = out.where("value is not null").select(F.col("time").alias("_t")).distinct()
-        out = out.join(seen, out.time.eqNullSafe(seen._t), "left_semi")
+        # not a semi join: that would move below the aggregate, which then couldn't be used for both sides
+        out = out.join(seen, out.time.eqNullSafe(seen._t)).drop("_t")
     n, unit = split_freq(freq)
     if label == "middle":
         if unit not in FIXED:
@@ -263,6 +264,11 @@ OPERATORS = {">": Column.__gt__, "<": Column.__lt__, ">=": Column.__ge__, "<=":
 
 def condition(df: DataFrame, other: DataFrame, by: Sequence[str], op: str, bound: float | None = None, percentile: float | None = None, freq: str | None = None) -> DataFrame:
     """Values where `other` compares to `bound`, or to its own percentile in each series, else missing. freq: other is given per bucket."""
+    if other is df and not freq:
+        # one table: its own values tell, at once
+        q = F.percentile("value", F.lit(percentile / 100)).over(Window.partitionBy(*by)) if percentile is not None else F.lit(bound)
+        keep = F.max(OPERATORS[op](F.col("value"), F.col("_q"))).over(Window.partitionBy(*by, "time"))
+        return df.withColumn("_q", q).withColumn("_keep", keep).select(*by, "time", F.when(F.col("_keep"), F.col("value")).alias("value"))
     key = bucket(F.col("time"), freq) if freq else F.col("time")
     o = other.select(*by, key.alias("_key"), F.col("value").alias("_o"))
     q = F.percentile("_o", F.lit(percentile / 100)).over(Window.partitionBy(*by)) if percentile is not None else F.lit(bound)

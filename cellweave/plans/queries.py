@@ -155,7 +155,7 @@ query("dedup_keep_last", "select l_suppkey as cell, l_shipdate as time, round(l_
 query("ffill_align", f"with {DAY}, m as (select cell, date_trunc('month', time)::timestamp as time, max(value) as m from d where day(time) < 15 group by all), j as (select d.cell, d.time, d.value, m.m from d left join m using (cell, time)) select cell, time, round(value, 6) as value, round(last_value(m ignore nulls) over (partition by cell order by time rows unbounded preceding), 6) as other from j")(lambda t: series.forward_fill(t.days(), series.resample(t.days().where(F.dayofmonth("time") < 15), BY, "MS", "max"), BY))
 query("derived_variable", f"with {LI}, a as (select cell, date_trunc('month', time)::timestamp as time, max(value) as a from li group by all), b as (select cell, date_trunc('month', time)::timestamp as time, min(value) as b from li group by all) select cell, time, round(sqrt(a * a + b * b), 6) as value from a join b using (cell, time)")(lambda t: series.derive("sqrt(hi * hi + lo * lo)", BY, hi=series.resample(t.items(), BY, "MS", "max"), lo=series.resample(t.items(), BY, "MS", "min")))
 query("condition_static", f"with {DAY}, k as (select cell, date_trunc('month', time)::timestamp as m, avg(value) as a from d group by all) select cell, time, round(case when a > 28 then value end, 6) as value from d join k using (cell) where k.m = date_trunc('month', time)")(lambda t: series.condition(t.days(), series.resample(t.days(), BY, "MS"), BY, ">", 28.0, freq="MS"))
-query("condition_percentile", f"with {DAY}, q as (select cell, quantile_cont(value, 0.75) as q from d group by all) select cell, time, round(case when value > q then value end, 6) as value from d join q using (cell)")(lambda t: series.condition(t.days(), t.days(), BY, ">", percentile=75))
+query("condition_percentile", f"with {DAY}, q as (select cell, quantile_cont(value, 0.75) as q from d group by all) select cell, time, round(case when value > q then value end, 6) as value from d join q using (cell)")(lambda t: (lambda d: series.condition(d, d, BY, ">", percentile=75))(t.days()))
 def harmonic_sql(k: int) -> str:
     """p, q and level of one harmonic of the cycle c (g, t, v), 24 hours each."""
     x, y = f"cos(2 * pi() * {k} / 24 * t)", f"sin(2 * pi() * {k} / 24 * t)"

@@ -611,3 +611,17 @@ def write_rows(df: DataFrame, path: str, about: dict | None = None) -> None:
     """A table of numbers and times as files of records, one or more for each task; what stood there is replaced."""
     df.sparkSession.dataSource.register(Netcdf)
     df.write.format("netcdf").mode("overwrite").options(path=path, kind="rows", **{"global": json.dumps(about or {})}).save()
+
+
+def replaced_rows(df: DataFrame, path: str, about: dict | None = None) -> DataFrame:
+    """`write_rows`, and the table read back with the columns' types that it had; without rows an empty one."""
+    write_rows(df, path, about)
+    from pyarrow import fs
+
+    system, base = open_file(path)
+    found = sorted(i.path for i in system.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.path.endswith(".nc"))
+    spark = df.sparkSession
+    if not found:
+        return spark.createDataFrame([], df.schema)
+    back = rows(spark, [f"{path}/{p.rsplit('/', 1)[-1]}" for p in found])
+    return back.select(*(F.col(c).cast(t).alias(c) for c, t in df.dtypes))

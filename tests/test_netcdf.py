@@ -192,3 +192,20 @@ def test_large_files_take_wide_numbers():
 
     h = netcdf.read_header(io.BytesIO(head), 0)
     assert head[3] == 5 and h.variables["t"].shape == [2, 40000, 40000] and h.variables["t"].begin == len(head) and h.variables["t"].stride == 8 * 40000**2 and math.prod(h.dims.values()) == 2 * 40000**2
+
+
+def test_results_of_objects_are_written_and_read(spark, tmp_path):
+    from cellweave.operators import objects
+
+    rng = np.random.default_rng(3)
+    field = lambda shift: [(datetime(2000, 1, d), int(y), int(x), float(v)) for d in (1, 2) for (y, x), v in np.ndenumerate(np.roll(np.outer(np.hanning(12), np.hanning(15)) + 0.01 * rng.random((12, 15)), shift + d, 1))]
+    model, reference = (spark.createDataFrame(field(k), "time timestamp_ntz, y int, x int, value double") for k in (0, 2))
+    weights = np.full((3, 3), 1 / 9)
+    whole, parts = objects.sal_files(model, reference, str(tmp_path / "out"), weights=weights, how="F", value=0.3)
+    smooth = [objects.smooth_fft(df, weights) for df in (model, reference)]
+    key = lambda r: tuple(r)
+    assert sorted(whole.collect(), key=key) == sorted(objects.sal(*smooth, how="F", value=0.3).collect(), key=key) and whole.count() == 2
+    want = {(r.time, r.side, r.label): (r["size"], r.total) for r in objects.sal_objects(*smooth, how="F", value=0.3).collect()}
+    assert {(r.time, objects.SIDES[r.side], r.label): (r["size"], r.total) for r in parts.collect()} == want
+    empty, none = objects.sal_files(model.where("false"), reference, str(tmp_path / "out"))
+    assert empty.collect() == none.collect() == [] and not list((tmp_path / "out/sal").glob("*.nc"))
