@@ -256,18 +256,28 @@ def _window_digests(words: list[str], tokens: np.ndarray, least: int) -> np.ndar
     return out.view(np.int64)
 
 
-def common_substrings(pages: list[list[str]], least: int, share: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Of distinct pages, the digests of substrings of `least` tokens that stand on `share` of them and on two at least, on how many, and how many pages there are."""
+def few(pages: int, alone: bool) -> float:
+    """On how many of a part's pages a substring must stand to be counted, so that the parts' counts add up.
+
+    What stands on SHARE of a host's pages, dealt at random, stands on fewer in a
+    part of so many with a chance of about one in a billion; in small parts, of
+    large pages, everything is counted. The only part of a host counts for itself.
+    """
+    return max(2, FEW * pages) if alone else 1 if pages < 64 else pages / 8 if pages < 256 else FEW * pages
+
+
+def common_substrings(pages: list[list[str]], least: int, alone: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of distinct pages, the digests of substrings of `least` tokens that stand on `few` of them, on how many, and how many pages there are. alone: the host has no other part."""
     pages = [list(p) for p in dict.fromkeys(map(tuple, pages))]
     words, tokens, owner = _tokens(pages)
-    if len(tokens) < least or len(pages) < 2:
+    if len(tokens) < least or alone and len(pages) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), len(pages)
     rank = suffix_ranks(tokens, least)
     whole = np.flatnonzero(owner[: len(tokens) - least + 1] == owner[least - 1 :])
     array = whole[np.lexsort((owner[whole], rank[whole]))]  # suffixes in order, those alike by page
     new = np.append(True, np.diff(rank[array]) != 0)
     on = np.add.reduceat((new | np.append(True, np.diff(owner[array]) != 0)).astype(np.int64), np.flatnonzero(new)) if len(array) else np.zeros(0, np.int64)
-    often = on >= max(2, share * len(pages))
+    often = on >= few(len(pages), alone)
     return _window_digests(words, tokens, least)[array[new][often]], on[often], len(pages)
 
 
@@ -337,7 +347,7 @@ def _settle(least: int, most_pages: int):
 SAID = "host string, digest bigint, pages bigint, open boolean, page_id bigint, url string, blocks array<string>"
 
 
-def _common(least: int):
+def _common(least: int, characters: int):
     def said(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in SAID_ARROW], schema=SAID_ARROW)
 
@@ -350,11 +360,13 @@ def _common(least: int):
             hosts, groups = t.column("host").to_pylist(), t.column("groups").to_pylist()
             lengths = np.cumsum(t.column("size").to_numpy())
             for host in dict.fromkeys(hosts):  # two hosts may share a group's hash
-                rows = [k for k, h in enumerate(hosts) if h == host]
+                # equal pages once, before parts are made of them
+                rows = list({xxhash.xxh3_128_digest("\n".join(t.column("blocks")[k].as_py())): k for k, h in enumerate(hosts) if h == host}.values())
                 if groups[rows[0]] == 1 and len(rows) < PAGES:
                     continue
-                for part in np.split(rows, np.flatnonzero(np.diff(lengths[rows] // GROUP_CHARACTERS)) + 1):
-                    digests, on, n = common_substrings(t.column("blocks").take(pa.array(part)).to_pylist(), least, FEW)
+                parts = np.split(rows, np.flatnonzero(np.diff(lengths[rows] // characters)) + 1)
+                for part in parts:
+                    digests, on, n = common_substrings(t.column("blocks").take(pa.array(part)).to_pylist(), least, groups[rows[0]] == len(parts) == 1)
                     yield said(len(on) + 1, host=pa.array([host] * (len(on) + 1)), digest=pa.array([None, *digests.tolist()], pa.int64()), pages=pa.array([n, *on.tolist()], pa.int64()))
 
     return run
@@ -387,13 +399,13 @@ GROUP_CHARACTERS = 1 << 25
 MOST_HOSTS = 100_000
 
 
-def look_at_hosts(parsed: DataFrame, pages: DataFrame, scratch: Scratch, least: int, group_pages: int) -> tuple[DataFrame, DataFrame]:
+def look_at_hosts(parsed: DataFrame, pages: DataFrame, scratch: Scratch, least: int, group_pages: int, characters: int) -> tuple[DataFrame, DataFrame]:
     """(host, digests) of what most of a host's distinct articles hold, and the pages without an article, of rows (page_id, url, blocks, settled, host).
 
     Each host's pages are dealt at random into groups of about `group_pages`, and
-    each group has its suffix array. What stands on SHARE of all of a host's pages
-    stands on FEW of each group's but for a chance of about one in a billion, so
-    the groups' counts add up to the host's. Equal pages are one page, always in
+    each group has its suffix array, or several if its pages are large. What stands
+    on SHARE of all of a host's pages is counted in each (`few`), so the counts add
+    up to the host's. Equal pages are one page, always in
     one group. The texts are shuffled once, to their groups. `pages` has a row
     (host) for each page, which is cheaper to count; only hosts of more than one
     group are joined, by broadcast where they are MOST_HOSTS at most.
@@ -402,14 +414,14 @@ def look_at_hosts(parsed: DataFrame, pages: DataFrame, scratch: Scratch, least:
     met = parsed.join(F.broadcast(large) if large.count() <= MOST_HOSTS else large, "host", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
     size = F.aggregate("blocks", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x) + 1)
     dealt = met.where("not settled or size(blocks) > 0").select("page_id", "url", "host", "blocks", "settled", "groups", size.alias("size"), F.xxhash64("host", F.pmod(F.xxhash64("blocks"), "groups")).alias("grp"))
-    said = scratch.store(dealt.repartition("grp").sortWithinPartitions("grp", "host").mapInArrow(_common(least), SAID), "said")
+    said = scratch.store(dealt.repartition("grp").sortWithinPartitions("grp", "host").mapInArrow(_common(least, characters), SAID), "said")
     summed = said.where("open is null").groupBy("host", "digest").agg(F.sum("pages").alias("pages"))
     of = Window.partitionBy("host")
     many = summed.withColumn("all", F.max(F.when(F.col("digest").isNull(), F.col("pages"))).over(of)).where(F.col("digest").isNotNull() & (F.col("pages") >= PAGES) & (F.col("pages") >= SHARE * F.col("all")))
     return many.groupBy("host").agg(F.collect_list("digest").alias("digests")), said.where("open").select("page_id", "url", "blocks", "host")
 
 
-def main_text(pages: DataFrame, least: int = 12, group_pages: int = 256, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, least: int = 12, group_pages: int = 256, group_characters: int = GROUP_CHARACTERS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of every page: (page_id, url, text, n_chars).
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts and
@@ -439,7 +451,7 @@ def main_text(pages: DataFrame, least: int = 12, group_pages: int = 256, id_col:
     scratch = Scratch(spark, "extract")
     rows = pick(pages, page_id=id_col, url=url_col, html=html_col).select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
     parsed = rows.mapInArrow(_parse, PARSED).withColumn("host", host_of(F.col("url")))  # cheaper to do again than to store
-    found, open_ = look_at_hosts(parsed, rows.select(host_of(F.col("url")).alias("host")), scratch, least, group_pages)
+    found, open_ = look_at_hosts(parsed, rows.select(host_of(F.col("url")).alias("host")), scratch, least, group_pages, group_characters)
     found = scratch.store(found, "boilerplate")
     done = parsed.where("settled").join(found, "host", "left").select("page_id", "url", "host", "blocks", "digests").mapInArrow(_applied(least), "page_id bigint, url string, text string")
     if not open_.isEmpty():

@@ -177,3 +177,16 @@ def test_hosts_without_outcomes_are_judged_by_what_stands_above_them(spark):
     # of all 110 of 160 are bad, m = 0.6863; by moments the suffixes' spread speaks for 3.338 prior observations
     assert {r.suffix: round(part(r), 4) for r in found["suffix"].collect()} == {"org": round((50 + 3.338 * 0.6863) / 103.338, 4), "evil": round((60 + 3.338 * 0.6863) / 63.338, 4)}
     assert {r.domain: part(r) > 0.5 for r in found["domain"].where("suffix = 'org'").collect()} == {"bad.org": True, "good.org": False}
+
+
+def test_what_most_pages_share_goes_however_they_are_dealt(spark):
+    """A menu within the articles of 32 of 40 pages, with one page in a part, some, or all; copies of pages count once."""
+    menu = " ".join(f"menu{j}" for j in range(14))
+    own = lambda k: " ".join(f"own{k}x{j}" for j in range(15))
+    rows = [(k, f"http://parts.example.com/{k}", f"<article><p>{own(k)}</p><p>{menu if k % 5 else own(1000 + k)}</p></article>") for k in range(40)]
+    rows += [(100 + k, *rows[0][1:]) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    expected = {k: own(k % 100 if k < 100 else 0) + ("" if k < 100 and k % 5 else f" {own(1000 + (k if k < 100 else 0))}") for k, _, _ in rows}
+    for characters in (1, 500, 1 << 25):
+        for most in (8, 256):
+            assert {r.page_id: r.text for r in extract.main_text(pages, group_pages=most, group_characters=characters).collect()} == expected, (characters, most)
