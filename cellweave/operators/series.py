@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import splines
+
 SEASONS = ("DJF", "MAM", "JJA", "SON")
 
 
@@ -144,16 +146,18 @@ def resample(df: DataFrame, by: Sequence[str], freq: str, how: str = "mean", lab
 
 
 def interpolate(df: DataFrame, by: Sequence[str], freq: str, kind: str = "linear") -> DataFrame:
-    """Each series at every multiple of a fixed step between its first and last time: linear, nearest (of equals the earlier) or zero (the last before).
+    """Each series at every multiple of a fixed step between its first and last time: linear, nearest (of equals the earlier), zero (the last before), quadratic or cubic (`splines`, a series in a task).
 
-    A time next to a missing value is missing. Times of a series are distinct
-    (`keep_last`); rows without a time go.
+    A time next to a missing value is missing; with splines all times of its
+    series are. Times of a series are distinct (`keep_last`); rows without a time go.
     """
-    if kind not in ("linear", "nearest", "zero"):
+    if kind not in ("linear", "nearest", "zero", *splines.DEGREES):
         raise ValueError(f"unknown interpolation {kind!r}")
     n, unit = split_freq(freq)
     if unit not in FIXED:
         raise ValueError("steps have a fixed length")
+    if kind in splines.DEGREES:
+        return splines.interpolate(df, by, n * FIXED[unit], kind)
     step, start = n * FIXED[unit], F.lit("1970-01-01").cast("timestamp_ntz")
     w = Window.partitionBy(*by).orderBy("time")
     rows = df.where("time is not null").withColumn("_s", F.timestamp_diff("SECOND", start, F.col("time")))
