@@ -7,12 +7,15 @@ tables. Lines of a grid are numbered, and grids outlined, on a row for each line
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cellweave.sources.scratch import store
+
 
 def wrap_longitude(lon: Column) -> Column:
     """Into -180 to 180."""
@@ -77,23 +80,35 @@ def topo_mask(df: DataFrame, grid: DataFrame, low: float, high: float) -> DataFr
     return df.join(grid.select("cell_id", "orog"), "cell_id", "left").withColumn("value", F.when(F.col("orog").between(low, high), F.col("value"))).drop("orog")
 
 
-#: Points that are held against a grid at once.
-POINTS = 1000
-
-
 def nearest(points: DataFrame, grid: DataFrame) -> DataFrame:
-    """The cell nearest to each point (point, lon, lat) in degrees; of equals, the one with the smallest y and x.
+    """The cell nearest to each point (point, lon, lat) in degrees; of equals, the one with the smallest y and x. Longitudes aren't taken around the date line.
 
-    Points are a set of queries: they are broadcast in blocks of about POINTS.
+    Points meet cells in the nine tiles around the place in the grid's extent that
+    is nearest to them. A cell elsewhere is a tile's side away from that place, and
+    farther still from a point outside the extent; points that haven't found one
+    nearer than that go on to tiles twice as large. Points without coordinates, and
+    all of an empty grid's, have no row.
     """
-    blocks = max(1, -(-points.count() // POINTS))
-    d = F.sqrt((F.col("lon") - F.col("_x")) * (F.col("lon") - F.col("_x")) + (F.col("lat") - F.col("_y")) * (F.col("lat") - F.col("_y")))
-    found = None
-    for k in range(blocks):
-        p = points.where(F.pmod(F.xxhash64("point"), F.lit(blocks)) == k).select("point", F.col("lon").alias("_x"), F.col("lat").alias("_y"))
-        one = grid.crossJoin(F.broadcast(p)).groupBy("point").agg(F.min(F.struct(d.alias("distance"), "y", "x", "cell_id")).alias("m"))
-        found = one if found is None else found.unionByName(one)
-    return found.select("point", "m.cell_id", "m.distance")
+    g = grid.where("lon is not null and lat is not null")
+    n, x0, x1, y0, y1 = g.agg(F.count("*"), F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
+    left = points.where("lon is not null and lat is not null").select("point", F.col("lon").cast("double").alias("_x"), F.col("lat").cast("double").alias("_y"))
+    found = left.select("point", F.lit(None).cast("struct<distance:double,y:int,x:int,cell_id:bigint>").alias("m")).where("false")
+    side = max(2 * math.sqrt((x1 - x0) * (y1 - y0) / n), 2 * (x1 - x0) / n, 2 * (y1 - y0) / n, 1e-9) if n else 0.0
+    while n and left.limit(1).count():
+        tile = lambda c, start: F.floor((c - start) / side).cast("bigint")  # noqa: B023, E731
+        within = [F.greatest(F.lit(lo), F.least(F.lit(hi), F.col(c))) for c, lo, hi in (("_x", x0, x1), ("_y", y0, y1))]
+        away = (F.col("_x") - within[0]) * (F.col("_x") - within[0]) + (F.col("_y") - within[1]) * (F.col("_y") - within[1])
+        around = F.array(*(F.struct((tile(within[0], x0) + i).alias("_tx"), (tile(within[1], y0) + j).alias("_ty")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+        asked = left.select("point", "_x", "_y", away.alias("_away"), F.explode(around).alias("_t")).select("point", "_x", "_y", "_away", "_t.*")
+        cells = g.select("lon", "lat", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("cell_id").cast("bigint").alias("cell_id"), tile(F.col("lon"), x0).alias("_tx"), tile(F.col("lat"), y0).alias("_ty"))
+        d = F.sqrt((F.col("lon") - F.col("_x")) * (F.col("lon") - F.col("_x")) + (F.col("lat") - F.col("_y")) * (F.col("lat") - F.col("_y")))
+        best = asked.join(cells, ["_tx", "_ty"], "left").groupBy("point", "_x", "_y", "_away").agg(F.min(F.when(F.col("cell_id").isNotNull(), F.struct(d.alias("distance"), "y", "x", "cell_id"))).alias("m"))
+        whole = side > x1 - x0 and side > y1 - y0  # nothing lies outside the tiles
+        sure = F.lit(True) if whole else F.coalesce(F.col("m.distance") * F.col("m.distance") < (F.col("_away") + side * side) * (1 - 1e-12), F.lit(False))
+        best = store(best.withColumn("_sure", sure), "nearest")
+        found = found.unionByName(best.where("_sure").select("point", "m"))
+        left, side = best.where("not _sure").select("point", "_x", "_y"), 2 * side
+    return found.groupBy("point").agg(F.min("m").alias("m")).select("point", "m.cell_id", "m.distance")
 
 
 def corners(grid: DataFrame) -> DataFrame:
