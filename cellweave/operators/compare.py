@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import large
+
 
 def difference(model: DataFrame, reference: DataFrame, keys: Sequence[str]) -> DataFrame:
     r = reference.select(*keys, F.col("value").alias("_r"))

@@ -120,8 +120,7 @@ def test_outline_and_domain(spark):
     assert grid.domain_mask(values, small, cells(spark, lon + 90, lat)).where("value is not null").count() == 0
 
 
-def test_many_points_come_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(grid, "POINTS", 3)
+def test_points_meet_the_nearest_cell(spark):
     g = cells(spark, *np.meshgrid(np.arange(5.0), np.arange(4.0)))
     points = spark.createDataFrame([(f"p{k}", k * 0.37, k * 0.29) for k in range(10)], "point string, lon double, lat double")
     found = {r.point: r.cell_id for r in grid.nearest(points, g).collect()}
