@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.sources.scratch import reachable
+
 from . import grid as grids
 
 #: How far outside, in parts of a quadrilateral, a point may lie by rounding; the least part of a cell that is an overlap.
@@ -60,6 +62,7 @@ def bilinear_weights(source: DataFrame, target: DataFrame) -> DataFrame:
     cross the date line. One that holds a pole has no such map and gives no
     weights. Of several that a centre lies on, that with the smallest y and x.
     """
+    reachable(source.sparkSession)
     lon = lambda c: F.col("corners")[0]["lon"] + grids.wrap_longitude(c - F.col("corners")[0]["lon"])
     q = quadrilaterals(source)
     xs, ys = F.array(*(lon(F.col("corners")[k]["lon"]) for k in range(4))), F.array(*(F.col("corners")[k]["lat"] for k in range(4)))
@@ -160,6 +163,7 @@ def conservative_weights(source: DataFrame, target: DataFrame) -> DataFrame:
         square = lambda k: sum(((F.get("ring", 3 * k + i) - F.col("m")[i]) * (F.get("ring", 3 * k + i) - F.col("m")[i]) for i in range(3)), F.lit(0.0))
         return cells.withColumn("r", F.sqrt(F.greatest(*(square(k) for k in range(4)))))
 
+    reachable(source.sparkSession)
     s, t = balls(source, "source_cell"), balls(target, "target_cell")
     rs, rt = (df.agg(F.max("r")).first()[0] or 0.0 for df in (s, t))
     side = max(2 * (rs + rt), 1e-9)

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cellweave.sources.scratch import reachable
+
 from . import large
 
 SAL = "time timestamp_ntz, s double, a double, l1 double, l2 double, l double, objects_model int, objects_reference int"
@@ -83,6 +85,7 @@ def strip_runs(df: DataFrame, height: int) -> DataFrame:
         n = len(row)
         return pa.table([pa.array([part.column("time")[0].as_py()] * n, pa.timestamp("us")), pa.array([part.column("strip")[0].as_py()] * n, pa.int64()), *(pa.array(c, pa.int64()) for c in (row, first, after, own))], names=["time", "strip", "y", "first", "after", "part"])
 
+    reachable(df.sparkSession)
     cells = df.where("on and y is not null and x is not null").select("time", F.floor(F.col("y") / height).cast("bigint").alias("strip"), F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"))
     return cells.groupBy("time", "strip").applyInArrow(run, RUNS)
 
@@ -215,6 +218,7 @@ def _fields(part: pd.DataFrame, columns: Sequence[str]) -> list[np.ndarray]:
 
 
 def _together(model: DataFrame, reference: DataFrame, sea: DataFrame | None) -> DataFrame:
+    reachable(model.sparkSession)
     both = model.select("time", "y", "x", F.col("value").alias("m")).join(reference.select("time", "y", "x", F.col("value").alias("r")), ["time", "y", "x"])
     if sea is None:
         return both.withColumn("sea", F.lit(None).cast("boolean"))

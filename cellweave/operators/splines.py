@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.sources.scratch import reachable
+
 DEGREES = {"quadratic": 2, "cubic": 3}
 
 
@@ -72,6 +74,7 @@ def interpolate(df: DataFrame, by: Sequence[str], step: int, kind: str) -> DataF
     Times of a series are distinct; rows without a time go. Null keys are keys.
     """
     degree = DEGREES[kind]
+    reachable(df.sparkSession)
     from pyspark.sql.types import StructType
 
     schema = StructType([df.schema[c] for c in by]).add("time", "timestamp_ntz").add("value", "double")

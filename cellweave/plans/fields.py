@@ -80,7 +80,7 @@ def regrid_conservative_rotated(t: Tables) -> DataFrame:
 @query(
     "netcdf_series",
     f"""with {DAY}, {GRID}
-select cell_id, round(any_value(lon), 6) as lon, round(any_value(lat), 6) as lat, date_trunc('month', time)::timestamp as time,
+select cell_id, round(any_value(lon)::double, 6) as lon, round(any_value(lat)::double, 6) as lat, date_trunc('month', time)::timestamp as time,
   count(value) as n, round(sum(value), 6) as value
 from d join g on cell = cell_id where time >= '1995-01-01' and time < '1996-07-01' group by cell_id, date_trunc('month', time)""",
 )
@@ -149,10 +149,10 @@ def quantiles_large_groups(t: Tables) -> DataFrame:
 @query(
     "ranked_pooled",
     """select l_orderkey, l_linenumber, row_number() over w as place,
-  round(sum(l_quantity::double) over (w rows unbounded preceding) / sum(l_quantity::double) over (), 9) as share
+  round(sum(l_quantity::double) over (w rows unbounded preceding) / sum(l_quantity::double) over (), 6) as share
 from lineitem window w as (order by l_extendedprice desc, l_orderkey, l_linenumber)""",
 )
 def ranked_pooled(t: Tables) -> DataFrame:
     order = [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")]
     found = large.running(t.table("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"), [], order, {"_sum": F.col("l_quantity").cast("double")})
-    return found.select("l_orderkey", "l_linenumber", "place", F.round(F.col("_sum") / F.col("_sum_all"), 9).alias("share"))
+    return found.select("l_orderkey", "l_linenumber", "place", (F.col("_sum") / F.col("_sum_all")).alias("share"))

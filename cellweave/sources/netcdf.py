@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from .scratch import reachable
+
 # fixed values of the file format: external types by number, the marks of lists, the names of coordinates
 TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: "u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
 DIMENSIONS, VARIABLES, ATTRIBUTES = 10, 11, 12
@@ -403,6 +405,7 @@ class Netcdf(DataSource):
 
 
 def _load(spark: SparkSession, paths: Sequence[str], **options: str) -> DataFrame:
+    reachable(spark)
     spark.dataSource.register(Netcdf)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("netcdf").options(paths=json.dumps(list(paths)), **options).load()
@@ -592,6 +595,7 @@ def write_series(df: DataFrame, cells: DataFrame, path: str, variable: str, buck
     or a cell of the grid are an error.
     """
     spark = df.sparkSession
+    reachable(spark)
     spark.dataSource.register(Netcdf)
     beside = f"{path}/_grid-{uuid.uuid4().hex}"
     cells.select("y", "x", "lon", "lat").write.parquet(beside)
@@ -609,6 +613,7 @@ def write_series(df: DataFrame, cells: DataFrame, path: str, variable: str, buck
 
 def write_rows(df: DataFrame, path: str, about: dict | None = None) -> None:
     """A table of numbers and times as files of records, one or more for each task; what stood there is replaced."""
+    reachable(df.sparkSession)
     df.sparkSession.dataSource.register(Netcdf)
     df.write.format("netcdf").mode("overwrite").options(path=path, kind="rows", **{"global": json.dumps(about or {})}).save()
 
