@@ -78,12 +78,12 @@ query("regrid_uncovered", f"with {GRID}, {LI}, m as (select cell as cell_id, mon
 
 def _uncovered(t: Tables) -> DataFrame:
     """The conservative grid with one cell that no source reaches."""
-    from .queries import bounds
+    from .queries import fitted
 
     far = coarse(t).limit(1).withColumn("x", F.lit(99)).withColumn("y", F.lit(99)).withColumn("cell_id", F.lit(9999).cast("bigint")).withColumn("lon", F.lit(-100.0)).withColumn("lat", F.lit(-40.0))
     target = coarse(t).unionByName(far)
     values = statistics.annual_cycle(t.items().withColumnRenamed("cell", "cell_id"), ["cell_id"]).select("cell_id", "month", "value")
-    return grid.regrid(values, grid.conservative_weights(bounds(t.grid(), 0.5), bounds(target, 1.0)), target, ["month"])
+    return grid.regrid(values, grid.conservative_weights(fitted(t, t.grid(), 0.5), fitted(t, target, 1.0)), target, ["month"])
 
 
 # air

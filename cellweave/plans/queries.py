@@ -62,6 +62,11 @@ class Tables:
         c = F.col("s_suppkey")
         return self.table("supplier").select(c.alias("cell_id"), F.floor(c / 10).cast("int").alias("y"), (c % 10).cast("int").alias("x"), (10.0 + c % 10).alias("lon"), (50.0 + F.floor(c / 10) / 4).alias("lat"))
 
+    def last(self, table: str, key: str) -> int:
+        """The last row of the grid that a table's keys make, ten cells a row; -1 of an empty table."""
+        found = self.table(table).agg(F.floor(F.max(key) / 10)).first()[0]
+        return -1 if found is None else found
+
 
 # cycles and moments
 SQL_METHOD = {"mean": "avg({})", "max": "max({})", "min": "min({})", "std": "stddev_pop({})", "median": "quantile_cont({}, 0.5)", "sum": "coalesce(sum({}), 0)", "percentile 95": "quantile_cont({}, 0.95)", "percentile 90": "quantile_cont({}, 0.9)"}
@@ -200,7 +205,16 @@ def bounds(g: DataFrame, half: float) -> DataFrame:
     return g.select("*", (F.col("lon") - half).alias("lon_lo"), (F.col("lon") + half).alias("lon_hi"), (F.col("lat") - half / 4).alias("lat_lo"), (F.col("lat") + half / 4).alias("lat_hi"))
 
 
-query("regrid_conservative", f"with {GRID}, {LI}, m as (select cell as cell_id, month(time)::bigint as month, avg(value) as value from li group by all), w as (select cell_id, (y // 2) * 100 + x // 2 as target from g) select target::bigint as cell_id, month, round(sum(value) / count(*), 6) as value from m join w using (cell_id) group by all")(lambda t: grid.regrid(statistics.annual_cycle(t.items().withColumnRenamed("cell", "cell_id"), ["cell_id"]).select("cell_id", "month", "value"), grid.conservative_weights(bounds(t.grid(), 0.5), bounds(coarse(t), 1.0)), coarse(t), ["month"]).where("month is not null"))
+def fitted(t: Tables, g: DataFrame, half: float) -> DataFrame:
+    """Bounds as above, all rows nearer together by a power of two where the last would lie beyond the pole (from 1600 suppliers on): no cell has an area there. Powers of two are exact, so bounds of both grids still meet."""
+    part = 1
+    while (t.last("supplier", "s_suppkey") + 2) / 4 / part > 40:
+        part *= 2
+    lat = lambda c: (50.0 + (F.col(c) - 50.0) / part).alias(c)
+    return bounds(g, half).withColumns({c: lat(c) for c in ("lat", "lat_lo", "lat_hi")})
+
+
+query("regrid_conservative", f"with {GRID}, {LI}, m as (select cell as cell_id, month(time)::bigint as month, avg(value) as value from li group by all), w as (select cell_id, (y // 2) * 100 + x // 2 as target from g) select target::bigint as cell_id, month, round(sum(value) / count(*), 6) as value from m join w using (cell_id) group by all")(lambda t: grid.regrid(statistics.annual_cycle(t.items().withColumnRenamed("cell", "cell_id"), ["cell_id"]).select("cell_id", "month", "value"), grid.conservative_weights(fitted(t, t.grid(), 0.5), fitted(t, coarse(t), 1.0)), coarse(t), ["month"]).where("month is not null"))
 FULL = "q as (select (y // 2) * 100 + x // 2 as target, count(*) as n from g group by all)"
 query("regrid_bilinear", f"with {GRID}, {LI}, {FULL}, m as (select cell as cell_id, month(time)::bigint as month, avg(value) as value from li group by all), r as (select target, month, avg(value) as value from m join g using (cell_id) join q on target = (y // 2) * 100 + x // 2 where n = 4 group by all) select target::bigint as cell_id, month, round(value, 6) as value from r union all select target::bigint, month, null from q, (select distinct month from m) where n < 4")(lambda t: grid.regrid(statistics.annual_cycle(t.items().withColumnRenamed("cell", "cell_id"), ["cell_id"]).select("cell_id", "month", "value"), grid.bilinear_weights(t.grid(), coarse(t)), coarse(t), ["month"]))
 query("grid_corners", f"with {GRID}, k as (select count(distinct y) > 1 as several from g) select cell_id, y::bigint as y, x::bigint as x, lon::double as lon, lat::double as lat, lon::double - 0.5 as lon_lo, lon::double + 0.5 as lon_hi, case when several then lat - 0.125 end as lat_lo, case when several then lat + 0.125 end as lat_hi from g, k")(lambda t: grid.corners(t.grid()))
