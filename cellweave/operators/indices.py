@@ -163,7 +163,8 @@ def block_bootstrap(df: DataFrame, by: Sequence[str], block: int, samples: int,
     sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
     draws = block_starts(sizes, by, block, samples, seed).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).withColumn("place", F.col("_b") * block + F.col("_k")).where("place < _n")
     same = [F.col(f"_b{k}").eqNullSafe(F.col(c)) for k, c in enumerate(by)] + [F.col("_row") == F.col("_s") + F.col("_k")]
-    return draws.where("_s + _k < _n").join(rows, reduce(Column.__and__, same)).select(*by, "sample", "place", *columns)
+    # there are as many draws as rows in all samples, though they come from a row for each series: never one table for every task
+    return draws.where("_s + _k < _n").hint("merge").join(rows, reduce(Column.__and__, same)).select(*by, "sample", "place", *columns)
 
 
 def pdf_band(df: DataFrame, by: Sequence[str], edges: Sequence[float], least: float | None = None, density: bool = True, samples: int = 500, block: int = 1, level: float = 95, order: Sequence[str] = ("time",), seed: int = 1) -> DataFrame:

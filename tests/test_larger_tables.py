@@ -27,3 +27,11 @@ def test_rows_of_many_suppliers_stay_on_the_sphere(spark, tmp_path, name):
     got, expected = compared(spark, tmp_path, name, supplier="select range as s_suppkey from range(2000)", lineitem=items)
     assert len(got) == len(expected) >= 1000
     assert all(a[:2] == b[:2] and (a[2] is None if b[2] is None else a[2] is not None and abs(a[2] - b[2]) <= 2e-6) for a, b in zip(got, expected))
+
+
+def test_draws_are_not_broadcast(spark):
+    """They come from a row for each series, which looks small, and are as many as the rows of all samples."""
+    df = spark.range(100).selectExpr("id % 2 as cell", "timestamp_seconds(id) as time", "double(id) as value")
+    found = indices.block_bootstrap(df, ["cell"], 5, 4)
+    assert found.count() == 400
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
