@@ -35,3 +35,8 @@ def test_draws_are_not_broadcast(spark):
     found = indices.block_bootstrap(df, ["cell"], 5, 4)
     assert found.count() == 400
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_of_many_customers_stay_on_the_sphere(spark, tmp_path):
+    got, expected = compared(spark, tmp_path, "regrid_conservative_rotated", customer="select range as c_custkey from range(19000)")
+    assert got == expected
