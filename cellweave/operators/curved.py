@@ -51,7 +51,7 @@ def quadrilaterals(grid: DataFrame) -> DataFrame:
     cells = grid.where("lon is not null and lat is not null")
     near = cells.select(F.explode(F.array(*(F.struct((F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.lit(2 * dy + dx).alias("k")) for dy in (0, 1) for dx in (0, 1)))).alias("q"), "cell_id", "lon", "lat")
     corner = F.struct(F.col("q.k").alias("k"), "cell_id", "lon", "lat")
-    return near.groupBy("q.y", "q.x").agg(F.array_sort(F.collect_list(corner)).alias("corners")).where((F.size("corners") == 4) & (F.col("corners")[0]["k"] == 0) & (F.col("corners")[1]["k"] == 1) & (F.col("corners")[2]["k"] == 2))
+    return near.groupBy("q.y", "q.x").agg(F.array_sort(F.collect_list(corner)).alias("corners")).where((F.size("corners") == 4) & (F.get("corners", 0)["k"] == 0) & (F.get("corners", 1)["k"] == 1) & (F.get("corners", 2)["k"] == 2))
 
 
 def bilinear_weights(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -81,10 +81,52 @@ def bilinear_weights(source: DataFrame, target: DataFrame) -> DataFrame:
     slack = 1e-6
     met = met.where(F.col("px").between(F.col("x0") - slack, F.col("x1") + slack) & F.col("lat").between(F.col("y0") - slack, F.col("y1") + slack)).select("target_cell", "y", "x", "ids", "xs", "ys", "px", "lat")
     found = met.mapInArrow(_inverted, "target_cell bigint, y int, x int, ids array<bigint>, w array<double>")
+    return _first(found)
+
+
+def _first(found: DataFrame) -> DataFrame:
+    """Weights of the quadrilateral with the smallest y and x."""
     best = found.groupBy("target_cell").agg(F.min(F.struct("y", "x", "ids", "w")).alias("b"))
     return best.select("target_cell", F.explode(F.arrays_zip("b.ids", "b.w")).alias("e")).select("target_cell", F.col("e.ids").alias("source_cell"), F.col("e.w").alias("w")).where("w > 0")
 
 
+def bilinear_weights_in_space(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Like `bilinear_weights`, by the bilinear map of the corners' points in space, as seen from the sphere's middle: neither the date line nor a pole is special.
+
+    The weighted mean of the corners' points lies in the direction of the target,
+    so points on the sphere come out exactly. Quadrilaterals and targets meet in
+    cubes of space, as cells do in `conservative_weights`.
+    """
+    reachable(source.sparkSession)
+    q = quadrilaterals(source)
+    point = lambda lon, lat: F.array(F.cos(F.radians(lon)) * F.cos(F.radians(lat)), F.sin(F.radians(lon)) * F.cos(F.radians(lat)), F.sin(F.radians(lat)))
+    dot = lambda a, b: sum((a[i] * b[i] for i in range(1, 3)), a[0] * b[0])
+    cross = lambda a, b: F.array(*(a[(i + 1) % 3] * b[(i + 2) % 3] - a[(i + 2) % 3] * b[(i + 1) % 3] for i in range(3)))
+    less = lambda a, b: [a[i] - b[i] for i in range(3)]
+    c, corner = F.col, [F.get("corners", k) for k in range(4)]  # conditions may be asked before too few corners are left out
+    q = q.select("y", "x", F.array(*(corner[k]["cell_id"] for k in range(4))).alias("ids"), *(point(corner[k]["lon"], corner[k]["lat"]).alias(f"c{k}") for k in range(4)))
+    q = q.withColumn("m", F.array(*((c("c0")[i] + c("c1")[i] + c("c2")[i] + c("c3")[i]) / 4 for i in range(3))))
+    # the sphere is farther out than the corners' flat middle by less than the square of the radius
+    ball = F.sqrt(F.greatest(*(dot(d, d) for d in (less(c(f"c{k}"), c("m")) for k in range(4)))))
+    q = q.withColumn("r", ball).withColumn("r", c("r") + c("r") * c("r") + 1e-12).where("r < 1")
+    side = max(2 * (q.agg(F.max("r")).first()[0] or 0.0), 1e-9)
+    cube = lambda v: F.floor(v / side).cast("bigint")
+    for i in range(3):
+        q = q.withColumn(f"_{i}", F.explode(F.sequence(cube(c("m")[i] - c("r")), cube(c("m")[i] + c("r")))))
+    t = target.where("lon is not null and lat is not null").select(c("cell_id").alias("target_cell"), point(c("lon"), c("lat")).alias("t"))
+    unit = lambda k: F.array(*(F.lit(float(i == k)) for i in range(3)))
+    t = t.withColumn("e1", F.when(F.abs(c("t")[0]) < 0.6, cross(c("t"), unit(0))).otherwise(cross(c("t"), unit(1)))).withColumn("e2", cross(c("t"), c("e1")))
+    t = t.select("*", *(cube(c("t")[i]).alias(f"_{i}") for i in range(3)))
+    # within the ball, and in each direction no farther than the corners
+    apart = less(c("t"), c("m"))
+    slack = c("r") * c("r") + 1e-12
+    between = [c("t")[i].between(F.least(*(c(f"c{k}")[i] for k in range(4))) - slack, F.greatest(*(c(f"c{k}")[i] for k in range(4))) + slack) for i in range(3)]
+    met = t.join(q, ["_0", "_1", "_2"]).where((dot(apart, apart) <= c("r") * c("r")) & between[0] & between[1] & between[2])
+    along = lambda e: F.array(*(dot(c(f"c{k}"), c(e)) for k in range(4)))
+    flat = met.select("target_cell", "y", "x", "ids", along("e1").alias("xs"), along("e2").alias("ys"), F.lit(0.0).alias("px"), F.lit(0.0).alias("lat"))
+    return _first(flat.mapInArrow(_inverted, "target_cell bigint, y int, x int, ids array<bigint>, w array<double>"))
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 

@@ -49,7 +49,8 @@ t_r as (select cell_id, (x + {dx}) / 2 as rx, (y + {dy}) / 20 as ry from k
   where y between {margin} and (select max(y) from k) - 1 - {margin} and x between {margin} - 1 and 9 - {margin})"""
 
 
-# a field that is linear in longitude and latitude comes out exactly, whatever the quadrilaterals look like
+# a field of places comes out exactly, whatever the quadrilaterals look like; longitudes jump at the date line and turn at the pole, which the grid passes
+# from 8,000 customers on, so it is the places' points in space that are interpolated
 @query(
     "regrid_bilinear_rotated",
     f"""with {INNER.format(dx=0.3, dy=0.4, margin=1)}, {rotated_sql('t', 'rx', 'ry')}
@@ -57,8 +58,13 @@ select cell_id, n as month, round(n * (lon + 2 * lat), 6) as value from t, range
 )
 def regrid_bilinear_rotated(t: Tables) -> DataFrame:
     source, target = bent(t), inner(t, 0.3, 0.4, 1)
-    values = source.select("cell_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("month"), "lon", "lat").select("cell_id", "month", (F.col("month") * (F.col("lon") + 2 * F.col("lat"))).alias("value"))
-    return grid.regrid(values, curved.bilinear_weights(source, target), target, ["month"])
+    a, b = F.radians("lon"), F.radians("lat")
+    parts = F.array(*(F.struct(F.lit(k).alias("part"), v.alias("v")) for k, v in enumerate((F.cos(a) * F.cos(b), F.sin(a) * F.cos(b), F.sin(b)))))
+    values = source.select("cell_id", F.explode(parts).alias("p"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("month")).select("cell_id", "month", "p.part", (F.col("month") * F.col("p.v")).alias("value"))
+    found = grid.regrid(values, curved.bilinear_weights_in_space(source, target), target, ["month", "part"])
+    x, y, z = (F.max(F.when(F.col("part") == k, F.col("value"))) for k in range(3))
+    lon, lat = F.degrees(F.atan2(y, x)), F.degrees(F.atan2(z, F.sqrt(x * x + y * y)))
+    return found.groupBy("cell_id", "month").agg((F.col("month") * (lon + 2 * lat)).alias("value"))
 
 
 # a constant stays one in all cells that the sources cover, here those inside; from 17,000 customers on rows a twentieth of a degree apart would run over
