@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cellweave.sources.scratch import store
+
 from . import splines
 
 SEASONS = ("DJF", "MAM", "JJA", "SON")
@@ -189,12 +191,13 @@ def whole_hours(df: DataFrame) -> DataFrame:
 
     All minutes of 30 or more go up to the hour, else down; then steps of 12, 6,
     3 and 1 hours move by 6, 3, 1 and 0. What to do is read from the table's
-    distinct hours and minutes (at most 1440) and its first times.
+    distinct hours and minutes (at most 1440) and its first times, from its distinct times, which are written first: one pass.
     """
     minute = F.date_trunc("minute", F.timestamp_add("SECOND", F.lit(30), F.col("time"))).cast("timestamp_ntz")
+    each = store(df.where("time is not null").select("time").distinct().select(minute.alias("time")).distinct(), "times")
+    kinds = [(r.h, r.m) for r in each.select(F.hour("time").alias("h"), F.minute("time").alias("m")).distinct().collect()]
+    times = [r.time for r in each.orderBy("time").limit(1500).collect()]
     df = df.withColumn("time", minute)
-    kinds = [(r.h, r.m) for r in df.where("time is not null").select(F.hour("time").alias("h"), F.minute("time").alias("m")).distinct().collect()]
-    times = [r.time for r in df.where("time is not null").select("time").distinct().orderBy("time").limit(1500).collect()]
     delta = next((b.hour - a.hour for a, b in zip(times, times[1:]) if b.hour > a.hour), None)
     if delta is None or all(h % delta == 0 for h, _ in kinds) and not any(m for _, m in kinds):
         return df

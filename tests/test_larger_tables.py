@@ -47,3 +47,17 @@ def test_bilinear_at_the_pole_and_the_date_line(spark, tmp_path):
     got, expected = compared(spark, tmp_path, "regrid_bilinear_rotated", customer="select range as c_custkey from range(7800, 8600)")
     assert len(got) == len(expected) > 2000
     assert all(a[:2] == b[:2] and a[2] is not None and abs(a[2] - b[2]) <= 2e-6 for a, b in zip(got, expected))
+
+
+def test_times_are_looked_through_once(spark):
+    rows, read = [(1, datetime(2000, 1, 1, h, 30), float(h)) for h in range(0, 24, 3)], spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    schema = "cell bigint, time timestamp_ntz, value double"
+    found = series.whole_hours(spark.createDataFrame(rows, schema).mapInPandas(counted, schema))
+    assert read.value == len(rows)
+    assert [r.time.hour for r in found.orderBy("value").collect()] == [2, 5, 8, 11, 14, 17, 20, 23]
