@@ -143,7 +143,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     """
     short = lambda df: df.select("a", "b").mapInArrow(_forest, "a bigint, b bigint")
     e = scratch.store(short(edges.where("a is not null and b is not null and a != b")), f"{name}0")
-    k, last = 0, None
+    k = 0
     while True:
         # large star: each neighbour above the centre goes to the smallest of the neighbourhood
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -157,9 +157,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         small = down.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("c").alias("a"), F.col("m").alias("b")))
         k += 1
         e2 = scratch.store(short(small).distinct(), f"{name}{k}")
-        state = e2.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        # done once all ids hang on one that hangs on none: links go to smaller ids
+        ends = e2.select(F.col("a").alias("id"), F.lit(1).alias("up")).union(e2.select(F.col("b").alias("id"), F.lit(0).alias("up")))
+        done = ends.groupBy("id").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or ups = 1 and least = 0").isEmpty()
         scratch.drop(*(f"{name}{x}" for x in (k - 2, k - 1, f"-low{k - 2}", f"-low{k - 1}")))
         e = e2
-        if tuple(state) == last or not state[0]:
+        if done:
             return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        last = tuple(state)
