@@ -96,6 +96,7 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
         self.a_size, self.b_size = (np.array([len(table.get(i, b"")) for i in range(max(table) + 1)]) for table in (self.a_bytes, dict(enumerate(self.b_bytes))))
+        self.decimal = list(map(str, range(max(len(self.a_size), len(self.b_size)))))
         self.blank, self.line_end = self.b.piece_to_id("▁"), self.a.encode("\n").ids
         # white space that a piece has after other characters ties segments together
         ties = {x for p in pieces for x, y in zip(p.replace("▁", " ")[1:], p.replace("▁", " ")) if x.isspace() and not y.isspace()}
@@ -146,15 +147,21 @@ class Aligner:
         return Segment(line, sum(len(g[2]) for g in groups), len(ids_b), len(groups), sum(links.values()), array("q", links).tobytes(), array("q", links.values()).tobytes())
 
     def _segments(self, new: list[str], lists_b: list[list[int]]) -> list[Segment | None]:
-        """The same for many short texts at once: their labels stand in one string, which a group never crosses, for both kinds of tokens end where a text does."""
-        lists_a = [self._ids_a(p) for p in new]
-        flat_a, flat_b = list(chain.from_iterable(lists_a)), list(chain.from_iterable(lists_b))
-        own = "".join(new).encode()
+        """The same for many short segments at once, none of white space alone: A cuts their string before each white space, and their labels stand in one string, which a group never crosses, for both kinds of tokens end where a segment does."""
+        one = "".join(new)
+        flat_a, flat_b = self.a.encode_batch_fast([one], add_special_tokens=False)[0].ids, list(chain.from_iterable(lists_b))
+        own = one.encode()
         if b"".join(map(self.a_bytes.get, flat_a, repeat(b""))) != own or b"".join(map(self.b_bytes.__getitem__, flat_b)) != own:
             return [self._segment(p, ids) for p, ids in zip(new, lists_b)]
         a, b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
+        stops = np.cumsum([len(p) for p in new] if len(own) == len(one) else [len(p.encode()) for p in new])
+        size_a = self.a_size[a]
+        stops_a = np.cumsum(size_a)
+        n_a = np.searchsorted(stops_a, stops) + 1  # tokens of A up to each segment's end
+        if not size_a.all() or (stops_a[n_a - 1] != stops).any():
+            return [self._segment(p, ids) for p, ids in zip(new, lists_b)]
         labels = np.full(len(own), ord("0"), np.uint8)
-        labels[np.cumsum(self.a_size[a]) - 1] |= 1
+        labels[stops_a - 1] |= 1
         labels[np.cumsum(self.b_size[b]) - 1] |= 2
         last = np.cumsum(list(map(len, GROUP.findall(labels.tobytes())))) - 1  # where each group ends
         n, m = (np.diff(np.cumsum(labels & bit != 0)[last], prepend=0) for bit in (1, 2))
@@ -166,12 +173,12 @@ class Aligner:
         group = np.repeat(np.arange(len(n)), links)
         k = np.arange(len(group)) - (to - links)[group]
         pairs = (a[(to_a - n)[group] + k // m[group]] << 32 | b[(to_b - m)[group] + k % m[group]]).tobytes()
-        sa, sb = list(map(str, flat_a)), list(map(str, flat_b))
+        sa, sb = list(map(self.decimal.__getitem__, flat_a)), list(map(self.decimal.__getitem__, flat_b))
         lines = [f"{sa[i - 1]}|{sb[j - 1]}" if x == y == 1 else f"{','.join(sa[i - x : i])}|{','.join(sb[j - y : j])}" for i, j, x, y in zip(to_a.tolist(), to_b.tolist(), n.tolist(), m.tolist())]
-        ends = np.searchsorted(last, np.cumsum([len(p.encode()) for p in new]) - 1, "right")
+        ends = np.searchsorted(last, stops - 1, "right")
         out, g0, l0 = [], 0, 0
-        for g, at, x, y in zip(ends.tolist(), to[ends - 1].tolist(), lists_a, lists_b):
-            out.append(Segment(";".join(lines[g0:g]), len(x), len(y), g - g0, at - l0, pairs[8 * l0 : 8 * at], b""))
+        for g, at, x, y in zip(ends.tolist(), to[ends - 1].tolist(), np.diff(n_a, prepend=0).tolist(), lists_b):
+            out.append(Segment(";".join(lines[g0:g]), x, len(y), g - g0, at - l0, pairs[8 * l0 : 8 * at], b""))
             g0, l0 = g, at
         return out
 
@@ -192,8 +199,14 @@ class Aligner:
 
     def _short(self, new: list[str]) -> list[Segment | None]:
         ids = self._ids_b(new)
-        good = [k for k, x in enumerate(ids) if x is not None]
         found: list[Segment | None] = [None] * len(new)
+        good = []
+        for k, x in enumerate(ids):
+            if x is not None:
+                if new[k].isspace():  # the next one's white space would belong to it
+                    found[k] = self._segment(new[k], x)
+                else:
+                    good.append(k)
         for at in range(0, len(good), 4096):
             part = good[at : at + 4096]
             for k, s in zip(part, self._segments([new[k] for k in part], [ids[k] for k in part])):
@@ -206,7 +219,7 @@ class Aligner:
             self.before, self.known, self.chars = self.known, {}, 0
         cut = [self.pieces(t) for t in texts]
         new, here = [], {}
-        for p in {p for pieces in cut for p in pieces or ()}:
+        for p in set(chain.from_iterable(filter(None, cut))):
             if p in self.known:
                 here[p] = self.known[p]
             elif p in self.before:
@@ -219,10 +232,11 @@ class Aligner:
         for p, s in zip(short, self._short(short)):
             here[p] = self.known[p] = s
             self.chars += len(p)
+        odd = {p for p, s in here.items() if s is None}
         out = []
         for text, pieces in zip(texts, cut):
-            found = None if pieces is None else [here[p] for p in pieces]
-            if found is None or None in found:
+            found = None if pieces is None or odd and not odd.isdisjoint(pieces) else list(map(here.__getitem__, pieces))
+            if found is None:
                 one = self.whole(text)
                 found = [one] if one else []
             out.append(found)
@@ -231,8 +245,9 @@ class Aligner:
 
 def links_of(segments: list[Segment]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct pairs that a document links, and how often each."""
-    pairs = np.frombuffer(b"".join([s.pairs for s in segments]), np.int64)
-    if not any(s.times for s in segments):
+    *_, links, often = zip(*segments) if segments else ((), ())
+    pairs = np.frombuffer(b"".join(links), np.int64)
+    if not any(often):
         return np.unique(pairs, return_counts=True)
     times = np.frombuffer(b"".join([s.times or ONE * (len(s.pairs) // 8) for s in segments]), np.int64)
     order = np.argsort(pairs, kind="stable")
@@ -286,8 +301,10 @@ def digests(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         with_ = aligner(path_a, path_b)
         for batch in batches:
             found = with_.batch(batch.column(1).to_pylist())
-            numbers = [pa.array([sum(s[k] for s in row) for row in found], pa.int64()) for k in range(1, 5)]
-            digest = [hashlib.sha256(";".join([s.text for s in row]).encode()).hexdigest() if row else "" for row in found]
+            columns = [list(zip(*row)) for row in found]
+            numbers = [pa.array([sum(row[k]) if row else 0 for row in columns], pa.int64()) for k in range(1, 5)]
+            digest = [hashlib.sha256(";".join(row[0]).encode()).hexdigest() if row else "" for row in columns]
+            columns.clear()
             links = [links_of(row) for row in found]
             at = pa.array(np.r_[0, np.cumsum([len(p) for p, _ in links])], pa.int32())
             lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([x[k] for x in links]) if links else [], pa.int64())) for k in (0, 1)]

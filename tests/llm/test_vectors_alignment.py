@@ -107,6 +107,19 @@ def test_long_group_of_many_links():
     assert with_._segment(" " + text, with_.b.encode(text)).n_links == sum(s.n_links for s in with_.batch([text])[0])
 
 
+def test_new_segments_are_encoded_together(monkeypatch):
+    """Not one call of A for each; white space alone, marks of other scripts and special tokens stand between words."""
+    texts = ["one two, zwölf\n\nthree###  ", " \n", "one tail \t", "<|endoftext|> 日本語 é́ fin."]
+    with_ = align.Aligner(A, B)
+    expected = [with_.whole(t) for t in texts]
+    calls = []
+    monkeypatch.setattr(with_, "_ids_a", lambda text, own=with_._ids_a: calls.append(text) or own(text))
+    got = with_.batch(texts)
+    assert [";".join(s.text for s in row) for row in got] == [s.text for s in expected]
+    assert [tuple(sum(s[k] for s in row) for k in range(1, 5)) for row in got] == [s[1:5] for s in expected]
+    assert all(t.isspace() for t in calls)
+
+
 # near vectors
 
 EMBEDDINGS = "vec_id bigint, embedding array<float>, label int, n int, id string"
