@@ -264,7 +264,6 @@ def candidates(reps: DataFrame, scratch: Scratch, limits: Limits) -> DataFrame:
             # a part of a node for each SPLIT documents: its pivots go to all parts
             parts = F.ceil(F.col("size") / SPLIT).cast("int")
             chosen = chosen.select("node", F.array_distinct(F.array(*(f"p{j}" for j in range(PIVOTS)))).alias("pivots"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-            chosen = scratch.store(chosen, f"chosen{level}")
             held = large.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).join(chosen.hint("merge"), ["node", "part"])
             held = scratch.store(held.mapInArrow(_against_pivots(limits), "id bigint, kind int, node bigint, sig binary, pivot bigint, core boolean"), f"held{level}")
             found.append(scratch.store(held.where("pivot is not null and pivot != id").select(F.col("id").alias("a"), F.col("pivot").alias("b")), f"near{level}"))
@@ -272,7 +271,7 @@ def candidates(reps: DataFrame, scratch: Scratch, limits: Limits) -> DataFrame:
             at = F.when(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(100)) < limits.more, F.array(*pick_one)).otherwise(F.array(pick_one[0]))
             rest = held.where("not core").select("id", "kind", "node", "sig", F.explode(at).alias("at")).select("id", "kind", "sig", F.xxhash64("node", "at", F.substring("sig", F.col("at") + 1, F.lit(1))).alias("node"))
             nodes = scratch.store(rest, f"nodes{level + 1}")
-            scratch.drop(f"met{level}", f"chosen{level}", f"held{level}")
+            scratch.drop(f"met{level}", f"held{level}")
     return reduce(DataFrame.union, found).distinct()
 
 
@@ -350,16 +349,23 @@ def _confirm_by_prefix(sets: DataFrame, percent: int, scratch: Scratch) -> DataF
     Such a pair shares one of the rarest shingles of each, n - ceil(percent * n /
     100) + 1 of them. Of a shingle's documents one comp holds the most; of a pair
     one at least isn't of that comp, so only these look for partners, and what is
-    connected already is never paired.
+    connected already is never paired. Both have a place for their last shared
+    one of these: all that they share is what they share up to there, and at most
+    what either has after it; and, as one's rarest end before the other's, at most
+    what one has behind its rarest. Pairs that can't reach `percent` so are not measured.
     """
     tokens = sets.mapInArrow(_tokens, "cluster bigint, id bigint, n bigint, comp bigint, token bigint")
     df = scratch.store(tokens.groupBy("cluster", "token").agg(F.count("*").alias("df"), (F.min("comp") != F.max("comp")).alias("several")).where("df > 1"), "df")
     ranked = tokens.join(df, ["cluster", "token"], "left").selectExpr("cluster", "id", "n", "comp", "token", "several", "row_number() over (partition by cluster, id order by coalesce(df, 1), token) as place")
-    prefix = scratch.store(ranked.where(F.expr(f"several and place <= n - ceil({percent} * n / 100) + 1")).select("cluster", "id", "n", "comp", "token"), "prefix")
+    prefix = scratch.store(ranked.where(F.expr(f"several and place <= n - ceil({percent} * n / 100) + 1")).select("cluster", "id", "n", "comp", "token", "place"), "prefix")
     most = prefix.groupBy("cluster", "token", "comp").agg(F.count("*").alias("k")).groupBy("cluster", "token").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"))
     few = prefix.join(most, ["cluster", "token"]).where("comp != most")
-    other = prefix.select("cluster", "token", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("its"))
-    pairs = few.join(other, ["cluster", "token"]).where(f"comp != its and 100 * least(n, m) >= {percent} * greatest(n, m)").selectExpr("cluster", "least(id, other) as id", "greatest(id, other) as other").distinct()
+    other = prefix.select("cluster", "token", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("its"), F.col("place").alias("its_place"))
+    # a row for each shared token: if neither is of the comp with the most, the smaller id looks for the other
+    met = few.join(other, ["cluster", "token"]).where(f"comp != its and (its = most or id < other) and 100 * least(n, m) >= {percent} * greatest(n, m)")
+    pairs = met.selectExpr("cluster", "least(id, other) as id", "greatest(id, other) as other", "n + m as members", f"ceil({percent} * greatest(n, m) / 100) - 1 as behind", "if(id < other, n - place, m - its_place) as after", "if(id < other, m - its_place, n - place) as its_after")
+    pairs = pairs.groupBy("cluster", "id", "other").agg(F.first("members").alias("members"), (F.count("*") + F.least(F.min("after"), F.min("its_after"), F.first("behind"))).alias("most"))
+    pairs = pairs.where(f"100 * most >= {percent} * (members - most)").select("cluster", "id", "other")
     pairs = scratch.store(pairs, "pairs")
     scratch.drop("df", "prefix")
     both = pairs.join(sets.select("cluster", "id", "n", "hashes"), ["cluster", "id"]).join(sets.select("cluster", F.col("id").alias("other"), F.col("n").alias("m"), F.col("hashes").alias("others")), ["cluster", "other"])
@@ -388,12 +394,10 @@ def _confirm_large(sets: DataFrame, percent: int, scratch: Scratch) -> list[Data
         least = sets.groupBy("cluster", "parts").agg(near_best.alias("p0"), F.min_by("id", F.xxhash64(F.lit(k), "id")).alias("p1"))
         chosen = least.select("cluster", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("id"))
         pivots = sets.join(chosen, ["cluster", "id"]).select("cluster", F.col("id").alias("other"), F.col("n").alias("m"), F.col("hashes").alias("others"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        pivots = scratch.store(pivots, f"pivots{k}")
         dealt = sets.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
         near = scratch.store(dealt.join(pivots.hint("merge"), ["cluster", "part"]).mapInArrow(_overlap, OVERLAPS), f"near{k}").withColumn("link", link)
-        scratch.drop(f"pivots{k}")
         near = near.withColumn("d", F.expr("1 - inter / (n + m - inter)"))
-        edges.append(scratch.store(near.where("link and id != other").select(F.col("id").alias("a"), F.col("other").alias("b")), f"edges{k}"))
+        edges.append(near.where("link and id != other").select(F.col("id").alias("a"), F.col("other").alias("b")))
         best = near.groupBy("cluster", "other").agg(F.count_if("link").alias("links"), F.min(F.when(~F.col("link"), F.col("d"))).alias("u"))
         best = best.groupBy("cluster").agg(F.max_by(F.struct("other", "u"), F.struct("links", "other")).alias("best")).where("best.u is not null").select("cluster", "best.other", "best.u")
         best = scratch.store(best, f"best{k}")
@@ -402,12 +406,14 @@ def _confirm_large(sets: DataFrame, percent: int, scratch: Scratch) -> list[Data
         left = scratch.store(left, f"left{k}")
         sizes = left.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
         fits = (F.col("docs") <= SMALL_DOCS) & (F.col("total") <= SMALL_SHINGLES) | (F.col("docs") <= 2)
-        left = scratch.store(left.join(sizes.select("cluster", fits.alias("fits")), "cluster").select("cluster", "id", "alike", "fits"), f"sized{k}")
-        rest = scratch.store(sets.drop("alike").join(left, ["cluster", "id"]), f"rest{k}")
-        scratch.drop(f"near{k}", f"best{k}", f"left{k}", f"sized{k}", f"rest{k - 1}" if k else "sets")
-        edges.append(scratch.store(_confirmed(rest.where("fits").select("cluster", "id", "hashes"), percent), f"late{k}"))
+        sized = left.join(sizes.select("cluster", fits.alias("fits")), "cluster").select("cluster", "id", "alike", "fits")
+        rest = scratch.store(sets.drop("alike").join(sized, ["cluster", "id"]), f"rest{k}")
+        scratch.drop(f"best{k}", f"left{k}", f"rest{k - 1}" if k else "sets")
+        small, large = rest.agg(F.count_if("fits"), F.count_if(~F.col("fits"))).first()
+        if small:
+            edges.append(scratch.store(_confirmed(rest.where("fits").select("cluster", "id", "hashes"), percent), f"late{k}"))
         sets = rest.where("not fits").drop("fits")
-        if sets.isEmpty():
+        if not large:
             break
     else:
         known = components(reduce(DataFrame.unionByName, edges), scratch, "known").withColumnRenamed("component", "comp")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from cellweave.llm import neardup
@@ -69,6 +70,21 @@ def test_large_sets_of_candidates_lose_no_link(spark, monkeypatch, rounds):
     assert run(spark, texts, words=4) == brute(texts, 4, 80)
 
 
+def test_pairs_that_cannot_be_linked_are_not_measured(spark):
+    """Variants of one set that share rare members, and near copies: all links are found, and few other pairs are held against each other."""
+    rng = np.random.default_rng(5)
+    picked = [np.where(rng.random(147) < 0.2, rng.integers(1, 5, 147), 0) for _ in range(60)]
+    for x in picked[:20]:
+        picked.append(np.where(rng.random(147) < 0.04, 9, x))
+    sets = [np.unique(np.arange(147, dtype=np.uint64) * np.uint64(10) + x.astype(np.uint64)) for x in picked]
+    rows = [(1, k, len(x), bytearray(x.tobytes()), k) for k, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "cluster long, id long, n long, hashes binary, comp long")
+    got = {(r.id, r.other): r.inter for r in neardup._confirm_by_prefix(df, 80, Scratch(spark, "test")).collect()}
+    links = {(i, j) for i in range(80) for j in range(i + 1, 80) if neardup._linked(neardup.shared(sets[i], sets[j]), 147, 147, 80)}
+    assert len(links) > 15 and links <= got.keys() and len(got) < 3 * len(links)
+    assert all(neardup.shared(sets[i], sets[j]) == n for (i, j), n in got.items())
+
+
 def test_rows_without_ids_repeated_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect())
