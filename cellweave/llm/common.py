@@ -102,8 +102,9 @@ def maybe_in(df: DataFrame, key: str, keys: DataFrame, count: int) -> DataFrame:
     return met.where(f"getbit({byte}, cast(bitmap_bit_position(cw_spot) % 8 as int)) = 1").select(*df.columns)
 
 
-#: Ids whose links one task holds at once.
+#: Ids whose links one task holds at once; links that one task can end with, for they have no more ids than that.
 MOST_IDS = 1 << 20
+LAST_LINKS = MOST_IDS // 2
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +133,11 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
+def _with_roots(stars: DataFrame) -> DataFrame:
+    """(id, component) of links from each id to its component's smallest, and of the smallest themselves."""
+    return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """Connected components of `edges` (a, b: bigint): a row (id, component) for each id that has an edge to another.
 
@@ -139,12 +145,18 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     contractions of Kiveris et al. (2014), so the number of rounds grows with
     the logarithm of the longest path; each task first shortens the paths within
     its own rows, which saves most rounds. Each round is written to the shared
-    folder. Loops, nulls and repeated edges change nothing.
+    folder. Once no more than LAST_LINKS links are left, whatever their number was,
+    a task holds them all and shortens all paths, which ends the rounds.
+    Loops, nulls and repeated edges change nothing.
     """
     short = lambda df: df.select("a", "b").mapInArrow(_forest, "a bigint, b bigint")
     e = scratch.store(short(edges.where("a is not null and b is not null and a != b")), f"{name}0")
     k = 0
     while True:
+        if e.limit(LAST_LINKS + 1).count() <= LAST_LINKS:
+            last = scratch.store(short(e.coalesce(1)), f"{name}-last")
+            scratch.drop(f"{name}{k}")
+            return _with_roots(last)
         # large star: each neighbour above the centre goes to the smallest of the neighbourhood
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = scratch.store(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("m")), f"{name}-low{k}")
@@ -163,4 +175,4 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         scratch.drop(*(f"{name}{x}" for x in (k - 2, k - 1, f"-low{k - 2}", f"-low{k - 1}")))
         e = e2
         if done:
-            return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+            return _with_roots(e)

@@ -34,6 +34,8 @@ from .common import Scratch, components, maybe_in, pick, prepare
 SIZE, TREES, LEVELS = 64, 8, 4
 #: Documents in a node that are compared exhaustively.
 NODE = 64
+#: Documents of each large node and pairs of all of them, up to which a level compares them exhaustively too and is the last.
+LAST_NODE, LAST_PAIRS = 4096, 1 << 26
 #: Documents of a large node that one task holds against its pivots.
 SPLIT = 4096
 #: Documents and shingles of a set of candidates that one task confirms; rounds of pivots for larger ones.
@@ -243,22 +245,22 @@ def candidates(reps: DataFrame, scratch: Scratch, limits: Limits) -> DataFrame:
     may be linked to them is near to the pivot as well, and so is joined already.
     """
     nodes = reps.select("id", "kind", "sig", F.explode(F.array(*(F.xxhash64(F.lit(c), "kind", F.col("roots")[c]) for c in range(limits.roots)))).alias("node"))
-    found = []
+    found, small = [], []
     for level in range(LEVELS):
         # only the ids of nodes meet at first; signatures follow where a node has two documents at least
         counts = scratch.store(nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("least")).where("size > 1"), f"counts{level}")
-        several, big = counts.agg(F.count("*"), F.count_if(F.col("size") > NODE)).first()
+        big = F.when(F.col("size") > NODE, F.col("size"))
+        several, most, pairs = counts.agg(F.count("*"), F.coalesce(F.max(big), F.lit(0)), F.coalesce(F.sum(big * big), F.lit(0))).first()
+        last = most <= LAST_NODE and pairs <= LAST_PAIRS
         # a plain join of two shuffles: the adaptive planner can split a node that holds a large share of all rows
         met = scratch.store(maybe_in(nodes, "node", counts, several).join(counts.hint("merge"), "node"), f"met{level}")
         scratch.drop(f"counts{level}", *([f"nodes{level}"] if level else []))
-        small = met.where(F.col("size") <= NODE).select("node", "id", "sig")
-        found.append(scratch.store(small.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_node(limits), "a bigint, b bigint"), f"found{level}"))
+        small.append((met if last else met.where(F.col("size") <= NODE)).select("node", "id", "sig"))
+        if last:
+            break
         large = met.where(F.col("size") > NODE)
         if level == LEVELS - 1:
-            found.append(scratch.store(large.where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b")), "found"))
-        elif not big:
-            scratch.drop(f"met{level}")
-            break
+            found.append(large.where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b")))
         else:
             chosen = large.groupBy("node", "size").agg(*(F.min_by(F.struct("id", "sig"), F.xxhash64(F.lit(j), "id")).alias(f"p{j}") for j in range(PIVOTS)))
             # a part of a node for each SPLIT documents: its pivots go to all parts
@@ -271,8 +273,11 @@ def candidates(reps: DataFrame, scratch: Scratch, limits: Limits) -> DataFrame:
             at = F.when(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(100)) < limits.more, F.array(*pick_one)).otherwise(F.array(pick_one[0]))
             rest = held.where("not core").select("id", "kind", "node", "sig", F.explode(at).alias("at")).select("id", "kind", "sig", F.xxhash64("node", "at", F.substring("sig", F.col("at") + 1, F.lit(1))).alias("node"))
             nodes = scratch.store(rest, f"nodes{level + 1}")
-            scratch.drop(f"met{level}", f"held{level}")
-    return reduce(DataFrame.union, found).distinct()
+            scratch.drop(f"held{level}")
+    # the small nodes of all levels are compared in one step
+    small = reduce(DataFrame.union, small).repartition("node").sortWithinPartitions("node")
+    found.append(scratch.store(small.mapInArrow(_compare_node(limits), "a bigint, b bigint"), "found"))
+    return reduce(DataFrame.union, found)
 
 
 def _sets(words: int):
@@ -400,16 +405,15 @@ def _confirm_large(sets: DataFrame, percent: int, scratch: Scratch) -> list[Data
         edges.append(near.where("link and id != other").select(F.col("id").alias("a"), F.col("other").alias("b")))
         best = near.groupBy("cluster", "other").agg(F.count_if("link").alias("links"), F.min(F.when(~F.col("link"), F.col("d"))).alias("u"))
         best = best.groupBy("cluster").agg(F.max_by(F.struct("other", "u"), F.struct("links", "other")).alias("best")).where("best.u is not null").select("cluster", "best.other", "best.u")
-        best = scratch.store(best, f"best{k}")
         left = near.join(best, ["cluster", "other"]).where(~F.col("link") | (F.col("d") >= F.col("u") - F.lit(far + 1e-9)))
-        left = left.groupBy("cluster", "id", "n").agg(F.max(F.when(F.col("id") != F.col("other"), 1 - F.col("d")).otherwise(0.0)).alias("alike"))
-        left = scratch.store(left, f"left{k}")
+        left = left.groupBy("cluster", "id").agg(F.max(F.when(F.col("id") != F.col("other"), 1 - F.col("d")).otherwise(0.0)).alias("alike"))
+        left = scratch.store(sets.drop("alike").join(left, ["cluster", "id"]), f"left{k}")
         sizes = left.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
         fits = (F.col("docs") <= SMALL_DOCS) & (F.col("total") <= SMALL_SHINGLES) | (F.col("docs") <= 2)
-        sized = left.join(sizes.select("cluster", fits.alias("fits")), "cluster").select("cluster", "id", "alike", "fits")
-        rest = scratch.store(sets.drop("alike").join(sized, ["cluster", "id"]), f"rest{k}")
-        scratch.drop(f"best{k}", f"left{k}", f"rest{k - 1}" if k else "sets")
-        small, large = rest.agg(F.count_if("fits"), F.count_if(~F.col("fits"))).first()
+        sizes = scratch.store(sizes.select("cluster", fits.alias("fits")), f"sizes{k}")
+        rest = left.join(sizes, "cluster")
+        scratch.drop(f"left{k - 1}" if k else "sets", *([f"sizes{k - 1}"] if k else []))
+        small, large = sizes.agg(F.count_if("fits"), F.count_if(~F.col("fits"))).first()
         if small:
             edges.append(scratch.store(_confirmed(rest.where("fits").select("cluster", "id", "hashes"), percent), f"late{k}"))
         sets = rest.where("not fits").drop("fits")
@@ -444,11 +448,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     both = F.array(*(F.struct(F.col(f"roots{k}").alias("roots"), F.col(f"sig{k}").alias("sig")) for k in (0, 1)))
     signed = reps.select("id", F.posexplode(both).alias("kind", "s")).where("s.sig is not null").select("id", "kind", "s.roots", "s.sig")
     spread = components(candidates(signed, scratch, Limits.of(percent)), scratch, "spread").withColumnRenamed("component", "cluster")
-    spread = scratch.store(spread, "spread")
+    spread = scratch.store(spread.join(reps.select("id", "n"), "id"), "spread")
     scratch.keep("marks", "reps", "spread")
-    sizes = spread.join(reps.select("id", "n"), "id").groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
+    sizes = spread.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
     fits = (F.col("docs") <= SMALL_DOCS) & (F.col("total") <= SMALL_SHINGLES)
-    clusters = scratch.store(spread.join(sizes.select("cluster", fits.alias("fits"), F.ceil(F.col("docs") / SPLIT).cast("int").alias("parts")), "cluster"), "clusters")
+    clusters = scratch.store(spread.drop("n").join(sizes.select("cluster", fits.alias("fits"), F.ceil(F.col("docs") / SPLIT).cast("int").alias("parts")), "cluster"), "clusters")
     several, large = clusters.agg(F.count("*"), F.count_if(~F.col("fits"))).first()
     # of the texts, only those of candidates are shuffled
     wanted = clusters.withColumnRenamed("id", "doc_id")

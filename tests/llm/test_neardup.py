@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from cellweave.llm import neardup
+from cellweave.llm import common, neardup
 from cellweave.llm.common import Scratch, components
 from cellweave.llm.neardup import near_duplicates
 
@@ -98,6 +98,39 @@ def test_components_of_chains_and_stars(spark):
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)} | {200: 200, 201: 200}
 
 
+def written(monkeypatch):
+    """The names of the tables that are written from now on."""
+    names, store = [], Scratch.store
+    monkeypatch.setattr(Scratch, "store", lambda self, df, name: names.append(name) or store(self, df, name))
+    return names
+
+
+@pytest.mark.parametrize("most,tables", [(None, 2), (30, None)])
+def test_few_links_end_in_one_task_and_many_by_stars(spark, monkeypatch, most, tables):
+    if most:
+        monkeypatch.setattr(common, "LAST_LINKS", most)
+    names = written(monkeypatch)
+    edges = [(k, (7 * k + 3) % 400) for k in range(300)] + [(k, k + 1) for k in range(1000, 1060)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(8), Scratch(spark, "test")).collect()}
+    root = {k: k for e in edges for k in e}
+    while any(root[a] != root[b] for a, b in edges):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == {k: v for k, v in root.items() if any(k in e and e[0] != e[1] for e in edges)}
+    assert len(names) == tables if tables else "cc1" in names
+
+
+@pytest.mark.parametrize("last", [0, neardup.LAST_PAIRS])
+def test_few_pairs_of_large_nodes_end_the_levels(spark, monkeypatch, last):
+    """A family of copies in one node goes through pivots and levels, or is compared as it is: the same components, with fewer tables."""
+    monkeypatch.setattr(neardup, "LAST_PAIRS", last)
+    names = written(monkeypatch)
+    texts = corpus(3, ((150, 6, 60),))
+    assert run(spark, texts, words=4) == brute(texts, 4, 80)
+    assert len([n for n in names if n.startswith("found")]) == 1 and ("held0" in names) == (not last)
+    assert len(names) <= (25 if last else 40)
+
+
 def exact_components(texts, words, percent):
     """Component of each id by an exact join: two linked sets share one of the rarest of each, n - ceil(percent n / 100) + 1 of them."""
     import math
