@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.sources.scratch import reachable
+from cellweave.sources.scratch import reachable, store
 
 from . import grid as grids
 
 #: How far outside, in parts of a quadrilateral, a point may lie by rounding; the least part of a cell that is an overlap.
 EDGE, LEAST = 1e-9, 1e-12
 STEPS = 30
+#: Quadrilaterals of a cube of space that are tried at once.
+TRIED = 64
 
 
 def is_rectilinear(grid: DataFrame) -> bool:
@@ -95,36 +97,82 @@ def bilinear_weights_in_space(source: DataFrame, target: DataFrame) -> DataFrame
 
     The weighted mean of the corners' points lies in the direction of the target,
     so points on the sphere come out exactly. Quadrilaterals and targets meet in
-    cubes of space, as cells do in `conservative_weights`.
+    cubes of space, by a shuffle. There quadrilaterals are tried in order of y and
+    x until one holds the target, so those of a grid that goes around the sphere
+    many times aren't all tried.
     """
     reachable(source.sparkSession)
-    q = quadrilaterals(source)
-    point = lambda lon, lat: F.array(F.cos(F.radians(lon)) * F.cos(F.radians(lat)), F.sin(F.radians(lon)) * F.cos(F.radians(lat)), F.sin(F.radians(lat)))
-    dot = lambda a, b: sum((a[i] * b[i] for i in range(1, 3)), a[0] * b[0])
-    cross = lambda a, b: F.array(*(a[(i + 1) % 3] * b[(i + 2) % 3] - a[(i + 2) % 3] * b[(i + 1) % 3] for i in range(3)))
-    less = lambda a, b: [a[i] - b[i] for i in range(3)]
-    c, corner = F.col, [F.get("corners", k) for k in range(4)]  # conditions may be asked before too few corners are left out
-    q = q.select("y", "x", F.array(*(corner[k]["cell_id"] for k in range(4))).alias("ids"), *(point(corner[k]["lon"], corner[k]["lat"]).alias(f"c{k}") for k in range(4)))
-    q = q.withColumn("m", F.array(*((c("c0")[i] + c("c1")[i] + c("c2")[i] + c("c3")[i]) / 4 for i in range(3))))
-    # the sphere is farther out than the corners' flat middle by less than the square of the radius
-    ball = F.sqrt(F.greatest(*(dot(d, d) for d in (less(c(f"c{k}"), c("m")) for k in range(4)))))
-    q = q.withColumn("r", ball).withColumn("r", c("r") + c("r") * c("r") + 1e-12).where("r < 1")
-    side = max(2 * (q.agg(F.max("r")).first()[0] or 0.0), 1e-9)
+    q = store(quadrilaterals(source).mapInArrow(_placed, "y int, x int, ids array<bigint>, points array<double>, r double"), "quadrilaterals")
+    side = max(4 * (q.agg(F.max("r")).first()[0] or 0.0), 1e-9)
     cube = lambda v: F.floor(v / side).cast("bigint")
+    slack = F.col("r") * F.col("r") + 1e-12
     for i in range(3):
-        q = q.withColumn(f"_{i}", F.explode(F.sequence(cube(c("m")[i] - c("r")), cube(c("m")[i] + c("r")))))
-    t = target.where("lon is not null and lat is not null").select(c("cell_id").alias("target_cell"), point(c("lon"), c("lat")).alias("t"))
-    unit = lambda k: F.array(*(F.lit(float(i == k)) for i in range(3)))
-    t = t.withColumn("e1", F.when(F.abs(c("t")[0]) < 0.6, cross(c("t"), unit(0))).otherwise(cross(c("t"), unit(1)))).withColumn("e2", cross(c("t"), c("e1")))
-    t = t.select("*", *(cube(c("t")[i]).alias(f"_{i}") for i in range(3)))
-    # within the ball, and in each direction no farther than the corners
-    apart = less(c("t"), c("m"))
-    slack = c("r") * c("r") + 1e-12
-    between = [c("t")[i].between(F.least(*(c(f"c{k}")[i] for k in range(4))) - slack, F.greatest(*(c(f"c{k}")[i] for k in range(4))) + slack) for i in range(3)]
-    met = t.join(q, ["_0", "_1", "_2"]).where((dot(apart, apart) <= c("r") * c("r")) & between[0] & between[1] & between[2])
-    along = lambda e: F.array(*(dot(c(f"c{k}"), c(e)) for k in range(4)))
-    flat = met.select("target_cell", "y", "x", "ids", along("e1").alias("xs"), along("e2").alias("ys"), F.lit(0.0).alias("px"), F.lit(0.0).alias("lat"))
-    return _first(flat.mapInArrow(_inverted, "target_cell bigint, y int, x int, ids array<bigint>, w array<double>"))
+        along = F.array(*(F.get("points", F.lit(3 * k + i)) for k in range(4)))
+        q = q.withColumn(f"_{i}", F.explode(F.sequence(cube(F.array_min(along) - slack), cube(F.array_max(along) + slack))))
+    a, b = F.radians("lon"), F.radians("lat")
+    t = target.where("lon is not null and lat is not null").select(F.col("cell_id").alias("target_cell"), F.array(F.cos(a) * F.cos(b), F.sin(a) * F.cos(b), F.sin(b)).alias("t"))
+    t = t.select("*", *(cube(F.col("t")[i]).alias(f"_{i}") for i in range(3)))
+    cubes = ["_0", "_1", "_2"]
+    return _first(q.groupBy(*cubes).cogroup(t.groupBy(*cubes)).applyInArrow(_held, "target_cell bigint, y int, x int, ids array<bigint>, w array<double>"))
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Quadrilaterals with their corners' points in space and the radius of a ball that holds the part of the sphere between them."""
+    for batch in batches:
+        corners = batch.column("corners").flatten()
+        lon, lat = (np.radians(corners.field(c).to_numpy(zero_copy_only=False)) for c in ("lon", "lat"))
+        points = np.stack([np.cos(lon) * np.cos(lat), np.sin(lon) * np.cos(lat), np.sin(lat)], 1).reshape(-1, 4, 3)
+        # the sphere is farther out than the corners' flat middle by less than the square of the radius
+        r = np.sqrt(((points - points.mean(1)[:, None]) ** 2).sum(2).max(1))
+        r = r + r * r + 1e-12
+        keep = r < 1
+        n = int(keep.sum())
+        lists = lambda width, values: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), values)  # noqa: B023, E731
+        ids = corners.field("cell_id").cast(pa.int64()).filter(pa.array(np.repeat(keep, 4)))
+        part = batch.filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([part.column("y").cast(pa.int32()), part.column("x").cast(pa.int32()), lists(4, ids), lists(12, pa.array(points[keep].ravel())), pa.array(r[keep])], names=["y", "x", "ids", "points", "r"])
+
+
+def _held(q: pa.Table, t: pa.Table) -> pa.Table:
+    """Targets of a cube of space with the first of its quadrilaterals, by y and x, that holds them, and the corners' weights."""
+    schema = pa.schema({"target_cell": pa.int64(), "y": pa.int32(), "x": pa.int32(), "ids": pa.list_(pa.int64()), "w": pa.list_(pa.float64())})
+    if not len(q) or not len(t):
+        return schema.empty_table()
+    q = q.sort_by([("y", "ascending"), ("x", "ascending")])
+    points, p = _matrix(q["points"].combine_chunks(), 12).reshape(-1, 4, 3), _matrix(t["t"].combine_chunks(), 3)
+    middle, r = points.mean(1), q["r"].to_numpy()
+    slack = (r * r + 1e-12)[:, None]
+    low, high = points.min(1) - slack, points.max(1) + slack
+    e1 = np.where(np.abs(p[:, :1]) < 0.6, np.cross(p, [1.0, 0.0, 0.0]), np.cross(p, [0.0, 1.0, 0.0]))
+    e2 = np.cross(p, e1)
+    left, found = np.arange(len(p)), []
+    for start in range(0, len(q), TRIED):
+        # in each direction no farther than the corners, and within the ball
+        near = np.ones((len(left), min(TRIED, len(q) - start)), bool)
+        for k in range(3):
+            c = p[left, k][:, None]
+            near &= (c >= low[start : start + TRIED, k]) & (c <= high[start : start + TRIED, k])
+        i, j = np.nonzero(near)
+        i, j = left[i], j + start
+        ball = ((p[i] - middle[j]) ** 2).sum(1) <= r[j] * r[j]
+        i, j = i[ball], j[ball]
+        xs, ys = (np.einsum("nkc,nc->nk", points[j], e[i]) for e in (e1, e2))
+        inside, w = _corner_weights(*inverse_bilinear(xs, ys, np.zeros(len(i)), np.zeros(len(i))))
+        i, first = np.unique(i[inside], return_index=True)
+        found.append((i, j[inside][first], w[first]))
+        left = np.setdiff1d(left, i, assume_unique=True)
+        if not len(left):
+            break
+    i, j, w = (np.concatenate(c) for c in zip(*found))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1) * 4, pa.int32()), pa.array(w.ravel()))
+    return pa.Table.from_arrays([t["target_cell"].take(pa.array(i)).cast(pa.int64()), *(q[c].take(pa.array(j)) for c in ("y", "x", "ids")), lists], names=schema.names).cast(schema)
+
+
+def _corner_weights(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which points are inside their quadrilaterals, and the corners' weights of those."""
+    inside = (u >= -EDGE) & (u <= 1 + EDGE) & (v >= -EDGE) & (v <= 1 + EDGE)
+    u, v = np.clip(u[inside], 0, 1), np.clip(v[inside], 0, 1)
+    return inside, np.stack([(1 - u) * (1 - v), u * (1 - v), (1 - u) * v, u * v], 1)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -136,11 +184,9 @@ def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         px, py = batch.column("px").to_numpy(), batch.column("lat").to_numpy()
         u, v = inverse_bilinear(_matrix(batch.column("xs"), 4), _matrix(batch.column("ys"), 4), px, py)
-        inside = (u >= -EDGE) & (u <= 1 + EDGE) & (v >= -EDGE) & (v <= 1 + EDGE)
-        u, v = np.clip(u[inside], 0, 1), np.clip(v[inside], 0, 1)
-        w = np.stack([(1 - u) * (1 - v), u * (1 - v), (1 - u) * v, u * v], 1)
+        inside, w = _corner_weights(u, v)
         part = batch.filter(pa.array(inside))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1) * 4, pa.int32()), pa.array(w.ravel()))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1) * 4, pa.int32()), pa.array(w.ravel()))
         yield pa.RecordBatch.from_arrays([part.column("target_cell"), part.column("y").cast(pa.int32()), part.column("x").cast(pa.int32()), part.column("ids"), lists], names=["target_cell", "y", "x", "ids", "w"])
 
 

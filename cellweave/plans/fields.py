@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cellweave.operators import curved, grid, large, objects, series, statistics
 from cellweave.sources import files, netcdf
-from cellweave.sources.scratch import folder
+from cellweave.sources.scratch import folder, store
 
 from .queries import DAY, GRID, Tables, query
 
@@ -43,6 +43,11 @@ def inner(t: Tables, dx: float, dy: float, margin: int, part: int = 1) -> DataFr
     return bent(t, dx, dy, part).join(last, F.col("y").between(margin, F.col("last") - 1 - margin)).where(F.col("x").between(margin - 1, 9 - margin)).drop("last")
 
 
+def months(t: Tables) -> DataFrame:
+    """Three months, for a cross join: Spark counts its rows, but not those that `explode` adds, and would take the series for small and broadcast it."""
+    return t.spark.range(1, 4).select(F.col("id").alias("month"))
+
+
 INNER = """
 k as (select c_custkey as cell_id, c_custkey // 10 as y, c_custkey % 10 as x from customer),
 t_r as (select cell_id, (x + {dx}) / 2 as rx, (y + {dy}) / 20 as ry from k
@@ -60,8 +65,8 @@ def regrid_bilinear_rotated(t: Tables) -> DataFrame:
     source, target = bent(t), inner(t, 0.3, 0.4, 1)
     a, b = F.radians("lon"), F.radians("lat")
     parts = F.array(*(F.struct(F.lit(k).alias("part"), v.alias("v")) for k, v in enumerate((F.cos(a) * F.cos(b), F.sin(a) * F.cos(b), F.sin(b)))))
-    values = source.select("cell_id", F.explode(parts).alias("p"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("month")).select("cell_id", "month", "p.part", (F.col("month") * F.col("p.v")).alias("value"))
-    found = grid.regrid(values, curved.bilinear_weights_in_space(source, target), target, ["month", "part"])
+    values = source.select("cell_id", F.explode(parts).alias("p")).crossJoin(months(t)).select("cell_id", "month", "p.part", (F.col("month") * F.col("p.v")).alias("value"))
+    found = grid.regrid(values, store(curved.bilinear_weights_in_space(source, target), "weights"), target, ["month", "part"])
     x, y, z = (F.max(F.when(F.col("part") == k, F.col("value"))) for k in range(3))
     lon, lat = F.degrees(F.atan2(y, x)), F.degrees(F.atan2(z, F.sqrt(x * x + y * y)))
     return found.groupBy("cell_id", "month").agg((F.col("month") * (lon + 2 * lat)).alias("value"))
@@ -82,7 +87,7 @@ def regrid_conservative_rotated(t: Tables) -> DataFrame:
     full = bent(t, part=part).where((F.col("y") > 0) & (F.col("y") < last))
     source = full.withColumn("y", F.col("y") - 1)
     cells = target.withColumns({"y": F.col("y") - 2, "x": F.col("x") - 1})
-    values = source.select("cell_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("month")).withColumn("value", F.col("month").cast("double"))
+    values = source.select("cell_id").crossJoin(months(t)).withColumn("value", F.col("month").cast("double"))
     return grid.regrid(values, curved.conservative_weights(source, cells), cells, ["month"])
 
 
