@@ -233,7 +233,8 @@ def sphere_rings(grid: DataFrame) -> DataFrame:
     places = F.array(*(F.struct((F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.lit(k).alias("k")) for k, (dy, dx) in enumerate(((0, 0), (0, 1), (1, 1), (1, 0)))))
     given = v.select(F.explode(places).alias("c"), *((F.col(p) / size).alias(p) for p in ("px", "py", "pz")))
     rings = given.groupBy("c.y", "c.x").agg(F.array_sort(F.collect_list(F.struct("c.k", F.array("px", "py", "pz").alias("p")))).alias("r")).where("size(r) = 4")
-    return cells.select("cell_id", "y", "x").join(rings, ["y", "x"]).select("cell_id", F.flatten(F.transform("r", lambda p: p["p"])).alias("ring"))
+    # a row for each cell, which a file of keys makes look like few
+    return cells.select("cell_id", "y", "x").join(rings.hint("merge"), ["y", "x"]).select("cell_id", F.flatten(F.transform("r", lambda p: p["p"])).alias("ring"))
 
 
 def conservative_weights(source: DataFrame, target: DataFrame) -> DataFrame:

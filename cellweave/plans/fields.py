@@ -88,7 +88,7 @@ def regrid_conservative_rotated(t: Tables) -> DataFrame:
     source = full.withColumn("y", F.col("y") - 1)
     cells = target.withColumns({"y": F.col("y") - 2, "x": F.col("x") - 1})
     values = source.select("cell_id").crossJoin(months(t)).withColumn("value", F.col("month").cast("double"))
-    return grid.regrid(values, curved.conservative_weights(source, cells), cells, ["month"])
+    return grid.regrid(values, store(curved.conservative_weights(source, cells), "weights"), cells, ["month"])
 
 
 # what is written and read again is the table it was made of

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellweave.operators import curved, grid, indices, series
 from cellweave.plans import fields, more  # noqa: F401  register their queries
-from cellweave.plans.queries import ORACLE_SQL, QUERIES
+from cellweave.plans.queries import ORACLE_SQL, QUERIES, Tables
 
 
 def compared(spark, path, name, **tables):
@@ -64,6 +64,17 @@ def test_values_of_many_cells_are_not_broadcast(spark, tmp_path, name):
     assert "Join [source_cell" in plan and "BroadcastHashJoin [source_cell" not in plan
 
 
+def test_cells_with_their_corners_are_not_broadcast(spark, tmp_path):
+    duckdb.sql(f"copy (select range as c_custkey from range(30000)) to '{tmp_path}/customer.parquet' (format parquet)")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        plan = curved.sphere_rings(fields.bent(Tables(spark, str(tmp_path))))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert "SortMergeJoin [y" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_grid_that_goes_around_the_sphere_again(spark, monkeypatch):
     """Rows lie on each other from the second lap on: each target's weights are of the first lap, and later quadrilaterals aren't tried."""
     cells = spark.range(3 * 900).selectExpr("id as cell_id", "int(id div 3) as y", "int(id % 3) as x")
