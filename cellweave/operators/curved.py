@@ -253,7 +253,7 @@ def conservative_weights(source: DataFrame, target: DataFrame) -> DataFrame:
         return cells.withColumn("r", F.sqrt(F.greatest(*(square(k) for k in range(4)))))
 
     reachable(source.sparkSession)
-    s, t = balls(source, "source_cell"), balls(target, "target_cell")
+    s, t = (store(balls(df, name), "cells") for df, name in ((source, "source_cell"), (target, "target_cell")))
     rs, rt = (df.agg(F.max("r")).first()[0] or 0.0 for df in (s, t))
     side = max(2 * (rs + rt), 1e-9)
     cube = lambda c: F.floor(c / side).cast("bigint")
